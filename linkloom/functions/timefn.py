@@ -15,12 +15,12 @@ ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss"
 
 def epoch_to_utc(seconds: Column) -> Column:
     """SCL2: epoch seconds -> UTC wall-clock TIMESTAMP_NTZ."""
-    return F.timestampadd("SECOND", seconds.cast("long"), F.expr(EPOCH_NTZ))
+    return F.timestamp_add("SECOND", seconds.cast("long"), F.expr(EPOCH_NTZ))
 
 
 def utc_to_epoch(ts: Column) -> Column:
     """UTC TIMESTAMP_NTZ -> whole epoch seconds (floor)."""
-    return F.timestampdiff("SECOND", F.expr(EPOCH_NTZ), ts.cast("timestamp_ntz"))
+    return F.timestamp_diff("SECOND", F.expr(EPOCH_NTZ), ts.cast("timestamp_ntz"))
 
 
 def epoch_to_iso(seconds: Column) -> Column:

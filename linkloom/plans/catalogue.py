@@ -13,11 +13,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.functions.text import first_line
+from linkloom.functions.text import clean_title
+from linkloom.functions.vectors import l2_normalize
 from linkloom.operators import blocklist as bl
+from linkloom.operators import embed as em
+from linkloom.operators import ingest as ig
 from linkloom.operators import keywords as kw
+from linkloom.operators import knn
+from linkloom.operators import naming as nm
 from linkloom.operators import profiles as pr
+from linkloom.operators import spatial as sp
+from linkloom.operators import vectors as vc
+from linkloom.session import scratch_dir
 from linkloom.sources import tables as tb
+from linkloom.streaming import ingest as st
 
 ROUND = 6
 
@@ -86,8 +95,7 @@ def _doc_posts(spark, sf_dir):
 
 def clean_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pr.drop_missing(_doc_posts(spark, sf_dir), ["title"])
-    return docs.select("id", "title", F.col("title").alias("_t")).select(
-        "id", "title", kw.clean_title(F.col("_t")).alias("clean_title"))
+    return docs.select("id", "title", clean_title(F.col("title")).alias("clean_title"))
 
 
 def tokens_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +122,220 @@ def keyword_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("term", _r(F.col("tfidf")).alias("tfidf"))
 
 
+# -- vectors ------------------------------------------------------------------
+
+TAG_PROTOTYPE_IDS = (0, 19)  # fixture: prototypes are embeddings with vec_id 0..19
+KNN_K = 5
+MIN_SAMPLES = 5
+
+
+def _emb(spark, sf_dir):
+    return tb.read_table(spark, sf_dir, "embeddings")
+
+
+def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _emb(spark, sf_dir).select("vec_id", l2_normalize(F.col("embedding")).alias("u"))
+    return vc.long_form(e, ["vec_id"], "u").select("vec_id", "dim", _r(F.col("x")).alias("x"))
+
+
+def _tagged(spark, sf_dir):
+    e = _emb(spark, sf_dir)
+    lo, hi = TAG_PROTOTYPE_IDS
+    protos = e.filter(F.col("vec_id").between(lo, hi)).select(F.col("vec_id").alias("tag_idx"), "embedding")
+    t = vc.assign_labels(e.select("vec_id", "embedding"), protos, "embedding", "tag_idx")
+    return t.withColumn("tag", F.concat(F.lit("tag_"), F.col("tag_idx").cast("string")))
+
+
+def tag_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tagged(spark, sf_dir).select("vec_id", "tag_idx", "tag", _r(F.col("sim")).alias("sim"))
+
+
+def tag_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vc.tag_ranking(_tagged(spark, sf_dir), "tag").select("tag", "count", F.col("rank").cast("int"))
+
+
+def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = vc.group_centroids(_emb(spark, sf_dir), "label", "embedding")
+    return c.select(F.col("label").cast("int"), "dim", _r(F.col("x")).alias("x"))
+
+
+def zscore_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = vc.zscore_stats(_emb(spark, sf_dir), "embedding")
+    return z.select("dim", _r(F.col("mean")).alias("mean"), _r(F.col("std")).alias("std"))
+
+
+def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nn = knn.knn_exact(_emb(spark, sf_dir), KNN_K, "vec_id", "embedding", metric="cosine")
+    return nn.select("id", "rank", "nbr", _r(F.col("score")).alias("score"))
+
+
+def core_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cd = knn.core_distances(_emb(spark, sf_dir), MIN_SAMPLES, "vec_id", "embedding")
+    return cd.select("id", _r(F.col("core_dist")).alias("core_dist"))
+
+
+def embed_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = tb.documents_as_posts(spark, sf_dir)
+    e = em.embed_texts(d, "title", "id")
+    from linkloom.functions.vectors import l2_norm
+    return e.select("id", F.size("embedding").alias("dims"), _r(l2_norm(F.col("embedding"))).alias("norm"))
+
+
+# -- spatial --------------------------------------------------------------------
+
+CANVAS = (160, 120)          # canvas of the fixture view queries, pixels
+ZOOMS = (1.0, 50.0, 400.0)   # probe zoom levels of the nearest-point query
+
+
+def _points(spark, sf_dir):
+    return tb.embeddings_as_points(spark, sf_dir)
+
+
+def _grid(spark, sf_dir):
+    pts = _points(spark, sf_dir)
+    return pts, sp.grid_params(pts)
+
+
+def grid_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pts, g = _grid(spark, sf_dir)
+    ch = sp.chunk_table(sp.assign_cells(pts, g), g)
+    return ch.select("chunk", "file", "grid_x", "grid_y", *[_r(F.col(c)).alias(c) for c in
+                                                           ("x_min", "x_max", "y_min", "y_max")], "count")
+
+
+def chunk_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = sp.manifest_row(spark, _points(spark, sf_dir))
+    return m.select(*[_r(F.col(f"bounds.{c}")).alias(c) for c in ("x_min", "x_max", "y_min", "y_max")],
+                    "grid_size", "total_points", "num_clusters", F.size("chunks").alias("n_chunks"),
+                    F.aggregate("clusters", F.lit(0).cast("long"), lambda a, c: a + c["count"])
+                    .alias("clustered_points"))
+
+
+def viewport_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pts, g = _grid(spark, sf_dir)
+    cells = sp.assign_cells(pts, g).select("id", "x", "y", "cluster")
+    views = sp.chunk_table(sp.assign_cells(pts, g), g).select(
+        F.col("chunk").alias("view"), "x_min", "x_max", "y_min", "y_max")
+    return sp.viewport_filter(cells, views).select("view", "id")
+
+
+def _probes(points):
+    nn = points.filter(F.col("cluster") != sp.NOISE)
+    c = nn.groupBy("cluster").agg(F.avg("x").alias("px"), F.avg("y").alias("py"))
+    z = F.explode(F.array(*[F.struct(F.lit(i).alias("zi"), F.lit(v).alias("zoom")) for i, v in enumerate(ZOOMS)]))
+    return c.select("cluster", "px", "py", z.alias("z")).select(
+        (F.col("cluster").cast("long") * 10 + F.col("z.zi")).alias("probe_id"), "px", "py",
+        sp.hover_radius(F.col("z.zoom")).alias("r"))
+
+
+def nearest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pts = _points(spark, sf_dir).filter(F.col("cluster") != sp.NOISE)
+    out = sp.nearest_point(pts, _probes(pts))
+    return out.select("probe_id", "id", _r(F.col("d2")).alias("d2"))
+
+
+def _raster_view(g):
+    v = sp.fit_view(g, *CANVAS)
+    r = sp.view_rect(v)
+    pw = (r["x_max"] - r["x_min"]) * 0.5
+    ph = (r["y_max"] - r["y_min"]) * 0.5
+    rect = {"x_min": r["x_min"] - pw, "x_max": r["x_max"] + pw, "y_min": r["y_min"] - ph, "y_max": r["y_max"] + ph}
+    return v, rect
+
+
+def density_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pts, g = _grid(spark, sf_dir)
+    v, rect = _raster_view(g)
+    return sp.density_raster(sp.assign_cells(pts, g), rect, v["zoom"]).select(
+        "px", "py", "cluster", "n")
+
+
+def fit_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pts, g = _grid(spark, sf_dir)
+    v, rect = _raster_view(g)
+    inside = sp.assign_cells(pts, g).filter(F.col("x").between(rect["x_min"], rect["x_max"]) &
+                                            F.col("y").between(rect["y_min"], rect["y_max"]))
+    area = (rect["x_max"] - rect["x_min"]) * (rect["y_max"] - rect["y_min"])
+    n = inside.agg(F.count(F.lit(1)).alias("n"))
+    return n.select(_r(F.lit(v["zoom"])).alias("zoom"), _r(F.lit(v["cx"])).alias("center_x"),
+                    _r(F.lit(v["cy"])).alias("center_y"), F.col("n").alias("n_visible"),
+                    sp.dot_size(F.col("n"), F.lit(area), F.lit(v["zoom"])).alias("dot_px"))
+
+
+def _embedding_cluster_names(pts):
+    return nm.longest_title_names(pts.filter(F.col("cluster") != sp.NOISE), "cluster", "title", "id")
+
+
+def cluster_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pts = _points(spark, sf_dir)
+    names = _embedding_cluster_names(pts).select(F.col("cluster").alias("id"), "name")
+    return sp.cluster_lookup(pts, names)
+
+
+def palette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pts = _points(spark, sf_dir)
+    return sp.palette(sp.cluster_table(pts))
+
+
+# -- naming -------------------------------------------------------------------------
+
+def title_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = tb.documents_as_posts(spark, sf_dir)
+    return nm.title_sample(d, "lang", "id").select("lang", "id", "title")
+
+
+def longest_title_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = tb.documents_as_posts(spark, sf_dir)
+    return nm.longest_title_names(d, "lang", "title", "id")
+
+
+# -- ingest -------------------------------------------------------------------------
+
+CUTOFF_EPOCH = 1705276800  # 2024-01-15T00:00:00Z, the fixture harvest cut-off
+
+
+def stories_until_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ig.stories_until_cutoff(tb.events_as_items(spark, sf_dir), CUTOFF_EPOCH)
+
+
+def id_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = tb.read_table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0]
+    b = ig.id_batches(spark, int(start))
+    return b.groupBy("batch").agg(F.max("id").alias("batch_start"), F.min("id").alias("batch_end"),
+                                  F.count(F.lit(1)).alias("n_ids"))
+
+
+def dedupe_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = tb.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "n_chars")
+    return ig.dedupe_ids(d.unionByName(d), "id")
+
+
+def post_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = tb.read_table(spark, sf_dir, "documents")
+    posts = d.select(F.col("doc_id").alias("id"), F.lit("story").alias("type"), F.col("source").alias("by"),
+                     F.lit(None).cast("long").alias("time_unix"), F.lit(None).cast("string").alias("time_iso"),
+                     tb.first_line(F.col("text")).alias("title"), F.col("n_chars").alias("score"),
+                     F.lit(0).cast("long").alias("descendants"), F.lit("").alias("url"), F.col("text"))
+    path = scratch_dir(spark, "posts-csv")
+    ig.export_csv(posts, path)
+    back = pr.drop_missing(ig.read_posts_csv(spark, path), ["title"])
+    return back.select("id", "title", "score", "by", F.length("text").alias("text_len"))
+
+
+def ingest_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items land as NDJSON files (then a replay of some files); the stream
+    ingests them exactly once, de-duplicated, and the sink is read back."""
+    items = tb.events_as_items(spark, sf_dir).select(
+        "id", "type", "by", "time", "title", F.col("score_value").cast("long").alias("score"), "descendants",
+        "url", "text")
+    landing = scratch_dir(spark, "landing")
+    items.repartition(4, "id").write.mode("append").json(landing)
+    items.filter(F.col("type") == "story").repartition(2, "id").write.mode("append").json(landing)  # replay
+    sink, ckpt = scratch_dir(spark, "posts"), scratch_dir(spark, "ingest-ckpt")
+    st.run_ingest(spark, landing, sink, ckpt, max_files_per_trigger=2)
+    return spark.read.parquet(sink)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "host_top50": host_top50,
     "domain_label_top50": domain_label_top50,
@@ -129,4 +351,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vocab_cap": vocab_cap,
     "idf_table": idf_table,
     "keyword_top50": keyword_top50,
+    "unit_vectors": unit_vectors,
+    "tag_assign": tag_assign,
+    "tag_ranking": tag_ranking,
+    "label_centroids": label_centroids,
+    "zscore_dims": zscore_dims,
+    "knn_exact": knn_exact,
+    "core_distance": core_distance,
+    "embed_titles": embed_titles,
+    "grid_chunks": grid_chunks,
+    "chunk_manifest": chunk_manifest,
+    "viewport_filter": viewport_filter,
+    "nearest_point": nearest_point,
+    "density_raster": density_raster,
+    "fit_view": fit_view,
+    "cluster_lookup": cluster_lookup,
+    "palette": palette,
+    "title_sample": title_sample,
+    "longest_title_label": longest_title_label,
+    "stories_until_cutoff": stories_until_cutoff,
+    "id_batches": id_batches,
+    "dedupe_replayed": dedupe_replayed,
+    "post_csv_roundtrip": post_csv_roundtrip,
+    "ingest_resume": ingest_resume,
 }

@@ -187,3 +187,223 @@ wn AS (SELECT term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS wn FROM w),
 s AS (SELECT term, sum(wn) AS tfidf FROM wn GROUP BY term)
 SELECT term, round(tfidf, 6) AS tfidf FROM s ORDER BY tfidf DESC, term LIMIT 50
 """
+
+# -- vectors -------------------------------------------------------------------
+
+EMB = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+
+ORACLE["unit_vectors"] = f"""
+WITH {EMB},
+n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS nrm FROM e)
+SELECT vec_id, CAST(unnest(range(1, len(v) + 1)) AS INTEGER) AS dim,
+       round(unnest(list_transform(v, lambda x: x / greatest(nrm, 1e-12))), 6) AS x
+FROM n
+"""
+
+TAGS = f"""{EMB},
+p AS (SELECT vec_id AS tag_idx, v AS pv FROM e WHERE vec_id BETWEEN 0 AND 19),
+s AS (SELECT e.vec_id, p.tag_idx, list_dot_product(e.v, p.pv) AS sim FROM e, p),
+b AS (SELECT vec_id, arg_max(tag_idx, (sim, -tag_idx)) AS tag_idx, max(sim) AS sim FROM s GROUP BY vec_id)"""
+
+ORACLE["tag_assign"] = f"""
+WITH {TAGS}
+SELECT vec_id, tag_idx, 'tag_' || CAST(tag_idx AS VARCHAR) AS tag, round(sim, 6) AS sim FROM b
+"""
+
+ORACLE["tag_ranking"] = f"""
+WITH {TAGS},
+c AS (SELECT 'tag_' || CAST(tag_idx AS VARCHAR) AS tag, CAST(count(*) AS BIGINT) AS count FROM b GROUP BY 1)
+SELECT tag, count, CAST(row_number() OVER (ORDER BY count DESC, tag) AS INTEGER) AS rank FROM c
+"""
+
+ORACLE["label_centroids"] = f"""
+WITH {EMB},
+u AS (SELECT label, unnest(range(1, len(v) + 1)) AS dim, unnest(v) AS x FROM e),
+m AS (SELECT label, dim, avg(x) AS m FROM u GROUP BY label, dim),
+n AS (SELECT label, dim, m / greatest(sqrt(sum(m * m) OVER (PARTITION BY label)), 1e-12) AS x FROM m)
+SELECT CAST(label AS INTEGER) AS label, CAST(dim AS INTEGER) AS dim, round(x, 6) AS x FROM n
+"""
+
+ORACLE["zscore_dims"] = f"""
+WITH {EMB},
+u AS (SELECT unnest(range(1, len(v) + 1)) AS dim, unnest(v) AS x FROM e)
+SELECT CAST(dim AS INTEGER) AS dim, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std
+FROM u GROUP BY dim
+"""
+
+ORACLE["knn_exact"] = f"""
+WITH {EMB},
+s AS (SELECT a.vec_id AS id, b.vec_id AS nbr, list_dot_product(a.v, b.v) AS score
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+r AS (SELECT id, nbr, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, nbr) AS rank FROM s)
+SELECT id, CAST(rank AS INTEGER) AS rank, nbr, round(score, 6) AS score FROM r WHERE rank <= 5
+"""
+
+ORACLE["core_distance"] = f"""
+WITH {EMB},
+d AS (SELECT a.vec_id AS id, b.vec_id AS nbr, list_distance(a.v, b.v) AS dist
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+r AS (SELECT id, dist, row_number() OVER (PARTITION BY id ORDER BY dist, nbr) AS rank FROM d)
+SELECT id, round(dist, 6) AS core_dist FROM r WHERE rank = 5
+"""
+
+# -- spatial -----------------------------------------------------------------------
+
+GRID = """pts AS (SELECT vec_id AS id, 'item ' || CAST(vec_id AS VARCHAR) AS title,
+                CAST(CASE WHEN label = 0 THEN -1 ELSE label END AS INTEGER) AS cluster,
+                CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+nn AS (SELECT * FROM pts WHERE cluster <> -1),
+b0 AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM nn),
+b1 AS (SELECT *, CASE WHEN x1 - x0 = 0 THEN 1.0 ELSE x1 - x0 END AS xr,
+                 CASE WHEN y1 - y0 = 0 THEN 1.0 ELSE y1 - y0 END AS yr FROM b0),
+g AS (SELECT x0 - xr * 0.05 AS x_min, x1 + xr * 0.05 AS x_max, y0 - yr * 0.05 AS y_min, y1 + yr * 0.05 AS y_max,
+             ((x1 + xr * 0.05) - (x0 - xr * 0.05)) / 10 AS w, ((y1 + yr * 0.05) - (y0 - yr * 0.05)) / 10 AS h
+      FROM b1),
+cells AS (SELECT nn.*, CAST(greatest(0, least(9, CAST(trunc((x - g.x_min) / g.w) AS BIGINT))) AS INTEGER) AS gx,
+                 CAST(greatest(0, least(9, CAST(trunc((y - g.y_min) / g.h) AS BIGINT))) AS INTEGER) AS gy
+          FROM nn, g),
+chunks AS (SELECT gx, gy, CAST(count(*) AS BIGINT) AS count FROM cells GROUP BY gx, gy),
+cb AS (SELECT c.gx, c.gy, c.count, g.x_min + c.gx * g.w AS cx_min, g.x_min + (c.gx + 1) * g.w AS cx_max,
+              g.y_min + c.gy * g.h AS cy_min, g.y_min + (c.gy + 1) * g.h AS cy_max FROM chunks c, g)"""
+
+ORACLE["grid_chunks"] = f"""
+WITH {GRID}
+SELECT CAST(gx AS VARCHAR) || '_' || CAST(gy AS VARCHAR) AS chunk,
+       'grid_x=' || CAST(gx AS VARCHAR) || '/grid_y=' || CAST(gy AS VARCHAR) AS file,
+       gx AS grid_x, gy AS grid_y, round(cx_min, 6) AS x_min, round(cx_max, 6) AS x_max,
+       round(cy_min, 6) AS y_min, round(cy_max, 6) AS y_max, count
+FROM cb
+"""
+
+ORACLE["chunk_manifest"] = f"""
+WITH {GRID}
+SELECT round(g.x_min, 6) AS x_min, round(g.x_max, 6) AS x_max, round(g.y_min, 6) AS y_min,
+       round(g.y_max, 6) AS y_max, 10 AS grid_size,
+       (SELECT CAST(count(*) AS BIGINT) FROM cells) AS total_points,
+       (SELECT CAST(count(DISTINCT cluster) AS INTEGER) FROM nn) AS num_clusters,
+       (SELECT CAST(count(*) AS INTEGER) FROM chunks) AS n_chunks,
+       (SELECT CAST(count(*) AS BIGINT) FROM nn) AS clustered_points
+FROM g
+"""
+
+ORACLE["viewport_filter"] = f"""
+WITH {GRID},
+v AS (SELECT CAST(gx AS VARCHAR) || '_' || CAST(gy AS VARCHAR) AS view,
+             cx_min - (cx_max - cx_min) * 0.5 AS fx_min, cx_max + (cx_max - cx_min) * 0.5 AS fx_max,
+             cy_min - (cy_max - cy_min) * 0.5 AS fy_min, cy_max + (cy_max - cy_min) * 0.5 AS fy_max FROM cb)
+SELECT v.view, c.id FROM v JOIN cells c
+  ON c.x BETWEEN v.fx_min AND v.fx_max AND c.y BETWEEN v.fy_min AND v.fy_max
+"""
+
+ORACLE["nearest_point"] = f"""
+WITH {GRID},
+c AS (SELECT cluster, avg(x) AS px, avg(y) AS py FROM nn GROUP BY cluster),
+probes AS (SELECT CAST(c.cluster AS BIGINT) * 10 + z.zi AS probe_id, c.px, c.py,
+                  10.0 / greatest(1.0, z.zoom) AS r
+           FROM c, (VALUES (0, 1.0), (1, 50.0), (2, 400.0)) z(zi, zoom)),
+d AS (SELECT p.probe_id, n.id, (n.x - p.px) * (n.x - p.px) + (n.y - p.py) * (n.y - p.py) AS d2, p.r
+      FROM probes p, nn n),
+best AS (SELECT probe_id, arg_min(id, (d2, id)) AS id, min(d2) AS d2 FROM d WHERE d2 < r * r GROUP BY probe_id)
+SELECT p.probe_id, b.id, round(b.d2, 6) AS d2 FROM probes p LEFT JOIN best b ON p.probe_id = b.probe_id
+"""
+
+VIEW = """fv AS (SELECT least(160 / ((x_max - x_min) * 1.15), 120 / ((y_max - y_min) * 1.15)) AS zoom,
+               (x_min + x_max) / 2 AS cx, (y_min + y_max) / 2 AS cy FROM g),
+vr AS (SELECT zoom, cx, cy, cx - 160 / 2 / zoom AS vx0, cx + 160 / 2 / zoom AS vx1,
+              cy - 120 / 2 / zoom AS vy0, cy + 120 / 2 / zoom AS vy1 FROM fv),
+rr AS (SELECT zoom, cx, cy, vx0 - (vx1 - vx0) * 0.5 AS rx0, vx1 + (vx1 - vx0) * 0.5 AS rx1,
+              vy0 - (vy1 - vy0) * 0.5 AS ry0, vy1 + (vy1 - vy0) * 0.5 AS ry1 FROM vr),
+ins AS (SELECT c.* FROM cells c, rr WHERE c.x BETWEEN rr.rx0 AND rr.rx1 AND c.y BETWEEN rr.ry0 AND rr.ry1)"""
+
+ORACLE["density_raster"] = f"""
+WITH {GRID}, {VIEW},
+px AS (SELECT CAST(floor((i.x - rr.rx0) * rr.zoom + 0.5) AS BIGINT) AS px,
+              CAST(floor((i.y - rr.ry0) * rr.zoom + 0.5) AS BIGINT) AS py, i.cluster FROM ins i, rr),
+c AS (SELECT px, py, cluster, CAST(count(*) AS BIGINT) AS n FROM px GROUP BY px, py, cluster)
+SELECT px, py, arg_max(cluster, (n, -cluster)) AS cluster, max(n) AS n FROM c GROUP BY px, py
+"""
+
+ORACLE["fit_view"] = f"""
+WITH {GRID}, {VIEW},
+n AS (SELECT CAST(count(*) AS BIGINT) AS n FROM ins)
+SELECT round(rr.zoom, 6) AS zoom, round(rr.cx, 6) AS center_x, round(rr.cy, 6) AS center_y, n.n AS n_visible,
+       CAST(greatest(1, least(14, floor(sqrt((rr.rx1 - rr.rx0) * (rr.ry1 - rr.ry0) / greatest(n.n, 1))
+                                        * rr.zoom * 0.22 + 0.5))) AS INTEGER) AS dot_px
+FROM rr, n
+"""
+
+WS = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _first4_clean(expr: str) -> str:
+    first4 = (f"array_to_string(list_slice(list_filter(regexp_split_to_array({expr}, '{WS}+'), "
+              f"lambda w: w <> ''), 1, 4), ' ')")
+    cleaned = f"replace(replace(replace({first4}, chr(10), ' '), '\"', ''), '*', '')"
+    return (f"array_to_string(list_filter(regexp_split_to_array({cleaned}, '{WS}+'), "
+            f"lambda w: w <> ''), ' ')")
+
+
+ORACLE["cluster_lookup"] = f"""
+WITH {GRID},
+names AS (SELECT cluster, {_first4_clean('t')} AS name FROM (
+            SELECT cluster, arg_max(title, (length(title), id)) AS t FROM nn GROUP BY cluster))
+SELECT p.id, p.cluster, coalesce(n.name, 'Unknown') AS name, 'item?id=' || CAST(p.id AS VARCHAR) AS link
+FROM pts p LEFT JOIN names n ON p.cluster = n.cluster
+"""
+
+PALETTE_VALUES = ", ".join(f"({i}, {_lit(c)})" for i, c in enumerate([
+    "#e6194B", "#3cb44b", "#ffe119", "#4363d8", "#f58231", "#911eb4", "#42d4f4", "#f032e6",
+    "#bfef45", "#fabed4", "#469990", "#dcbeff", "#9A6324", "#fffac8", "#800000", "#aaffc3",
+    "#808000", "#ffd8b1", "#000075", "#a9a9a9"]))
+
+ORACLE["palette"] = f"""
+WITH {GRID},
+ids AS (SELECT DISTINCT cluster AS id FROM nn),
+pos AS (SELECT id, CAST((row_number() OVER (ORDER BY id) - 1) % 20 AS INTEGER) AS color_index FROM ids),
+pal(i, color) AS (VALUES {PALETTE_VALUES})
+SELECT pos.id, pos.color_index, pal.color FROM pos JOIN pal ON pal.i = pos.color_index
+"""
+
+ORACLE["longest_title_label"] = f"""
+WITH d AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, lang FROM documents WHERE text IS NOT NULL)
+SELECT lang, {_first4_clean('t')} AS name, n AS count FROM (
+  SELECT lang, arg_max(title, (length(title), id)) AS t, CAST(count(*) AS BIGINT) AS n FROM d GROUP BY lang)
+"""
+
+# -- ingest ---------------------------------------------------------------------------
+
+ITEMS = """it AS (SELECT event_id AS id, CASE WHEN event_type = 'view' THEN 'story' ELSE event_type END AS type,
+              CAST(user_id AS VARCHAR) AS "by", epoch_us(ts) // 1000000 AS time, value, props FROM events)"""
+POST_COLS = """id, type, "by", time AS time_unix,
+       strftime(make_timestamp(time * 1000000), '%Y-%m-%dT%H:%M:%S') AS time_iso, '' AS title,
+       CAST(trunc(value) AS BIGINT) AS score, CAST(0 AS BIGINT) AS descendants, '' AS url,
+       coalesce(props, '') AS text"""
+
+ORACLE["stories_until_cutoff"] = f"""
+WITH {ITEMS},
+b AS (SELECT coalesce(max(id), -1) AS m FROM it WHERE time < 1705276800)
+SELECT {POST_COLS} FROM it, b WHERE it.id > b.m AND type = 'story'
+"""
+
+ORACLE["id_batches"] = """
+WITH s AS (SELECT max(event_id) AS m FROM events),
+ids AS (SELECT m, unnest(range(1, m + 1)) AS id FROM s)
+SELECT CAST((m - id) // 200 AS BIGINT) AS batch, max(id) AS batch_start, min(id) AS batch_end,
+       CAST(count(*) AS BIGINT) AS n_ids
+FROM ids GROUP BY 1
+"""
+
+ORACLE["dedupe_replayed"] = """
+SELECT DISTINCT doc_id AS id, lang, n_chars FROM documents
+"""
+
+ORACLE["post_csv_roundtrip"] = f"""
+SELECT id, title, score, "by", CAST(length(text) AS INTEGER) AS text_len FROM (
+  SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, n_chars AS score, source AS "by", text FROM documents)
+WHERE title IS NOT NULL AND title NOT IN ({NA_LIST})
+"""
+
+ORACLE["ingest_resume"] = f"""
+WITH {ITEMS}
+SELECT {POST_COLS} FROM it WHERE type = 'story'
+"""
