@@ -18,13 +18,15 @@ from linkloom.functions.vectors import l2_normalize
 from linkloom.operators import blocklist as bl
 from linkloom.operators import embed as em
 from linkloom.operators import ingest as ig
+from linkloom.operators import density as dn
 from linkloom.operators import keywords as kw
+from linkloom.operators import layout as lo
 from linkloom.operators import knn
 from linkloom.operators import naming as nm
 from linkloom.operators import profiles as pr
 from linkloom.operators import spatial as sp
 from linkloom.operators import vectors as vc
-from linkloom.session import scratch_dir
+from linkloom.session import materialize, scratch_dir
 from linkloom.sources import tables as tb
 from linkloom.streaming import ingest as st
 
@@ -181,6 +183,42 @@ def embed_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("id", F.size("embedding").alias("dims"), _r(l2_norm(F.col("embedding"))).alias("norm"))
 
 
+# -- reduction, graph layout, density clustering -----------------------------------
+
+def _pca(spark, sf_dir, k=lo.PCA_COMPONENTS):
+    return lo.pca(_emb(spark, sf_dir).select("vec_id", "embedding"), k, "embedding", "pca")
+
+
+def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, ratios = _pca(spark, sf_dir)
+    comps = _emb(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_rows"))
+    return comps.select(F.posexplode(F.array(*[F.lit(r) for r in ratios])).alias("component", "ratio"),
+                        "n_rows").select((F.col("component") + 1).alias("component"),
+                                         _r(F.col("ratio")).alias("explained_variance_ratio"), "n_rows")
+
+
+def fuzzy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, _ = _pca(spark, sf_dir)
+    g = lo.fuzzy_graph(p, lo.VIEW_NEIGHBORS, "vec_id", "pca", metric="cosine")
+    return g.select("a", "b", _r(F.col("w")).alias("w"))
+
+
+def layout_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, _ = _pca(spark, sf_dir)
+    p = materialize(p, "pca")
+    g = lo.fuzzy_graph(p, lo.VIEW_NEIGHBORS, "vec_id", "pca", metric="cosine")
+    out = lo.layout(p, g, "pca", lo.VIEW_DIMS, lo.VIEW_MIN_DIST, n_epochs=LAYOUT_EPOCHS, id_col="vec_id")
+    return out.select("vec_id", _r(F.col("x0")).alias("x"), _r(F.col("x1")).alias("y"))
+
+
+def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, _ = _pca(spark, sf_dir, lo.CLUSTER_DIMS)
+    return dn.density_clusters(p, dn.MIN_CLUSTER_SIZE, dn.MIN_SAMPLES, id_col="vec_id", vec_col="pca")
+
+
+LAYOUT_EPOCHS = 30
+
+
 # -- spatial --------------------------------------------------------------------
 
 CANVAS = (160, 120)          # canvas of the fixture view queries, pixels
@@ -359,6 +397,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_exact": knn_exact,
     "core_distance": core_distance,
     "embed_titles": embed_titles,
+    "pca_variance": pca_variance,
+    "fuzzy_edges": fuzzy_edges,
+    "layout_2d": layout_2d,
+    "density_clusters": density_clusters,
     "grid_chunks": grid_chunks,
     "chunk_manifest": chunk_manifest,
     "viewport_filter": viewport_filter,

@@ -62,12 +62,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/linkloom-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Cut lineage by writing a Parquet table to the shared scratch folder.
 
-    Survives executor loss (unlike ``localCheckpoint``) and lets iterative jobs
-    keep plans small.
+    Survives executor loss (unlike ``localCheckpoint``), keeps plans of
+    iterative jobs small, and -- unlike ``DataFrame.checkpoint()`` -- the
+    re-read table carries real size statistics, so join planning stays cheap
+    and broadcast decisions stay informed.
     """
+    spark = df.sparkSession
     path = scratch_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
