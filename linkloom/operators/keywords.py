@@ -89,7 +89,9 @@ def keyword_scores(posts: DataFrame, max_features: int = MAX_FEATURES,
                    stop_words: list[str] | None = None, id_col: str = "id",
                    title_col: str = "title") -> DataFrame:
     """AGG7: (term, tfidf) = sum over documents of the L2-normalised tf*idf."""
-    docs = keyword_docs(posts, id_col, title_col)
+    # cleaned titles are reused by three actions (count, vocabulary, scores):
+    # keep them (small next to the source rows) instead of rescanning
+    docs = keyword_docs(posts, id_col, title_col).persist(StorageLevel.MEMORY_AND_DISK)
     n_docs = docs.count()
     dt = doc_term_counts(docs, stop_words)
     stats = term_stats(dt).persist(StorageLevel.MEMORY_AND_DISK)

@@ -17,6 +17,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a *narrow* projection when the scan yields fewer partitions
+    than the cluster has cores (e.g. a single-row-group file), so per-row
+    regex work runs in parallel.  Large inputs already have enough splits and
+    are returned untouched -- no shuffle is added at scale."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def page_score(page_id: Column) -> Column:
     """Stand-in score of a page: (page_id * 37) mod 500."""
     return F.pmod(page_id * 37, F.lit(500)).cast("long")
@@ -31,8 +40,8 @@ def pages_as_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def documents_as_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titled posts: id = doc_id, title = first line of text, score = n_chars, cluster = lang."""
     d = read_table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("id"), first_line(F.col("text")).alias("title"),
-                    F.col("n_chars").alias("score"), F.col("lang"))
+    return spread(d.select(F.col("doc_id").alias("id"), first_line(F.col("text")).alias("title"),
+                           F.col("n_chars").alias("score"), F.col("lang")))
 
 
 def events_as_items(spark: SparkSession, sf_dir: str, story_type: str = "view") -> DataFrame:
