@@ -130,3 +130,27 @@ def ingest_meter(df: DataFrame, name: str = "ingest"):
     from pyspark.sql import Observation
     obs = Observation(name)
     return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
+
+
+def resume_bound(spark: SparkSession, sink: str) -> int | None:
+    """SRC5 batch form: the smallest id already in the post sink (harvest
+    continues strictly below it); None when the sink is empty or absent."""
+    try:
+        v = spark.read.parquet(sink).agg(F.min("id")).first()[0]
+    except Exception:  # noqa: BLE001 - no sink yet
+        return None
+    return None if v is None else int(v)
+
+
+def write_embedded(df: DataFrame, path: str, csv: bool = False, emb_col: str = "embedding") -> None:
+    """SRC10 / SRC11: embedded (or tagged) posts -> Parquet (overwrite, never a
+    half-appended file); ``csv=True`` exports with the vector as JSON text."""
+    if csv:
+        export_csv(df.withColumn(emb_col, F.to_json(F.col(emb_col))), path)
+    else:
+        df.write.mode("overwrite").parquet(path)
+
+
+def export_keywords(top: DataFrame, path: str) -> None:
+    """SRC12: the (k-row) keyword ranking as one CSV file with a header."""
+    export_csv(top.coalesce(1), path)
