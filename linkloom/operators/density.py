@@ -29,6 +29,9 @@ by their level threshold.
 
 from __future__ import annotations
 
+import os
+import time
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +39,7 @@ from linkloom.operators.graph import connected_components
 from linkloom.operators.knn import knn_exact
 from linkloom.session import ensure_checkpoint_dir, materialize
 
-import os
-import time
-
+# set LINKLOOM_PROFILE=1 to print the wall time of each phase
 _PROFILE = bool(os.environ.get("LINKLOOM_PROFILE"))
 _T0 = [time.time()]
 

@@ -3,12 +3,12 @@
 Exact method (``knn_exact``)
 ----------------------------
 Rows are hashed into ``B`` blocks of about ``block_rows`` rows.  Every
-(query block, candidate block) pair is one cogroup task that multiplies the two
-blocks (Arrow -> numpy) and emits only the best ``k`` candidates per query row,
-so no task ever sees more than two blocks and the output is ``k x B`` rows per
-query, merged by a row_number <= k window (Spark pushes a partial
-WindowGroupLimit below that shuffle).  Work is O(n^2 d) as exact kNN must be;
-shuffle volume is O(n B).
+unordered block pair (i <= j) is one cogroup task that multiplies the two
+blocks once (Arrow -> numpy) and emits only the best ``k`` candidates per row
+in both directions, so no task ever sees more than two blocks and the output
+is ``k x B`` rows per point, merged by a row_number <= k window (Spark pushes a
+partial WindowGroupLimit below that shuffle).  Work is O(n^2 d / 2) as exact
+kNN must be; every row is shipped to B tasks (shuffle volume O(n B)).
 
 Similarity: ``cosine`` (dot of the given vectors -- callers pass unit vectors),
 ``dot``, or ``euclidean`` (score = -distance).  Ties: higher score, then lower
@@ -32,56 +32,74 @@ KNN_SCHEMA = T.StructType([
 ])
 
 
-def _block_topk(metric: str, k: int, exclude_self: bool):
-    def fn(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "nbr": pd.Series([], dtype="int64"),
-                                 "score": pd.Series([], dtype="float64")})
-        qi = q["id"].to_numpy(np.int64)
-        ci = c["id"].to_numpy(np.int64)
-        qv = np.stack(q["v"].to_numpy()).astype(np.float64)
-        cv = np.stack(c["v"].to_numpy()).astype(np.float64)
-        if metric == "euclidean":
-            d2 = (qv * qv).sum(1)[:, None] + (cv * cv).sum(1)[None, :] - 2.0 * (qv @ cv.T)
-            s = -np.sqrt(np.maximum(d2, 0.0))
-        else:
-            s = qv @ cv.T
-        if exclude_self:
-            s = np.where(qi[:, None] == ci[None, :], -np.inf, s)
-        kk = min(k, s.shape[1])
-        # candidates: every score >= the kk-th largest of its row (ties kept),
-        # then the best kk per row by (score desc, id asc)
-        thr = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
-        rows, cols = np.nonzero((s >= thr[:, None]) & np.isfinite(s))
-        sc = s[rows, cols]
-        order = np.lexsort((ci[cols], -sc, rows))
-        rows, cols = rows[order], cols[order]
-        first = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
-        pos = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
-        keep = pos < kk
-        rows, cols = rows[keep], cols[keep]
-        if metric == "euclidean":
-            # exact re-computation of the kept distances
-            diff = qv[rows] - cv[cols]
-            sc = -np.sqrt((diff * diff).sum(1))
-        else:
-            sc = (qv[rows] * cv[cols]).sum(1)
-        return pd.DataFrame({"id": qi[rows], "nbr": ci[cols], "score": sc})
+def _topk(qi, qv, ci, cv, metric: str, k: int, exclude_self: bool):
+    """Best ``k`` candidates of block ``c`` for every row of block ``q``."""
+    if metric == "euclidean":
+        d2 = (qv * qv).sum(1)[:, None] + (cv * cv).sum(1)[None, :] - 2.0 * (qv @ cv.T)
+        s = -np.sqrt(np.maximum(d2, 0.0))
+    else:
+        s = qv @ cv.T
+    if exclude_self:
+        s = np.where(qi[:, None] == ci[None, :], -np.inf, s)
+    kk = min(k, s.shape[1])
+    # candidates: every score >= the kk-th largest of its row (ties kept),
+    # then the best kk per row by (score desc, id asc)
+    thr = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
+    rows, cols = np.nonzero((s >= thr[:, None]) & np.isfinite(s))
+    sc = s[rows, cols]
+    order = np.lexsort((ci[cols], -sc, rows))
+    rows, cols = rows[order], cols[order]
+    first = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
+    pos = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
+    keep = pos < kk
+    rows, cols = rows[keep], cols[keep]
+    if metric == "euclidean":  # exact re-computation of the kept distances
+        diff = qv[rows] - cv[cols]
+        sc = -np.sqrt((diff * diff).sum(1))
+    else:
+        sc = (qv[rows] * cv[cols]).sum(1)
+    return pd.DataFrame({"id": qi[rows], "nbr": ci[cols], "score": sc})
+
+
+def _pair_topk(metric: str, k: int, exclude_self: bool):
+    """Cogroup function for one unordered block pair (i <= j): the left side is
+    block i, the right side block j (empty when i == j)."""
+    empty = pd.DataFrame({"id": pd.Series([], dtype="int64"), "nbr": pd.Series([], dtype="int64"),
+                          "score": pd.Series([], dtype="float64")})
+
+    def fn(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty:
+            return empty
+        li = left["id"].to_numpy(np.int64)
+        lv = np.stack(left["v"].to_numpy()).astype(np.float64)
+        if right.empty:  # diagonal pair: the block against itself
+            return _topk(li, lv, li, lv, metric, k, exclude_self)
+        ri = right["id"].to_numpy(np.int64)
+        rv = np.stack(right["v"].to_numpy()).astype(np.float64)
+        return pd.concat([_topk(li, lv, ri, rv, metric, k, exclude_self),
+                          _topk(ri, rv, li, lv, metric, k, exclude_self)], ignore_index=True)
     return fn
 
 
 def knn_exact(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "v", metric: str = "cosine",
               block_rows: int = 4096, exclude_self: bool = True) -> DataFrame:
-    """Exact kNN: (id, rank, nbr, score) with rank 1..k."""
+    """Exact kNN: (id, rank, nbr, score) with rank 1..k.
+
+    Each unordered block pair (i <= j) is one cogroup task that serves both
+    directions, so every row is shipped to exactly B tasks and every pair of
+    rows is scored once.
+    """
     pts = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     n = pts.count()
     nb = max(1, math.ceil(n / block_rows))
-    blk = F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int")
-    allb = F.sequence(F.lit(0), F.lit(nb - 1))
-    q = pts.withColumn("qb", blk).withColumn("cb", F.explode(allb))
-    c = pts.withColumn("cb", blk).withColumn("qb", F.explode(allb))
-    cand = (q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
-            .applyInPandas(_block_topk(metric, k, exclude_self), KNN_SCHEMA))
+    pts = pts.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int"))
+    left = pts.select("id", "v", F.col("blk").alias("qb"),
+                      F.explode(F.sequence(F.col("blk"), F.lit(nb - 1))).alias("cb"))
+    right = (pts.filter(F.col("blk") > 0)
+             .select("id", "v", F.explode(F.sequence(F.lit(0), F.col("blk") - 1)).alias("qb"),
+                     F.col("blk").alias("cb")))
+    cand = (left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb"))
+            .applyInPandas(_pair_topk(metric, k, exclude_self), KNN_SCHEMA))
     w = Window.partitionBy("id").orderBy(F.col("score").desc(), F.col("nbr").asc())
     return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("id", F.col("rank").cast("int").alias("rank"), "nbr", "score"))
