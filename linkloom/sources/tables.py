@@ -22,8 +22,12 @@ def spread(df: DataFrame) -> DataFrame:
     than the cluster has cores (e.g. a single-row-group file), so per-row
     regex work runs in parallel.  Large inputs already have enough splits and
     are returned untouched -- no shuffle is added at scale."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave as is
+        return df
+    return df.repartition(target) if parts < target else df
 
 
 def page_score(page_id: Column) -> Column:
