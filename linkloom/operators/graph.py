@@ -69,3 +69,41 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
         if changed == 0:
             break
     return lab
+
+
+def minimum_spanning_forest(edges: DataFrame, src: str = "a", dst: str = "b", weight: str = "w",
+                            max_rounds: int = 64) -> DataFrame:
+    """Borůvka minimum spanning forest (ML8): (a, b, w) edges of the forest.
+
+    Each round every component picks its lightest outgoing edge under the
+    total order (w, min end, max end) -- so ties cannot form cycles -- the
+    picked edges join the forest, and components are merged with
+    ``connected_components`` on the component graph.  At most log2(n) rounds;
+    each round's state is written to the shared checkpoint folder.
+    """
+    e = edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b"),
+                     F.col(weight).cast("double").alias("w")).filter(F.col("a") != F.col("b"))
+    e = materialize(e.groupBy("a", "b").agg(F.min("w").alias("w")), "msf-edges")
+    comp = materialize(e.select(F.col("a").alias("v")).union(e.select(F.col("b").alias("v"))).distinct()
+                       .withColumn("comp", F.col("v")), "msf-comp")
+    forest = None
+    for _ in range(max_rounds):
+        ca = comp.select(F.col("v").alias("a"), F.col("comp").alias("ca"))
+        cb = comp.select(F.col("v").alias("b"), F.col("comp").alias("cb"))
+        x = e.join(ca, "a").join(cb, "b").filter(F.col("ca") != F.col("cb"))
+        key = F.struct("w", "a", "b")
+        both = x.select(F.col("ca").alias("c"), key.alias("k")).unionByName(
+            x.select(F.col("cb").alias("c"), key.alias("k")))
+        picked = materialize(both.groupBy("c").agg(F.min("k").alias("k"))
+                             .select("k.a", "k.b", "k.w").distinct(), "msf-picked")
+        if picked.limit(1).count() == 0:
+            break
+        forest = picked if forest is None else materialize(forest.unionByName(picked), "msf-forest")
+        # merge components along the picked edges (on component ids)
+        pc = (picked.join(ca, "a").join(cb, "b").select(F.col("ca").alias("src"), F.col("cb").alias("dst")))
+        merged = connected_components(pc).select(F.col("v").alias("comp"), F.col("comp").alias("new"))
+        comp = materialize(comp.join(merged, "comp", "left")
+                           .select("v", F.coalesce("new", "comp").alias("comp")), "msf-comp")
+    if forest is None:
+        return e.limit(0)
+    return forest
