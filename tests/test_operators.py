@@ -263,3 +263,20 @@ def test_density_clusters_via_spanning_forest(spark, blobs):
     lab = dict((r["id"], r["cluster"]) for r in density_clusters(df, 20, 5, spanning_forest=True).collect())
     pred = [lab[i] for i in range(len(truth))]
     assert _ari(truth[:240], pred[:240]) >= 0.95
+
+
+def test_viewer_helpers(spark):
+    df = spark.range(1000).withColumn("x", F.col("id") * 1.0)
+    capped = sp.visible_cap(df, 100)
+    ids = [r["id"] for r in capped.collect()]
+    assert len(ids) == 100 and ids == [r["id"] for r in sp.visible_cap(df.repartition(5), 100).collect()]
+    rect = spark.createDataFrame([(1.0, 2.0, 1.0, 2.0), (0.0, 5.0, 1.0, 2.0)], "a double, b double, c double, d double")
+    got = [r[0] for r in rect.select(sp.rect_contains({"x_min": 0.5, "x_max": 2.0, "y_min": 1.0, "y_max": 3.0},
+                                                      [F.col("a"), F.col("b"), F.col("c"), F.col("d")])).collect()]
+    assert got == [True, False]
+    clusters = spark.createDataFrame([(i, f"c{i}", 1) for i in [7, 3, 40] + list(range(100, 120))],
+                                     "id int, name string, count long")
+    pal = {r["id"]: (r["color_index"], r["color"]) for r in sp.palette(clusters).collect()}
+    assert pal[3] == (0, sp.PALETTE[0]) and pal[7] == (1, sp.PALETTE[1]) and pal[119] == (22 % 20, sp.PALETTE[2])
+    v = sp.fit_view({"x_min": 0.0, "x_max": 10.0, "y_min": 0.0, "y_max": 5.0}, 1150, 1150)
+    assert abs(v["zoom"] - 100.0) < 1e-9 and (v["cx"], v["cy"]) == (5.0, 2.5)
