@@ -67,6 +67,12 @@ def blocklist_score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
                       _r(F.col("median")).alias("median"), _r(F.col("q3")).alias("q3"), "max")
 
 
+def blocklist_post_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bl.blocklist_from_values(spark, FIXTURE_BLOCKLIST)
+    out = bl.flag_posts(tb.pages_as_posts(spark, sf_dir), b)
+    return out.select("id", "host", "blacklisted")
+
+
 # -- score / time profiles --------------------------------------------------
 
 def event_value_five_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,6 +172,11 @@ def zscore_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.select("dim", _r(F.col("mean")).alias("mean"), _r(F.col("std")).alias("std"))
 
 
+def zscore_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = vc.zscore(_emb(spark, sf_dir).select("vec_id", "embedding"), "embedding", "z")
+    return vc.long_form(z.select("vec_id", "z"), ["vec_id"], "z").select("vec_id", "dim", _r(F.col("x")).alias("z"))
+
+
 def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     nn = knn.knn_exact(_emb(spark, sf_dir), KNN_K, "vec_id", "embedding", metric="cosine")
     return nn.select("id", "rank", "nbr", _r(F.col("score")).alias("score"))
@@ -310,6 +321,10 @@ def cluster_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.cluster_lookup(pts, names)
 
 
+def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dn.cluster_summary(_points(spark, sf_dir).select("id", "cluster"))
+
+
 def palette(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = _points(spark, sf_dir)
     return sp.palette(sp.cluster_table(pts))
@@ -379,6 +394,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "domain_label_top50": domain_label_top50,
     "blocklist_flag_counts": blocklist_flag_counts,
     "blocklist_score_summary": blocklist_score_summary,
+    "blocklist_post_flags": blocklist_post_flags,
     "event_value_five_numbers": event_value_five_numbers,
     "time_cells": time_cells,
     "time_pivot_high": time_pivot_high,
@@ -394,6 +410,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tag_ranking": tag_ranking,
     "label_centroids": label_centroids,
     "zscore_dims": zscore_dims,
+    "zscore_vectors": zscore_vectors,
     "knn_exact": knn_exact,
     "core_distance": core_distance,
     "embed_titles": embed_titles,
@@ -409,6 +426,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fit_view": fit_view,
     "cluster_lookup": cluster_lookup,
     "palette": palette,
+    "cluster_sizes": cluster_sizes,
     "title_sample": title_sample,
     "longest_title_label": longest_title_label,
     "stories_until_cutoff": stories_until_cutoff,

@@ -407,3 +407,27 @@ ORACLE["ingest_resume"] = f"""
 WITH {ITEMS}
 SELECT {POST_COLS} FROM it WHERE type = 'story'
 """
+
+ORACLE["blocklist_post_flags"] = f"""
+WITH p AS ({PAGES_POSTS}),
+n AS (SELECT id, url, {NET_EXPR} AS net FROM p),
+h AS (SELECT id, {HOST_EXPR} AS host FROM n),
+bl(domain) AS (VALUES {BLOCK_VALUES})
+SELECT id, host,
+       EXISTS (SELECT 1 FROM bl WHERE h.host = bl.domain OR ends_with(h.host, '.' || bl.domain)) AS blacklisted
+FROM h
+"""
+
+ORACLE["zscore_vectors"] = f"""
+WITH {EMB},
+u AS (SELECT vec_id, unnest(range(1, len(v) + 1)) AS dim, unnest(v) AS x FROM e),
+s AS (SELECT dim, avg(x) AS m, stddev_pop(x) AS sd FROM u GROUP BY dim)
+SELECT u.vec_id, CAST(u.dim AS INTEGER) AS dim,
+       round((u.x - s.m) / CASE WHEN s.sd = 0 THEN 1.0 ELSE s.sd END, 6) AS z
+FROM u JOIN s ON u.dim = s.dim
+"""
+
+ORACLE["cluster_sizes"] = """
+SELECT CAST(CASE WHEN label = 0 THEN -1 ELSE label END AS INTEGER) AS cluster, CAST(count(*) AS BIGINT) AS count
+FROM embeddings GROUP BY 1
+"""
