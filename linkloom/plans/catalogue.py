@@ -48,6 +48,10 @@ def host_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pr.host_ranking(tb.pages_as_posts(spark, sf_dir), bar=0, k=50)
 
 
+def host_top50_high_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pr.host_ranking(tb.pages_as_posts(spark, sf_dir), bar=pr.HIGH_SCORE_BAR, k=50)
+
+
 def domain_label_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pr.domain_ranking(tb.pages_as_posts(spark, sf_dir), bar=0, k=50)
 
@@ -389,8 +393,26 @@ def ingest_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(sink)
 
 
+def stream_time_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR4: weekday x hour x class counts maintained as streaming state over
+    landed items; written in complete mode to a memory sink so the final state
+    can be read back (an upsert sink would use update mode)."""
+    items = tb.events_as_items(spark, sf_dir).select(
+        "id", "type", "by", "time", "title", F.col("score_value").cast("long").alias("score"), "descendants",
+        "url", "text")
+    landing = scratch_dir(spark, "cells-landing")
+    items.repartition(3, "id").write.mode("append").json(landing)
+    posts = tb.post_from_item(st.item_stream(spark, landing, max_files_per_trigger=1))
+    name = "cells_" + landing.rsplit("-", 1)[-1]
+    q = (st.time_cell_counts_stream(posts).writeStream.format("memory").queryName(name)
+         .outputMode("complete").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.table(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "host_top50": host_top50,
+    "host_top50_high_score": host_top50_high_score,
     "domain_label_top50": domain_label_top50,
     "blocklist_flag_counts": blocklist_flag_counts,
     "blocklist_score_summary": blocklist_score_summary,
@@ -434,4 +456,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dedupe_replayed": dedupe_replayed,
     "post_csv_roundtrip": post_csv_roundtrip,
     "ingest_resume": ingest_resume,
+    "stream_time_cells": stream_time_cells,
 }

@@ -431,3 +431,20 @@ ORACLE["cluster_sizes"] = """
 SELECT CAST(CASE WHEN label = 0 THEN -1 ELSE label END AS INTEGER) AS cluster, CAST(count(*) AS BIGINT) AS count
 FROM embeddings GROUP BY 1
 """
+
+ORACLE["host_top50_high_score"] = f"""
+WITH p AS ({PAGES_POSTS}),
+n AS (SELECT url, {NET_EXPR} AS net FROM p
+      WHERE url IS NOT NULL AND url NOT IN ({NA_LIST}) AND score IS NOT NULL AND score >= 200),
+h AS (SELECT {HOST_EXPR} AS domain FROM n)
+SELECT domain, CAST(count(*) AS BIGINT) AS high_score_posts FROM h
+GROUP BY domain ORDER BY high_score_posts DESC, domain NULLS FIRST LIMIT 50
+"""
+
+ORACLE["stream_time_cells"] = f"""
+WITH {ITEMS}
+SELECT CAST(isodow(make_timestamp(time * 1000000)) - 1 AS INTEGER) AS weekday,
+       CAST(hour(make_timestamp(time * 1000000)) AS INTEGER) AS hour,
+       CAST(trunc(value) >= 200 AS INTEGER) AS high_score, CAST(count(*) AS BIGINT) AS count
+FROM it GROUP BY 1, 2, 3
+"""
