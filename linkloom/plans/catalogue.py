@@ -186,6 +186,13 @@ def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn.select("id", "rank", "nbr", _r(F.col("score")).alias("score"))
 
 
+def knn_cells_euclidean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cell-pruned exact kNN path (for large n) on the same vectors."""
+    nn = knn.knn_cells(_emb(spark, sf_dir), KNN_K, "vec_id", "embedding", metric="euclidean",
+                       cell_rows=128, block_rows=128)
+    return nn.select("id", "rank", "nbr", _r(-F.col("score")).alias("dist"))
+
+
 def core_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     cd = knn.core_distances(_emb(spark, sf_dir), MIN_SAMPLES, "vec_id", "embedding")
     return cd.select("id", _r(F.col("core_dist")).alias("core_dist"))
@@ -434,6 +441,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "zscore_dims": zscore_dims,
     "zscore_vectors": zscore_vectors,
     "knn_exact": knn_exact,
+    "knn_cells_euclidean": knn_cells_euclidean,
     "core_distance": core_distance,
     "embed_titles": embed_titles,
     "pca_variance": pca_variance,

@@ -448,3 +448,11 @@ SELECT CAST(isodow(make_timestamp(time * 1000000)) - 1 AS INTEGER) AS weekday,
        CAST(trunc(value) >= 200 AS INTEGER) AS high_score, CAST(count(*) AS BIGINT) AS count
 FROM it GROUP BY 1, 2, 3
 """
+
+ORACLE["knn_cells_euclidean"] = f"""
+WITH {EMB},
+d AS (SELECT a.vec_id AS id, b.vec_id AS nbr, list_distance(a.v, b.v) AS dist
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+r AS (SELECT id, nbr, dist, row_number() OVER (PARTITION BY id ORDER BY dist, nbr) AS rank FROM d)
+SELECT id, CAST(rank AS INTEGER) AS rank, nbr, round(dist, 6) AS dist FROM r WHERE rank <= 5
+"""

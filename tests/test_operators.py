@@ -280,3 +280,19 @@ def test_viewer_helpers(spark):
     assert pal[3] == (0, sp.PALETTE[0]) and pal[7] == (1, sp.PALETTE[1]) and pal[119] == (22 % 20, sp.PALETTE[2])
     v = sp.fit_view({"x_min": 0.0, "x_max": 10.0, "y_min": 0.0, "y_max": 5.0}, 1150, 1150)
     assert abs(v["zoom"] - 100.0) < 1e-9 and (v["cx"], v["cy"]) == (5.0, 2.5)
+
+
+def test_knn_cells_exact_against_brute_force(spark):
+    from linkloom.operators.knn import knn_cells
+    rng = np.random.default_rng(2)
+    cent = rng.normal(size=(5, 6)) * 6
+    X = np.vstack([rng.normal(c, 1.0, size=(40, 6)) for c in cent] + [rng.normal(size=(20, 6)) * 6])
+    n = len(X)
+    df = spark.createDataFrame([(i, [float(v) for v in X[i]]) for i in range(n)], "id long, v array<double>")
+    res = {}
+    for r in knn_cells(df, 4, cell_rows=40, block_rows=15).collect():
+        res.setdefault(r["id"], []).append((r["rank"], r["nbr"]))
+    D = ((X[:, None, :] - X[None, :, :]) ** 2).sum(-1)
+    np.fill_diagonal(D, np.inf)
+    for i in range(n):
+        assert [b for _, b in sorted(res[i])] == list(np.lexsort((np.arange(n), D[i]))[:4])
