@@ -171,22 +171,38 @@ def knn_cells(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "v", met
     ub = (ids.join(dk, "id", "left")
           .select("cell", F.when(F.col("m") >= k, F.col("dk")).otherwise(F.lit(float("inf"))).alias("dk"))
           .groupBy("cell").agg(F.max("dk").alias("UB")))
-    # phase 2: cell pairs that may hold closer points (small: one row per centre)
-    cells = cdf.join(sizes, "cell").join(ub, "cell")
-    crows = [(int(r["cell"]), np.array(r["c"]), float(r["R"]), float(r["UB"])) for r in cells.collect()]
-    pairs = []
-    if crows:
-        cid = np.array([c[0] for c in crows])
-        cm = np.stack([c[1] for c in crows])
-        rad = np.array([c[2] for c in crows])
-        ubs = np.array([c[3] for c in crows])
-        for s0 in range(0, len(cid), 1024):  # chunked: never a full C x C matrix
-            d = np.sqrt(np.maximum(((cm[s0:s0 + 1024, None, :] - cm[None, :, :]) ** 2).sum(-1), 0.0))
-            lb = d - rad[s0:s0 + 1024, None] - rad[None, :]
-            qi, cj = np.nonzero(lb <= ubs[s0:s0 + 1024, None])
-            pairs += [(int(cid[s0 + a]), int(cid[b])) for a, b in zip(qi, cj) if cid[s0 + a] != cid[b]]
+    # phase 2: cell pairs that may hold closer points, found by block pairs over
+    # the centre table (one row per cell) on the executors
+    cells = cdf.join(sizes, "cell").join(ub, "cell").select("cell", "c", "R", "UB")
+    nbc = max(1, math.ceil(n_cells / block_rows))
+    cells = materialize(cells.withColumn("blk", F.pmod(F.xxhash64("cell"), F.lit(nbc)).cast("int")),
+                        "knn-centres")
+    cells2 = df.sparkSession.read.parquet(*cells.inputFiles())  # second side with fresh attribute ids
+    cl = cells.select("cell", "c", "R", "UB", F.col("blk").alias("qb"),
+                      F.explode(F.sequence(F.col("blk"), F.lit(nbc - 1))).alias("cb"))
+    cr = cells2.filter(F.col("blk") > 0).select("cell", "c", "R", "UB",
+                                               F.explode(F.sequence(F.lit(0), F.col("blk") - 1)).alias("qb"),
+                                               F.col("blk").alias("cb"))
+
+    def cell_pairs(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if a.empty:
+            return pd.DataFrame({"qcell": pd.Series([], dtype="int32"), "ccell": pd.Series([], dtype="int32")})
+        sides = [(a, a)] if b.empty else [(a, b), (b, a)]
+        for x, y in sides:
+            xc, yc = np.stack(x["c"].to_numpy()), np.stack(y["c"].to_numpy())
+            d = np.sqrt(np.maximum(((xc[:, None, :] - yc[None, :, :]) ** 2).sum(-1), 0.0))
+            lb = d - x["R"].to_numpy()[:, None] - y["R"].to_numpy()[None, :]
+            qi, cj = np.nonzero(lb <= x["UB"].to_numpy()[:, None])
+            xi, yi = x["cell"].to_numpy()[qi], y["cell"].to_numpy()[cj]
+            keep = xi != yi
+            out.append(pd.DataFrame({"qcell": xi[keep].astype("int32"), "ccell": yi[keep].astype("int32")}))
+        return pd.concat(out, ignore_index=True)
+
+    pdf = materialize(cl.groupBy("qb", "cb").cogroup(cr.groupBy("qb", "cb"))
+                      .applyInPandas(cell_pairs, "qcell int, ccell int"), "knn-cell-pairs")
+    pairs = pdf.limit(1).count() > 0
     if pairs:
-        pdf = df.sparkSession.createDataFrame(pairs, "qcell int, ccell int")
         fresh = lambda: df.sparkSession.read.parquet(*assigned.inputFiles())  # noqa: E731 - new attribute ids
         q = fresh().join(pdf.withColumnRenamed("qcell", "cell"), "cell").select(
             "id", "v", F.col("cell").alias("qcell"), "ccell", F.col("sub").alias("qs"))
