@@ -62,11 +62,6 @@ def na_to_null(c: Column) -> Column:
     return F.when(c.isin(NA_TOKENS), F.lit(None).cast("string")).otherwise(c)
 
 
-def first_line(text: Column) -> Column:
-    """First line of a text (titles of the document fixture)."""
-    return F.substring_index(text, "\n", 1)
-
-
 def clean_title(title: Column) -> Column:
     """SCL6: lower, strip the boilerplate patterns in order, keep [a-z0-9] and
     whitespace, collapse whitespace runs, trim.

@@ -6,9 +6,10 @@
 partitions; nothing passes through the driver.
 
 The default model is offline and deterministic: signed feature hashing of
-word tokens (at most ``max_tokens`` per text) into ``dim`` buckets, masked
-mean pooling and L2 normalisation -- the same pooling contract a transformer
-encoder is used with.
+word tokens into ``dim`` buckets, masked mean pooling and L2 normalisation --
+the same pooling contract a transformer encoder is used with.  It reads every
+token of a text; ``max_tokens`` exists only to mimic a model's context limit
+when a caller asks for it.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import types as T
 from linkloom.functions.text import text_or_empty
 
 BATCH_SIZE = 128
-MAX_TOKENS = 512
-TAG_MAX_TOKENS = 128
+MAX_TOKENS = 512       # context limit of the analyses' text model (opt-in here)
+TAG_MAX_TOKENS = 128   # context limit used for tag texts (opt-in here)
 DEFAULT_DIM = 64
 
 _WORD = re.compile(r"\w+", re.UNICODE)
@@ -37,7 +38,7 @@ _MODELS: dict = {}
 class HashingEncoder:
     """Signed feature-hashing encoder: text -> unit vector of size ``dim``."""
 
-    def __init__(self, dim: int = DEFAULT_DIM, max_tokens: int = MAX_TOKENS, seed: int = 0):
+    def __init__(self, dim: int = DEFAULT_DIM, max_tokens: int | None = None, seed: int = 0):
         self.dim, self.max_tokens, self.seed = dim, max_tokens, seed
 
     def encode(self, texts: list[str]) -> np.ndarray:

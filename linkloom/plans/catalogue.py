@@ -378,7 +378,7 @@ def post_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = tb.read_table(spark, sf_dir, "documents")
     posts = d.select(F.col("doc_id").alias("id"), F.lit("story").alias("type"), F.col("source").alias("by"),
                      F.lit(None).cast("long").alias("time_unix"), F.lit(None).cast("string").alias("time_iso"),
-                     tb.first_line(F.col("text")).alias("title"), F.col("n_chars").alias("score"),
+                     F.col("text").alias("title"), F.col("n_chars").alias("score"),
                      F.lit(0).cast("long").alias("descendants"), F.lit("").alias("url"), F.col("text"))
     path = scratch_dir(spark, "posts-csv")
     ig.export_csv(posts, path)

@@ -37,7 +37,7 @@ CLEAN_EXPR = r"""trim(regexp_replace(regexp_replace(
 
 DOCS = f"""docs AS (
   SELECT id, {CLEAN_EXPR} AS clean_title FROM (
-    SELECT doc_id AS id, split_part(text, chr(10), 1) AS title FROM documents) t
+    SELECT doc_id AS id, text AS title FROM documents) t
   WHERE title IS NOT NULL AND title NOT IN ({NA_LIST}))"""
 
 TOKS = f"""toks AS (
@@ -156,7 +156,7 @@ ORACLE["time_pivot_other"] = _pivot("value < 200")
 
 ORACLE["clean_titles"] = f"""
 SELECT id, title, {CLEAN_EXPR} AS clean_title FROM (
-  SELECT doc_id AS id, split_part(text, chr(10), 1) AS title FROM documents) t
+  SELECT doc_id AS id, text AS title FROM documents) t
 WHERE title IS NOT NULL AND title NOT IN ({NA_LIST})
 """
 
@@ -365,7 +365,7 @@ SELECT pos.id, pos.color_index, pal.color FROM pos JOIN pal ON pal.i = pos.color
 """
 
 ORACLE["longest_title_label"] = f"""
-WITH d AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, lang FROM documents WHERE text IS NOT NULL)
+WITH d AS (SELECT doc_id AS id, text AS title, lang FROM documents WHERE text IS NOT NULL)
 SELECT lang, {_first4_clean('t')} AS name, n AS count FROM (
   SELECT lang, arg_max(title, (length(title), id)) AS t, CAST(count(*) AS BIGINT) AS n FROM d GROUP BY lang)
 """
@@ -399,7 +399,7 @@ SELECT DISTINCT doc_id AS id, lang, n_chars FROM documents
 
 ORACLE["post_csv_roundtrip"] = f"""
 SELECT id, title, score, "by", CAST(length(text) AS INTEGER) AS text_len FROM (
-  SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, n_chars AS score, source AS "by", text FROM documents)
+  SELECT doc_id AS id, text AS title, n_chars AS score, source AS "by", text FROM documents)
 WHERE title IS NOT NULL AND title NOT IN ({NA_LIST})
 """
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.functions.text import first_line
 from linkloom.functions.timefn import epoch_to_iso, utc_to_epoch
 
 
@@ -42,9 +41,9 @@ def pages_as_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents_as_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titled posts: id = doc_id, title = first line of text, score = n_chars, cluster = lang."""
+    """Titled posts: id = doc_id, title = the whole text, score = n_chars, cluster = lang."""
     d = read_table(spark, sf_dir, "documents")
-    return spread(d.select(F.col("doc_id").alias("id"), first_line(F.col("text")).alias("title"),
+    return spread(d.select(F.col("doc_id").alias("id"), F.col("text").alias("title"),
                            F.col("n_chars").alias("score"), F.col("lang")))
 
 
