@@ -56,6 +56,13 @@ def group_centroids(df: DataFrame, group_col: str, vec_col: str = "embedding") -
     return means.select(group_col, "dim", (F.col("m") / F.greatest(norm, F.lit(1e-12))).alias("x"))
 
 
+def wide_form(long: DataFrame, key_col: str, out_col: str = "embedding") -> DataFrame:
+    """(key, dim, x) long form -> (key, vector) with dims in order; one group per
+    key holds ``d`` entries (the model dimension), never a row count."""
+    return long.groupBy(key_col).agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("_p")).select(
+        key_col, F.transform("_p", lambda e: e["x"]).alias(out_col))
+
+
 def zscore_stats(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
     """AGG14: per-dimension mean and population std; ``scale`` = std or 1 when 0."""
     lf = long_form(df, [], vec_col)

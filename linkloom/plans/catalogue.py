@@ -136,7 +136,6 @@ def keyword_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- vectors ------------------------------------------------------------------
 
-TAG_PROTOTYPE_IDS = (0, 19)  # fixture: prototypes are embeddings with vec_id 0..19
 KNN_K = 5
 MIN_SAMPLES = 5
 
@@ -151,9 +150,12 @@ def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tagged(spark, sf_dir):
+    """Every vector tagged with its nearest prototype; the prototypes are the unit
+    centroids of the fixture labels, derived from the whole table (one per label,
+    size-checked before the broadcast)."""
     e = _emb(spark, sf_dir)
-    lo, hi = TAG_PROTOTYPE_IDS
-    protos = e.filter(F.col("vec_id").between(lo, hi)).select(F.col("vec_id").alias("tag_idx"), "embedding")
+    protos = vc.wide_form(vc.group_centroids(e, "label", "embedding"), "label").select(
+        F.col("label").cast("long").alias("tag_idx"), "embedding")
     t = vc.assign_labels(e.select("vec_id", "embedding"), protos, "embedding", "tag_idx")
     return t.withColumn("tag", F.concat(F.lit("tag_"), F.col("tag_idx").cast("string")))
 

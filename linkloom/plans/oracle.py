@@ -201,7 +201,10 @@ FROM n
 """
 
 TAGS = f"""{EMB},
-p AS (SELECT vec_id AS tag_idx, v AS pv FROM e WHERE vec_id BETWEEN 0 AND 19),
+cu AS (SELECT label, unnest(range(1, len(v) + 1)) AS dim, unnest(v) AS x FROM e),
+cm AS (SELECT label, dim, avg(x) AS m FROM cu GROUP BY label, dim),
+cn AS (SELECT label, dim, m / greatest(sqrt(sum(m * m) OVER (PARTITION BY label)), 1e-12) AS x FROM cm),
+p AS (SELECT CAST(label AS BIGINT) AS tag_idx, list(x ORDER BY dim) AS pv FROM cn GROUP BY label),
 s AS (SELECT e.vec_id, p.tag_idx, list_dot_product(e.v, p.pv) AS sim FROM e, p),
 b AS (SELECT vec_id, arg_max(tag_idx, (sim, -tag_idx)) AS tag_idx, max(sim) AS sim FROM s GROUP BY vec_id)"""
 
