@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from linkloom.operators.common import sized_broadcast
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -135,7 +136,7 @@ def registrable_labels(hosts: DataFrame, rules: DataFrame, host_col: str = "host
         F.struct(F.col("cand").alias("key"), F.lit("exc").alias("kind")),
         F.struct(F.col("parent").alias("key"), F.lit("wild").alias("kind")),
     )).alias("p")).select(host_col, "i", "p.key", "p.kind").filter(F.col("key").isNotNull())
-    hits = probes.join(F.broadcast(rules), ["key", "kind"], "inner")
+    hits = probes.join(sized_broadcast(rules), ["key", "kind"], "inner")
     start = (hits.groupBy(host_col).agg(
         F.min(F.when(F.col("kind") == "exc", F.col("i") + 1)).alias("exc_start"),
         F.min(F.when(F.col("kind") != "exc", F.col("i"))).alias("rule_start"))

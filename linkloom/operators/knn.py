@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkloom.session import materialize
+from linkloom.operators.common import sized_broadcast
 
 KNN_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
@@ -149,9 +150,9 @@ def knn_cells(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "v", met
     sq = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)),
                                   F.lit(0.0), lambda s, x: s + x)
     assigned = (km.transform(pts.withColumn("_f", array_to_vector("v"))).select("id", "v", "cell")
-                .join(F.broadcast(cdf), "cell").withColumn("r", F.sqrt(sq(F.col("v"), F.col("c")))).drop("c"))
+                .join(sized_broadcast(cdf), "cell").withColumn("r", F.sqrt(sq(F.col("v"), F.col("c")))).drop("c"))
     sizes = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("nc"), F.max("r").alias("R"))
-    assigned = assigned.join(F.broadcast(sizes), "cell").withColumn(
+    assigned = assigned.join(sized_broadcast(sizes), "cell").withColumn(
         "sub", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("nc") / block_rows))).cast("int"))
     assigned = materialize(assigned.select("id", "v", "cell", "sub", "nc"), "knn-cells")
 

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkloom.schemas import POINT_SCHEMA
+from linkloom.operators.common import sized_broadcast
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -315,7 +316,7 @@ def density_raster(points: DataFrame, rect: dict, ppwu: float) -> DataFrame:
 def cluster_lookup(points: DataFrame, clusters: DataFrame, base_url: str = "item?id=") -> DataFrame:
     """JN4 + SCL26: point -> cluster name (``Unknown`` if absent) and permalink."""
     names = clusters.select(F.col("id").alias("cluster"), "name")
-    return (points.join(F.broadcast(names), "cluster", "left")
+    return (points.join(sized_broadcast(names), "cluster", "left")
             .select("id", "cluster", F.coalesce("name", F.lit(UNKNOWN_NAME)).alias("name"),
                     F.concat(F.lit(base_url), F.col("id").cast("string")).alias("link")))
 

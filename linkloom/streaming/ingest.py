@@ -22,6 +22,7 @@ from linkloom.operators.profiles import with_time_features
 from linkloom.schemas import ITEM_SCHEMA, POST_COLUMNS
 from linkloom.sources.tables import post_from_item
 from linkloom.functions.timefn import epoch_to_utc
+from linkloom.operators.common import sized_broadcast
 
 
 def item_stream(spark: SparkSession, landing: str, max_files_per_trigger: int = 1) -> DataFrame:
@@ -61,7 +62,7 @@ def flag_stream(posts: DataFrame, blocklist: DataFrame) -> DataFrame:
     from linkloom.functions.urls import parent_domains
     p = posts.withColumn("host", url_host(F.col("url")))
     cand = p.select("id", F.explode(parent_domains(F.col("host"))).alias("domain"))
-    hit = cand.join(F.broadcast(blocklist.select("domain")), "domain", "left_semi").select("id").distinct()
+    hit = cand.join(sized_broadcast(blocklist.select("domain")), "domain", "left_semi").select("id").distinct()
     return hit.withColumn("blacklisted", F.lit(True))
 
 
