@@ -39,8 +39,8 @@ def doc_tokens(docs: DataFrame, stop_words: list[str] | None = None) -> DataFram
                        .alias("token_pos", "token")).withColumn("token_pos", F.col("token_pos") + 1)
 
 
-def doc_term_counts(docs: DataFrame, stop_words: list[str] | None = None) -> DataFrame:
-    """AGG4 part 1: (id, term, tf) computed inside each document row (no shuffle).
+def _term_runs(docs: DataFrame, stop_words: list[str] | None):
+    """(frame, runs) -- ``runs`` is the ARRAY<STRUCT<term, tf>> column of the frame.
 
     The document's tokens are sorted; each run of equal tokens is one term and
     its length is the term frequency -- O(L log L) per document of L tokens.
@@ -56,6 +56,24 @@ def doc_term_counts(docs: DataFrame, stop_words: list[str] | None = None) -> Dat
         F.element_at(s, st).alias("term"),
         (F.coalesce(F.try_element_at("starts", (j + 2).cast("int")), F.col("n") + 1) - st).cast("long")
         .alias("tf")))
+    return d, runs
+
+
+def doc_term_arrays(docs: DataFrame, stop_words: list[str] | None = None) -> DataFrame:
+    """AGG4 part 1, one row per document: (id, terms ARRAY<STRUCT<term, tf>>),
+    computed inside the row (no shuffle); token-less documents keep an empty array."""
+    d, runs = _term_runs(docs, stop_words)
+    return d.select("id", runs.alias("terms"))
+
+
+def explode_terms(per_doc: DataFrame) -> DataFrame:
+    """(id, terms) -> long form (id, term, tf)."""
+    return per_doc.select("id", F.explode("terms").alias("e")).select("id", "e.term", "e.tf")
+
+
+def doc_term_counts(docs: DataFrame, stop_words: list[str] | None = None) -> DataFrame:
+    """AGG4 part 1: (id, term, tf) computed inside each document row (no shuffle)."""
+    d, runs = _term_runs(docs, stop_words)
     return d.select("id", F.explode(runs).alias("e")).select("id", "e.term", "e.tf")
 
 
@@ -100,11 +118,13 @@ def keyword_scores(posts: DataFrame, max_features: int = MAX_FEATURES,
                    stop_words: list[str] | None = None, id_col: str = "id",
                    title_col: str = "title") -> DataFrame:
     """AGG7: (term, tfidf) = sum over documents of the L2-normalised tf*idf."""
-    # cleaned titles are reused by three actions (count, vocabulary, scores):
-    # keep them (small next to the source rows) instead of rescanning
-    docs = keyword_docs(posts, id_col, title_col).persist(StorageLevel.MEMORY_AND_DISK)
-    n_docs = docs.count()
-    dt = doc_term_counts(docs, stop_words)
+    # three actions (count, vocabulary, scores) reuse the per-document term
+    # counts: keep those -- distinct non-stop terms, far smaller than the texts
+    # -- so the regex cleaning runs once and no copy of the corpus is cached
+    per_doc = doc_term_arrays(keyword_docs(posts, id_col, title_col), stop_words) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    n_docs = per_doc.count()
+    dt = explode_terms(per_doc)
     stats = term_stats(dt).persist(StorageLevel.MEMORY_AND_DISK)
     vocab = cap_vocabulary(stats, max_features)
     idf = idf_table(vocab, n_docs)
