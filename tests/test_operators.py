@@ -12,7 +12,7 @@ from linkloom.operators import blocklist as bl
 from linkloom.operators import spatial as sp
 from linkloom.operators.density import density_clusters
 from linkloom.operators.graph import connected_components, dense_index
-from linkloom.operators.keywords import cap_vocabulary
+from linkloom.operators.keywords import cap_vocabulary, doc_term_arrays, doc_term_counts, keyword_docs
 from linkloom.operators.knn import knn_exact
 from linkloom.operators.layout import curve_params, fuzzy_graph, layout
 from linkloom.operators.naming import name_clusters, title_sample
@@ -139,6 +139,24 @@ def test_vocabulary_cap_ties(spark):
     assert cap_vocabulary(stats, 50).count() == 6
 
 
+def test_doc_term_counts_match_python_counter(spark):
+    """Sorted-run term counts equal a plain Counter on whole texts, including
+    empty, stop-word-only and single-token documents and long repeated texts."""
+    texts = [(1, "Spark spark SPARK join join shuffle"), (2, ""), (3, "the and of"), (4, "token"),
+             (5, "\n".join(["alpha beta gamma beta"] * 300)), (6, "zz yy zz xx yy zz")]
+    posts = spark.createDataFrame(texts, "id long, title string")
+    docs = keyword_docs(posts)
+    got = {(r["id"], r["term"]): r["tf"] for r in doc_term_counts(docs).collect()}
+    want = {}
+    for i, t in texts:
+        toks = [w for w in t.lower().split() if len(w) >= 2 and w not in ("the", "and", "of")]
+        for w, c in Counter(toks).items():
+            want[(i, w)] = c
+    assert got == want
+    arrays = {r["id"]: r["terms"] for r in doc_term_arrays(docs).collect()}
+    assert arrays[3] == [] and len(arrays[5]) == 3  # token-less docs keep an empty row
+
+
 # -- density clustering, graph layout ----------------------------------------------------
 
 def _ari(a, b):
