@@ -71,9 +71,13 @@ def clean_title(title: Column) -> Column:
     """
     t = F.lower(title)
     for pat in TITLE_BOILERPLATE:
-        t = F.regexp_replace(t, pat, "")
-    t = F.regexp_replace(t, r"[^a-z0-9\s]", " ")
-    t = F.regexp_replace(t, r"\s+", " ")
+        if pat.startswith("^"):
+            t = F.regexp_replace(t, pat, "")
+        else:  # plain words: a literal replace, no regex engine per text
+            t = F.replace(t, F.lit(pat), F.lit(""))
+    # "non-[a-z0-9\s] -> space, then collapse whitespace runs" in one pass:
+    # every run of characters outside [a-z0-9] becomes a single space
+    t = F.regexp_replace(t, r"[^a-z0-9]+", " ")
     return F.trim(t)
 
 
