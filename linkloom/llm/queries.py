@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from linkloom.llm import decontaminate
+from linkloom.llm import decontaminate, quality_rules, simhash
 from linkloom.sources.tables import read_table
 
 
@@ -17,10 +18,23 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("spans")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *quality_rules.STATS, "base_failed", "kept")
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op4_decontaminate": op4_decontaminate,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_simhash": op10_simhash,
 }
 
+_NONSPACE = r"[^\x20\x09-\x0D]+"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -48,5 +62,42 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc LEFT JOIN hit_words USING (k) LEFT JOIN hit_items USING (k)
+""",
+    "op9_quality_rules": rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_NONSPACE}') AS w
+  FROM documents
+), win AS (
+  SELECT k, i, array_to_string(w[i:i + 7], ' ') AS win FROM doc, unnest(range(1, len(w) - 6)) AS t(i)
+), twice AS (
+  SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, win) AS c FROM win) WHERE c > 1
+), repeats AS (
+  SELECT k, count(DISTINCT p) AS n_repeat_words FROM twice, unnest(range(i, i + 8)) AS t(p) GROUP BY k
+), line AS (
+  SELECT k, source, raw, regexp_extract_all({_LOWER.replace("coalesce(text, '')", "raw")}, '{_NONSPACE}') AS w
+  FROM (SELECT k, source, unnest(string_split(text, chr(10))) AS raw FROM doc)
+), filled AS (
+  SELECT k, source, raw, array_to_string(w, ' ') AS line, len(w) AS n FROM line WHERE len(w) > 0
+), dup AS (
+  SELECT k, count(*) - count(DISTINCT raw) AS n_dup_lines FROM filled GROUP BY k
+), host AS (
+  SELECT source, count(DISTINCT text) AS host_docs FROM doc GROUP BY source
+), often AS (
+  SELECT filled.source, line FROM filled JOIN doc USING (k) JOIN host ON filled.source IS NOT DISTINCT FROM host.source
+  GROUP BY filled.source, line, host_docs
+  HAVING count(DISTINCT doc.text) >= {quality_rules.LINE_MIN_DOCS} AND count(DISTINCT doc.text) >= {quality_rules.LINE_SHARE} * host_docs
+), removed AS (
+  SELECT k, sum(n) AS gone FROM filled JOIN often ON filled.line = often.line AND filled.source IS NOT DISTINCT FROM often.source GROUP BY k
+), counted AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, gone
+  FROM doc LEFT JOIN repeats USING (k) LEFT JOIN dup USING (k) LEFT JOIN removed USING (k)
+), judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (gone IS NOT NULL AND (n_words - gone < {quality_rules.MIN_WORDS} OR n_words - gone < {quality_rules.MIN_LEFT} * n_words)) AS kept
+FROM judged
 """,
 }
