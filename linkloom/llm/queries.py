@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import decontaminate, quality_rules, simhash
+from linkloom.llm import decontaminate, mixing, quality_rules, records, simhash
 from linkloom.sources.tables import read_table
 
 
@@ -18,6 +18,21 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("spans")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def tokenizer_path() -> str:
+    """The production tokenizer's file; every operator takes a path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.encode_and_read(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", *quality_rules.STATS, "base_failed", "kept")
@@ -30,6 +45,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_decontaminate": op4_decontaminate,
+    "op5_mixing": op5_mixing,
+    "op6_records": op6_records,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
 }
@@ -62,6 +79,36 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc LEFT JOIN hit_words USING (k) LEFT JOIN hit_items USING (k)
+""",
+    "op5_mixing": rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS k, doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '{_NONSPACE}')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5('{mixing.SEED}-' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place
+  FROM documents
+), by_source AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS rank FROM doc GROUP BY source
+), weighted AS (
+  SELECT *, CASE rank % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, {mixing.MAX_EPOCHS} * source_size AS cap FROM by_source
+), level AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighted
+), goal AS (
+  SELECT source, rank, source_size,
+         CASE WHEN cap / weight < first_free.free_ratio OR first_free.level IS NULL THEN CAST(cap AS DOUBLE) ELSE least(CAST(cap AS DOUBLE), first_free.level * weight) END AS target
+  FROM level LEFT JOIN (SELECT cap / weight AS free_ratio, level FROM level WHERE cap >= level * weight ORDER BY cap / weight, rank LIMIT 1) AS first_free ON true
+), queued AS (
+  SELECT k, doc_id, text, place, size, rank, source_size, target,
+         sum(size) OVER (PARTITION BY rank ORDER BY place, doc_id, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sent
+  FROM doc JOIN goal ON doc.source IS NOT DISTINCT FROM goal.source
+), times AS (
+  SELECT *, CAST(epoch * source_size + sent AS DOUBLE) / target AS finish FROM queued, unnest(range(0, {mixing.MAX_EPOCHS})) AS t(epoch) WHERE target > 0
+), ordered AS (
+  SELECT *, sum(size) OVER (ORDER BY finish, rank, place, doc_id, text, epoch, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM times
+), sent AS (
+  SELECT k, count(*) AS n FROM ordered WHERE run <= (SELECT sum(size) FROM doc) GROUP BY k
+)
+SELECT doc_id, size, source_size, target, CAST(coalesce(n, 0) * size AS BIGINT) AS taken FROM queued LEFT JOIN sent USING (k)
 """,
     "op9_quality_rules": rf"""
 WITH doc AS (
