@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import decontaminate, mixing, quality_rules, records, simhash
+from linkloom.llm import byte_cnn, decontaminate, html_text, licenses, mixing, quality_rules, records, simhash, suffix_dedup
 from linkloom.sources.tables import read_table
 
 
@@ -13,6 +13,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, sf_dir, name)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_spans(_table(spark, sf_dir, "documents")).drop("removed")
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.drop("spans")
@@ -33,6 +41,14 @@ def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.encode_and_read(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def op8_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", *quality_rules.STATS, "base_failed", "kept")
@@ -44,9 +60,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_licenses": op3_licenses,
     "op4_decontaminate": op4_decontaminate,
     "op5_mixing": op5_mixing,
     "op6_records": op6_records,
+    "op7_html_text": op7_html_text,
+    "op8_byte_cnn": op8_byte_cnn,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
 }
