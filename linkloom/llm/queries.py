@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import byte_cnn, decontaminate, html_text, licenses, mixing, quality_rules, records, simhash, suffix_dedup
+from linkloom.llm import byte_cnn, decontaminate, html_text, licenses, mixing, pseudo_likelihood, quality_rules, records, simhash, suffix_dedup
 from linkloom.sources.tables import read_table
 
 
@@ -13,6 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, sf_dir, name)
 
 
+def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.pseudo_likelihood(_table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removed_spans(_table(spark, sf_dir, "documents")).drop("removed")
 
@@ -60,6 +64,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pseudo_likelihood": op1_pseudo_likelihood,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_licenses": op3_licenses,
     "op4_decontaminate": op4_decontaminate,
