@@ -169,9 +169,8 @@ def keep_one(docs: DataFrame, n: int = SHINGLE_WORDS, max_bits: int = MAX_BITS)
     member = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     copies = rows.groupBy("comp", "doc_id", "text_key").agg(F.count("*").alias("c"))
     kept = materialize(copies.groupBy("comp").agg(F.min_by(F.struct("doc_id", "text_key", "c"), member).alias("m"))
-                       .select(F.col("m.doc_id").alias("k_id"), F.col("m.text_key").alias("k_text"), F.col("m.c").alias("c")), "simhash-kept")
+                       .select(F.col("m.doc_id").alias("__id"), F.col("m.text_key").alias("__text"), F.col("m.c").alias("__rows")), "simhash-kept")
     d = docs.withColumn("__key", F.xxhash64("text"))
-    mine = d.join(kept, d["doc_id"].cast("bigint").eqNullSafe(kept.k_id) & (d["__key"] == kept.k_text))
-    single = mine.filter("c = 1").drop("k_id", "k_text", "c", "__key")
-    repeated = mine.filter("c > 1").dropDuplicates(["k_id", "k_text"]).drop("k_id", "k_text", "c", "__key")
-    return single.unionByName(repeated)
+    mine = d.join(kept, d["doc_id"].cast("bigint").eqNullSafe(kept["__id"]) & (d["__key"] == kept["__text"]))
+    mine = mine.filter("__rows = 1").unionByName(mine.filter("__rows > 1").dropDuplicates(["__id", "__text"]))
+    return mine.drop("__id", "__text", "__rows", "__key")
