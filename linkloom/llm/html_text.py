@@ -92,7 +92,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if not m:
             at = stop
             continue
-        at, tag, closing = m.end(), (m[2] or "").lower(), m[1] == "/"
+        at, tag, closing = _end(page, m), (m[2] or "").lower(), m[1] == "/"
         if not tag:
             continue
         if tag not in INLINE:
@@ -118,6 +118,14 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return lines
 
 
+def _end(page: str, m: re.Match) -> int:
+    """The place behind a tag; one that a quote or the page's end cuts short goes on to the next ">"."""
+    if page[m.end() - 1] == ">":
+        return m.end()
+    gt = page.find(">", m.end())
+    return gt + 1 if gt >= 0 else len(page)
+
+
 def _after(page: str, at: int, tag: str) -> int:
     """The place behind an element's end."""
     depth = 1
@@ -129,7 +137,7 @@ def _after(page: str, at: int, tag: str) -> int:
         if not m:
             at = lt + 1
             continue
-        at, name = m.end(), (m[2] or "").lower()
+        at, name = _end(page, m), (m[2] or "").lower()
         if name == tag:
             depth += -1 if m[1] == "/" else 1
         elif name in RAW and m[1] != "/":

@@ -65,7 +65,8 @@ class Finder:
 
     def __init__(self, notices: tuple[tuple[str, str], ...]):
         self.notices = [(text, label, edits_allowed(text)) for text, label in notices]
-        self.patterns = [regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={e}}}") for text, _, e in self.notices]
+        # by the number of edits, so that the first that matches has the fewest
+        self.patterns = [[regex.compile(f"(?e)(?:{regex.escape(text)}){{e<={n}}}") for n in range(e + 1)] for text, _, e in self.notices]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for k, (text, _, e) in enumerate(self.notices):
             cuts = [len(text) * i // (e + 1) for i in range(e + 2)]
@@ -87,9 +88,9 @@ class Finder:
                 if (k, at) in tried:
                     continue
                 tried.add((k, at))
-                lo = max(0, at - e)
-                m = self.patterns[k].search(text, lo, min(len(text), at + len(notice) + e))
-                if m and m.end() > m.start():
+                lo, hi = max(0, at - e), min(len(text), at + len(notice) + e)
+                m = next((m for p in self.patterns[k] if (m := p.search(text, lo, hi))), None)
+                if m:
                     found[m.start(), m.end(), k] = sum(m.fuzzy_counts)
         taken: list[tuple[int, int, int, int]] = []
         best = sorted((edits, a - b, a, b, k) for (a, b, k), edits in found.items())
