@@ -31,23 +31,6 @@ SCHEME_PREFIX_RE = r"^(?:[A-Za-z0-9+.-]+:)?//"
 IPV4_RE = r"^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$"
 NO_DOMAIN = "none"
 
-# Bundled public-suffix rules (a small subset; pass ``rules`` for the full list).
-DEFAULT_SUFFIX_RULES = """
-com org net edu gov mil int info biz name pro io ai co app dev me tv cc us ca de fr es it nl se no fi dk
-pl cz ch at be ie pt gr ru ua cn in br mx ar au nz za jp kr tw hk sg uk eu ly gl sh xyz site online tech
-co.uk org.uk ac.uk gov.uk me.uk ltd.uk plc.uk net.uk
-co.jp ne.jp or.jp ac.jp go.jp
-com.au net.au org.au edu.au gov.au
-co.nz org.nz net.nz
-com.br net.br org.br
-com.cn net.cn org.cn
-co.in net.in org.in
-co.za org.za
-com.mx com.ar com.tw com.hk com.sg
-github.io gitlab.io herokuapp.com blogspot.com appspot.com pages.dev netlify.app vercel.app
-ck *.ck !www.ck
-""".split()
-
 
 def url_host(url: Column) -> Column:
     """Network location of ``url`` as a URL splitter yields it (SCL9).
@@ -65,11 +48,6 @@ def url_host(url: Column) -> Column:
             .otherwise(host))
 
 
-def strip_port(host: Column) -> Column:
-    """Optional repair: drop user info and port from a ``url_host`` value."""
-    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
-
-
 def suffix_host(url: Column) -> Column:
     """Host used for public-suffix matching.
 
@@ -80,7 +58,8 @@ def suffix_host(url: Column) -> Column:
     u = F.regexp_replace(F.trim(url), SCHEME_PREFIX_RE, "")
     u = F.regexp_extract(u, r"^([^/?#]*)", 1)
     u = F.regexp_replace(u, r"^.*@", "")
-    u = F.regexp_replace(u, r":.*$", "")
+    v6 = F.regexp_extract(u, r"^(\[[^\]]*\])", 1)  # an IPv6 address keeps its brackets and colons
+    u = F.when(v6 != "", v6).otherwise(F.regexp_replace(u, r":.*$", ""))
     return F.regexp_replace(F.lower(u), r"\.+$", "")
 
 
@@ -92,15 +71,14 @@ def parent_domains(host: Column) -> Column:
         F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n - i + 1), ".")))
 
 
-def suffix_rules_df(spark: SparkSession, rules: list[str] | DataFrame | None = None) -> DataFrame:
+def suffix_rules_df(spark: SparkSession, rules: list[str] | DataFrame) -> DataFrame:
     """Rule table ``(key, kind)`` with kind in exact / wild / exc.
 
-    ``rules`` may be a list of rule strings, a one-column DataFrame of rule
-    lines (e.g. ``spark.read.text(path)`` of a public-suffix file), or None for
-    the bundled subset.  Comment (``//``) and blank lines are ignored.
+    ``rules`` is the caller's list: rule strings, or a one-column DataFrame of
+    rule lines (e.g. ``spark.read.text(path)`` of a public-suffix file, of which
+    the analyses use the ICANN section only).  Comment (``//``) and blank lines
+    are ignored.
     """
-    if rules is None:
-        rules = DEFAULT_SUFFIX_RULES
     if isinstance(rules, DataFrame):
         raw = rules.select(F.trim(F.col(rules.columns[0])).alias("rule"))
     else:
@@ -145,7 +123,7 @@ def registrable_labels(hosts: DataFrame, rules: DataFrame, host_col: str = "host
     parts = F.split(F.col(host_col), r"\.")
     n = F.size(parts)
     label = (F.when(F.col(host_col).isNull() | (F.col(host_col) == ""), F.lit(NO_DOMAIN))
-             .when(F.col(host_col).rlike(IPV4_RE), F.col(host_col))
+             .when(F.col(host_col).rlike(IPV4_RE) | F.col(host_col).startswith("["), F.col(host_col))
              .when(F.col("suffix_start").isNull(), F.element_at(parts, -1))
              .when(F.col("suffix_start") <= 1, F.lit(NO_DOMAIN))
              .otherwise(F.element_at(parts, (F.col("suffix_start") - 1).cast("int"))))

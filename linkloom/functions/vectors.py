@@ -19,12 +19,6 @@ def dot(a: Column, b: Column) -> Column:
                        F.lit(0.0).cast("double"), lambda s, x: s + x)
 
 
-def sq_dist(a: Column, b: Column) -> Column:
-    """Squared Euclidean distance in double."""
-    return F.aggregate(F.zip_with(to_double(a), to_double(b), lambda x, y: (x - y) * (x - y)),
-                       F.lit(0.0).cast("double"), lambda s, x: s + x)
-
-
 def l2_norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(to_double(v), F.lit(0.0).cast("double"), lambda s, x: s + x * x))
 

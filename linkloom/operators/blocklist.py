@@ -7,8 +7,9 @@ distinct hosts --explode parents--> semi join blocklist   [broadcast, size-check
 flags (one row per flagged host) joined to per-host rows  [small x small]
 -> per-class totals / weighted exact percentiles.
 
-A post is never joined row-by-row: everything is pre-aggregated to
-(host[, score]) first, so a host holding a third of all posts is one row.
+Counts and quartiles pre-aggregate to (host[, score]) first, so a host holding
+a third of all posts is one row; per-post flags join posts only with the
+listed hosts.
 """
 
 from __future__ import annotations
@@ -19,9 +20,6 @@ from pyspark.sql import functions as F
 from linkloom.functions.urls import parent_domains, url_host
 from linkloom.operators.common import pct, sized_broadcast, tolerant_int
 
-BLOCKLIST_BROADCAST_ROWS = 5_000_000
-
-
 def clean_blocklist_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     """SRC9 + SET1: strip blanks, lower-case, drop blank and ``#`` lines, distinct."""
     v = F.lower(F.regexp_replace(F.col(col), r"^\s+|\s+$", ""))
@@ -41,7 +39,7 @@ def blocklist_from_values(spark: SparkSession, values: list[str]) -> DataFrame:
 
 def flag_hosts(hosts: DataFrame, blocklist: DataFrame, host_col: str = "host") -> DataFrame:
     """JN1 on distinct hosts: ``host_col`` + ``blacklisted`` (host or a parent listed)."""
-    bl = sized_broadcast(blocklist.select("domain"), BLOCKLIST_BROADCAST_ROWS)
+    bl = sized_broadcast(blocklist.select("domain"))
     d = hosts.select(host_col).distinct()
     cand = d.select(host_col, F.explode(parent_domains(F.col(host_col))).alias("domain"))
     hit = cand.join(bl, "domain", "left_semi").select(host_col).distinct()
@@ -52,9 +50,13 @@ def flag_hosts(hosts: DataFrame, blocklist: DataFrame, host_col: str = "host") -
 def flag_posts(posts: DataFrame, blocklist: DataFrame, url_col: str = "url") -> DataFrame:
     """Per-post flag (JN1) and its complement (JN2 = ``blacklisted = false``)."""
     p = posts.withColumn("host", url_host(F.col(url_col)))
-    flags = flag_hosts(p.filter(F.col("host").isNotNull()), blocklist, "host")
-    return (p.join(flags, "host", "left")
-            .withColumn("blacklisted", F.coalesce("blacklisted", F.lit(False))))
+    # posts without a host are never listed and stay out of the join, where they would be one key;
+    # only the listed hosts -- a checked broadcast -- meet the posts, so a hot host needs no shuffle
+    some = p.filter(F.col("host").isNotNull())
+    listed = flag_hosts(some, blocklist, "host").filter("blacklisted")
+    flagged = some.join(sized_broadcast(listed), "host", "left").withColumn("blacklisted", F.coalesce("blacklisted", F.lit(False)))
+    none = p.filter(F.col("host").isNull()).withColumn("blacklisted", F.lit(False))
+    return flagged.unionByName(none)
 
 
 def _host_counts(posts: DataFrame, url_col: str, extra: list[str]) -> DataFrame:

@@ -2,242 +2,316 @@
 
 Steps
 -----
-1. kNN (Euclidean, exact blocked join) -> core distance = distance to the
-   ``min_samples``-th other neighbour.
-2. Mutual-reachability edges on the kNN graph: w = max(core_i, core_j, d_ij).
-3. Level ladder of thresholds Q_1 > ... > Q_L over the edge weights (all
-   distinct weights when there are at most ``max_levels`` -- exact -- else
-   quantiles; level 0 keeps every edge).  Components at level j are the
-   connected components of edges with w < Q_j; by the cut property these equal
-   the single-linkage clusters at that distance.  All levels run in one
-   connected-components pass (level is a partition column).
-4. Condensed tree over *large* components (size >= ``min_cluster_size``):
-   a component whose parent has >= 2 large children starts a new cluster,
-   otherwise it continues its parent's cluster; points leaving a cluster at the
-   transition into level j do so at lambda_j = 1 / Q_j.  Stability =
-   sum over leaving points of (lambda_leave - lambda_birth).
-5. Excess-of-mass selection bottom-up over birth levels (root not selectable),
-   then each point takes the selected cluster whose birth component contains
-   it; others are noise (-1).  Labels are numbered by smallest member id.
-
-Everything after step 1 works on edge / component tables; the condensed tree
-has at most ~2 n / min_cluster_size nodes per level and stays in Spark.  With
-the exact ladder the result follows the single-linkage hierarchy of the kNN
-mutual-reachability graph exactly; quantile ladders approximate event lambdas
-by their level threshold.
+1. kNN (Euclidean, exact) -> core distance = distance to the ``min_samples``-th
+   other neighbour; mutual-reachability weight w = max(core_i, core_j, d_ij).
+2. Minimum spanning tree of *all* pairs under w, by Boruvka rounds: every
+   component takes its lightest outgoing edge.  Neighbour lists give it unless
+   some member's list is too short to tell (its k-th neighbour is no farther
+   than the best edge known, or all its neighbours are inside, as when the
+   neighbour graph falls apart); only those members are compared with all
+   points outside, in blocks.  So components of the neighbour graph are linked
+   by their nearest members, and the tree is that of the full graph.
+3. The hierarchy, by sorted merges: the tree's edges go through union-find in
+   order of weight, in bands of at most ``band_edges`` edges.  A band's state --
+   one row per component that its edges touch -- comes from a table and goes
+   back to one.  Every weight counts; edges of equal weight merge at once.
+4. Each component carries its size and the excess of mass of its current
+   cluster, so clusters are born, end and are compared with their children
+   (the child sum wins only if larger) while merging; the root is never
+   selected.  What remains is a table of clusters with parents.
+5. A point's label is the topmost winning cluster above the first cluster it
+   joined, found by pointer jumping; others are noise (-1).  Labels are
+   numbered by smallest member id.
 """
 
 from __future__ import annotations
 
-import os
-import time
-
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.operators.graph import connected_components, minimum_spanning_forest
+from linkloom.operators.graph import connected_components, dense_index
 from linkloom.operators.knn import knn_exact
-from linkloom.session import ensure_checkpoint_dir, materialize
+from linkloom.session import discard, ensure_checkpoint_dir, materialize
 
-# set LINKLOOM_PROFILE=1 to print the wall time of each phase
-_PROFILE = bool(os.environ.get("LINKLOOM_PROFILE"))
-_T0 = [time.time()]
+MIN_CLUSTER_SIZE = 20
+MIN_SAMPLES = 5
+NEIGHBORS = 15
+#: Edges merged by one task; its state is a few hundred bytes for each.
+BAND_EDGES = 1_000_000
+BLOCK_ROWS = 4096
+_LEAST_WEIGHT = 1e-30
 
 
-def _tick(msg: str) -> None:
-    if _PROFILE:
-        now = time.time()
-        print(f"[density] {msg}: {now - _T0[0]:.1f}s", flush=True)
-        _T0[0] = now
+# -- mutual reachability ------------------------------------------------------------
 
+def neighbor_lists(points: DataFrame, min_samples: int = MIN_SAMPLES, k: int | None = None,
+                   id_col: str = "id", vec_col: str = "v") -> tuple[DataFrame, DataFrame]:
+    """((id, nbr, d), (id, core, reach)): neighbours, and per point the core distance and the distance
+    beyond which its list says nothing.  Fewer than ``min_samples`` others: the farthest counts."""
+    nn = knn_exact(points, max(min_samples, k or NEIGHBORS), id_col, vec_col, metric="euclidean").withColumn("d", -F.col("score"))
+    nn = materialize(nn.select("id", "nbr", "rank", "d"), "density-nn")
+    core = nn.filter(F.col("rank") <= min_samples).groupBy("id").agg(F.max("d").alias("core"))
+    reach = nn.groupBy("id").agg(F.max("d").alias("reach"))
+    return nn.select("id", "nbr", "d"), materialize(core.join(reach, "id"), "density-core")
 
-MIN_CLUSTER_SIZE = 20
-MIN_SAMPLES = 5
-MAX_LEVELS = 64
-ROOT = -1
+
+def _weighted(pairs: DataFrame, core: DataFrame) -> DataFrame:
+    """(a, b, w) of (id, nbr, d) pairs, undirected with a < b."""
+    e = (pairs.join(core.select("id", F.col("core").alias("ca")), "id")
+         .join(core.select(F.col("id").alias("nbr"), F.col("core").alias("cb")), "nbr")
+         .select(F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b"), F.greatest("d", "ca", "cb").alias("w")))
+    return e.groupBy("a", "b").agg(F.min("w").alias("w"))
 
 
 def mutual_reachability_edges(points: DataFrame, min_samples: int = MIN_SAMPLES, k: int | None = None,
                               id_col: str = "id", vec_col: str = "v") -> tuple[DataFrame, DataFrame]:
-    """(edges (a, b, w) undirected with a < b, core (id, core))."""
-    kk = max(min_samples, k or 15)
-    nn = knn_exact(points, kk, id_col, vec_col, metric="euclidean").withColumn("d", -F.col("score"))
-    core = nn.filter(F.col("rank") == min_samples).select("id", F.col("d").alias("core"))
-    e = (nn.join(core.withColumnRenamed("core", "ca"), "id")
-         .join(core.select(F.col("id").alias("nbr"), F.col("core").alias("cb")), "nbr")
-         .select(F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b"),
-                 F.greatest("d", "ca", "cb").alias("w")))
-    return e.groupBy("a", "b").agg(F.min("w").alias("w")), core
+    """(edges (a, b, w) of the neighbour graph, undirected with a < b; core (id, core))."""
+    pairs, core = neighbor_lists(points, min_samples, k, id_col, vec_col)
+    return _weighted(pairs, core), core.select("id", "core")
 
 
-def level_thresholds(edges: DataFrame, max_levels: int = MAX_LEVELS) -> list[float]:
-    """Descending thresholds Q_1..Q_L; Q_L = smallest weight (all singletons)."""
-    distinct = edges.select("w").distinct()
-    n = distinct.count()
-    if n <= max_levels:
-        qs = [float(r[0]) for r in distinct.collect()]
-    else:
-        probs = [i / (max_levels - 1) for i in range(max_levels)]
-        qs = edges.approxQuantile("w", probs, 1.0 / (4 * max_levels))
-    return sorted(set(qs), reverse=True)
+_PAIR = "comp bigint, a bigint, b bigint, w double"
 
 
-def density_clusters(points: DataFrame, min_cluster_size: int = MIN_CLUSTER_SIZE,
-                     min_samples: int = MIN_SAMPLES, k: int | None = None, id_col: str = "id",
-                     vec_col: str = "v", max_levels: int = MAX_LEVELS,
-                     spanning_forest: bool = False) -> DataFrame:
-    """(id, cluster) with cluster -1 for noise.
-
-    ``spanning_forest=True`` first reduces the mutual-reachability graph to its
-    minimum spanning forest (Borůvka rounds).  Components below any threshold
-    are the same (cut property), but the level table then holds n - 1 edges
-    per level instead of n x k, and the exact ladder needs only the distinct
-    forest weights -- the better trade once n x k x levels gets large.
-    """
-    spark = points.sparkSession
-    ensure_checkpoint_dir(spark)
-    ids = points.select(F.col(id_col).cast("long").alias("id"))
-    edges, _ = mutual_reachability_edges(points, min_samples, k, id_col, vec_col)
-    _tick("start")
-    edges = materialize(edges, "mr-edges")
-    if spanning_forest:
-        edges = minimum_spanning_forest(edges)
-    _tick("knn+edges")
-    qs = level_thresholds(edges, max_levels)
-    _tick("levels")
-    if not qs:
-        return ids.withColumn("cluster", F.lit(-1))
-    L = len(qs)
-    q_arr = F.array(*[F.lit(q) for q in qs])
-    # highest level index whose threshold is above w (level 0 keeps all edges)
-    top = F.size(F.filter(q_arr, lambda q: q > F.col("w")))
-    lev_edges = edges.select("a", "b", F.explode(F.sequence(F.lit(0), top)).alias("lvl")).filter(F.col("lvl") < L)
-    lab = connected_components(lev_edges, "a", "b", ["lvl"]).withColumnRenamed("v", "id")
-    _tick("components")
-
-    # large components per level and their parents one level up (coarser)
-    comps = lab.groupBy("lvl", "comp").agg(F.count(F.lit(1)).alias("size"))
-    big = comps.filter(F.col("size") >= min_cluster_size)
-    up = lab.select(F.col("id").alias("comp"), (F.col("lvl") + 1).alias("lvl"), F.col("comp").alias("pcomp"))
-    big = (big.join(up, ["lvl", "comp"], "left")
-           .withColumn("plvl", F.col("lvl") - 1)
-           .withColumn("pcomp", F.when(F.col("lvl") == 0, F.lit(ROOT)).otherwise(F.col("pcomp"))))
-    nchild = big.groupBy("plvl", "pcomp").agg(F.count(F.lit(1)).alias("nb"),
-                                               F.max("size").alias("child_size"))
-    big = materialize(big.join(nchild, ["plvl", "pcomp"], "left"), "big-comps")
-    _tick("big")
-    # cluster identity: newborn if the parent has >= 2 large children
-    nodes = big.select("lvl", "comp", "size", "plvl", "pcomp",
-                       (F.col("nb") >= 2).alias("newborn"))
-    ptr = nodes.select("lvl", "comp",
-                       F.when(F.col("newborn"), F.col("lvl")).otherwise(F.col("plvl")).alias("tl"),
-                       F.when(F.col("newborn"), F.col("comp")).otherwise(F.col("pcomp")).alias("tc"),
-                       "newborn")
-    # pointer jumping along "continues" links until every node points at a newborn or the root
-    for _ in range(64):
-        hop = ptr.select(F.col("lvl").alias("tl"), F.col("comp").alias("tc"),
-                         F.col("tl").alias("tl2"), F.col("tc").alias("tc2"), F.col("newborn").alias("nb2"))
-        nxt = ptr.join(hop, ["tl", "tc"], "left")
-        done = F.col("newborn") | (F.col("tl") < 0) | F.coalesce(F.col("nb2"), F.lit(True))
-        nxt = materialize(nxt.select("lvl", "comp", F.when(done, F.col("tl")).otherwise(F.col("tl2")).alias("tl"),
-                                     F.when(done, F.col("tc")).otherwise(F.col("tc2")).alias("tc"), "newborn",
-                                     done.alias("_d")), "cluster-ptr")
-        pending = nxt.filter(~F.col("_d")).limit(1).count()
-        ptr = nxt.drop("_d")
-        if pending == 0:
-            break
-    _tick("pointer jumping")
-    # lambda of the transition into each level: 0 for the root, 1/Q_lvl after
-    lam = lambda lv: F.when(lv <= 0, F.lit(0.0)).otherwise(
-        F.lit(1.0) / F.greatest(F.element_at(q_arr, lv.cast("int")), F.lit(1e-300)))
-    cl = ptr.select("lvl", "comp", F.col("tl").alias("kl"), F.col("tc").alias("kc"))
-    nodes = nodes.join(cl, ["lvl", "comp"])
-    births = nodes.filter("newborn").select(F.col("lvl").alias("kl"), F.col("comp").alias("kc"),
-                                            lam(F.col("lvl")).alias("lam_b"),
-                                            F.col("plvl"), F.col("pcomp"))
-    # parent cluster of each newborn cluster (root when born from the root line)
-    pk = nodes.select(F.col("lvl").alias("plvl"), F.col("comp").alias("pcomp"),
-                      F.col("kl").alias("pkl"), F.col("kc").alias("pkc"))
-    births = (births.join(pk, ["plvl", "pcomp"], "left")
-              .select("kl", "kc", "lam_b", F.coalesce("pkl", F.lit(ROOT)).alias("pkl"),
-                      F.coalesce("pkc", F.lit(ROOT)).alias("pkc")))
-    births = births.withColumn("pkl", F.when(F.col("pkl") < 0, F.lit(ROOT)).otherwise(F.col("pkl")))
-    # points leaving each node's cluster at the transition into the next level
-    kids = big.select(F.col("plvl").alias("lvl"), F.col("pcomp").alias("comp"),
-                      F.col("nb"), F.col("child_size")).distinct()
-    leave = (nodes.join(kids, ["lvl", "comp"], "left")
-             .select("kl", "kc", (F.col("lvl") + 1).alias("next"),
-                     (F.col("size") - F.when(F.col("nb") == 1, F.col("child_size")).otherwise(0)).alias("n_leave")))
-    stab = (leave.join(births.select("kl", "kc", "lam_b"), ["kl", "kc"])
-            .groupBy("kl", "kc").agg(F.sum(F.col("n_leave") * (lam(F.col("next")) - F.col("lam_b"))).alias("stab")))
-    tree = materialize(births.join(stab, ["kl", "kc"], "left").fillna(0.0, ["stab"]), "cluster-tree")
-    _tick("tree")
-    selected = _excess_of_mass(tree)
-    _tick("eom")
-    if selected is None:
-        return ids.withColumn("cluster", F.lit(-1))
-    members = lab.join(selected.select(F.col("kl").alias("lvl"), F.col("kc").alias("comp"), "label"),
-                       ["lvl", "comp"]).select("id", "label")
-    return (ids.join(members, "id", "left")
-            .select("id", F.coalesce("label", F.lit(-1)).cast("int").alias("cluster")))
+def _lightest_out(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """For each component of the asking block its lightest edge to a point of another component in the other block."""
+    none = pd.DataFrame({"comp": np.empty(0, np.int64), "a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "w": np.empty(0)})
+    if left.empty or right.empty:
+        return none
+    x, y = (np.stack(df["v"].to_numpy()).astype(np.float64) for df in (left, right))
+    d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0))
+    w = np.maximum(np.maximum(d, left["core"].to_numpy()[:, None]), right["core"].to_numpy()[None, :])
+    w[left["comp"].to_numpy()[:, None] == right["comp"].to_numpy()[None, :]] = np.inf
+    # the matrix product is good to a few digits less than a subtraction: weigh the close ones again
+    i, j = np.nonzero(w <= w.min(axis=1, keepdims=True) * (1 + 1e-9) + 1e-7)
+    keep = np.isfinite(w[i, j])
+    i, j = i[keep], j[keep]
+    exact = np.sqrt(((x[i] - y[j]) ** 2).sum(1))
+    li, rj = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
+    out = pd.DataFrame({"comp": left["comp"].to_numpy()[i], "a": np.minimum(li, rj), "b": np.maximum(li, rj),
+                        "w": np.maximum(np.maximum(exact, left["core"].to_numpy()[i]), right["core"].to_numpy()[j])})
+    return out.sort_values(["comp", "w", "a", "b"]).drop_duplicates("comp") if len(out) else none
+
+
+def spanning_tree(points: DataFrame, min_samples: int = MIN_SAMPLES, k: int | None = None, id_col: str = "id",
+                  vec_col: str = "v", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, w): the minimum spanning tree of all pairs under mutual reachability; ties go by (a, b)."""
+    pts = points.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    pairs, core = neighbor_lists(points, min_samples, k, id_col, vec_col)
+    edges = materialize(_weighted(pairs, core), "density-edges")
+    n = pts.count()
+    blocks = max(1, -(-n // block_rows))
+    pts = materialize(pts.join(core, "id").withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), "density-points")
+    comp = materialize(pts.select("id", F.col("id").alias("comp")), "density-comp")
+    tree = edges.limit(0)
+    key = F.struct("w", "a", "b")
+    while True:
+        ca, cb = (comp.select(F.col("id").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
+        out = edges.join(ca, "a").join(cb, "b").filter("ca <> cb")
+        edges_out = out.select(F.col("ca").alias("comp"), key.alias("k")).unionByName(out.select(F.col("cb").alias("comp"), key.alias("k")))
+        best = materialize(edges_out.groupBy("comp").agg(F.min("k").alias("k")), "density-best")
+        now = pts.join(comp, "id").join(best.select("comp", F.col("k.w").alias("bw")), "comp", "left")
+        # an edge that no list has weighs at least as much as its ends' core distances and list ends
+        unsure = now.filter(F.col("bw").isNull() | (F.greatest("core", "reach") <= F.col("bw")))
+        asking = materialize(unsure.select("id", "v", "core", "comp", "blk"), "density-asking")
+        if asking.limit(1).count():
+            left = asking.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+            right = pts.join(comp, "id").select("id", "v", "core", "comp", F.col("blk").alias("other"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"))
+            more = left.groupBy("blk", "other").cogroup(right.groupBy("blk", "other")).applyInPandas(_lightest_out, _PAIR)
+            both = best.unionByName(more.select("comp", key.alias("k")))
+        else:
+            both = best
+        picked = materialize(both.groupBy("comp").agg(F.min("k").alias("k")).select("k.a", "k.b", "k.w").distinct(), "density-picked")
+        discard(best)
+        discard(asking)
+        if not picked.limit(1).count():
+            return tree
+        grown = materialize(tree.unionByName(picked), "density-tree")
+        joined = picked.join(ca, "a").join(cb, "b").select(F.col("ca").alias("src"), F.col("cb").alias("dst"))
+        merged = connected_components(joined).select(F.col("v").alias("comp"), F.col("comp").alias("new"))
+        later = materialize(comp.join(merged, "comp", "left").select("id", F.coalesce("new", "comp").alias("comp")), "density-comp")
+        discard(tree)
+        discard(comp)
+        tree, comp = grown, later
 
 
-def _cluster_depths(tree: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Depth of every cluster below the root by pointer jumping (log rounds)."""
-    st = tree.select("kl", "kc", F.col("pkl").alias("al"), F.col("pkc").alias("ac"), F.lit(1).alias("d"))
-    for _ in range(max_rounds):
-        hop = st.select(F.col("kl").alias("al"), F.col("kc").alias("ac"), F.col("al").alias("al2"),
-                        F.col("ac").alias("ac2"), F.col("d").alias("d2"))
-        nxt = st.join(hop, ["al", "ac"], "left")
-        at_root = F.col("al") < 0
-        nxt = materialize(nxt.select("kl", "kc",
-                                     F.when(at_root, F.col("al")).otherwise(F.col("al2")).alias("al"),
-                                     F.when(at_root, F.col("ac")).otherwise(F.col("ac2")).alias("ac"),
-                                     F.when(at_root, F.col("d")).otherwise(F.col("d") + F.col("d2")).alias("d")),
-                          "cluster-depth")
-        st = nxt
-        if st.filter(F.col("al") >= 0).limit(1).count() == 0:
-            break
-    return tree.join(st.select("kl", "kc", "d"), ["kl", "kc"])
-
-
-def _excess_of_mass(tree: DataFrame) -> DataFrame | None:
-    """EOM over the cluster tree (kl, kc, stab, pkl, pkc); returns selected
-    clusters with dense labels ordered by their smallest member id (= kc).
-
-    Rounds run over tree depth (deepest first, then top-down), not over levels.
+# -- hierarchy ----------------------------------------------------------------------
+
+class Merger:
+    """Components of the points joined so far, with the clusters they stand for.
+
+    A component below ``least`` points lists its members; a larger one has a
+    current cluster with the mass ``m`` (sum of 1/w at which points leave it)
+    and the value of the best selection below it (None for a leaf).
     """
-    t = materialize(_cluster_depths(tree), "cluster-depth")
-    depth = t.agg(F.max("d")).first()[0]
-    if depth is None:
-        return None
-    done = None  # (kl, kc, pkl, pkc, d, value, sel)
-    for dd in range(int(depth), 0, -1):
-        cur = t.filter(F.col("d") == dd)
-        if done is not None:
-            sub = (done.filter(F.col("d") == dd + 1).groupBy(F.col("pkl").alias("kl"), F.col("pkc").alias("kc"))
-                   .agg(F.sum("value").alias("sub")))
-            cur = cur.join(sub, ["kl", "kc"], "left")
+
+    def __init__(self, least: int, first_cluster: int = 0):
+        self.least, self.next = least, first_cluster
+        self.parent: dict[int, int] = {}
+        self.size: dict[int, int] = {}
+        self.members: dict[int, list[int]] = {}
+        self.cluster: dict[int, int] = {}
+        self.mass: dict[int, float] = {}
+        self.below: dict[int, float | None] = {}
+        self.joined: list[tuple[int, int]] = []  # point, first cluster
+        self.ended: list[tuple[int, int, bool]] = []  # cluster, parent, wins over its children
+
+    def find(self, x: int) -> int:
+        if x not in self.parent:
+            self.parent[x], self.size[x], self.members[x] = x, 1, [x]
+        root = x
+        while self.parent[root] != root:
+            root = self.parent[root]
+        while self.parent[x] != root:
+            self.parent[x], x = root, self.parent[x]
+        return root
+
+    def merge(self, edges: list[tuple[int, int]], weight: float) -> None:
+        """Join along all edges of one weight at once."""
+        roots = {self.find(x) for e in edges for x in e}
+        kin = {r: {r} for r in roots}
+        group = {r: r for r in roots}
+        for a, b in edges:
+            x, y = group[self.find(a)], group[self.find(b)]
+            if x != y:
+                if len(kin[x]) < len(kin[y]):
+                    x, y = y, x
+                for r in kin.pop(y):
+                    group[r] = x
+                    kin[x].add(r)
+        for parts in kin.values():
+            if len(parts) > 1:
+                self._join(sorted(parts), 1.0 / max(weight, _LEAST_WEIGHT))
+
+    def _join(self, parts: list[int], level: float) -> None:
+        big = [r for r in parts if self.size[r] >= self.least]
+        total = sum(self.size[r] for r in parts)
+        keep = min(parts)
+        loose = [p for r in parts if self.size[r] < self.least for p in self.members.pop(r)]
+        if not big and total < self.least:
+            self.members[keep] = loose
+        elif len(big) == 1:
+            c, mass, below = self.cluster.pop(big[0]), self.mass.pop(big[0]), self.below.pop(big[0])
+            self.cluster[keep], self.mass[keep], self.below[keep] = c, mass + len(loose) * level, below
+            self.joined += [(p, c) for p in loose]
         else:
-            cur = cur.withColumn("sub", F.lit(None).cast("double"))
-        wins = F.col("sub").isNotNull() & (F.col("sub") > F.col("stab"))
-        cur = cur.select("kl", "kc", "pkl", "pkc", "d",
-                         F.when(wins, F.col("sub")).otherwise(F.col("stab")).alias("value"),
-                         (~wins).alias("sel"))
-        done = cur if done is None else done.unionByName(cur)
-    done = materialize(done, "eom")
-    # top-down: a selected cluster hides every descendant (parents are one band up)
-    band = done.filter(F.col("d") == 1).select("kl", "kc", "sel", F.lit(False).alias("hidden"))
-    hidden = band
-    for dd in range(2, int(depth) + 1):
-        anc = band.select(F.col("kl").alias("pkl"), F.col("kc").alias("pkc"),
-                          (F.col("sel") | F.col("hidden")).alias("ph"))
-        band = (done.filter(F.col("d") == dd).join(anc, ["pkl", "pkc"], "left")
-                .select("kl", "kc", "sel", F.coalesce("ph", F.lit(False)).alias("hidden")))
-        band = materialize(band, "eom-hide")
-        hidden = hidden.unionByName(band)
-    chosen = hidden.filter(F.col("sel") & ~F.col("hidden"))
-    return chosen.withColumn("label", (F.dense_rank().over(Window.orderBy("kc")) - 1).cast("int"))
+            c, value = self.next, 0.0
+            self.next += 1
+            for r in big:
+                own = self.mass.pop(r) - self.size[r] * level
+                below = self.below.pop(r)
+                wins = below is None or own >= below
+                self.ended.append((self.cluster.pop(r), c, wins))
+                value += own if wins else below
+            self.cluster[keep], self.mass[keep], self.below[keep] = c, total * level, value if big else None
+            self.joined += [(p, c) for p in loose]
+        for r in parts:
+            self.parent[r] = keep
+        self.size[keep] = total
+
+    def run(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
+        order = np.lexsort((b, a, w))
+        a, b, w = a[order], b[order], w[order]
+        cuts = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else []
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(w)) if len(w) else [], strict=True):
+            self.merge(list(zip(a[lo:hi].tolist(), b[lo:hi].tolist(), strict=True)), float(w[lo]))
+
+    def roots(self) -> list[int]:
+        return [x for x, p in self.parent.items() if x == p]
+
+
+_STATE = "comp bigint, size bigint, members array<bigint>, cluster bigint, mass double, below double"
+_OUT = _STATE + ", kind string, old bigint"
+
+
+def _merge_band(least: int, first_cluster: int):
+    """All edges of a band with the state of the components they touch -> the new state, and what happened."""
+
+    def run(edges: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        m = Merger(least, first_cluster)
+        for r in state.itertuples(index=False):
+            m.parent[r.comp], m.size[r.comp] = r.comp, int(r.size)
+            if r.size < least:
+                m.members[r.comp] = [int(x) for x in r.members]
+            else:
+                m.cluster[r.comp], m.mass[r.comp], m.below[r.comp] = int(r.cluster), r.mass, None if pd.isna(r.below) else r.below
+        m.run(edges["a"].to_numpy(), edges["b"].to_numpy(), edges["w"].to_numpy())
+        rows = [(r, m.size[r], m.members.get(r), m.cluster.get(r), m.mass.get(r), m.below.get(r), "state", None) for r in m.roots()]
+        rows += [(m.find(x), None, None, None, None, None, "moved", x) for x in list(m.parent) if m.find(x) != x]
+        rows += [(p, None, None, c, None, None, "joined", None) for p, c in m.joined]
+        rows += [(p, int(wins), None, c, None, None, "ended", None) for c, p, wins in m.ended]
+        out = pd.DataFrame(rows, columns=["comp", "size", "members", "cluster", "mass", "below", "kind", "old"])
+        return out.astype({"comp": "Int64", "size": "Int64", "cluster": "Int64", "old": "Int64", "mass": "float64", "below": "float64"})
+
+    return run
+
+
+def hierarchy(tree: DataFrame, min_cluster_size: int = MIN_CLUSTER_SIZE, band_edges: int = BAND_EDGES) -> tuple[DataFrame, DataFrame]:
+    """(point -> first cluster, cluster -> parent and wins) of a spanning tree's edges; the root has no row of its own."""
+    spark = tree.sparkSession
+    rest = materialize(tree.select("a", "b", F.col("w").cast("double").alias("w")), "band-edges")
+    state = spark.createDataFrame([], _STATE)
+    joined = spark.createDataFrame([], "id bigint, cluster bigint")
+    ended = spark.createDataFrame([], "cluster bigint, parent bigint, wins boolean")
+    first_cluster = 0
+    while True:
+        left = rest.count()
+        if not left:
+            return joined, ended
+        top = None
+        if left > band_edges:  # a band never cuts edges of equal weight
+            top = rest.orderBy("w").limit(band_edges).agg(F.max("w")).first()[0]
+        band = rest if top is None else rest.filter(F.col("w") <= F.lit(top))
+        touched = band.select(F.col("a").alias("comp")).union(band.select(F.col("b").alias("comp"))).distinct()
+        one = F.lit(0).alias("g")
+        done = materialize(band.select("a", "b", "w", one).groupBy("g").cogroup(state.join(touched, "comp", "left_semi").select("*", one).groupBy("g"))
+                           .applyInPandas(_drop_group(_merge_band(min_cluster_size, first_cluster)), _OUT), "band-merged")
+        moved = done.filter("kind = 'moved'").select("old", F.col("comp").alias("new"))
+        joined = materialize(joined.unionByName(done.filter("kind = 'joined'").select(F.col("comp").alias("id"), "cluster")), "band-joined")
+        ended = materialize(ended.unionByName(done.filter("kind = 'ended'").select("cluster", F.col("comp").alias("parent"), (F.col("size") == 1).alias("wins"))), "band-ended")
+        if top is None:
+            return joined, ended
+        state = materialize(state.join(touched, "comp", "left_anti").unionByName(done.filter("kind = 'state'").drop("kind", "old")), "band-state")
+        top_cluster = done.agg(F.max(F.when(F.col("kind").isin("state", "joined"), F.col("cluster"))), F.max(F.when(F.col("kind") == "ended", F.col("comp")))).first()
+        first_cluster = max([first_cluster, *(int(x) + 1 for x in top_cluster if x is not None)])
+        rest = rest.filter(F.col("w") > F.lit(top))
+        for end in ("a", "b"):
+            rest = rest.join(moved.withColumnRenamed("old", end), end, "left").withColumn(end, F.coalesce("new", end)).drop("new")
+        rest = materialize(rest.select("a", "b", "w"), "band-edges")
+
+
+def _drop_group(run):
+    return lambda edges, state: run(edges.drop(columns="g"), state.drop(columns="g"))
+
+
+def _topmost_winner(ended: DataFrame) -> DataFrame:
+    """(cluster, chosen): the topmost winning cluster at or above each cluster; null if none wins."""
+    at = materialize(ended.select("cluster", F.col("parent").alias("up"), F.when(F.col("wins"), F.col("cluster")).alias("best")), "winner")
+    while True:
+        hop = at.select(F.col("cluster").alias("up"), F.col("up").alias("up2"), F.col("best").alias("best2"))
+        # a winner farther up hides those below it; the root has no row, so its children stop there
+        step = materialize(at.join(hop, "up", "left").select("cluster", F.col("up2").alias("up"), F.coalesce("best2", "best").alias("best")), "winner")
+        discard(at)
+        at = step
+        if not at.filter(F.col("up").isNotNull()).limit(1).count():
+            return at.select("cluster", F.col("best").alias("chosen"))
+
+
+def density_clusters(points: DataFrame, min_cluster_size: int = MIN_CLUSTER_SIZE,
+                     min_samples: int = MIN_SAMPLES, k: int | None = None, id_col: str = "id",
+                     vec_col: str = "v", band_edges: int = BAND_EDGES) -> DataFrame:
+    """(id, cluster) with cluster -1 for noise."""
+    ensure_checkpoint_dir(points.sparkSession)
+    ids = points.select(F.col(id_col).cast("long").alias("id"))
+    joined, ended = hierarchy(spanning_tree(points, min_samples, k, id_col, vec_col), min_cluster_size, band_edges)
+    chosen = _topmost_winner(ended).filter(F.col("chosen").isNotNull())
+    members = materialize(joined.join(chosen, "cluster").select("id", "chosen"), "density-members")
+    first = members.groupBy("chosen").agg(F.min("id").alias("first_id"))
+    labels = dense_index(first, "first_id", "label")
+    return (ids.join(members.join(labels, "chosen").select("id", "label"), "id", "left")
+            .select("id", F.coalesce("label", F.lit(-1)).cast("int").alias("cluster")))
 
 
 def cluster_summary(labels: DataFrame) -> DataFrame:

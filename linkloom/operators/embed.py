@@ -5,56 +5,47 @@
 ``batch_size`` texts and returns unit vectors.  Parallelism is the number of
 partitions; nothing passes through the driver.
 
-The default model is offline and deterministic: signed feature hashing of
-word tokens into ``dim`` buckets, masked mean pooling and L2 normalisation --
-the same pooling contract a transformer encoder is used with.  It reads every
-token of a text; ``max_tokens`` exists only to mimic a model's context limit
-when a caller asks for it.
+``hashed_vectors`` is the offline, deterministic default model in columns:
+signed feature hashing of all word tokens into ``dim`` buckets and L2
+normalisation, without Python.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkloom.functions.text import text_or_empty
+from linkloom.functions.vectors import l2_normalize
 
 BATCH_SIZE = 128
-MAX_TOKENS = 512       # context limit of the analyses' text model (opt-in here)
-TAG_MAX_TOKENS = 128   # context limit used for tag texts (opt-in here)
 DEFAULT_DIM = 64
 
-_WORD = re.compile(r"\w+", re.UNICODE)
 _MODELS: dict = {}
 
 
-class HashingEncoder:
-    """Signed feature-hashing encoder: text -> unit vector of size ``dim``."""
+def hashed_vectors(df: DataFrame, text_col: str = "title", id_col: str = "id", dim: int = DEFAULT_DIM) -> DataFrame:
+    """The offline default model in columns: (id, dim, x) with 1-based dims, unit length per id.
 
-    def __init__(self, dim: int = DEFAULT_DIM, max_tokens: int | None = None, seed: int = 0):
-        self.dim, self.max_tokens, self.seed = dim, max_tokens, seed
-
-    def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), dtype=np.float64)
-        for i, t in enumerate(texts):
-            toks = _WORD.findall(t.lower())[: self.max_tokens]
-            if not toks:
-                continue
-            h = np.fromiter((xxhash.xxh64_intdigest(w, seed=self.seed) for w in toks), dtype=np.uint64,
-                            count=len(toks))
-            idx = (h % np.uint64(self.dim)).astype(np.int64)
-            sign = np.where((h >> np.uint64(63)) == 1, -1.0, 1.0)
-            np.add.at(out[i], idx, sign)
-            out[i] /= max(len(toks), 1e-9)  # masked mean over real tokens
-        norms = np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
-        return (out / norms).astype(np.float32)
+    Signed feature hashing: a token's md5 gives its bucket (first eight hex
+    digits) and its sign (ninth); sums per bucket are partially aggregated, so a
+    text of any length leaves its task as at most ``dim`` rows.  A text without
+    tokens is the zero vector.
+    """
+    words = F.split(F.regexp_replace(F.lower(text_or_empty(F.col(text_col))), r"[^\p{L}\p{N}]+", " "), " ")
+    d = df.select(F.col(id_col).alias("id"), F.explode(F.filter(words, lambda w: w != "")).alias("w")).withColumn("h", F.md5("w"))
+    bucket = F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
+    sign = F.when(F.conv(F.substring("h", 9, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
+    sums = d.groupBy("id", bucket.alias("b")).agg(F.sum(sign).alias("s"))
+    wide = sums.groupBy("id").agg(F.collect_list(F.struct("b", "s")).alias("e"))  # at most dim entries
+    axis = F.sequence(F.lit(0), F.lit(dim - 1))
+    value = F.transform(axis, lambda k: F.aggregate("e", F.lit(0).cast("bigint"), lambda a, x: a + F.when(x["b"] == k, x["s"]).otherwise(0)).cast("double"))
+    rows = df.select(F.col(id_col).alias("id")).join(wide, "id", "left").withColumn("e", F.coalesce("e", F.array().cast("array<struct<b:int,s:bigint>>")))
+    return rows.select("id", F.posexplode(l2_normalize(value)).alias("dim", "x")).withColumn("dim", F.col("dim") + 1)
 
 
 def _model(factory: Callable[[], object], key: str):
@@ -66,9 +57,15 @@ def _model(factory: Callable[[], object], key: str):
 
 def embed_texts(df: DataFrame, text_col: str = "title", id_col: str = "id",
                 model_factory: Callable[[], object] | None = None, batch_size: int = BATCH_SIZE,
-                out_col: str = "embedding", model_key: str = "hashing-64") -> DataFrame:
-    """(id, text) -> (id, embedding ARRAY<FLOAT>); null text is embedded as ``''``."""
-    factory = model_factory or (lambda: HashingEncoder())
+                out_col: str = "embedding", model_key: str = "model") -> DataFrame:
+    """(id, text) -> (id, embedding ARRAY<FLOAT>); null text is embedded as ``''``.
+
+    Without a ``model_factory`` the vectors are ``hashed_vectors``.
+    """
+    if model_factory is None:
+        parts = hashed_vectors(df, text_col, id_col).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("p"))
+        return parts.select(F.col("id").alias(id_col), F.transform("p", lambda e: e["x"]).cast("array<float>").alias(out_col))
+    factory = model_factory
     src = df.select(F.col(id_col).alias("_id"), text_or_empty(F.col(text_col)).alias("_text"))
     schema = T.StructType([T.StructField("_id", df.schema[id_col].dataType),
                            T.StructField(out_col, T.ArrayType(T.FloatType()))])

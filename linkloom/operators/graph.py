@@ -10,51 +10,52 @@ Parquet tables written to the shared checkpoint folder (never local storage).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.session import ensure_checkpoint_dir, materialize
+from linkloom.operators.common import sized_broadcast
+from linkloom.session import discard, ensure_checkpoint_dir, materialize
 
 
 def dense_index(df: DataFrame, order_col: str | None = None, out_col: str = "idx") -> DataFrame:
     """Add a dense 0..n-1 index without a single-partition sort.
 
-    Per-partition row counts (one small row per partition) give offsets; the
-    index is offset + position within the partition.  Deterministic for a
-    given input partitioning; with ``order_col`` rows are first range
-    partitioned and sorted by it.
+    The rows -- range partitioned and sorted by ``order_col`` if given -- are
+    written once together with their partition and their place in it; counts
+    and index are both taken from that table, so they can't disagree however
+    the partitioning would turn out a second time.  Offsets are running counts
+    over one row per partition.
     """
     src = df.repartitionByRange(order_col).sortWithinPartitions(order_col) if order_col else df
-    tagged = src.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    counts = sorted((int(r[0]), int(r[1]), int(r[2])) for r in
-                    tagged.groupBy("_pid").agg(F.count(F.lit(1)), F.min("_mid")).collect())
-    offsets, acc = {}, 0
-    for pid, n, first in counts:
-        offsets[pid] = (acc, first)
-        acc += n
-    base = F.create_map(*[x for pid, (o, f) in offsets.items() for x in (F.lit(pid), F.lit(o - f))]) \
-        if offsets else F.create_map()
-    return tagged.withColumn(out_col, (F.col("_mid") + F.element_at(base, F.col("_pid"))).cast("long")) \
-        .drop("_pid", "_mid")
+    place = F.monotonically_increasing_id()  # partition above bit 33, row below
+    rows = materialize(src.withColumn("_mid", place), "dense-index")
+    pid, at = F.shiftright("_mid", 33), F.col("_mid").bitwiseAND((1 << 33) - 1)
+    counts = rows.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return (rows.withColumn("_pid", pid).join(sized_broadcast(offsets), "_pid")
+            .withColumn(out_col, (F.col("_base") + at).cast("long")).drop("_pid", "_mid", "_base"))
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
                          part_cols: list[str] | None = None, vertices: DataFrame | None = None,
-                         max_iter: int = 200, checkpoint_every: int = 1) -> DataFrame:
+                         max_iter: int = 200) -> DataFrame:
     """(vertex, *part_cols, comp) where comp = smallest vertex id of its component.
 
     ``edges`` are undirected; vertices default to the edge endpoints.  Isolated
-    vertices given in ``vertices`` keep their own id.
+    vertices given in ``vertices`` keep their own id.  Rounds go on until no
+    label changes; not getting there in ``max_iter`` rounds is an error.
     """
     parts = part_cols or []
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"), *parts)
     e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), *parts)).distinct()
+    e = materialize(e, "cc-edges")
     v = e.select(F.col("a").alias("v"), *parts).distinct()
     if vertices is not None:
         v = v.unionByName(vertices.select(F.col(vertices.columns[0]).alias("v"), *parts)).distinct()
-    lab = materialize(v.withColumn("comp", F.col("v")), "cc-init")
+    lab = last = materialize(v.withColumn("comp", F.col("v")), "cc-init")
     for it in range(max_iter):
         m = (e.join(lab.withColumnRenamed("v", "a"), ["a", *parts])
              .groupBy(F.col("b").alias("v"), *parts).agg(F.min("comp").alias("m")))
@@ -63,12 +64,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
         hop = l1.select(F.col("v").alias("c1"), *parts, F.col("c1").alias("c2"))
         l2 = (l1.join(hop, ["c1", *parts], "left")
               .select("v", *parts, F.least("c1", F.coalesce("c2", "c1")).alias("comp"), "c0"))
-        l2 = materialize(l2, "cc-round") if (it + 1) % checkpoint_every == 0 else l2
+        l2 = materialize(l2, "cc-round")
         changed = l2.filter(F.col("comp") != F.col("c0")).limit(1).count()
-        lab = l2.drop("c0")
+        discard(last)
+        lab, last = l2.drop("c0"), l2
         if changed == 0:
-            break
-    return lab
+            return lab
+    raise RuntimeError(f"components still changed after {max_iter} rounds")
 
 
 def minimum_spanning_forest(edges: DataFrame, src: str = "a", dst: str = "b", weight: str = "w",
@@ -97,13 +99,11 @@ def minimum_spanning_forest(edges: DataFrame, src: str = "a", dst: str = "b", we
         picked = materialize(both.groupBy("c").agg(F.min("k").alias("k"))
                              .select("k.a", "k.b", "k.w").distinct(), "msf-picked")
         if picked.limit(1).count() == 0:
-            break
+            return forest if forest is not None else e.limit(0)
         forest = picked if forest is None else materialize(forest.unionByName(picked), "msf-forest")
         # merge components along the picked edges (on component ids)
         pc = (picked.join(ca, "a").join(cb, "b").select(F.col("ca").alias("src"), F.col("cb").alias("dst")))
         merged = connected_components(pc).select(F.col("v").alias("comp"), F.col("comp").alias("new"))
         comp = materialize(comp.join(merged, "comp", "left")
                            .select("v", F.coalesce("new", "comp").alias("comp")), "msf-comp")
-    if forest is None:
-        return e.limit(0)
-    return forest
+    raise RuntimeError(f"components left to join after {max_rounds} rounds")

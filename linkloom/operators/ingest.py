@@ -24,27 +24,43 @@ from linkloom.schemas import ITEM_SCHEMA, POST_COLUMNS, POST_SCHEMA, POST_TEXT_S
 from linkloom.sources.tables import post_from_item
 
 BATCH_SIZE = 200           # ids per harvest batch
-CONCURRENCY = 40           # fetches in flight per harvest
-FLUSH_EVERY = 50
 
 
 def id_batches(spark: SparkSession, start_id: int, batch_size: int = BATCH_SIZE) -> DataFrame:
-    """SRC1: ids ``start_id .. 1`` with ``batch = (start - id) div batch_size``,
-    hash-partitioned by batch so each fetch task gets whole batches."""
+    """SRC1 + WIN6: ids ``start_id .. 1`` with ``batch = (start - id) div batch_size`` and ``position``, the id's
+    place in its batch when ids are walked downwards; ``partition_fetch`` deals them out by batch."""
     ids = spark.range(1, start_id + 1).select(F.col("id"))
-    return ids.withColumn("batch", F.floor((F.lit(start_id) - F.col("id")) / batch_size).cast("long"))
+    down = F.lit(start_id) - F.col("id")
+    return ids.withColumn("batch", F.floor(down / batch_size).cast("long")).withColumn("position", (down % batch_size).cast("int"))
 
 
 def partition_fetch(ids: DataFrame, fetch: Callable[[list[int]], list[dict | None]],
-                    partitions: int | None = None) -> DataFrame:
-    """SRC3: fetch items for ``ids`` with a caller-supplied function, one call
-    per Arrow batch; failed or missing items (None) are dropped, items without
-    ``time`` too (SRC2).  Parallelism = number of partitions."""
-    src = ids.repartition(partitions, "batch") if partitions else ids
+                    partitions: int | None = None, batch_size: int = BATCH_SIZE, failed=None) -> DataFrame:
+    """SRC3: fetch items for ``ids`` with a caller-supplied function, at most
+    ``batch_size`` ids a call, batches whole and walked downwards.  A call that
+    raises is repeated id by id, so one failing id loses only itself; ``failed``
+    (an accumulator) counts those.  Missing items (None) and items without
+    ``time`` (SRC2) are dropped.  Parallelism = number of partitions."""
+    src = (ids.repartition(partitions, "batch") if partitions else ids.repartition("batch")).sortWithinPartitions("batch", F.desc("id"))
+
+    def one_by_one(wanted: list[int]) -> Iterator[dict | None]:
+        for i in wanted:
+            try:
+                yield from fetch([i])
+            except Exception:  # noqa: BLE001 - whatever the caller's function raises costs this id only
+                if failed is not None:
+                    failed.add(1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            items = [it for it in fetch([int(i) for i in pdf["id"]]) if it and it.get("time") is not None]
+            items = []
+            for at in range(0, len(pdf), batch_size):
+                wanted = [int(i) for i in pdf["id"].iloc[at:at + batch_size]]
+                try:
+                    found = list(fetch(wanted))
+                except Exception:  # noqa: BLE001
+                    found = list(one_by_one(wanted))
+                items += [it for it in found if it and it.get("time") is not None]
             out = pd.DataFrame([{f.name: it.get(f.name) for f in ITEM_SCHEMA.fields} for it in items],
                                columns=[f.name for f in ITEM_SCHEMA.fields])
             yield out
@@ -135,10 +151,10 @@ def ingest_meter(df: DataFrame, name: str = "ingest"):
 def resume_bound(spark: SparkSession, sink: str) -> int | None:
     """SRC5 batch form: the smallest id already in the post sink (harvest
     continues strictly below it); None when the sink is empty or absent."""
-    try:
-        v = spark.read.parquet(sink).agg(F.min("id")).first()[0]
-    except Exception:  # noqa: BLE001 - no sink yet
-        return None
+    from linkloom.streaming.ingest import sink_or_none
+
+    held = sink_or_none(spark, sink)
+    v = None if held is None else held.agg(F.min("id")).first()[0]
     return None if v is None else int(v)
 
 

@@ -8,20 +8,19 @@ per-document L2 norm over in-vocabulary terms -> sum per term -> top-k.
 Plan shape: term counts per document are computed inside the row (sorted
 tokens, run lengths), so the first shuffle is the per-term statistics with map-side partial
 aggregation.  The idf table is bounded by ``max_features`` and broadcast.  The
-per-document norm is a window partitioned by document id (one shuffle of the
-token rows), then a final partially-aggregated sum per term.
+per-document norm is a window partitioned by document id over rows that were dealt out by id before
+they were exploded (one shuffle of per-document rows), then a final partially-aggregated sum per term.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import clean_title, title_tokens
+from linkloom.operators.common import sized_broadcast
 from linkloom.operators.profiles import drop_missing
+from linkloom.session import materialize
 
 MAX_FEATURES = 50_000
 TOP_K = 50
@@ -119,16 +118,18 @@ def keyword_scores(posts: DataFrame, max_features: int = MAX_FEATURES,
                    title_col: str = "title") -> DataFrame:
     """AGG7: (term, tfidf) = sum over documents of the L2-normalised tf*idf."""
     # three actions (count, vocabulary, scores) reuse the per-document term
-    # counts: keep those -- distinct non-stop terms, far smaller than the texts
-    # -- so the regex cleaning runs once and no copy of the corpus is cached
-    per_doc = doc_term_arrays(keyword_docs(posts, id_col, title_col), stop_words) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    # counts: write those -- distinct non-stop terms, far smaller than the texts
+    # -- so the regex cleaning runs once and no copy of the corpus is kept
+    per_doc = materialize(doc_term_arrays(keyword_docs(posts, id_col, title_col), stop_words), "term-counts")
     n_docs = per_doc.count()
     dt = explode_terms(per_doc)
-    stats = term_stats(dt).persist(StorageLevel.MEMORY_AND_DISK)
+    stats = materialize(term_stats(dt), "term-stats")
     vocab = cap_vocabulary(stats, max_features)
     idf = idf_table(vocab, n_docs)
-    w = dt.join(F.broadcast(idf), "term", "inner").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    # a document's terms come from one row: deal the rows out by id once, before they are exploded, and
+    # the norm's window needs no shuffle of (document, term) rows
+    dealt = explode_terms(per_doc.repartition("id"))
+    w = dealt.join(sized_broadcast(idf), "term", "inner").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     return (w.select("term", (F.col("w") / norm).alias("wn"))
             .groupBy("term").agg(F.sum("wn").alias("tfidf")))
@@ -140,8 +141,3 @@ def keyword_ranking(posts: DataFrame, k: int = TOP_K, max_features: int = MAX_FE
     """WIN2: top-k terms by TF-IDF mass, ties by term."""
     s = keyword_scores(posts, max_features, stop_words, id_col, title_col)
     return s.orderBy(F.col("tfidf").desc(), F.col("term").asc()).limit(k)
-
-
-def smoothed_idf(n_docs: int, df: int) -> float:
-    """Scalar form of AGG6 for tests."""
-    return math.log((1 + n_docs) / (1 + df)) + 1.0

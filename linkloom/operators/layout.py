@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from linkloom.operators.graph import dense_index
 from linkloom.operators.knn import knn_exact
 from linkloom.operators.vectors import zscore
-from linkloom.session import ensure_checkpoint_dir, materialize
+from linkloom.session import discard, ensure_checkpoint_dir, materialize
 
 PCA_COMPONENTS = 30
 CLUSTER_DIMS, CLUSTER_NEIGHBORS, CLUSTER_MIN_DIST = 10, 30, 0.0
@@ -151,7 +151,7 @@ def _clip(c: Column) -> Column:
 
 def layout(points: DataFrame, edges: DataFrame, init_col: str, n_components: int = VIEW_DIMS,
            min_dist: float = VIEW_MIN_DIST, n_epochs: int = 50, negative_samples: int = NEGATIVE_SAMPLES,
-           seed: int = SEED, cut_every: int = 1, id_col: str = "id") -> DataFrame:
+           seed: int = SEED, id_col: str = "id") -> DataFrame:
     """ML6: (id, x0..x{D-1}) after ``n_epochs`` full-batch epochs.
 
     ``init_col`` holds an array whose first ``n_components`` entries start the
@@ -168,10 +168,11 @@ def layout(points: DataFrame, edges: DataFrame, init_col: str, n_components: int
     p = p.select("id", *[(F.lit(10.0) * (F.col(c) - st[f"mn{c}"]) /
                           F.lit(max(st[f"mx{c}"] - st[f"mn{c}"], 1e-12))).alias(c) for c in ys])
     p = materialize(dense_index(p, "id"), "layout-init")
-    n = p.count()
+    last, n = p, p.count()
     e = edges.select(F.col("a").alias("i"), F.col("b").alias("j"), "w")
-    e = materialize(e.unionByName(e.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")), "layout-edges")
+    e = e.unionByName(e.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
     deg = e.groupBy("i").agg(F.sum("w").alias("W"))
+    e = materialize(e.join(deg, "i").select("i", "j", (F.col("w") / F.col("W")).alias("w")), "layout-edges")
     for ep in range(n_epochs):
         alpha = 1.0 - ep / n_epochs
         pi = p.select(F.col("id").alias("i"), *[F.col(c).alias(f"a_{c}") for c in ys])
@@ -189,11 +190,11 @@ def layout(points: DataFrame, edges: DataFrame, init_col: str, n_components: int
         gr = 2.0 * b / ((0.001 + d2) * (a * F.pow(d2, b) + 1.0))
         rep = rep.select("i", *[(_clip(gr * (F.col(f"a_{c}") - F.col(f"b_{c}"))) / negative_samples)
                                 .alias(f"g_{c}") for c in ys])
-        grads = (att.join(deg, "i").select("i", *[(F.col(f"g_{c}") / F.col("W")).alias(f"g_{c}") for c in ys])
-                 .unionByName(rep).groupBy("i").agg(*[F.sum(f"g_{c}").alias(f"g_{c}") for c in ys]))
+        grads = (att.unionByName(rep).groupBy("i").agg(*[F.sum(f"g_{c}").alias(f"g_{c}") for c in ys]))
         p = (p.join(grads.withColumnRenamed("i", "id"), "id", "left")
              .select("id", "idx", *[(F.col(c) + F.lit(alpha) * _clip(F.coalesce(F.col(f"g_{c}"), F.lit(0.0))))
                                     .alias(c) for c in ys]))
-        if (ep + 1) % cut_every == 0 or ep == n_epochs - 1:
-            p = materialize(p, "layout-epoch")
+        now = materialize(p, "layout-epoch")
+        discard(last)
+        p = last = now
     return p.select(F.col("id").alias(id_col), *[F.col(ys[k]).alias(f"x{k}") for k in range(D)])

@@ -9,21 +9,20 @@ Scale notes
   so the suffix-candidate explosion is paid per host, not per post.
 * Top-k uses ``orderBy(...).limit(k)`` which plans as TakeOrderedAndProject
   (per-task top-k, then a k-row merge) -- no global sort.
-* Exact quartiles use Spark's ``percentile`` aggregate, whose buffer is a
-  value -> count map: memory grows with the number of *distinct* values per
-  group (scores are small integers), not with rows, and it is partially
-  aggregated map-side.  ``approx=True`` switches to ``percentile_approx``
-  (bounded sketch) for high-cardinality doubles.
+* Exact quartiles count rows per (group, value) and find the ranks on running
+  counts over value ranges, so no task holds a group's values.  ``approx=True``
+  switches to ``percentile_approx`` (bounded sketch).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import na_to_null
 from linkloom.functions.timefn import hour_of, weekday_of
-from linkloom.functions.urls import registrable_labels, suffix_host, suffix_rules_df, url_host
+from linkloom.functions.urls import registrable_labels, suffix_host, url_host
+from linkloom.session import materialize
 
 HIGH_SCORE_BAR = 200  # fixed value: a post with >= 200 points is "high score"
 TOP_K = 50
@@ -55,14 +54,11 @@ def host_ranking(posts: DataFrame, bar: int = 0, k: int = TOP_K) -> DataFrame:
     return top_k(counts, "high_score_posts", "domain", k)
 
 
-def domain_ranking(posts: DataFrame, bar: int = 0, k: int = TOP_K,
-                   rules: DataFrame | None = None) -> DataFrame:
+def domain_ranking(posts: DataFrame, rules: DataFrame, bar: int = 0, k: int = TOP_K) -> DataFrame:
     """Top-k registrable labels (SCL8) among posts with score >= bar (DR analysis).
 
     Columns: domain, high_score_posts.
     """
-    spark = posts.sparkSession
-    rules = rules if rules is not None else suffix_rules_df(spark)
     p = drop_missing(posts, ["url", "score"]).filter(F.col("score") >= bar)
     per_host = (p.select(suffix_host(F.col("url")).alias("host"))
                 .groupBy("host").agg(F.count(F.lit(1)).alias("n")))
@@ -112,19 +108,36 @@ def time_pivot(posts: DataFrame, high: bool, ts_col: str = "ts", score_col: str
 
 def five_number_summary(df: DataFrame, value_col: str, by: list[str] | None = None,
                         approx: bool = False, accuracy: int = 10_000) -> DataFrame:
-    """AGG11: n, min, q1, median, q3, max per group (nulls excluded).
+    """AGG11: n, min, q1, median, q3, max per group (nulls excluded; a group of nulls has n 0).
 
-    Quartiles are linearly interpolated (exact ``percentile``); a group with
-    no values gives nulls.
+    Quartiles are linearly interpolated and exact: rows are counted per (group,
+    value), the counts are range-partitioned by value, running counts go over
+    partitions first and within them next, and each quartile picks the two
+    values its rank falls between.  No buffer ever holds a group's values.
     """
+    by = by or []
     v = F.col(value_col)
     if approx:
-        qs = F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy)
-    else:
-        qs = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    aggs = [F.count(v).alias("n"), F.min(v).alias("min"), qs.alias("_q"), F.max(v).alias("max")]
-    g = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-    return g.select(*(by or []), "n", "min",
-                    F.col("_q")[0].cast("double").alias("q1"),
-                    F.col("_q")[1].cast("double").alias("median"),
-                    F.col("_q")[2].cast("double").alias("q3"), "max")
+        aggs = [F.count(v).alias("n"), F.min(v).alias("min"), F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy).alias("_q"), F.max(v).alias("max")]
+        g = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+        return g.select(*by, "n", "min", *[F.col("_q")[i].cast("double").alias(q) for i, q in enumerate(("q1", "median", "q3"))], "max")
+    keys = [F.col(c) for c in by]
+    basic = df.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"))
+    counts = df.filter(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = materialize(counts.repartitionByRange("_v").withColumn("_p", F.spark_partition_id()), "value-counts")
+    parts = counts.groupBy(*by, "_p").agg(F.sum("_c").alias("_s"))
+    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*by, "_p", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"), F.sum("_s").over(Window.partitionBy(*by)).alias("_n"))
+    within = Window.partitionBy(*by, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    same = lambda a, b, names: [a[c].eqNullSafe(b[c]) for c in names]
+    x = counts.withColumn("_run", F.sum("_c").over(within))
+    x = x.join(parts, same(x, parts, [*by, "_p"])).select(*[x[c] for c in by], "_v", "_c", (F.col("_base") + F.col("_run")).alias("_to"), "_n")
+    picks = []
+    for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        rank = F.lit(q) * (F.col("_n") - 1)
+        holds = lambda r: (r >= F.col("_to") - F.col("_c")) & (r < F.col("_to"))
+        low, high = (F.max(F.when(holds(r), F.col("_v"))).cast("double") for r in (F.floor(rank), F.ceil(rank)))
+        picks.append((low + (high - low) * F.max(rank - F.floor(rank))).alias(name))
+    quartiles = x.groupBy(*by).agg(*picks)
+    out = basic.join(quartiles, same(basic, quartiles, by), "left") if by else basic.join(quartiles, F.lit(True), "left")
+    return out.select(*[basic[c] for c in by], "n", "min", "q1", "median", "q3", "max")

@@ -14,14 +14,14 @@ Scale notes
 
 from __future__ import annotations
 
-import json
-import math
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.schemas import POINT_SCHEMA
 from linkloom.operators.common import sized_broadcast
+from linkloom.operators.graph import dense_index
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -35,6 +35,7 @@ DOT_FRACTION = 0.22       # dot size as a fraction of the average pixel spacing
 DOT_MIN_PX = 1
 DOT_MAX_PX = 14
 VISIBLE_POINTS_CAP = 350_000
+ROWS_PER_FILE = 200_000   # a chunk folder's files hold about so many points
 PALETTE = [
     "#e6194B", "#3cb44b", "#ffe119", "#4363d8", "#f58231", "#911eb4", "#42d4f4", "#f032e6",
     "#bfef45", "#fabed4", "#469990", "#dcbeff", "#9A6324", "#fffac8", "#800000", "#aaffc3",
@@ -55,16 +56,15 @@ def raw_bounds(points: DataFrame) -> dict | None:
     return {k: float(r[k]) for k in ("x_min", "x_max", "y_min", "y_max")}
 
 
+def _widened(low: float, high: float, pad: float) -> tuple[float, float]:
+    margin = ((high - low) or 1.0) * pad
+    return low - margin, high + margin
+
+
 def pad_bounds(b: dict, pad: float = BOUNDS_PAD) -> dict:
-    """SCL23: zero range -> 1.0, then extend each side by ``pad`` x range."""
-    xr = b["x_max"] - b["x_min"]
-    yr = b["y_max"] - b["y_min"]
-    if xr == 0:
-        xr = 1.0
-    if yr == 0:
-        yr = 1.0
-    return {"x_min": b["x_min"] - xr * pad, "x_max": b["x_max"] + xr * pad,
-            "y_min": b["y_min"] - yr * pad, "y_max": b["y_max"] + yr * pad}
+    """SCL23: each axis grows by ``pad`` of its range on both sides; a range of zero counts as 1."""
+    (x0, x1), (y0, y1) = (_widened(b[f"{axis}_min"], b[f"{axis}_max"], pad) for axis in "xy")
+    return {"x_min": x0, "x_max": x1, "y_min": y0, "y_max": y1}
 
 
 def cell_index(v: Column, vmin: float, size: float, n: int = GRID_SIZE) -> Column:
@@ -161,15 +161,20 @@ def manifest_row(spark: SparkSession, points: DataFrame, names: DataFrame | None
 
 def write_chunks(points: DataFrame, out_dir: str, names: DataFrame | None = None,
                  grid_size: int = GRID_SIZE) -> dict | None:
-    """ML10 + SRC13 + SRC14: overwrite ``out_dir`` with partitioned chunk files
-    and then the manifest (manifest last, so readers never see a half run, Q1)."""
+    """ML10 + SRC13 + SRC14: partitioned chunk files in a folder of their own run, then the manifest
+    that names the folder.  Readers follow the manifest, so they see the old run or the new one and
+    never a mixture (Q1).  Rows are dealt out by cell and salt: a cell is a few files, not one from
+    every task, and a hot cell is written by many tasks."""
     spark = points.sparkSession
+    run = f"run-{uuid.uuid4().hex[:12]}"
     g = grid_params(points, grid_size)
     cells = assign_cells(points, g) if g is not None else points.limit(0).withColumn(
         "grid_x", F.lit(0)).withColumn("grid_y", F.lit(0))
-    (cells.select("id", "title", "cluster", "x", "y", "grid_x", "grid_y")
-     .write.mode("overwrite").partitionBy("grid_x", "grid_y").json(f"{out_dir}/chunks"))
-    man = manifest_row(spark, points, names, grid_size)
+    salts = max(1, cells.count() // ROWS_PER_FILE)
+    salt = F.pmod(F.xxhash64("id"), F.lit(salts))
+    (cells.select("id", "title", "cluster", "x", "y", "grid_x", "grid_y").repartition("grid_x", "grid_y", salt)
+     .write.mode("overwrite").partitionBy("grid_x", "grid_y").json(f"{out_dir}/{run}"))
+    man = manifest_row(spark, points, names, grid_size).withColumn("folder", F.lit(run))
     man.coalesce(1).write.mode("overwrite").json(f"{out_dir}/manifest")
     return g
 
@@ -177,11 +182,15 @@ def write_chunks(points: DataFrame, out_dir: str, names: DataFrame | None = None
 def read_chunks(spark: SparkSession, out_dir: str) -> DataFrame:
     """SRC15 + SET3: read the manifest and only the chunk folders it lists."""
     man = spark.read.json(f"{out_dir}/manifest")
-    files = [r["file"] for r in man.select(F.explode("chunks.file").alias("file")).collect()]
+    if "folder" not in man.columns:  # all points are noise: no chunk, no row
+        return spark.createDataFrame([], POINT_SCHEMA)
+    # at most grid_size^2 folder names
+    files = man.select("folder", F.explode("chunks.file").alias("file")).collect()
     if not files:
         return spark.createDataFrame([], POINT_SCHEMA)
-    paths = [f"{out_dir}/chunks/{f}" for f in files]
-    return (spark.read.option("basePath", f"{out_dir}/chunks").option("ignoreMissingFiles", "true")
+    base = f"{out_dir}/{files[0]['folder']}"
+    paths = [f"{base}/{r['file']}" for r in files]
+    return (spark.read.option("basePath", base)
             .schema("id long, title string, cluster int, x double, y double").json(paths)
             .select("id", "title", "cluster", "x", "y"))
 
@@ -207,22 +216,43 @@ def range_join(points: DataFrame, rects: DataFrame, origin: tuple[float, float],
                rect_cols=("fx_min", "fx_max", "fy_min", "fy_max"), max_cells_per_rect: int = 1 << 16) -> DataFrame:
     """JN6: points x rectangles with inclusive edges via grid buckets.
 
-    Each point falls in exactly one bucket; each rectangle is exploded to the
-    buckets it overlaps (capped in count per rectangle only by making the
-    bucket coarser, never by dropping pairs).  Pairs are found by an equi-join
-    on the bucket and the residual ``between`` test.
+    Each point falls in exactly one bucket; each rectangle, clamped to the
+    points' bounds, is exploded to the buckets it overlaps.  Buckets are made
+    coarser, for points and rectangles alike, until no rectangle overlaps more
+    than ``max_cells_per_rect`` of them, so no pair is dropped and a zoomed-out
+    rectangle stays bounded.  Pairs are found by an equi-join on the bucket and
+    the residual ``between`` test.
     """
+    bounds = raw_bounds(points)
+    if bounds is None:
+        return _without_rows(points, rects)
+    clamp = lambda c, lo, hi: F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi))
+    clamped = [clamp(rect_cols[0], bounds["x_min"], bounds["x_max"]), clamp(rect_cols[1], bounds["x_min"], bounds["x_max"]),
+               clamp(rect_cols[2], bounds["y_min"], bounds["y_max"]), clamp(rect_cols[3], bounds["y_min"], bounds["y_max"])]
+    area = rects.agg(F.max((clamped[1] - clamped[0]) / cell + 2).alias("w"), F.max((clamped[3] - clamped[2]) / cell + 2).alias("h")).first()
+    if area["w"] is None:
+        return _without_rows(points, rects)
+    while area["w"] * area["h"] > max_cells_per_rect:
+        cell *= 2
+        area = {"w": area["w"] / 2 + 1, "h": area["h"] / 2 + 1}
     x0, y0 = origin
     rx0, rx1, ry0, ry1 = [F.col(c) for c in rect_cols]
     bx = lambda v: F.floor((v - F.lit(x0)) / F.lit(cell)).cast("long")
     by = lambda v: F.floor((v - F.lit(y0)) / F.lit(cell)).cast("long")
-    r = rects.select("*", F.explode(F.sequence(bx(rx0), bx(rx1))).alias("bx")).select(
-        "*", F.explode(F.sequence(by(ry0), by(ry1))).alias("by"))
+    overlap = (rx0 <= bounds["x_max"]) & (rx1 >= bounds["x_min"]) & (ry0 <= bounds["y_max"]) & (ry1 >= bounds["y_min"]) & (rx0 <= rx1) & (ry0 <= ry1)
+    r = rects.filter(overlap).select("*", F.explode(F.sequence(bx(clamped[0]), bx(clamped[1]))).alias("bx")).select(
+        "*", F.explode(F.sequence(by(clamped[2]), by(clamped[3]))).alias("by"))
     p = points.select("*", bx(F.col("x")).alias("bx"), by(F.col("y")).alias("by"))
     j = p.join(r.drop(*[c for c in points.columns if c in r.columns]), ["bx", "by"], "inner")
     return j.filter(F.col("x").between(rx0, rx1) & F.col("y").between(ry0, ry1)).drop("bx", "by")
 
 
+def _without_rows(points: DataFrame, rects: DataFrame) -> DataFrame:
+    """The columns of a range join without rows."""
+    more = [F.lit(None).cast(f.dataType).alias(f.name) for f in rects.schema if f.name not in points.columns]
+    return points.limit(0).select("*", *more)
+
+
 def viewport_filter(points: DataFrame, views: DataFrame, cell: float | None = None,
                     selected_cluster: int | None = None) -> DataFrame:
     """FLT8 + FLT9 + JN6: points inside each view padded by 50 % per side."""
@@ -231,7 +261,7 @@ def viewport_filter(points: DataFrame, views: DataFrame, cell: float | None = No
     padded = pad_rect_cols(views)
     b = raw_bounds(points)
     if b is None:
-        return points.limit(0)
+        return _without_rows(points, padded)
     if cell is None:
         span = max(b["x_max"] - b["x_min"], b["y_max"] - b["y_min"], 1e-12)
         cell = span / 32.0
@@ -304,8 +334,7 @@ def density_raster(points: DataFrame, rect: dict, ppwu: float) -> DataFrame:
     cluster with most points (ties -> lowest cluster id) and its count."""
     inside = points.filter(F.col("x").between(rect["x_min"], rect["x_max"]) &
                            F.col("y").between(rect["y_min"], rect["y_max"]))
-    px = F.floor((F.col("x") - F.lit(rect["x_min"])) * F.lit(ppwu) + F.lit(0.5)).cast("long")
-    py = F.floor((F.col("y") - F.lit(rect["y_min"])) * F.lit(ppwu) + F.lit(0.5)).cast("long")
+    px, py = world_to_pixel(F.col("x"), rect["x_min"], ppwu), world_to_pixel(F.col("y"), rect["y_min"], ppwu)
     c = inside.groupBy(px.alias("px"), py.alias("py"), "cluster").agg(F.count(F.lit(1)).alias("n"))
     return (c.groupBy("px", "py")
             .agg(F.max_by(F.struct("n", (-F.col("cluster")).alias("nc"), "cluster"),
@@ -323,21 +352,12 @@ def cluster_lookup(points: DataFrame, clusters: DataFrame, base_url: str = "item
 
 def palette(clusters: DataFrame) -> DataFrame:
     """SCL25: colour = palette[(position in id order) mod 20]."""
-    pos = F.row_number().over(Window.orderBy("id")) - 1
     colours = F.array(*[F.lit(c) for c in PALETTE])
-    return clusters.select("id", F.pmod(pos, F.lit(len(PALETTE))).cast("int").alias("color_index")).select(
+    placed = dense_index(clusters.select("id"), "id", "pos")
+    return placed.select("id", F.pmod("pos", F.lit(len(PALETTE))).cast("int").alias("color_index")).select(
         "id", "color_index", F.element_at(colours, F.col("color_index") + 1).alias("color"))
 
 
-def manifest_json(row) -> str:
-    """Pretty JSON text of a collected manifest row (for small exports)."""
-    return json.dumps(row.asDict(recursive=True), indent=2)
-
-
 def world_to_pixel(v: Column, vmin: float, ppwu: float) -> Column:
     """SCL27: round((v - min) * ppwu) as the page does (half up)."""
     return F.floor((v - F.lit(vmin)) * F.lit(ppwu) + F.lit(0.5)).cast("long")
-
-
-def log2_ceil(r: float) -> int:
-    return int(math.ceil(math.log2(r)))

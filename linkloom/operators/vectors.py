@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from linkloom.functions.vectors import l2_normalize
 
-MAX_PROTOTYPES = 65_536  # rows of the broadcast prototype matrix
+PROTOTYPE_ROWS = 65_536  # rows of a broadcast block of prototypes
 
 
 def unit_vectors(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
@@ -84,42 +84,42 @@ def zscore(df: DataFrame, vec_col: str = "embedding", out_col: str = "scaled") -
                                              lambda y, s: y / s))
 
 
-def prototype_matrix(protos: DataFrame, idx_col: str, vec_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Collect a bounded prototype table (checked) as (indices, matrix)."""
-    n = protos.count()
-    if n > MAX_PROTOTYPES:
-        raise ValueError(f"{n} prototypes exceed the broadcast bound {MAX_PROTOTYPES}; "
-                         "use linkloom.operators.knn.knn_join for a nearest-prototype join")
-    rows = protos.select(idx_col, vec_col).orderBy(idx_col).collect()
-    idx = np.array([r[0] for r in rows], dtype=np.int64)
-    mat = np.array([r[1] for r in rows], dtype=np.float64)
-    return idx, mat
-
-
 def assign_labels(df: DataFrame, protos: DataFrame, vec_col: str = "embedding",
-                  idx_col: str = "tag_idx") -> DataFrame:
+                  idx_col: str = "tag_idx", block_rows: int = PROTOTYPE_ROWS) -> DataFrame:
     """ML2 = JN3 + SCL15 + SCL16: nearest prototype by dot product, first max wins.
 
-    Adds ``tag_idx`` (prototype index) and ``sim``.  The prototype matrix is
-    size-checked and shipped once per executor in a broadcast variable; each
-    Arrow batch is one matrix product.
+    Adds ``tag_idx`` (prototype index) and ``sim``.  Prototypes are broadcast in
+    blocks of ``block_rows`` in index order; each block is one pass of matrix
+    products over the vectors that keeps the best so far, so any number of
+    prototypes works in bounded memory and the vectors are never shuffled.
     """
-    spark = df.sparkSession
-    idx, mat = prototype_matrix(protos, idx_col, vec_col)
-    bc = spark.sparkContext.broadcast((idx, mat))
-
-    @F.pandas_udf(T.StructType([T.StructField("tag_idx", T.LongType()),
-                                T.StructField("sim", T.DoubleType())]))
-    def nearest(vecs: pd.Series) -> pd.DataFrame:
-        ids, m = bc.value
-        x = np.stack([np.asarray(v, dtype=np.float64) for v in vecs]) if len(vecs) else \
-            np.zeros((0, m.shape[1]))
-        sims = x @ m.T
+    out = df.withColumn("_t", F.lit(None).cast(T.StructType([T.StructField("tag_idx", T.LongType()), T.StructField("sim", T.DoubleType())])))
+    block: list = []
+    for row in protos.select(idx_col, vec_col).orderBy(idx_col).toLocalIterator():
+        block.append(row)
+        if len(block) == block_rows:
+            out, block = _nearest_so_far(out, block, vec_col), []
+    if block:
+        out = _nearest_so_far(out, block, vec_col)
+    return out.withColumn("tag_idx", F.col("_t.tag_idx")).withColumn("sim", F.col("_t.sim")).drop("_t")
+
+
+def _nearest_so_far(df: DataFrame, block: list, vec_col: str) -> DataFrame:
+    given = df.sparkSession.sparkContext.broadcast((np.array([r[0] for r in block], dtype=np.int64), np.array([r[1] for r in block], dtype=np.float64)))
+
+    @F.pandas_udf(df.schema["_t"].dataType)
+    def nearest(vecs: pd.Series, so_far: pd.DataFrame) -> pd.DataFrame:
+        ids, m = given.value
+        if not len(vecs):
+            return pd.DataFrame({"tag_idx": pd.Series([], dtype="int64"), "sim": pd.Series([], dtype="float64")})
+        sims = np.stack([np.asarray(v, dtype=np.float64) for v in vecs]) @ m.T
         best = np.argmax(sims, axis=1)  # first maximum wins
-        return pd.DataFrame({"tag_idx": ids[best], "sim": sims[np.arange(len(best)), best]})
+        out = pd.DataFrame({"tag_idx": ids[best], "sim": sims[np.arange(len(best)), best]})
+        old = so_far["sim"].to_numpy(dtype=np.float64) >= out["sim"].to_numpy()
+        out.loc[old, ["tag_idx", "sim"]] = so_far.loc[old, ["tag_idx", "sim"]].to_numpy()
+        return out.astype({"tag_idx": "int64"})
 
-    return (df.withColumn("_t", nearest(F.col(vec_col)))
-            .withColumn("tag_idx", F.col("_t.tag_idx")).withColumn("sim", F.col("_t.sim")).drop("_t"))
+    return df.withColumn("_t", nearest(F.col(vec_col), F.col("_t")))
 
 
 def tag_ranking(tagged: DataFrame, tag_col: str = "tag") -> DataFrame:

@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import clean_title
-from linkloom.functions.vectors import l2_normalize
+from linkloom.functions.urls import suffix_rules_df
+from linkloom.functions.vectors import l2_normalize, vec_to_json
 from linkloom.operators import blocklist as bl
 from linkloom.operators import embed as em
 from linkloom.operators import ingest as ig
 from linkloom.operators import density as dn
+from linkloom.operators import graph as gr
 from linkloom.operators import keywords as kw
 from linkloom.operators import layout as lo
 from linkloom.operators import knn
@@ -26,6 +28,7 @@ from linkloom.operators import naming as nm
 from linkloom.operators import profiles as pr
 from linkloom.operators import spatial as sp
 from linkloom.operators import vectors as vc
+from linkloom.operators.common import tolerant_int
 from linkloom.session import materialize, scratch_dir
 from linkloom.sources import tables as tb
 from linkloom.streaming import ingest as st
@@ -36,6 +39,8 @@ ROUND = 6
 # The inline blocklist of the fixture join queries.
 # ---------------------------------------------------------------------------
 FIXTURE_BLOCKLIST = ["spam-farm.example.org", "cheap-pills.example.com", "example.net"]
+# ICANN suffixes of the driver table's hosts; a user passes the public list.
+FIXTURE_SUFFIXES = ["com", "net", "org"]
 
 
 def _r(c):
@@ -53,7 +58,7 @@ def host_top50_high_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def domain_label_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pr.domain_ranking(tb.pages_as_posts(spark, sf_dir), bar=0, k=50)
+    return pr.domain_ranking(tb.pages_as_posts(spark, sf_dir), suffix_rules_df(spark, FIXTURE_SUFFIXES), bar=0, k=50)
 
 
 def blocklist_flag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,9 +207,7 @@ def core_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embed_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = tb.documents_as_posts(spark, sf_dir)
-    e = em.embed_texts(d, "title", "id")
-    from linkloom.functions.vectors import l2_norm
-    return e.select("id", F.size("embedding").alias("dims"), _r(l2_norm(F.col("embedding"))).alias("norm"))
+    return em.hashed_vectors(d, "title", "id").select("id", "dim", _r(F.col("x")).alias("x"))
 
 
 # -- reduction, graph layout, density clustering -----------------------------------
@@ -240,6 +243,24 @@ def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dn.density_clusters(p, dn.MIN_CLUSTER_SIZE, dn.MIN_SAMPLES, id_col="vec_id", vec_col="pca")
 
 
+def mutual_reachability_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML7 step 1: the neighbour graph's edges under mutual reachability."""
+    edges, _ = dn.mutual_reachability_edges(_emb(spark, sf_dir), MIN_SAMPLES, id_col="vec_id", vec_col="embedding")
+    return edges.select("a", "b", _r(F.col("w")).alias("w"))
+
+
+def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML8: components of the graph that joins every vector with its nearest neighbour."""
+    nearest = knn.knn_exact(_emb(spark, sf_dir), 1, "vec_id", "embedding", metric="euclidean")
+    return gr.connected_components(nearest, "id", "nbr").select(F.col("v").alias("id"), "comp")
+
+
+def spanning_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML8: the minimum spanning tree of all pairs under mutual reachability."""
+    tree = dn.spanning_tree(_emb(spark, sf_dir), MIN_SAMPLES, id_col="vec_id", vec_col="embedding")
+    return tree.select("a", "b", _r(F.col("w")).alias("w"))
+
+
 LAYOUT_EPOCHS = 30
 
 
@@ -367,7 +388,7 @@ def stories_until_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def id_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = tb.read_table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0]
     b = ig.id_batches(spark, int(start))
-    return b.groupBy("batch").agg(F.max("id").alias("batch_start"), F.min("id").alias("batch_end"),
+    return b.groupBy("batch").agg(F.max_by("id", -F.col("position")).alias("batch_start"), F.max_by("id", "position").alias("batch_end"),
                                   F.count(F.lit(1)).alias("n_ids"))
 
 
@@ -389,34 +410,94 @@ def post_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items land as NDJSON files (then a replay of some files); the stream
-    ingests them exactly once, de-duplicated, and the sink is read back."""
+    """Items land as NDJSON files in three steps -- new ids, new ids with replays, a late replay of all --
+    with a run of the stream on the same checkpoint after each; the sink is read back."""
     items = tb.events_as_items(spark, sf_dir).select(
         "id", "type", "by", "time", "title", F.col("score_value").cast("long").alias("score"), "descendants",
         "url", "text")
-    landing = scratch_dir(spark, "landing")
-    items.repartition(4, "id").write.mode("append").json(landing)
-    items.filter(F.col("type") == "story").repartition(2, "id").write.mode("append").json(landing)  # replay
-    sink, ckpt = scratch_dir(spark, "posts"), scratch_dir(spark, "ingest-ckpt")
-    st.run_ingest(spark, landing, sink, ckpt, max_files_per_trigger=2)
+    landing, sink, ckpt = (scratch_dir(spark, n) for n in ("landing", "posts", "ingest-ckpt"))
+    third = F.pmod(F.xxhash64("id"), F.lit(3))
+    for step in (third == 0, third <= 1, third <= 2):
+        items.filter(step).repartition(2, "id").write.mode("append").json(landing)
+        st.run_ingest(spark, landing, sink, ckpt, max_files_per_trigger=2)
     return spark.read.parquet(sink)
 
 
 def stream_time_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR4: weekday x hour x class counts maintained as streaming state over
-    landed items; written in complete mode to a memory sink so the final state
-    can be read back (an upsert sink would use update mode)."""
+    landed items; the counts so far replace a Parquet table after each micro-batch."""
     items = tb.events_as_items(spark, sf_dir).select(
         "id", "type", "by", "time", "title", F.col("score_value").cast("long").alias("score"), "descendants",
         "url", "text")
     landing = scratch_dir(spark, "cells-landing")
     items.repartition(3, "id").write.mode("append").json(landing)
     posts = tb.post_from_item(st.item_stream(spark, landing, max_files_per_trigger=1))
-    name = "cells_" + landing.rsplit("-", 1)[-1]
-    q = (st.time_cell_counts_stream(posts).writeStream.format("memory").queryName(name)
-         .outputMode("complete").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.table(name)
+    sink = scratch_dir(spark, "cells")
+    st.run_time_cells(posts, sink, scratch_dir(spark, "cells-ckpt"))
+    return spark.read.parquet(sink)
+
+
+def stream_post_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR4: every landed post of a stream with its blocklist flag, micro-batch by micro-batch."""
+    pages = tb.pages_as_posts(spark, sf_dir)
+    landing, sink = scratch_dir(spark, "flag-landing"), scratch_dir(spark, "flags")
+    pages.select("id", F.lit("story").alias("type"), F.lit(0).cast("long").alias("time"), "score", "url").repartition(3, "id").write.mode("append").json(landing)
+    posts = st.stories(st.item_stream(spark, landing, max_files_per_trigger=1)).select("id", "url")
+    st.run_flags(posts, bl.blocklist_from_values(spark, FIXTURE_BLOCKLIST), sink, scratch_dir(spark, "flags-ckpt"))
+    return spark.read.parquet(sink).select("id", "host", "blacklisted")
+
+
+# -- I/O round trips and nested content ---------------------------------------------
+
+def embedding_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL12/13, SRC8/10, FLT6: vectors as JSON text in CSV and back; every seventh text is cut short and so skipped."""
+    e = _emb(spark, sf_dir).select(F.col("vec_id").alias("id"), F.concat(F.lit("item "), F.col("vec_id").cast("string")).alias("title"), "embedding")
+    text = vec_to_json(F.col("embedding"))
+    bad = F.expr("substring(t, 1, length(t) - 2)")
+    e = e.withColumn("t", text).withColumn("embedding", F.when(F.col("id") % 7 == 3, bad).otherwise(F.col("t"))).drop("t")
+    path = scratch_dir(spark, "vectors-csv")
+    ig.export_csv(e, path)
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).schema("id string, title string, embedding string").csv(path)
+    return vc.long_form(ig.read_embedded_posts(back), ["id"], "embedding").select("id", "dim", _r(F.col("x")).alias("x"))
+
+
+def masked_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG17: the vectors of a label as the tokens of one text; every third token is masked out."""
+    tokens = _emb(spark, sf_dir).select("label", F.col("vec_id").alias("token_pos"), F.col("embedding").alias("vec"), (F.col("vec_id") % 3 != 0).cast("int").alias("mask"))
+    pooled = vc.masked_mean_pool(tokens, "label")
+    return vc.long_form(pooled, ["label"], "pooled").select("label", "dim", _r(F.col("x")).alias("x"))
+
+
+def chunk_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML10, SRC13-15: chunk files written, the manifest read, and the points that its chunks hold."""
+    out = scratch_dir(spark, "chunks")
+    sp.write_chunks(_points(spark, sf_dir), out)
+    back = sp.read_chunks(spark, out)
+    return back.select("id", "title", "cluster", _r(F.col("x")).alias("x"), _r(F.col("y")).alias("y"))
+
+
+def manifest_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC14 + WIN7: the nested cluster list of the manifest with its order, and the chunk list beside it."""
+    m = sp.manifest_row(spark, _points(spark, sf_dir), None)
+    clusters = m.select(F.posexplode("clusters").alias("pos", "c")).select(F.lit("cluster").alias("kind"), "pos", F.col("c.id").cast("string").alias("key"), F.col("c.count").alias("count"))
+    chunks = m.select(F.posexplode("chunks").alias("pos", "c")).select(F.lit("chunk").alias("kind"), "pos", F.col("c.file").alias("key"), F.col("c.count").alias("count"))
+    return clusters.unionByName(chunks)
+
+
+def tolerant_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC7 + SCL10: scores written as dirty text, read as text, and cast with what doesn't parse as null."""
+    d = tb.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "n_chars")
+    n = F.col("n_chars").cast("string")
+    kind = F.col("id") % 6
+    dirty = (F.when(kind == 0, n).when(kind == 1, F.concat(F.lit("  "), n, F.lit(" "))).when(kind == 2, F.concat(n, F.lit(".0")))
+             .when(kind == 3, F.lit("x")).when(kind == 4, F.concat(F.lit("-"), n)).otherwise(F.lit("")))
+    path = scratch_dir(spark, "dirty-csv")
+    blank = [F.lit("").alias(c) for c in ("title", "url")]
+    rows = d.select("id", F.lit("story").alias("type"), F.lit("a").alias("by"), F.lit("0").alias("time_unix"), F.lit("").alias("time_iso"), blank[0], dirty.alias("score"),
+                    F.lit("0").alias("descendants"), blank[1], F.lit("").alias("text"))
+    ig.export_csv(rows, path)
+    back = ig.read_posts_csv_tolerant(spark, path)
+    return back.select(tolerant_int(F.col("id")).alias("id"), tolerant_int(F.col("score")).alias("score"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -467,4 +548,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "post_csv_roundtrip": post_csv_roundtrip,
     "ingest_resume": ingest_resume,
     "stream_time_cells": stream_time_cells,
+    "stream_post_flags": stream_post_flags,
+    "embedding_json_roundtrip": embedding_json_roundtrip,
+    "masked_pool": masked_pool,
+    "chunk_roundtrip": chunk_roundtrip,
+    "manifest_clusters": manifest_clusters,
+    "tolerant_scores": tolerant_scores,
+    "mutual_reachability_edges": mutual_reachability_edges,
+    "graph_components": graph_components,
+    "spanning_tree": spanning_tree,
 }

@@ -22,12 +22,17 @@ from linkloom.session import materialize
 
 def build_cluster_map(posts: DataFrame, out_dir: str, namer: Callable[[str, list[str]], str] | None = None,
                       id_col: str = "id", title_col: str = "title", emb_col: str = "embedding",
-                      n_epochs: int = 30) -> dict | None:
-    """Write ``out_dir/chunks`` and ``out_dir/manifest``; returns the grid parameters."""
+                      n_epochs: int | None = None) -> dict | None:
+    """Write a run's chunk folder and ``out_dir/manifest``; returns the grid parameters.
+
+    ``n_epochs`` None: 500 up to 10 000 posts and 200 above.
+    """
     base = posts.select(F.col(id_col).alias("id"), F.col(title_col).alias("title"), F.col(emb_col).alias("emb"))
     base = base.filter(F.col("title").isNotNull() & F.col("emb").isNotNull())  # FLT6, Q10
     p, _ = lo.pca(base, lo.PCA_COMPONENTS, "emb", "pca")
     p = materialize(p.select("id", "title", "pca"), "map-pca")
+    if n_epochs is None:
+        n_epochs = 500 if p.count() <= 10_000 else 200
     g10 = materialize(lo.fuzzy_graph(p, lo.CLUSTER_NEIGHBORS, "id", "pca", "cosine"), "map-graph10")
     y10 = lo.layout(p, g10, "pca", lo.CLUSTER_DIMS, lo.CLUSTER_MIN_DIST, n_epochs=n_epochs)
     y10 = y10.select("id", F.array(*[F.col(f"x{k}") for k in range(lo.CLUSTER_DIMS)]).alias("v"))

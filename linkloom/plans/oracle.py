@@ -8,7 +8,7 @@ expansion) so that the two sides check each other.
 from __future__ import annotations
 
 from linkloom.functions.text import ENGLISH_STOP_WORDS, NA_TOKENS
-from linkloom.functions.urls import DEFAULT_SUFFIX_RULES
+from linkloom.operators.spatial import PALETTE
 from linkloom.plans.catalogue import FIXTURE_BLOCKLIST
 
 
@@ -19,7 +19,6 @@ def _lit(s: str) -> str:
 NA_LIST = ", ".join(_lit(t) for t in NA_TOKENS)
 STOP_LIST = "[" + ", ".join(_lit(w) for w in ENGLISH_STOP_WORDS) + "]"
 BLOCK_VALUES = ", ".join(f"({_lit(d)})" for d in FIXTURE_BLOCKLIST)
-RULE_VALUES = ", ".join(f"({_lit(r)})" for r in DEFAULT_SUFFIX_RULES)
 
 HOST_EXPR = r"""CASE WHEN url IS NULL OR url = '' THEN NULL
      WHEN (strpos(net, '[') > 0) <> (strpos(net, ']') > 0) THEN NULL
@@ -68,31 +67,9 @@ hs AS (SELECT regexp_replace(lower(regexp_replace(regexp_replace(
           regexp_extract(regexp_replace(trim(url), '^(?:[A-Za-z0-9+.-]+:)?//', ''), '^([^/?#]*)', 1),
           '^.*@', ''), ':.*$', '')), '\.+$', '') AS host
        FROM p WHERE url IS NOT NULL AND url NOT IN ({NA_LIST}) AND score IS NOT NULL AND score >= 0),
-per_host AS (SELECT host, count(*) AS n FROM hs GROUP BY host),
-rules(rule) AS (VALUES {RULE_VALUES}),
-r AS (SELECT DISTINCT
-        CASE WHEN rule LIKE '!%' THEN substr(lower(rule), 2) WHEN rule LIKE '*.%' THEN substr(lower(rule), 3)
-             ELSE lower(rule) END AS key,
-        CASE WHEN rule LIKE '!%' THEN 'exc' WHEN rule LIKE '*.%' THEN 'wild' ELSE 'exact' END AS kind
-      FROM rules),
-parts AS (SELECT host, string_split(host, '.') AS l FROM per_host WHERE host IS NOT NULL AND host <> ''),
-idx AS (SELECT host, l, unnest(range(1, len(l) + 1)) AS i FROM parts),
-cand AS (SELECT host, i, array_to_string(list_slice(l, i, len(l)), '.') AS cand,
-                CASE WHEN i < len(l) THEN array_to_string(list_slice(l, i + 1, len(l)), '.') END AS parent
-         FROM idx),
-hits AS (SELECT c.host, c.i, r.kind FROM cand c JOIN r
-           ON (r.kind IN ('exact', 'exc') AND r.key = c.cand) OR (r.kind = 'wild' AND r.key = c.parent)),
-st AS (SELECT host, coalesce(min(i + 1) FILTER (WHERE kind = 'exc'), min(i) FILTER (WHERE kind <> 'exc')) AS s
-       FROM hits GROUP BY host),
-lab AS (SELECT ph.n,
-          CASE WHEN ph.host IS NULL OR ph.host = '' THEN 'none'
-               WHEN regexp_full_match(ph.host, '(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){{3}}') THEN ph.host
-               WHEN st.s IS NULL THEN string_split(ph.host, '.')[-1]
-               WHEN st.s <= 1 THEN 'none'
-               ELSE string_split(ph.host, '.')[st.s - 1] END AS label
-        FROM per_host ph LEFT JOIN st ON ph.host = st.host)
-SELECT CASE WHEN label = '' THEN 'none' ELSE label END AS domain, CAST(sum(n) AS BIGINT) AS high_score_posts
-FROM lab GROUP BY 1 ORDER BY 2 DESC, 1 NULLS FIRST LIMIT 50
+parts AS (SELECT string_split(host, '.') AS l FROM hs),
+lab AS (SELECT CASE WHEN len(l) < 2 THEN 'none' ELSE l[len(l) - 1] END AS domain FROM parts)  -- every host ends in a suffix of one label
+SELECT domain, CAST(count(*) AS BIGINT) AS high_score_posts FROM lab GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50
 """
 
 ORACLE["blocklist_flag_counts"] = f"""
@@ -354,10 +331,7 @@ SELECT p.id, p.cluster, coalesce(n.name, 'Unknown') AS name, 'item?id=' || CAST(
 FROM pts p LEFT JOIN names n ON p.cluster = n.cluster
 """
 
-PALETTE_VALUES = ", ".join(f"({i}, {_lit(c)})" for i, c in enumerate([
-    "#e6194B", "#3cb44b", "#ffe119", "#4363d8", "#f58231", "#911eb4", "#42d4f4", "#f032e6",
-    "#bfef45", "#fabed4", "#469990", "#dcbeff", "#9A6324", "#fffac8", "#800000", "#aaffc3",
-    "#808000", "#ffd8b1", "#000075", "#a9a9a9"]))
+PALETTE_VALUES = ", ".join(f"({i}, {_lit(c)})" for i, c in enumerate(PALETTE))
 
 ORACLE["palette"] = f"""
 WITH {GRID},
@@ -459,3 +433,93 @@ d AS (SELECT a.vec_id AS id, b.vec_id AS nbr, list_distance(a.v, b.v) AS dist
 r AS (SELECT id, nbr, dist, row_number() OVER (PARTITION BY id ORDER BY dist, nbr) AS rank FROM d)
 SELECT id, CAST(rank AS INTEGER) AS rank, nbr, round(dist, 6) AS dist FROM r WHERE rank <= 5
 """
+
+ORACLE["stream_post_flags"] = ORACLE["blocklist_post_flags"]
+
+ORACLE["title_sample"] = """
+WITH d AS (SELECT doc_id AS id, text AS title, lang,
+             row_number() OVER (PARTITION BY lang ORDER BY md5('42-' || CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM documents)
+SELECT lang, id, title FROM d WHERE rn <= 50
+"""
+
+ORACLE["embed_titles"] = r"""
+WITH t AS (SELECT doc_id AS id, unnest(list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '')) AS w FROM documents),
+h AS (SELECT id, md5(w) AS h FROM t),
+s AS (SELECT id, CAST(('0x' || substr(h, 1, 8))::BIGINT % 64 AS INTEGER) AS b, CASE WHEN ('0x' || substr(h, 9, 1))::BIGINT % 2 = 0 THEN 1 ELSE -1 END AS sg FROM h),
+v AS (SELECT id, b, CAST(sum(sg) AS DOUBLE) AS x FROM s GROUP BY id, b),
+n AS (SELECT id, greatest(sqrt(sum(x * x)), 1e-12) AS nrm FROM v GROUP BY id)
+SELECT d.doc_id AS id, k.d + 1 AS dim, round(coalesce(v.x / n.nrm, 0.0), 6) AS x
+FROM documents d CROSS JOIN (SELECT CAST(unnest(range(0, 64)) AS INTEGER) AS d) k LEFT JOIN v ON v.id = d.doc_id AND v.b = k.d LEFT JOIN n ON n.id = d.doc_id
+"""
+
+ORACLE["embedding_json_roundtrip"] = f"""
+WITH {EMB}
+SELECT vec_id AS id, CAST(unnest(range(1, len(v) + 1)) AS INTEGER) AS dim, round(unnest(v), 6) AS x FROM e WHERE vec_id % 7 <> 3
+"""
+
+ORACLE["masked_pool"] = f"""
+WITH {EMB},
+u AS (SELECT label, CAST(vec_id % 3 <> 0 AS INTEGER) AS m, unnest(range(1, len(v) + 1)) AS dim, unnest(v) AS x FROM e)
+SELECT CAST(label AS INTEGER) AS label, CAST(dim AS INTEGER) AS dim, round(sum(x * m) / greatest(sum(m), 1e-9), 6) AS x FROM u GROUP BY label, dim
+"""
+
+ORACLE["chunk_roundtrip"] = f"""
+WITH {GRID}
+SELECT id, title, cluster, round(x, 6) AS x, round(y, 6) AS y FROM nn
+"""
+
+ORACLE["manifest_clusters"] = f"""
+WITH {GRID},
+f AS (SELECT 'grid_x=' || CAST(gx AS VARCHAR) || '/grid_y=' || CAST(gy AS VARCHAR) AS key, count FROM chunks),
+c AS (SELECT cluster, CAST(count(*) AS BIGINT) AS count FROM nn GROUP BY cluster)
+SELECT 'cluster' AS kind, CAST(row_number() OVER (ORDER BY cluster) - 1 AS INTEGER) AS pos, CAST(cluster AS VARCHAR) AS key, count FROM c
+UNION ALL
+SELECT 'chunk', CAST(row_number() OVER (ORDER BY key) - 1 AS INTEGER), key, count FROM f
+"""
+
+ORACLE["tolerant_scores"] = """
+SELECT doc_id AS id, CASE doc_id % 6 WHEN 0 THEN n_chars WHEN 1 THEN n_chars WHEN 4 THEN -n_chars END AS score FROM documents
+"""
+
+NEIGHBOURS = f"""{EMB},
+d AS (SELECT a.vec_id AS id, b.vec_id AS nbr, list_distance(a.v, b.v) AS dist FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+r AS (SELECT id, nbr, dist, row_number() OVER (PARTITION BY id ORDER BY dist, nbr) AS rank FROM d),
+core AS (SELECT id, dist AS core FROM r WHERE rank = 5)"""
+
+ORACLE["mutual_reachability_edges"] = f"""
+WITH {NEIGHBOURS}
+SELECT DISTINCT least(r.id, r.nbr) AS a, greatest(r.id, r.nbr) AS b, round(greatest(r.dist, x.core, y.core), 6) AS w
+FROM r JOIN core x ON x.id = r.id JOIN core y ON y.id = r.nbr WHERE r.rank <= 15
+"""
+
+ORACLE["graph_components"] = f"""
+WITH RECURSIVE {NEIGHBOURS},
+g AS (SELECT id AS x, nbr AS y FROM r WHERE rank = 1 UNION SELECT nbr, id FROM r WHERE rank = 1),
+reach AS (SELECT x AS id, x AS other FROM g UNION SELECT reach.id, g.y FROM reach JOIN g ON g.x = reach.other)
+SELECT id, min(other) AS comp FROM reach GROUP BY id
+"""
+
+
+def _boruvka(rounds: int, jumps: int) -> str:
+    """Boruvka written out: every component's lightest edge, pointers to the component it leads to, pointer jumping."""
+    out = ["c0 AS MATERIALIZED (SELECT vec_id AS v, vec_id AS c FROM e)"]
+    for k in range(rounds):
+        out += [
+            f"o{k} AS MATERIALIZED (SELECT x.c AS ca, y.c AS cb, p.a, p.b, p.w FROM p JOIN c{k} x ON x.v = p.a JOIN c{k} y ON y.v = p.b WHERE x.c <> y.c)",
+            f"m{k} AS MATERIALIZED (SELECT c, arg_min({{'a': a, 'b': b, 'w': w, 'to': t}}, (w, a, b)) AS k FROM "
+            f"(SELECT ca AS c, cb AS t, a, b, w FROM o{k} UNION ALL SELECT cb, ca, a, b, w FROM o{k}) GROUP BY c)",
+            # two components that pick each other: the smaller one is the root
+            f"j{k}_0 AS MATERIALIZED (SELECT x.c, CASE WHEN y.k.to = x.c AND x.c < y.c THEN x.c ELSE x.k.to END AS t FROM m{k} x JOIN m{k} y ON y.c = x.k.to)"]
+        out += [f"j{k}_{i + 1} AS MATERIALIZED (SELECT x.c, y.t FROM j{k}_{i} x JOIN j{k}_{i} y ON y.c = x.t)" for i in range(jumps)]
+        out.append(f"c{k + 1} AS MATERIALIZED (SELECT c{k}.v, coalesce(j.t, c{k}.c) AS c FROM c{k} LEFT JOIN j{k}_{jumps} j ON j.c = c{k}.c)")
+    return ",\n".join(out)
+
+
+BORUVKA_ROUNDS, BORUVKA_JUMPS = 8, 8  # halves 2^8 components, follows chains of 2^8
+
+ORACLE["spanning_tree"] = f"""
+WITH {NEIGHBOURS},
+p AS MATERIALIZED (SELECT d.id AS a, d.nbr AS b, greatest(d.dist, x.core, y.core) AS w FROM d JOIN core x ON x.id = d.id JOIN core y ON y.id = d.nbr WHERE d.id < d.nbr),
+{_boruvka(BORUVKA_ROUNDS, BORUVKA_JUMPS)}
+SELECT DISTINCT k.a AS a, k.b AS b, round(k.w, 6) AS w FROM ({" UNION ALL ".join(f"SELECT k FROM m{k}" for k in range(BORUVKA_ROUNDS))})
+"""

@@ -3,7 +3,8 @@
 Jobs that need to cut lineage or land intermediate files use the folder the
 cluster names in ``spark.checkpoint.dir`` (a shared, fault-tolerant store on a
 real cluster).  Only when the setting is absent -- local runs and tests -- do
-we create one ourselves.
+we create one ourselves; on a cluster its absence is an error, as a folder of
+one machine can't be read by the others.
 """
 
 from __future__ import annotations
@@ -51,6 +52,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir() or conf
+    master = sc.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
     local = tempfile.mkdtemp(prefix="linkloom-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
@@ -73,4 +77,14 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of a ``materialize``d frame that nothing reads any more."""
+    path = getattr(df, "scratch_path", None)
+    if path:
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)

@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 
 from linkloom.operators import ingest as ig
 from linkloom.operators import spatial as sp
-from linkloom.operators.embed import HashingEncoder, embed_texts
+from linkloom.operators.embed import embed_texts
 from linkloom.operators.vectors import masked_mean_pool
 from linkloom.plans.cluster_map import build_cluster_map
 from linkloom.session import scratch_dir
-from linkloom.streaming.ingest import flag_stream
+from linkloom.streaming.ingest import run_flags
 
 
 def test_build_cluster_map(spark):
@@ -35,7 +35,6 @@ def test_embed_texts_unit_norm_and_deterministic(spark):
     assert a == b
     assert abs(np.linalg.norm(a[1]) - 1) < 1e-6 and np.linalg.norm(a[2]) == 0.0
     assert np.dot(a[1], a[3]) > 0.5
-    assert HashingEncoder(dim=8).encode(["x y"]).shape == (1, 8)
 
 
 def test_masked_mean_pool(spark):
@@ -55,6 +54,16 @@ def test_partition_fetch_and_resume(spark):
     items = ig.partition_fetch(ids, fetch, partitions=3)
     n = items.count()
     assert n == len([i for i in range(1, 451) if i % 10 and i % 7])
+
+    def failing(batch):
+        if any(i % 90 == 1 for i in batch):
+            raise OSError("gone")
+        return fetch(batch)
+    failed = spark.sparkContext.accumulator(0)
+    got = {r["id"] for r in ig.partition_fetch(ids, failing, partitions=3, failed=failed).collect()}
+    assert got == {i for i in range(1, 451) if i % 10 and i % 7 and i % 90 != 1} and failed.value == 5
+    walked = [r["id"] for r in ids.filter("batch = 1").orderBy("position").collect()]
+    assert walked == list(range(250, 50, -1))
     sink = scratch_dir(spark, "posts")
     assert ig.resume_bound(spark, sink) is None
     ig.write_posts(ig.stories_until_cutoff(items, 0), sink)
@@ -67,7 +76,7 @@ def test_flag_stream(spark):
         .write.json(landing)
     bl = spark.createDataFrame([("evil.com",)], "domain string")
     s = spark.readStream.schema("id long, url string").json(landing)
-    q = flag_stream(s, bl).writeStream.format("memory").queryName("flags_t").outputMode("append") \
-        .trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert [r["id"] for r in spark.sql("select id from flags_t").collect()] == [1]
+    sink = scratch_dir(spark, "flags")
+    run_flags(s, bl, sink, scratch_dir(spark, "flags-ckpt"))
+    got = {r["id"]: (r["host"], r["blacklisted"]) for r in spark.read.parquet(sink).collect()}
+    assert got == {1: ("a.evil.com", True), 2: ("good.org", False)}

@@ -32,7 +32,7 @@ def test_url_host(spark):
         assert got[i] == exp, (i, got[i], exp)
 
 
-SUFFIX_RULES = "com org net uk co.uk *.ck !www.ck jp co.jp io".split()
+SUFFIX_RULES = "com org net uk co.uk *.ck !www.ck jp co.jp io tr com.tr il co.il".split()
 LABELS_EDGE = [
     ("http://a.bbc.co.uk/x", "bbc"),
     ("bbc.co.uk", "bbc"),
@@ -45,6 +45,14 @@ LABELS_EDGE = [
     ("example.io", "example"),
     ("http://shop.example.co.jp.", "example"),
     ("", "none"),
+    # private suffixes are no rules: the ICANN suffix counts
+    ("http://github.io/", "github"),
+    ("http://foo.github.io/", "github"),
+    ("http://bar.blogspot.com/2024", "blogspot"),
+    ("http://x.com.tr", "x"),
+    ("http://www.y.co.il/z", "y"),
+    ("http://com.tr/", "none"),
+    ("http://[2001:db8::1]:8080/x", "[2001:db8::1]"),
 ]
 
 

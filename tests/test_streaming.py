@@ -1,6 +1,10 @@
 """Stream = batch: items landed in steps (with replays) and ingested by
 several availableNow runs on one checkpoint equal one batch run."""
 
+import glob
+import os
+import time
+
 from pyspark.sql import functions as F
 
 from linkloom.schemas import POST_COLUMNS
@@ -28,7 +32,14 @@ def test_stream_equals_batch_with_replay_and_resume(spark):
     _items(spark, 300, 500).write.mode("append").json(landing)
     _items(spark, 250, 300).write.mode("append").json(landing)
     run_ingest(spark, landing, sink, ckpt, max_files_per_trigger=2)
+    # third landing: new ids in files that look a day old, and a late replay of the first ids
+    known = set(glob.glob(f"{landing.removeprefix('file:')}/*.json"))
+    _items(spark, 490, 600).write.mode("append").json(landing)
+    for f in set(glob.glob(f"{landing.removeprefix('file:')}/*.json")) - known:
+        os.utime(f, (time.time() - 86_400,) * 2)
+    _items(spark, 0, 40).write.mode("append").json(landing)
+    run_ingest(spark, landing, sink, ckpt, max_files_per_trigger=1)
     got = spark.read.parquet(sink).select(*POST_COLUMNS)
-    exp = post_from_item(_items(spark, 0, 500).filter(F.col("type") == "story"))
+    exp = post_from_item(_items(spark, 0, 600).filter(F.col("type") == "story"))
     assert got.count() == exp.count() == got.select("id").distinct().count()
     assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
