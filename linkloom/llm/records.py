@@ -14,11 +14,12 @@ the files in order of their number hold the documents in ascending order.  A
 task names its files by itself and reports them in a manifest row; the manifest
 is a written table, so files of a lost or repeated attempt are never read.
 
-A text is encoded in units that end before a single space between two
-characters that are not white space.  A pre-tokenizer that lets a token take
-white space only in front of it, as byte-level BPE does, never joins across
-such a place, so units are encoded once and looked up from then on; the ids
-are those of the whole text.
+A text is encoded in units that end at a single space or line end between two
+characters that are not white space.  A byte-level pre-tokenizer lets a token
+take one space in front of it and leaves a line end on its own, so no token
+reaches across such a place: new units are encoded by one run of the tokenizer
+over all of them and looked up from then on, and the ids are those of the whole
+text.  Texts with any other white space are encoded whole.
 
 Cases: a null or empty text is its end id alone; repeated rows give records of
 their own; an empty table gives no files and no rows; extra columns are not
@@ -28,11 +29,12 @@ read.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -41,19 +43,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.llm.textblocks import blocks
 from linkloom.session import materialize, scratch_dir
 
 END_ID = 2
 #: Units of text whose ids a task remembers, and the longest of them.
-CACHE_UNITS, CACHE_CHARS = 1 << 20, 64
-#: Characters encoded at once.
-CHUNK_CHARS = 4 << 20
+CACHE_UNITS, CACHE_CHARS = 1 << 19, 64
 
 _HEAD = struct.Struct("<QI")
 _META = struct.Struct("<qBB")
 _SUM = struct.Struct("<I")
-_NOT_SINGLE = re.compile(r"\s\s|^\s|\s$")
-_UNIT_END = re.compile(r"(?<=\S) (?=\S)")
 
 MANIFEST = "part int, path string, n_records bigint, n_tokens bigint"
 RECORDS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
@@ -80,24 +79,72 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True  # a special token's name in a text is ordinary text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.units: dict[str, bytes] = {}
-
-    def _encode(self, units: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(units, add_special_tokens=False)
+        # a byte-level token's name has one character for each of its bytes
+        self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
+        for name, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.n_bytes[number] = len(name)
+        self.newline = self._encode(["\n"])[0]
+        self.known: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}}  # units behind a space, and at the start of a line
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
 
+    def _learn(self, lead: str, units: set[str]) -> dict[str, bytes]:
+        """Ids of units behind ``lead``, from one run of the tokenizer over all of them."""
+        units = list(units)
+        if not units:
+            return {}
+        ids = np.array(self.tokenizer.encode(lead + lead.join(units), add_special_tokens=False).ids, dtype=self.dtype)
+        ends = np.cumsum(self.n_bytes[ids])
+        size = np.fromiter((len(u.encode()) for u in units), np.int64, len(units))
+        last = np.cumsum(size + 1)
+        first = last - size - (lead == " ")  # the space belongs to the unit, the line's end doesn't
+        at, to = np.searchsorted(ends, first, side="right"), np.searchsorted(ends, last, side="left") + 1
+        width, raw = self.dtype.itemsize, ids.tobytes()
+        return {u: raw[a * width:b * width] for u, a, b in zip(units, at.tolist(), to.tolist(), strict=True)}
+
+    def _lookup(self, lead: str, units: list[list[str]]) -> dict[str, bytes]:
+        """A table that has all the units; short ones are remembered."""
+        known = self.known[lead]
+        if len(known) > CACHE_UNITS:
+            known.clear()
+        new = set()
+        for part in units:
+            new.update(filterfalse(known.__contains__, part))
+        new = self._learn(lead, new)
+        known.update((u, ids) for u, ids in new.items() if len(u) <= CACHE_CHARS)
+        return known if all(len(u) <= CACHE_CHARS for u in new) else {**known, **new}
+
     def __call__(self, texts: list[str], end_id: int) -> list[bytes]:
-        cut = [(_UNIT_END.split(t) if _NOT_SINGLE.search(t) else t.split(" ")) if t else [] for t in texts]
-        if len(self.units) > CACHE_UNITS:
-            self.units.clear()
-        missing = {u for parts in cut for u in parts[1:]}.difference(self.units)
-        missing = list(missing)
-        here = dict(zip(missing, self._encode([" " + u for u in missing]), strict=True))
-        self.units.update((u, ids) for u, ids in here.items() if len(u) <= CACHE_CHARS)
-        firsts = iter(self._encode([parts[0] for parts in cut if parts]))
-        known = self.units if all(len(u) <= CACHE_CHARS for u in here) else self.units | here
+        cut: list[list[list[str]] | None] = [lines_of(t) for t in texts]
+        heads = self._lookup("\n", [[line[0] for line in lines] for lines in cut if lines])
+        rest = self._lookup(" ", [line[1:] for lines in cut if lines for line in lines])
+        whole = iter(self._encode([t for t, lines in zip(texts, cut, strict=True) if lines is None]))
         end = np.array([end_id], dtype=self.dtype).tobytes()
-        return [(next(firsts) + b"".join(map(known.__getitem__, parts[1:])) if parts else b"") + end for parts in cut]
+        out = []
+        for lines in cut:
+            if lines is None:
+                out.append(next(whole) + end)
+            else:
+                out.append(self.newline.join(heads[line[0]] + b"".join(map(rest.__getitem__, line[1:])) for line in lines) + end)
+        return out
+
+
+def lines_of(text: str) -> list[list[str]] | None:
+    """Units of each line; None if white space stands together or at an end, where tokens may reach across."""
+    words = text.split()
+    if not words:
+        return None if text else []
+    if sum(map(len, words)) + len(words) - 1 != len(text):
+        return None
+    return [line.split(" ") for line in text.split("\n")]
+
+
+@lru_cache(1)
+def encoder_of(tokenizer_path: str) -> Encoder:
+    """The worker process's encoder; what it has learnt serves its next tasks too."""
+    return Encoder(tokenizer_path)
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -106,29 +153,24 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def _writer(folder: str, tokenizer_path: str, end_id: int):
     def write(batches):
-        encoder, rec, offsets, at, tokens = None, None, [], 0, 0
+        rec, offsets, at, tokens = None, [], 0, 0
         part = TaskContext.get().partitionId()
         path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex[:8]}"
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            lo = 0
-            while lo < len(texts):
-                hi, chars = lo, 0
-                while hi < len(texts) and (hi == lo or chars + len(texts[hi] or "") <= CHUNK_CHARS):
-                    chars, hi = chars + len(texts[hi] or ""), hi + 1
+            for b in blocks(batch.column(1)):
+                ids = batch.column(0)[b.first:b.first + len(b)].to_pylist()
                 if rec is None:
-                    encoder = Encoder(tokenizer_path)
+                    encoder = encoder_of(tokenizer_path)
                     fs, name = _open(path)
                     fs.create_dir(os.path.dirname(name), recursive=True)
                     rec = fs.open_output_stream(name + ".rec")
                 out = []
-                for doc_id, body in zip(ids[lo:hi], encoder([t or "" for t in texts[lo:hi]], end_id), strict=True):
+                for doc_id, body in zip(ids, encoder([b.text(i).decode() for i in range(len(b))], end_id), strict=True):
                     out.append(frame(doc_id, body, encoder.dtype.itemsize))
                     offsets.append(at)
                     at += len(out[-1])
                     tokens += len(body) // encoder.dtype.itemsize
                 rec.write(b"".join(out))
-                lo = hi
         if rec is not None:
             rec.close()
             with fs.open_output_stream(name + ".idx") as idx:
