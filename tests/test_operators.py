@@ -310,3 +310,58 @@ def test_knn_cells_exact_against_brute_force(spark):
     np.fill_diagonal(D, np.inf)
     for i in range(n):
         assert [b for _, b in sorted(res[i])] == list(np.lexsort((np.arange(n), D[i]))[:4])
+
+
+def test_knn_ivf_recall_and_exactness(spark):
+    from linkloom.operators.knn import knn_exact, knn_ivf
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 12)) * 3
+    x = np.concatenate([rng.normal(c, 1.0, (60, 12)) for c in centres])
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id long, v array<double>")
+    true = {(r["id"], r["nbr"]) for r in knn_exact(df, 10, metric="euclidean").collect()}
+    got = knn_ivf(df, 10, metric="euclidean", block_rows=20).collect()
+    assert len({(r["id"], r["rank"]) for r in got}) == len(got) == 10 * len(x)
+    assert len(true & {(r["id"], r["nbr"]) for r in got}) / len(true) >= 0.9
+    every = knn_ivf(df, 10, metric="euclidean", n_probe=34, n_cells=34).collect()
+    assert {(r["id"], r["nbr"]) for r in every} == true
+
+
+def test_dense_index_is_dense_whatever_aqe_does(spark):
+    from linkloom.operators.graph import dense_index
+    payload = [F.xxhash64("id", F.lit(k)).alias(f"p{k}") for k in range(10)]
+    df = spark.range(3_000_000).select(F.xxhash64("id").alias("key"), *payload)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        for coalesce in ("true", "false"):
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+            out = dense_index(df, "key")
+            r = out.agg(F.count("idx").alias("n"), F.countDistinct("idx").alias("d"), F.min("idx").alias("lo"), F.max("idx").alias("hi")).first()
+            assert (r["n"], r["d"], r["lo"], r["hi"]) == (3_000_000, 3_000_000, 0, 2_999_999)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    ordered = dense_index(spark.range(1000).select((F.col("id") * 7 % 1000).alias("key")), "key").collect()
+    assert all(r["idx"] == r["key"] for r in ordered)
+
+
+def test_five_numbers_equal_numpy(spark):
+    from linkloom.operators.profiles import five_number_summary
+    rng = np.random.default_rng(8)
+    rows = [(g, float(v)) for g in "abc" for v in rng.integers(0, 40, rng.integers(1, 300)) / 4] + [("d", None), (None, 2.5), (None, 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for r in five_number_summary(df, "v", ["g"]).collect():
+        v = [x for g, x in rows if g == r["g"] and x is not None]
+        want = (len(v), *([min(v), *np.percentile(v, [25, 50, 75]), max(v)] if v else [None] * 5))
+        assert np.all([a == b or abs(a - b) < 1e-12 for a, b in zip((r["n"], r["min"], r["q1"], r["median"], r["q3"], r["max"]), want)])
+    whole = five_number_summary(df, "v").first()
+    assert whole["n"] == len([1 for _, x in rows if x is not None])
+
+
+def test_range_join_clamps_wide_rectangles(spark):
+    pts = spark.createDataFrame([(i, float(i % 10), float(i // 10)) for i in range(100)], "id long, x double, y double")
+    rects = spark.createDataFrame([(1, -1e9, 1e9, -1e9, 1e9), (2, 2.0, 3.0, 2.0, 3.0), (3, 50.0, 60.0, 50.0, 60.0)], "view int, fx_min double, fx_max double, fy_min double, fy_max double")
+    got = sp.range_join(pts, rects, (0.0, 0.0), 0.001, max_cells_per_rect=64)
+    assert sorted((r["view"], r["id"]) for r in got.collect()) == [(1, i) for i in range(100)] + [(2, i) for i in (22, 23, 32, 33)]
+    empty = sp.range_join(pts.limit(0), rects, (0.0, 0.0), 1.0)
+    assert "view" in empty.columns and empty.count() == 0
