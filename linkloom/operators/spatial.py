@@ -243,7 +243,8 @@ def range_join(points: DataFrame, rects: DataFrame, origin: tuple[float, float],
     r = rects.filter(overlap).select("*", F.explode(F.sequence(bx(clamped[0]), bx(clamped[1]))).alias("bx")).select(
         "*", F.explode(F.sequence(by(clamped[2]), by(clamped[3]))).alias("by"))
     p = points.select("*", bx(F.col("x")).alias("bx"), by(F.col("y")).alias("by"))
-    j = p.join(r.drop(*[c for c in points.columns if c in r.columns]), ["bx", "by"], "inner")
+    # rectangles are the small side: broadcast after a check of their size, so a hot bucket of points isn't shuffled
+    j = p.join(sized_broadcast(r.drop(*[c for c in points.columns if c in r.columns])), ["bx", "by"], "inner")
     return j.filter(F.col("x").between(rx0, rx1) & F.col("y").between(ry0, ry1)).drop("bx", "by")
 
 
@@ -298,7 +299,9 @@ def nearest_point(points: DataFrame, probes: DataFrame) -> DataFrame:
           .withColumn("cy", F.floor(F.col("py") / side).cast("long") + F.col("dy")))
     d2 = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + \
          (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
-    hits = (pq.join(pts, ["lvl", "cx", "cy"], "inner")
+    # probes are the small side: broadcast after a check of their size, points stay where they are however few
+    # cells they share, and each task sends its nearest point per probe only
+    hits = (pts.join(sized_broadcast(pq), ["lvl", "cx", "cy"], "inner")
             .select("probe_id", "id", d2.alias("d2"), "r")
             .filter(F.col("d2") < F.col("r") * F.col("r")))
     best = hits.groupBy("probe_id").agg(F.min_by(F.struct("d2", "id"), F.struct("d2", "id")).alias("b"))

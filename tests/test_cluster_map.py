@@ -1,7 +1,6 @@
 """Cluster map end to end, embedding, pooling, fetch, resume, streaming flags."""
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from linkloom.operators import ingest as ig
 from linkloom.operators import spatial as sp

@@ -1,7 +1,6 @@
 """Operator tests on hand-written rows: blocklist, spatial, kNN, components,
 density clustering, fuzzy graph, layout, streaming ingest."""
 
-import math
 from collections import Counter
 
 import numpy as np
