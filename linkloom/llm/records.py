@@ -29,6 +29,7 @@ read.
 from __future__ import annotations
 
 import os
+import string
 import struct
 import uuid
 import zlib
@@ -48,7 +49,9 @@ from linkloom.session import materialize, scratch_dir
 
 END_ID = 2
 #: Units of text whose ids a task remembers, and the longest of them.
-CACHE_UNITS, CACHE_CHARS = 1 << 19, 64
+CACHE_UNITS, CACHE_CHARS = 1 << 20, 64
+#: ASCII punctuation but for the apostrophe, which opens contractions.
+MARKS = "".join(c for c in string.punctuation if c != "'")
 
 _HEAD = struct.Struct("<QI")
 _META = struct.Struct("<qBB")
@@ -84,6 +87,7 @@ class Encoder:
         for name, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.n_bytes[number] = len(name)
         self.newline = self._encode(["\n"])[0]
+        self.tails: dict[str, bytes] = {}
         self.known: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}}  # units behind a space, and at the start of a line
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -109,13 +113,25 @@ class Encoder:
         known = self.known[lead]
         if len(known) > CACHE_UNITS:
             known.clear()
-        new = set()
+        missing = set()
         for part in units:
-            new.update(filterfalse(known.__contains__, part))
-        new = self._learn(lead, new)
+            missing.update(filterfalse(known.__contains__, part))
+        # punctuation behind a letter is a token's begin, so a word is learnt once for all its punctuation
+        stems = {u: _stem(u) for u in missing}
+        new = self._learn(lead, {s for s in stems.values() if s not in known})
+        for u, s in stems.items():
+            if u != s:
+                new[u] = (new[s] if s in new else known[s]) + self._tail(u[len(s):])
         known.update((u, ids) for u, ids in new.items() if len(u) <= CACHE_CHARS)
         return known if all(len(u) <= CACHE_CHARS for u in new) else {**known, **new}
 
+    def _tail(self, marks: str) -> bytes:
+        if marks not in self.tails:
+            if len(self.tails) > CACHE_UNITS:
+                self.tails.clear()
+            self.tails[marks] = self._encode([marks])[0]
+        return self.tails[marks]
+
     def __call__(self, texts: list[str], end_id: int) -> list[bytes]:
         cut: list[list[list[str]] | None] = [lines_of(t) for t in texts]
         heads = self._lookup("\n", [[line[0] for line in lines] for lines in cut if lines])
@@ -131,6 +147,12 @@ class Encoder:
         return out
 
 
+def _stem(unit: str) -> str:
+    """The unit without the punctuation that stands behind its last letter."""
+    s = unit.rstrip(MARKS)
+    return s if s and s[-1].isalpha() else unit
+
+
 def lines_of(text: str) -> list[list[str]] | None:
     """Units of each line; None if white space stands together or at an end, where tokens may reach across."""
     words = text.split()
@@ -259,8 +281,8 @@ def read_records(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
 
-    # one row per file, dealt out so that files are read side by side
-    return manifest.repartition("part").mapInArrow(read, RECORDS)
+    # a partition for each file, so that files are read side by side
+    return manifest.repartition(max(1, manifest.count())).mapInArrow(read, RECORDS)
 
 
 def encode_and_read(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = END_ID) -> DataFrame:
