@@ -171,8 +171,8 @@ def layout(points: DataFrame, edges: DataFrame, init_col: str, n_components: int
     last, n = p, p.count()
     e = edges.select(F.col("a").alias("i"), F.col("b").alias("j"), "w")
     e = e.unionByName(e.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
-    deg = e.groupBy("i").agg(F.sum("w").alias("W"))
-    e = materialize(e.join(deg, "i").select("i", "j", (F.col("w") / F.col("W")).alias("w")), "layout-edges")
+    deg = e.groupBy("i").agg(F.sum("w").alias("degree"))
+    e = materialize(e.join(deg, "i").select("i", "j", (F.col("w") / F.col("degree")).alias("w")), "layout-edges")
     for ep in range(n_epochs):
         alpha = 1.0 - ep / n_epochs
         pi = p.select(F.col("id").alias("i"), *[F.col(c).alias(f"a_{c}") for c in ys])
