@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.textblocks import _BYTE_CODE, _BYTE_POWERS, _WORD_POWERS, NONSPACE, Block, blocks, prefix_hashes, span_hashes, spans_of
+from linkloom.llm.textblocks import BYTE_CODE, BYTE_POWERS, WORD_POWERS, NONSPACE, Block, blocks, prefix_hashes, span_hashes, spans_of
 from linkloom.session import materialize
 
 MIN_WORDS = 20
@@ -78,10 +78,10 @@ def block_stats(b: Block) -> tuple[dict[str, np.ndarray], list[np.ndarray], list
     filled = last > first
     starts, ends, first, last = starts[filled], ends[filled], first[filled], last[filled]
     line_doc = np.searchsorted(b.offsets, starts, side="right") - 1
-    exact = span_hashes(prefix_hashes(_BYTE_CODE[b.data], _BYTE_POWERS), starts, ends, _BYTE_POWERS)
+    exact = span_hashes(prefix_hashes(BYTE_CODE[b.data], BYTE_POWERS), starts, ends, BYTE_POWERS)
     _, earlier = _repeated(exact ^ salt[line_doc])
-    folded = span_hashes(prefix_hashes(_BYTE_CODE[b.lower], _BYTE_POWERS), words.starts, words.ends, _BYTE_POWERS)
-    lines = span_hashes(prefix_hashes(folded, _WORD_POWERS), first, last, _WORD_POWERS).view(np.int64)
+    folded = span_hashes(prefix_hashes(BYTE_CODE[b.lower], BYTE_POWERS), words.starts, words.ends, BYTE_POWERS)
+    lines = span_hashes(prefix_hashes(folded, WORD_POWERS), first, last, WORD_POWERS).view(np.int64)
     cuts = np.searchsorted(line_doc, np.arange(1, len(b)))
     stats = {"n_words": words.counts, "word_chars": _per_doc(flags(NONSPACE) & flags(_STARTS_CHAR), b.offsets),
              "n_symbols": _per_doc(flags(_SYMBOL), b.offsets),

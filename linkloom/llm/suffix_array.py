@@ -65,29 +65,36 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, opens: np.ndarray, cap: in
     """
     n = len(text)
     if not n:
-        return np.empty(0, dtype=np.int64)
-    before = np.empty(n, dtype=np.int64)  # the neighbour of each position
+        return np.empty(0, dtype=np.int32)
+    words = np.append(_words_at(text), np.zeros(cap + 1, np.uint64))
+    before = np.empty(n, dtype=np.int32)  # the neighbour of each position
     before[sa[1:]] = sa[:-1]
     before[sa[0]] = n
-    padded = np.concatenate([text, np.zeros(1, np.uint8)])
-    plcp = np.zeros(n, dtype=np.int64)
+    plcp = np.zeros(n, dtype=np.int32)
     plcp[sa[~opens]] = cap
     for r in range(min(STRIDE, n)):
-        at = np.arange(r, n, STRIDE)
+        at = np.arange(r, n, STRIDE, dtype=np.int32)
         at = at[(plcp[at] < cap) & (before[at] < n)]
-        h = plcp[at - 1] if r else np.zeros(len(at), dtype=np.int64)
+        h = plcp[at - 1] if r else np.zeros(len(at), dtype=np.int32)
         h = np.where(h < cap, np.maximum(h - 1, 0), 0)
-        live = np.arange(len(at))
+        live, i, j = np.arange(len(at)), at + h, before[at] + h
         while len(live):
-            i, j = at[live] + h[live], before[at[live]] + h[live]
-            same = (h[live] < cap) & (i < n) & (j < n)
-            same &= padded[np.minimum(i, n)] == padded[np.minimum(j, n)]
-            live = live[same]
-            h[live] += 1
-        plcp[at] = h
+            same = _equal_bytes(words[i] ^ words[j])
+            h[live] += same
+            more = (same == 8) & (h[live] < cap)
+            live, i, j = live[more], i[more] + 8, j[more] + 8
+        # behind the text's end words hold zeros, which aren't part of it
+        plcp[at] = np.minimum(np.minimum(h, cap), n - np.maximum(at, before[at]))
     return plcp[sa]
 
 
+def _equal_bytes(x: np.ndarray) -> np.ndarray:
+    """Zero bytes in front of the first byte that isn't zero, of big-endian numbers."""
+    # without neighbouring ones a number keeps its highest bit when it is rounded to a double
+    _, bits = np.frexp((x & ~(x >> np.uint64(1))).astype(np.float64))
+    return 8 - (bits + 7) // 8
+
+
 def classes(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Sort the strings of ``length`` bytes at ``starts``.
 

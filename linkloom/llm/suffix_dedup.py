@@ -11,11 +11,12 @@ sorted classes.  Strings of other documents in a class are removed.
 
 What would pile up is thinned without loss before it travels or is sorted:
 equal pieces of one block of documents are sent once, for the smallest doc_id
-(the others are removed on the spot); pieces whose minimizer no other document
-of the bucket has cannot match and are not sorted.  Minimizers that a share of
-all documents hold (counted on a sample of documents, which decides only where
-strings go) are not used: their strings are dealt out one by one by their own
-hash.
+(the others are removed on the spot); pieces whose minimizer, with the bytes on
+either side that a shared string would need, no other document of the bucket
+has cannot match and are not sorted.  Runs of bytes that very
+many documents hold (counted on a sample of documents, which decides only where
+strings go) don't become minimizers, so no bucket gathers them; strings that
+have no other runs are dealt out one by one by their own hash.
 
 Cases: null text is the empty text and stays as it is, as do texts shorter
 than LENGTH; a null doc_id is neither smaller nor larger than another, so
@@ -27,7 +28,7 @@ empty result; extra columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,28 +37,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm import suffix_array as sa
-from linkloom.llm.textblocks import _BYTE_CODE, _BYTE_POWERS, Block, blocks, kgram_hashes, mix64, prefix_hashes, span_hashes
+from linkloom.llm.sampling import few_rows
+from linkloom.llm.textblocks import BYTE_CODE, BYTE_POWERS, Block, blocks, kgram_hashes, mix64, prefix_hashes, span_hashes
 
 LENGTH, RUN = 50, 10
 #: Text worked on at once when pieces are cut, text of a bucket, and text of a shard.
-CUT_BYTES, BUCKET_BYTES, SHARD_BYTES = 4 << 20, 1 << 20, 4 << 20
-#: One document of so many is counted for common minimizers; common is what this share of them holds, and at least so many.
-SAMPLE_OF, COMMON_SHARE, COMMON_LEAST = 64, 0.005, 32
-#: Removed intervals a task holds before it passes them on.
-HELD_INTERVALS = 1 << 20
+CUT_BYTES, BUCKET_BYTES, SHARD_BYTES = 3 << 20, 1 << 20, 2 << 20
+#: One document of so many is looked at for common runs of bytes; common is what so many documents would then hold.
+SAMPLE_OF, COMMON_DOCS = 512, 100_000
+#: Sampled text that pieces are compressed against, from so many documents at most.
+DICTIONARY_BYTES, DICTIONARY_DOCS = 256 << 10, 256
 
 _WHOLE = 255  # in place of a minimizer's offset: the piece is one string, dealt out by its own hash
 _U = np.uint64
 
 
-def cut_pieces(b: Block, length: int = LENGTH, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of neighbouring strings with one minimizer: first start, number of strings, minimizer's place, minimizer."""
+def cut_pieces(b: Block, length: int = LENGTH, run: int = RUN, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of neighbouring strings with one minimizer: first start, number of strings, minimizer's place, minimizer.
+    Hashes in ``common`` come after all others."""
     n = len(b.data) - length + 1
     if n <= 0:
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
     h = kgram_hashes(b.data, run)
     # the place in the low bits makes the minimum unique: the leftmost of equal hashes
-    m = h & _U(0xFFFFFFFF00000000) | np.arange(len(h), dtype=np.uint64)
+    m = h & _U(0xFFFFFFFF00000000)
+    if common is not None and len(common):
+        m[np.isin(h, common)] = _U(0xFFFFFFFF00000000)
+    m |= np.arange(len(h), dtype=np.uint64)
     width, size = length - run + 1, 1
     while 2 * size <= width:
         m = np.minimum(m[:-size], m[size:])
@@ -100,46 +106,69 @@ def _equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarra
     return same
 
 
-def pack(doc_id, tag, start, count, offset, text) -> bytes:
-    """A bucket's pieces of one block; numbers are stored as differences, which compress well."""
-    n = len(start)
-    delta = lambda x: np.diff(x, prepend=x.dtype.type(0))
-    parts = [np.array([n, len(text)], "<i8"), delta(doc_id.astype("<i8")), delta(tag.astype("<i8")), delta(start.astype("<i4")),
-             count.astype("u1"), offset.astype("u1"), text]
-    return zstandard.ZstdCompressor(level=5).compress(b"".join(p.tobytes() for p in parts))
-
-
-def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n, size = np.frombuffer(raw, "<i8", 2).tolist()
-    out, at = [], 16
-    for kind in ("<i8", "<i8", "<i4"):
-        out.append(np.cumsum(np.frombuffer(raw, kind, n, at), dtype=np.int64))
-        at += n * np.dtype(kind).itemsize
-    return *out, np.frombuffer(raw, "u1", n, at).astype(np.int64), np.frombuffer(raw, "u1", n, at + n), np.frombuffer(raw, "u1", size, at + 2 * n)
+class Packer:
+    """A bucket's pieces of one block as bytes, and back.
+
+    Numbers are stored as differences; they and the text are compressed apart,
+    the text against a sample of the table's text, so small pieces of many
+    blocks shrink as a long text would.
+    """
+
+    def __init__(self, sample: bytes):
+        self.plain, self.undo_plain = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        if sample:
+            known = zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            known.precompute_compress(level=5)
+            self.text, self.undo_text = zstandard.ZstdCompressor(level=5, dict_data=known), zstandard.ZstdDecompressor(dict_data=known)
+        else:
+            self.text, self.undo_text = self.plain, self.undo_plain
+
+    def pack(self, doc_id, tag, start, count, offset, text) -> bytes:
+        delta = lambda x: np.diff(x, prepend=x.dtype.type(0))
+        parts = [delta(doc_id.astype("<i8")), delta(tag.astype("<i8")), delta(start.astype("<i4")), count.astype("u1"), offset.astype("u1")]
+        # byte by byte: the high bytes of small differences stand together
+        planes = [np.ascontiguousarray(p.view(np.uint8).reshape(len(p), -1).T).tobytes() for p in parts]
+        numbers = self.plain.compress(b"".join(planes))
+        return np.array([len(start), len(numbers)], "<u4").tobytes() + numbers + self.text.compress(text.tobytes())
+
+    def unpack(self, blob: bytes) -> tuple[np.ndarray, ...]:
+        n, cut = np.frombuffer(blob, "<u4", 2).tolist()
+        raw, out, at = self.undo_plain.decompress(blob[8:8 + cut]), [], 0
+        for kind in ("<i8", "<i8", "<i4", "u1", "u1"):
+            width = np.dtype(kind).itemsize
+            planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+            values = np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+            out.append(values.astype(np.int64) if width == 1 else np.cumsum(values, dtype=np.int64))
+            at += n * width
+        return *out, np.frombuffer(self.undo_text.decompress(blob[8 + cut:]), np.uint8)
+
+
+@lru_cache(2)
+def packer(sample: bytes) -> Packer:
+    return Packer(sample)
 
 
 def block_pieces(b: Block, doc_id: np.ndarray, tag: np.ndarray, known: np.ndarray, common: np.ndarray, n_buckets: int,
-                 length: int = LENGTH, run: int = RUN) -> tuple[list[tuple[int, bytes]], tuple[np.ndarray, ...]]:
+                 length: int = LENGTH, run: int = RUN, sample: bytes = b"") -> tuple[list[tuple[int, bytes]], tuple[np.ndarray, ...]]:
     """(bucket, packed pieces) of a block, and the intervals removed on the spot: doc_id, tag, start, end."""
-    at, count, place, key = cut_pieces(b, length, run)
+    at, count, place, key = cut_pieces(b, length, run, common)
     doc = np.searchsorted(b.offsets, at, side="right") - 1
     use = known[doc]
     at, count, place, key, doc = at[use], count[use], place[use], key[use], doc[use]
     offset = place - at
-    prefix = prefix_hashes(_BYTE_CODE[b.data], _BYTE_POWERS)
+    prefix = prefix_hashes(BYTE_CODE[b.data], BYTE_POWERS)
     often = np.isin(key, common)
-    if often.any():  # strings of common minimizers go one by one
+    if often.any():  # strings that have only common runs go one by one
         one = _gather_starts(at[often], count[often])
         d = np.repeat(doc[often], count[often])
         at, count, doc = np.concatenate([at[~often], one]), np.concatenate([count[~often], np.ones(len(one), np.int64)]), np.concatenate([doc[~often], d])
         offset = np.concatenate([offset[~often], np.full(len(one), _WHOLE)])
-        key = np.concatenate([key[~often], span_hashes(prefix, one, one + length, _BYTE_POWERS)])
+        key = np.concatenate([key[~often], span_hashes(prefix, one, one + length, BYTE_POWERS)])
         order = np.argsort(at, kind="stable")
         at, count, doc, offset, key = at[order], count[order], doc[order], offset[order], key[order]
     size = count + length - 1
     # equal pieces: keep those of the smallest doc_id
-    content = span_hashes(prefix, at, at + size, _BYTE_POWERS)
+    content = span_hashes(prefix, at, at + size, BYTE_POWERS)
     ids = doc_id[doc]
     order = np.lexsort((ids, content))
     opens = np.ones(len(order), dtype=bool)
@@ -159,7 +188,7 @@ def block_pieces(b: Block, doc_id: np.ndarray, tag: np.ndarray, known: np.ndarra
     out = []
     for part in np.split(kept, cuts[1:]) if len(kept) else []:
         text = _gather(b.data, at[part], size[part])
-        out.append((int(bucket[part[0]]), pack(ids[part], tag[doc[part]], start[part], count[part], offset[part], text)))
+        out.append((int(bucket[part[0]]), packer(sample).pack(ids[part], tag[doc[part]], start[part], count[part], offset[part], text)))
     return out, gone
 
 
@@ -179,16 +208,13 @@ def _may_match(ids: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out
 
 
-def bucket_repeats(blobs: list[bytes], length: int = LENGTH, run: int = RUN, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, ...]:
+def bucket_repeats(blobs: list[bytes], length: int = LENGTH, run: int = RUN, shard_bytes: int = SHARD_BYTES, sample: bytes = b"") -> tuple[np.ndarray, ...]:
     """Removed intervals of a bucket: doc_id, tag, start, end."""
-    parts = [unpack(x) for x in blobs]
+    parts = [packer(sample).unpack(x) for x in blobs]
     ids, tag, start, count, offset, text = (np.concatenate(p) for p in zip(*parts, strict=True))
     size = count + length - 1
     at = np.cumsum(size) - size
-    whole = offset == _WHOLE
-    p = np.where(whole, 0, offset.astype(np.int64))
-    key = _piece_keys(text, at + p, np.where(whole, length, run))
-    good = np.flatnonzero(_may_match(ids, key))
+    good = np.flatnonzero(_candidates(text, ids, at, size, offset.astype(np.int64), length, run))
     if not len(good):
         return (np.empty(0, np.int64),) * 4
     text, ids, tag, start, count, size = _gather(text, at[good], size[good]), ids[good], tag[good], start[good], count[good], size[good]
@@ -224,98 +250,96 @@ def bucket_repeats(blobs: list[bytes], length: int = LENGTH, run: int = RUN, sha
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _candidates(text: np.ndarray, ids: np.ndarray, at: np.ndarray, size: np.ndarray, offset: np.ndarray, length: int, run: int) -> np.ndarray:
+    """Pieces that may share a string with another doc_id.
+
+    A string holds its minimizer and length - run bytes more, so it reaches at
+    least half of these to the left of the minimizer or half to the right: of
+    two pieces that share a string, the minimizers agree with that many bytes on
+    one side.
+    """
+    whole, half = offset == _WHOLE, (length - run) // 2
+    left = np.flatnonzero(~whole & (offset >= half))
+    right = np.flatnonzero(~whole & (size - offset - run >= half))
+    alone = np.flatnonzero(whole)
+    out = np.zeros(len(ids), dtype=bool)
+    for pick, begin, n in ((left, offset[left] - half, run + half), (right, offset[right], run + half), (alone, 0, length)):
+        out[pick] |= _may_match(ids[pick], _keys(text, at[pick] + begin, n))
+    return out
+
+
 def _strings(text: np.ndarray, begins: np.ndarray, length: int) -> np.ndarray:
     """The strings at some places as fixed-length values."""
     rows = np.lib.stride_tricks.sliding_window_view(text, length)[begins]
     return np.ascontiguousarray(rows).view(f"S{length}").reshape(-1)
 
 
-def _piece_keys(text: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Hash of the bytes at each place."""
-    h = size.astype(np.uint64)
-    for t in range(int(size.max()) if len(size) else 0):
-        inside = size > t
-        h[inside] = h[inside] * _U(0x9E3779B97F4A7C15) + _BYTE_CODE[text[at[inside] + t]]
+def _keys(text: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n bytes at each place."""
+    h = np.zeros(len(at), dtype=np.uint64)
+    for t in range(n):
+        h = h * _U(0x9E3779B97F4A7C15) + BYTE_CODE[text[at + t]]
     return mix64(h)
 
 
-class _Intervals:
-    """Removed intervals, gathered by document before they are passed on."""
-
-    def __init__(self):
-        self.parts, self.held = [], 0
-
-    def add(self, part: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-        self.parts.append(part)
-        self.held += len(part[0])
-        if self.held >= HELD_INTERVALS:
-            yield from self.flush()
+def _interval_rows(part: tuple[np.ndarray, ...], names: list[str]) -> pa.RecordBatch:
+    """Removed intervals as rows; start and length share a number (an interval is at most a piece long)."""
+    ids, tag, start, end = (x.astype(np.int64) for x in part)
+    columns = {"doc_id": pa.array(ids), "tag": pa.array(tag), "span": pa.array(start << 16 | end - start),
+               "bucket": pa.nulls(len(ids), pa.int32()), "body": pa.nulls(len(ids), pa.binary())}
+    return pa.RecordBatch.from_arrays([columns[n] for n in names], names)
 
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if self.held:
-            ids, tag, start, end = (np.concatenate(p).astype(np.int64) for p in zip(*self.parts, strict=True))
-            order = np.lexsort((start, tag, ids))
-            ids, tag, start, end = ids[order], tag[order], start[order], end[order]
-            opens = np.ones(len(ids), dtype=bool)
-            opens[1:] = (ids[1:] != ids[:-1]) | (tag[1:] != tag[:-1])
-            at = np.flatnonzero(opens)
-            both = np.stack([start, end], axis=1).astype("<u4")
-            offsets = np.append(at, len(ids)) * 8
-            blob = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets.astype("<i8").tobytes()), pa.py_buffer(both.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(tag[at]), pa.nulls(len(at), pa.int32()), blob.cast(pa.binary())], ["doc_id", "tag", "bucket", "body"])
-        self.parts, self.held = [], 0
 
+GONE = ["doc_id", "tag", "span"]
+ROWS = [*GONE, "bucket", "body"]
+GONE_TYPE = "doc_id bigint, tag bigint, span bigint"
+ROWS_TYPE = GONE_TYPE + ", bucket int, body binary"
 
-ROWS = "doc_id bigint, tag bigint, bucket int, body binary"
 
-
-def _cutter(common_of, n_buckets: int, length: int, run: int):
+def _cutter(given, n_buckets: int, length: int, run: int):
     def cut(batches):
-        common, gone = common_of.value, _Intervals()
+        common, sample = given.value
         for batch in batches:
             ids = batch.column(0)
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             doc_id, tag = ids.fill_null(0).to_numpy(), batch.column(2).to_numpy()
             for b in blocks(batch.column(1), CUT_BYTES):
                 part = slice(b.first, b.first + len(b))
-                rows, now = block_pieces(b, doc_id[part], tag[part], known[part], common, n_buckets, length, run)
-                yield from gone.add(now)
-                if rows:
-                    n = len(rows)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([r[0] for r in rows], pa.int32()),
-                                                      pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "tag", "bucket", "body"])
-        yield from gone.flush()
+                rows, now = block_pieces(b, doc_id[part], tag[part], known[part], common, n_buckets, length, run, sample)
+                yield _interval_rows(now, ROWS)
+                n = len(rows)
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 3, pa.array([r[0] for r in rows], pa.int32()),
+                                                  pa.array([r[1] for r in rows], pa.binary())], ROWS)
 
     return cut
 
 
-def _matcher(length: int, run: int, shard_bytes: int):
+def _matcher(given, length: int, run: int, shard_bytes: int):
     """Rows come in order of their bucket; intervals that were removed on the spot pass through."""
 
     def match(batches):
-        gone, now, blobs = _Intervals(), None, []
+        now, blobs, sample = None, [], given.value[1]
         for batch in batches:
-            for doc_id, tag, bucket, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket is None:
-                    pair = np.frombuffer(body, "<u4").reshape(-1, 2).astype(np.int64)
-                    yield from gone.add((np.full(len(pair), doc_id), np.full(len(pair), tag), pair[:, 0], pair[:, 1]))
+            bucket = batch.column(3)
+            yield batch.filter(bucket.is_null()).select(GONE)
+            for k, body in zip(bucket.to_pylist(), batch.column(4), strict=True):
+                if k is None:
                     continue
-                if bucket != now and blobs:
-                    yield from gone.add(bucket_repeats(blobs, length, run, shard_bytes))
+                if k != now and blobs:
+                    yield _interval_rows(bucket_repeats(blobs, length, run, shard_bytes, sample), GONE)
                     blobs = []
-                now = bucket
-                blobs.append(body)
+                now = k
+                blobs.append(body.as_py())
         if blobs:
-            yield from gone.add(bucket_repeats(blobs, length, run, shard_bytes))
-        yield from gone.flush()
+            yield _interval_rows(bucket_repeats(blobs, length, run, shard_bytes, sample), GONE)
 
     return match
 
 
-def merged_spans(blobs: list[bytes] | None) -> np.ndarray:
+def merged_spans(spans: list[int] | None) -> np.ndarray:
     """Maximal removed runs (start, end) in order."""
-    pairs = np.concatenate([np.frombuffer(x, "<u4").reshape(-1, 2) for x in blobs or []] or [np.empty((0, 2), "<u4")]).astype(np.int64)
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    x = np.sort(np.array(spans or [], dtype=np.int64))
+    pairs = np.stack([x >> 16, (x >> 16) + (x & 0xFFFF)], axis=1)
     if not len(pairs):
         return pairs
     reach = np.maximum.accumulate(pairs[:, 1])
@@ -331,9 +355,9 @@ def remaining(text: bytes, spans: np.ndarray) -> bytes:
 def _report(batches):
     for batch in batches:
         rows, undo = [], zstandard.ZstdDecompressor()
-        for doc_id, n_bytes, packed, blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for doc_id, n_bytes, packed, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             text = undo.decompress(packed, max_output_size=n_bytes) if n_bytes else b""
-            spans = merged_spans(blobs)
+            spans = merged_spans(found)
             rows.append((doc_id, n_bytes, int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(remaining(text, spans)).hexdigest(), spans.reshape(-1).tolist()))
         kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int64())]
         cols = list(zip(*rows, strict=True)) or [()] * 6
@@ -349,27 +373,31 @@ def _packed_texts(batches):
                                           pa.array([z.compress(x) if x else b"" for x in texts], pa.binary())], ["doc_id", "tag", "n_bytes", "packed"])
 
 
-def _minimizers(length: int, run: int):
-    """Each minimizer of a block, with the number of its documents that hold it."""
+def _runs(run: int):
+    """Each run of bytes of a block, with the number of its documents that hold it."""
 
     def count(batches):
         for batch in batches:
-            for b in blocks(batch.column(0), CUT_BYTES):
-                at, _, _, key = cut_pieces(b, length, run)
-                doc = np.searchsorted(b.offsets, at, side="right") - 1
-                keys = np.unique(np.stack([key, doc.astype(np.uint64)], axis=1), axis=0)[:, 0]
-                keys, n = np.unique(keys, return_counts=True)
+            for b in blocks(batch.column(0)):
+                keys = [np.unique(kgram_hashes(b.data[lo:hi], run)) for lo, hi in zip(b.offsets[:-1], b.offsets[1:], strict=True)]
+                keys, n = np.unique(np.concatenate(keys), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
 
     return count
 
 
-def common_minimizers(docs: DataFrame, length: int, run: int) -> np.ndarray:
-    """Minimizers that at least COMMON_SHARE of the sampled documents hold: few, as a document has only so many."""
+def common_runs(docs: DataFrame, run: int = RUN) -> np.ndarray:
+    """Hashes of the runs that about COMMON_DOCS documents or more hold, judged by the sampled ones."""
     sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_OF)) == 0).select("text")
-    found = sample.mapInArrow(_minimizers(length, run), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    least = max(COMMON_LEAST, int(COMMON_SHARE * sample.count()))
-    return np.sort(np.array([r[0] for r in found.filter(F.col("n") >= least).collect()], dtype=np.int64).view(np.uint64))
+    found = sample.mapInArrow(_runs(run), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    # a document has so many runs only: of n documents at most n / COMMON_DOCS times that number are common
+    return np.sort(np.array([r[0] for r in found.filter(F.col("n") * SAMPLE_OF >= COMMON_DOCS).collect()], dtype=np.int64).view(np.uint64))
+
+
+def sample_text(docs: DataFrame) -> bytes:
+    """Text of a few documents, of bounded size, to compress pieces against."""
+    rows = docs.select("doc_id", F.when(F.octet_length("text") <= DICTIONARY_BYTES // 16, F.col("text")).alias("text"))
+    return b"".join((r["text"] or "").encode() for r in few_rows(rows, DICTIONARY_DOCS, "doc_id", "text").collect())[:DICTIONARY_BYTES]
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
@@ -385,14 +413,14 @@ def _tagged(docs: DataFrame) -> DataFrame:
 def removed_spans(docs: DataFrame, length: int = LENGTH, run: int = RUN, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per document: n_bytes, n_removed, n_spans, kept_sha256 and the removed byte spans (start, end, start, ...)."""
     rows = _tagged(docs)
-    common = docs.sparkSession.sparkContext.broadcast(common_minimizers(rows, length, run))
+    given = docs.sparkSession.sparkContext.broadcast((common_runs(rows, run), sample_text(rows)))
     n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_buckets = max(64, n_bytes // BUCKET_BYTES)
-    cut = rows.mapInArrow(_cutter(common, n_buckets, length, run), ROWS)
+    cut = rows.mapInArrow(_cutter(given, n_buckets, length, run), ROWS_TYPE)
     # removed-on-the-spot rows have no bucket; they are spread by their document
     dealt = cut.repartition(F.coalesce(F.col("bucket").cast("bigint"), F.xxhash64("doc_id"))).sortWithinPartitions("bucket")
-    gone = dealt.mapInArrow(_matcher(length, run, shard_bytes), ROWS)
-    spans = gone.groupBy("doc_id", "tag").agg(F.collect_list("body").alias("spans"))
+    gone = dealt.mapInArrow(_matcher(given, length, run, shard_bytes), GONE_TYPE)
+    spans = gone.groupBy("doc_id", "tag").agg(F.collect_list("span").alias("spans"))  # at most a document's intervals
     texts = rows.mapInArrow(_packed_texts, "doc_id bigint, tag bigint, n_bytes bigint, packed binary")
     joined = texts.join(spans, ["doc_id", "tag"], "left").select("doc_id", "n_bytes", "packed", "spans")
     return joined.mapInArrow(_report, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<bigint>")

@@ -31,9 +31,8 @@ ALNUM = _class_table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x
 #: [^\x20\x09-\x0D]
 NONSPACE = _class_table(lambda b: not (b == 0x20 or 0x09 <= b <= 0x0D))
 
-_BYTE_CODE = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_BASE_INV = pow(_BASE, -1, 2**64)
+#: A random odd number for each byte; hashes are sums of codes times powers of a base, modulo 2**64.
+BYTE_CODE = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 
 
 class _Powers:
@@ -56,7 +55,7 @@ class _Powers:
         return np.multiply.accumulate(out)
 
 
-_BYTE_POWERS, _WORD_POWERS = _Powers(_BASE), _Powers(0xD1B54A32D192ED03)
+BYTE_POWERS, WORD_POWERS = _Powers(0x9E3779B97F4A7C15), _Powers(0xD1B54A32D192ED03)
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -88,8 +87,8 @@ def kgram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     """Hash of every run of k bytes."""
     if len(data) < k:
         return np.empty(0, dtype=np.uint64)
-    p = prefix_hashes(_BYTE_CODE[data], _BYTE_POWERS)
-    _, neg = _BYTE_POWERS.upto(len(p))
+    p = prefix_hashes(BYTE_CODE[data], BYTE_POWERS)
+    _, neg = BYTE_POWERS.upto(len(p))
     n = len(data) - k + 1
     return mix64((p[k:] - p[:n]) * neg[:n])
 
@@ -159,8 +158,8 @@ class Words:
 
     @cached_property
     def hashes(self) -> np.ndarray:
-        p = prefix_hashes(_BYTE_CODE[self.data], _BYTE_POWERS)
-        return span_hashes(p, self.starts, self.ends, _BYTE_POWERS)
+        p = prefix_hashes(BYTE_CODE[self.data], BYTE_POWERS)
+        return span_hashes(p, self.starts, self.ends, BYTE_POWERS)
 
     def joined(self, i: int, n: int) -> bytes:
         """Words i .. i+n-1 with one space between them."""
@@ -170,11 +169,11 @@ class Words:
         """First words of the windows of n consecutive words of one document, and the windows' hashes."""
         at = np.arange(max(0, len(self.starts) - n + 1))
         at = at[at + n <= self.first[1:][self.doc[at]]] if len(at) else at
-        return at, span_hashes(self._prefix, at, at + n, _WORD_POWERS)
+        return at, span_hashes(self._prefix, at, at + n, WORD_POWERS)
 
     @cached_property
     def _prefix(self) -> np.ndarray:
-        return prefix_hashes(self.hashes, _WORD_POWERS)
+        return prefix_hashes(self.hashes, WORD_POWERS)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

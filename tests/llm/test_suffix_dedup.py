@@ -60,11 +60,11 @@ def test_buckets_shards_and_blocks_find_every_repeat(common):
         buckets, gone = {}, []
         for b in T.blocks(column, int(rng.choice([50, 300, 10**6]))):
             part = slice(b.first, b.first + len(b))
-            rows, now = D.block_pieces(b, ids[part], np.arange(len(docs))[part], known[part], keys, 3, length, run)
+            rows, now = D.block_pieces(b, ids[part], np.arange(len(docs))[part], known[part], keys, 3, length, run, b"sample of text")
             gone.append(now)
             for k, x in rows:
                 buckets.setdefault(k, []).append(x)
-        gone += [D.bucket_repeats(x, length, run, int(rng.choice([60, 200, 10**6]))) for x in buckets.values()]
+        gone += [D.bucket_repeats(x, length, run, int(rng.choice([60, 200, 10**6])), b"sample of text") for x in buckets.values()]
         got = [np.zeros(len(t), bool) for _, t in docs]
         for part in gone:
             for i, tag, start, end in zip(*part, strict=True):
@@ -87,8 +87,8 @@ def expected(rows):
 
 def test_odd_rows(odd_docs, odd_rows, no_docs, monkeypatch):
     assert by_id(D.removed_spans(odd_docs), *COLS) == expected(odd_rows)
-    monkeypatch.setattr(D, "SAMPLE_OF", 1)  # every minimizer that two documents hold counts as common
-    monkeypatch.setattr(D, "COMMON_LEAST", 2)
+    monkeypatch.setattr(D, "SAMPLE_OF", 1)  # every run of bytes that three documents hold counts as common
+    monkeypatch.setattr(D, "COMMON_DOCS", 3)
     assert by_id(D.removed_spans(odd_docs, shard_bytes=500), *COLS) == expected(odd_rows)
     assert D.removed_spans(no_docs).count() == 0
 
