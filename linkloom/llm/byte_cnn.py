@@ -7,7 +7,7 @@ probability.  Training back-propagates through the chunk that gave the
 largest answer, with Adam.
 
 The network is fitted on at most ``max_rows`` labelled texts of at most
-``max_bytes`` bytes each, chosen by the digest of their ids among the rows
+``max_bytes`` bytes each, chosen by the hash of their ids among the rows
 whose crc32(doc_id) modulo 5 isn't 0; these bounds hold for fitting only.
 Scoring reads every text whole, in blocks of bounded bytes (a longer text is
 cut into runs of chunks whose largest answers are joined).
@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.sampling import few_rows
 from linkloom.llm.textblocks import blocks
 
 VECTOR, WIDTH, STEP, FILTERS, HIDDEN = 8, 8, 2, 32, 16
@@ -153,11 +154,11 @@ def fit(rows: list[tuple[bytes, int]], epochs: int = EPOCHS, seed: int = SEED) -
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> list[tuple[bytes, int]]:
-    """At most max_rows labelled texts that are not held out, in order of their ids' digests."""
+    """At most max_rows labelled texts that are not held out, in order of their ids' hashes."""
     crc = F.crc32(F.col("doc_id").cast("bigint").cast("string").cast("binary"))
     known = (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y"))
              .filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (crc % HELD_OUT_OF != 0)).groupBy("doc_id").agg(F.max("y").alias("y")))
-    ids = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_rows)
+    ids = few_rows(known, max_rows, "doc_id")
     # limit bounds the broadcast: max_rows ids and labels
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.octet_length("text") <= max_bytes)
     rows = texts.join(F.broadcast(ids), "doc_id").collect()

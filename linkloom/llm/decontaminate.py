@@ -27,12 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkloom.llm.textblocks import ALNUM, Block, Words, blocks
 
 N_WORDS = 13
-#: Bytes of benchmark text in one broadcast (its hash arrays take about six times that).
-GROUP_BYTES = 16 << 20
+#: Bytes of benchmark text in one broadcast; its windows take about fifty times that in a worker's memory.
+GROUP_BYTES = 2 << 20
 #: A document is contaminated when at least one of so many of its words is hit.
 WORDS_PER_HIT = 20
 
@@ -124,7 +125,7 @@ def _report(doc_id, n_words: int, spans: list, ids: set) -> dict:
             "spans": [{"first_word": a, "n_words": b} for a, b in spans]}
 
 
-def _scanner(group, so_far: str | None, last: bool, keep: bool):
+def _scanner(group, so_far: bool, last: bool, keep: bool):
     """A mapInArrow function: look one group's windows up; the last one reports or filters."""
 
     def run(batches):
@@ -135,7 +136,7 @@ def _scanner(group, so_far: str | None, last: bool, keep: bool):
                 w = b.words(b.lower, ALNUM)
                 found += _scan(w, windows, len(b))
                 n_words += w.counts.tolist()
-            if so_far is not None:
+            if so_far:
                 for (spans, ids), was in zip(found, batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                     if was:
                         spans += [(x["a"], x["n"]) for x in was["spans"]]
@@ -143,13 +144,13 @@ def _scanner(group, so_far: str | None, last: bool, keep: bool):
             if not last:
                 carried = pa.array([{"spans": [{"a": a, "n": n} for a, n in _merged(s)], "ids": list(i)} for s, i in found],
                                    pa.struct([("spans", pa.list_(pa.struct([("a", pa.int32()), ("n", pa.int32())]))), ("ids", pa.list_(pa.int64()))]))
-                columns = batch.columns[:batch.num_columns - (so_far is not None)]
+                columns = batch.columns[:batch.num_columns - so_far]
                 names = batch.schema.names[:len(columns)]
                 yield pa.RecordBatch.from_arrays([*columns, carried], [*names, "__found"])
                 continue
             if keep:
                 good = [not _report(None, n, s, i)["contaminated"] for n, (s, i) in zip(n_words, found, strict=True)]
-                width = batch.num_columns - (so_far is not None)
+                width = batch.num_columns - so_far
                 yield batch.select(list(range(width))).filter(pa.array(good, pa.bool_()))
                 continue
             rows = [_report(d, n, s, i) for d, n, (s, i) in zip(batch.column(0).to_pylist(), n_words, found, strict=True)]
@@ -162,11 +163,13 @@ def _scanner(group, so_far: str | None, last: bool, keep: bool):
 
 def _through(docs: DataFrame, benchmark: DataFrame, keep: bool, n: int, group_bytes: int) -> DataFrame:
     groups = _groups(benchmark, n, group_bytes)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    carried = schema + ", __found struct<spans:array<struct<a:int,n:int>>,ids:array<bigint>>"
+    schema = docs.schema
+    span = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("n", T.IntegerType())])
+    found = T.StructType([T.StructField("spans", T.ArrayType(span)), T.StructField("ids", T.ArrayType(T.LongType()))])
+    carried = T.StructType([*schema.fields, T.StructField("__found", found)])
     for k, g in enumerate(groups):
         last = k == len(groups) - 1
-        docs = docs.mapInArrow(_scanner(g, "__found" if k else None, last, keep), (schema if keep else REPORT) if last else carried)
+        docs = docs.mapInArrow(_scanner(g, k > 0, last, keep), (schema if keep else REPORT) if last else carried)
     return docs
 
 

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.sampling import few_rows
 from linkloom.llm.textblocks import ALNUM, Block, blocks
 
 SIDE, VECTOR = 2, 16
@@ -223,7 +224,8 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
 
 def warm_up(docs: DataFrame, words: Vocabulary, seed: int = SEED) -> Network:
     """The common start of all partitions: a few passes over at most WARM_DOCS documents."""
-    some = docs.select("doc_id", "text").filter(F.octet_length("text") <= WARM_BYTES).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "text").limit(WARM_DOCS).collect()
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.when(F.octet_length("text") <= WARM_BYTES, F.col("text")).alias("text"))
+    some = few_rows(rows, WARM_DOCS, "doc_id", "text").collect()
     trainer = Trainer(Network.fresh(seed))
     for _ in range(WARM_PASSES):
         for b in blocks(pa.array([r["text"] for r in some], pa.string())):

@@ -81,6 +81,30 @@ _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
+    "op2_suffix_dedup": """
+WITH doc AS (
+  SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), win AS (
+  SELECT k, doc_id, i, substr(h, 2 * i + 1, 100) AS w FROM doc, unnest(range(0, n - 49)) AS t(i) WHERE doc_id IS NOT NULL
+), first AS (
+  SELECT w, min(doc_id) AS least_id FROM win GROUP BY w
+), hit AS (
+  SELECT k, i, coalesce(i > lag(i) OVER (PARTITION BY k ORDER BY i) + 50, true) AS opens FROM win JOIN first USING (w) WHERE least_id < doc_id
+), island AS (
+  SELECT k, i, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY k ORDER BY i) AS g FROM hit
+), span AS (
+  SELECT k, min(i) AS a, max(i) + 50 AS b FROM island GROUP BY k, g
+), piece AS (
+  SELECT k, a AS place, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS lo, a AS hi FROM span
+  UNION ALL SELECT k, n, coalesce((SELECT max(b) FROM span WHERE span.k = doc.k), 0), n FROM doc
+), kept AS (
+  SELECT k, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY place) AS h FROM piece JOIN doc USING (k) GROUP BY k
+), removed AS (
+  SELECT k, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM span GROUP BY k
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM doc JOIN kept USING (k) LEFT JOIN removed USING (k)
+""",
     "op4_decontaminate": rf"""
 WITH item AS (
   SELECT item_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)
