@@ -143,3 +143,33 @@ def test_training_sees_all_documents_and_beats_unigrams(spark, no_docs):
     for a, b in zip(by_id(P.score(docs, words, net), "doc_id", "sum_log_prob"), by_id(P.score(docs.repartition(3), words, net), "doc_id", "sum_log_prob"), strict=True):
         assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-3
     assert P.pseudo_likelihood(no_docs).count() == 0
+
+
+def test_vocabulary_grows_with_the_counted_corpus(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(2000))) for i in range(40)], "doc_id bigint, text string").repartition(3)
+    words = P.vocabulary(docs)
+    classes, width = words.shape
+    assert len(words.hashes) == 2000 and classes > P.CLASSES and width > P.CLASS_WORDS
+    number, _, _ = P.windows(next(T.blocks(pa.array([" ".join(f"w{j}" for j in range(2000))]))), words)
+    assert len(set(number.tolist())) == 2000 and number.max() < words.first_length
+    rng, net = np.random.default_rng(4), P.Network.fresh(shape=words.shape)
+    context = rng.integers(0, classes * width, (1, 2 * P.SIDE))
+    every = net.log_probs(np.arange(classes * width), np.repeat(context, classes * width, axis=0))
+    assert abs(np.exp(every).sum() - 1) < 1e-3
+
+
+def test_rare_words_are_spelt(spark):
+    known = [f"k{i}" for i in range(P.LEAST_KNOWN)]
+    rare = ["".join(a + b for a in "bdfgklmn" for b in "aeiou")[i:i + 6] for i in range(0, 70, 2)]
+    rows = [(1, " ".join(known * 3)), (2, " ".join(rare)), (3, "bafefi"), (4, "xqzjvw"), (5, "bafefi"), (6, "y" * 63), (7, "y" * 64), (8, "y" * 65)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    words = P.vocabulary(docs.filter("doc_id = 1"))
+    net = P.train(docs, words, P.warm_up(docs, words))
+    got = {r.doc_id: r.sum_log_prob for r in P.score(docs, words, net).collect()}
+    assert got[3] == got[5] and got[3] > got[4] + 1 and len({got[i] for i in (6, 7, 8)}) == 3
+    # the spellings of one length share its probability
+    block = next(T.blocks(pa.array(["".join(f"{chr(c)} " for c in (*range(48, 58), *range(97, 123)))])))
+    found = block.words(block.lower, T.ALNUM)
+    letters = np.exp(net.spelling.log_probs(found, np.arange(len(found.starts))))
+    outside = (net.spelling.counts[:256] + P.SMOOTH) / (net.spelling.counts[:256] + P.SMOOTH).sum()
+    assert abs(letters.sum() + outside.sum() - outside[[*range(48, 58), *range(97, 123)]].sum() - 1) < 1e-9
