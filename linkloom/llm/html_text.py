@@ -2,7 +2,8 @@
 
 Markup is stripped to one line per block element.  What is boilerplate by its
 element, role or class (menus, page headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments) leaves lines of length zero.
+adverts, forms, scripts, styles, reader comments) leaves lines of length zero.  A class or id doesn't make
+an element boilerplate that holds the page's article or most of its text.
 Text lengths -- link text not counted -- are summed over windows of ``WINDOW``
 lines; a surge point is where the sum rises above the threshold, a dive point
 where it falls back to zero, and the text between the two is kept.  Where the
@@ -11,7 +12,8 @@ that surge.
 
 Cases: a null or empty page, or one without any text, gives an empty text; a
 page whose longest window stays under the threshold gives its longest regions;
-unclosed elements end with the page; pages of any length are read whole;
+unclosed elements end where HTML
+implies it, with their parent or with the page; pages of any length are read whole;
 repeated rows are read one by one; an empty table gives an empty result; extra
 columns are not read.
 """
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +35,8 @@ SURGE = 86
 _TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>?)""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
+_MARKED = re.compile(r"<(?:article|main)\b((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>?", re.I)
+_TAGS = re.compile(r"<(script|style|head)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|\s+", re.S | re.I)
 
 # Element names and naming customs of HTML.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp"}
@@ -47,12 +52,88 @@ DROP_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising",
               "popup", "modal", "newsletter", "subscribe", "share", "sharing", "social", "related", "recommended", "widget", "pagination", "pager",
               "login", "signup", "skyscraper", "masthead", "topbar", "toolbar", "copyright", "disclaimer"}
 
+#: A class or id like has-sidebar says something of the page, not what its element is.
+STATE_WORDS = {"has", "no", "with", "without", "not"}
+COMMENT_NAMES = {"comment", "comments", "disqus"}
+# End tags that HTML lets a page leave out: element -> (opening tags that end it, elements that they don't reach through).
+_P_ENDS = {"address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
+           "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul"}
+_CELLS, _PARTS = {"td", "th"}, {"tbody", "thead", "tfoot"}
+IMPLIED = {"p": (_P_ENDS, {"table", "td", "th", "caption", "object", "template", "button"}), "li": ({"li"}, {"ul", "ol", "menu", "table"}), "dd": ({"dd", "dt"}, {"dl", "table"}), "dt": ({"dd", "dt"}, {"dl", "table"}),
+           "td": (_CELLS | _PARTS | {"tr"}, {"table"}), "th": (_CELLS | _PARTS | {"tr"}, {"table"}), "tr": (_PARTS | {"tr"}, {"table"}),
+           **dict.fromkeys(_PARTS, (_PARTS, {"table"})), "option": ({"option", "optgroup"}, {"select"})}
+_ENDING = frozenset().union(*(ends for ends, _ in IMPLIED.values()))
+#: What end tags don't reach through, other than those of tables.
+_SCOPE, _TABLE = {"table", "td", "th", "caption", "object", "template"}, {"table", "tr", "td", "th", "caption", *_PARTS}
+#: Elements that are part of the text around them: their lines belong to the container that they stand in.
+FLOW = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "figure", "figcaption", "address", "center"}
 
-def _dropped(tag: str, attrs: str, in_main: bool) -> bool:
+
+def _opened(stack: list, tag: str) -> int:
+    """How many of the open elements stay open when ``tag`` opens."""
+    keep = len(stack)
+    if tag in _ENDING:
+        passed: set[str] = set()
+        for i in range(len(stack) - 1, -1, -1):
+            ends, walls = IMPLIED.get(stack[i], ((), ()))
+            if tag in ends and not passed & walls:
+                keep = i
+            passed.add(stack[i])
+            if stack[i] == "table":
+                break
+    return keep
+
+
+def _closed(stack: list, tag: str) -> int:
+    """How many of the open elements stay open behind the end tag of ``tag``."""
+    for i in range(len(stack) - 1, -1, -1):
+        if stack[i] == tag:
+            return i
+        if stack[i] in _SCOPE and tag not in _TABLE:
+            break
+    return len(stack)
+
+
+def _names(value: str) -> set[str]:
+    """Words of a class or id, but for names of a state."""
+    words = (set(_WORD.findall(name)) for name in value.split())
+    return set().union(*(w for w in words if not w & STATE_WORDS))
+
+
+def _named(attrs: str, names: set[str]) -> bool:
+    return any(name.lower() in ("class", "id") and _names("".join(values).lower()) & names for name, *values in _ATTR.findall(attrs))
+
+
+class _Page:
+    """What decides whether an element holds the page's text."""
+
+    def __init__(self, page: str):
+        self.page = page
+
+    @cached_property
+    def article(self) -> int | None:
+        """Place of the first article that isn't named like boilerplate."""
+        return next((m.start() for m in _MARKED.finditer(self.page) if not _named(m[1], DROP_NAMES)), None)
+
+    @cached_property
+    def size(self) -> int:
+        return len(_TAGS.sub("", self.page))
+
+    def holds_text(self, start: int, end: int, attrs: str) -> bool:
+        if self.article is not None and not _named(attrs, COMMENT_NAMES):
+            return start <= self.article < end
+        if self.article is not None and not start <= self.article < end:
+            return False
+        return 2 * len(_TAGS.sub("", self.page[start:end])) > self.size
+
+
+def _dropped(tag: str, attrs: str, in_main: bool) -> bool | str:
+    """True, or "name" if only a class or an id says so."""
     if tag in DROP or tag == "header" and not in_main:
         return True
     if not attrs or tag in NEVER_DROPPED or tag in VOID:
         return False
+    named = False
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
@@ -60,24 +141,25 @@ def _dropped(tag: str, attrs: str, in_main: bool) -> bool:
         if name == "role" and value in DROP_ROLES:
             return True
         if name in ("class", "id"):
-            words = set(_WORD.findall(value))
-            if words & DROP_NAMES or "header" in words and not in_main and tag not in MAIN:
-                return True
-    return False
+            words = _names(value)
+            named = named or bool(words & DROP_NAMES) or "header" in words and not in_main and tag not in MAIN
+    return "name" if named else False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, within the article) of each line; boilerplate leaves WINDOW empty lines."""
-    lines: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
+    """(text, characters outside links, within the article, container) of each line; boilerplate leaves WINDOW empty lines."""
+    lines: list[tuple[str, int, bool, int]] = []
+    stack: list[str] = []  # open elements, without those within lines
+    numbers = [0]  # container of each number of open elements; 0 is the page itself
+    n_containers, held = 0, _Page(page)
     text: list[str] = []
     own: list[str] = []  # the part of the text outside links
-    gap = [("", 0, False)] * WINDOW
     at, links, inside = 0, 0, 0
 
     def end_line():
         line = " ".join(html.unescape("".join(text)).split())
         if line:
-            lines.append((line, len(" ".join(html.unescape("".join(own)).split())), inside > 0))
+            lines.append((line, len(" ".join(html.unescape("".join(own)).split())), inside > 0, numbers[-1]))
         text.clear()
         own.clear()
 
@@ -103,12 +185,25 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if not closing and tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
             at = close.end() if close else len(page)
-        elif not closing and _dropped(tag, m[3], inside > 0):
-            at = _after(page, at, tag)
+            continue
+        if tag not in INLINE:
+            keep = _closed(stack, tag) if closing else _opened(stack, tag)
+            del stack[keep:], numbers[keep + 1:]
+        drop = not closing and _dropped(tag, m[3], inside > 0)
+        if drop:
+            end = _after(page, at, tag, stack)
+            drop = drop is True or not held.holds_text(lt, end, m[3])
+        if drop:
+            at = end
             end_line()
-            lines.extend(gap)
-        elif tag in MAIN:
-            lines.extend(gap)
+            lines.extend([("", 0, False, numbers[-1])] * WINDOW)
+            continue
+        if not closing and tag not in INLINE and tag not in VOID:
+            stack.append(tag)
+            n_containers += 1
+            numbers.append(numbers[-1] if tag in FLOW or tag in ("html", "body") else n_containers)
+        if tag in MAIN:
+            lines.extend([("", 0, False, -1)] * WINDOW)
             inside = max(0, inside + (-1 if closing else 1))
         elif tag == "a":
             links = max(0, links + (-1 if closing else 1))
@@ -126,10 +221,10 @@ def _end(page: str, m: re.Match) -> int:
     return gt + 1 if gt >= 0 else len(page)
 
 
-def _after(page: str, at: int, tag: str) -> int:
-    """The place behind an element's end."""
-    depth = 1
-    while depth:
+def _after(page: str, at: int, tag: str, outer: list[str]) -> int:
+    """The place behind an element's end, also one that a tag implies; ``outer`` are the elements it stands in."""
+    stack = [*outer, tag]
+    while len(stack) > len(outer):
         lt = page.find("<", at)
         if lt < 0:
             return len(page)
@@ -137,12 +232,21 @@ def _after(page: str, at: int, tag: str) -> int:
         if not m:
             at = lt + 1
             continue
-        at, name = _end(page, m), (m[2] or "").lower()
-        if name == tag:
-            depth += -1 if m[1] == "/" else 1
-        elif name in RAW and m[1] != "/":
+        at, name, closing = _end(page, m), (m[2] or "").lower(), m[1] == "/"
+        if not name or name in INLINE and name != tag:
+            continue
+        keep = _closed(stack, name) if closing else _opened(stack, name)
+        own = closing and keep == len(outer) and name == tag
+        del stack[keep:]
+        if len(stack) <= len(outer):
+            return at if own else lt
+        if closing:
+            continue
+        if name in RAW:
             close = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
             at = close.end() if close else len(page)
+        elif name not in VOID:
+            stack.append(name)
     return at
 
 
@@ -176,8 +280,8 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     lines = lines_of(page or "")
     if any(line[2] and line[0] for line in lines):
         # the page marks its article; inside it every block counts, short ones and links too
-        lines, surge = [(text, len(text), True) if inside else ("", 0, False) for text, _, inside in lines], 1
-    kept = regions([n for _, n, _ in lines], window, surge)
+        return "\n".join(line[0] for line in lines if line[2] and line[0])
+    kept = regions([line[1] for line in lines], window, surge)
     return "\n".join(line[0] for a, b in kept for line in lines[a:b] if line[0])
 
 

@@ -106,3 +106,22 @@ def test_marked_articles_of_the_small_table(spark):
         article = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
         blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", article))
         assert H.main_text(r.html) == "\n".join(b for b in blocks if b)
+
+
+LONG = "This paragraph is long enough to surge on its own, since it holds far more than the characters that a window needs."
+
+
+@pytest.mark.parametrize("page", ["<article><p class=ad>Buy<p>Real text</p></article>", "<article><ul><li class=ad>Buy<li>Real text</ul></article>",
+                                  "<article><dl><dt class=ad>Buy<dd>Real text</dl></article>", "<article><table><tr><td class=ad>Buy<td>Real text</table></article>",
+                                  "<article><div><p class=ad>Buy</div>Real text</article>", "<article><table><tr class=ad><td>Buy<td>x<tr><td>Real text</table></article>",
+                                  "<article><p class=ad>Buy <span>now</span><br><img src=x><div>Real text</div></article>"])
+def test_a_removed_element_ends_where_html_implies_it(page):
+    assert H.main_text(page) == "Real text"
+
+
+def test_names_of_a_wrapper_do_not_remove_the_article():
+    for attrs in ('class="layout has-sidebar"', 'id=page class="no-comments"', 'class="layout sidebar"', 'class="with-footer"'):
+        assert H.main_text(f"<div {attrs}><article><p>Real text</p></article><div class=sidebar>x</div></div>") == "Real text"
+        assert H.main_text(f"<div {attrs}><p>{LONG}</p></div>") == LONG
+    assert H.main_text('<article class="post share related"><p>Real text</p></article><div>x</div>') == "Real text"
+    assert H.main_text('<article><p>Real text</p></article><article class="comment"><p>No</p></article><section id=comments><article id=c1>No</article></section>') == "Real text"
