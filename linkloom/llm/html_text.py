@@ -2,13 +2,15 @@
 
 Markup is stripped to one line per block element.  What is boilerplate by its
 element, role or class (menus, page headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments) leaves lines of length zero.  A class or id doesn't make
+adverts, forms, scripts, styles, reader comments) leaves lines of length zero,
+unless it stands within the text of one container.  A class or id doesn't make
 an element boilerplate that holds the page's article or most of its text.
 Text lengths -- link text not counted -- are summed over windows of ``WINDOW``
 lines; a surge point is where the sum rises above the threshold, a dive point
-where it falls back to zero, and the text between the two is kept.  Where the
-page marks its article, regions within it are the main text; else all regions
-that surge.
+where it falls back to zero, and the text between the two is kept, with the
+other lines of the containers that it stands in (but for the page itself).
+Where the page marks its article, the mark decides instead: all lines within it
+are the main text, and no window is looked at.
 
 Cases: a null or empty page, or one without any text, gives an empty text; a
 page whose longest window stays under the threshold gives its longest regions;
@@ -147,7 +149,8 @@ def _dropped(tag: str, attrs: str, in_main: bool) -> bool | str:
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
-    """(text, characters outside links, within the article, container) of each line; boilerplate leaves WINDOW empty lines."""
+    """(text, characters outside links, within the article, container) of each line; boilerplate leaves WINDOW empty
+    lines, unless the lines before and behind it are of the container that it stands in."""
     lines: list[tuple[str, int, bool, int]] = []
     stack: list[str] = []  # open elements, without those within lines
     numbers = [0]  # container of each number of open elements; 0 is the page itself
@@ -210,7 +213,23 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
         elif tag not in INLINE:
             links = 0  # a link that isn't closed ends with its block
     end_line()
-    return lines
+    return _without_inner_gaps(lines)
+
+
+def _without_inner_gaps(lines: list[tuple[str, int, bool, int]]) -> list[tuple[str, int, bool, int]]:
+    """The lines without the gaps that stand within one container's text."""
+    out: list[tuple[str, int, bool, int]] = []
+    gap: list[tuple[str, int, bool, int]] = []
+    before = -1
+    for line in lines:
+        if not line[0]:
+            gap.append(line)
+            continue
+        if any(x[3] != before or x[3] != line[3] for x in gap):
+            out += gap
+        gap, before = [], line[3]
+        out.append(line)
+    return out + gap
 
 
 def _end(page: str, m: re.Match) -> int:
@@ -282,7 +301,10 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         # the page marks its article; inside it every block counts, short ones and links too
         return "\n".join(line[0] for line in lines if line[2] and line[0])
     kept = regions([line[1] for line in lines], window, surge)
-    return "\n".join(line[0] for a, b in kept for line in lines[a:b] if line[0])
+    places = {i for a, b in kept for i in range(a, b)}
+    # short lines and lines of links belong to the text that surges in their container
+    texts = {lines[i][3] for i in places if lines[i][0]} - {0}
+    return "\n".join(line[0] for i, line in enumerate(lines) if line[0] and (i in places or line[3] in texts))
 
 
 def extract(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:

@@ -111,6 +111,14 @@ def test_marked_articles_of_the_small_table(spark):
 LONG = "This paragraph is long enough to surge on its own, since it holds far more than the characters that a window needs."
 
 
+def test_a_removed_block_does_not_end_its_containers_text():
+    page = f"<body><div class=content><p>{LONG}</p><div class=ad>Buy</div><p>Short closing.</p></div><aside>x</aside><div>end</div></body>"
+    assert H.main_text(page) == f"{LONG}\nShort closing."
+    links = "".join(f"<p><a href=/{i}>link {i}</a></p>" for i in range(4))
+    assert H.main_text(f"<div><p>{LONG}</p>{links}<p>Short.</p></div>") == f"{LONG}\nlink 0\nlink 1\nlink 2\nlink 3\nShort."
+    assert H.main_text(f"<div><p>{LONG}</p></div><aside>x</aside><div>other</div>") == LONG
+
+
 @pytest.mark.parametrize("page", ["<article><p class=ad>Buy<p>Real text</p></article>", "<article><ul><li class=ad>Buy<li>Real text</ul></article>",
                                   "<article><dl><dt class=ad>Buy<dd>Real text</dl></article>", "<article><table><tr><td class=ad>Buy<td>Real text</table></article>",
                                   "<article><div><p class=ad>Buy</div>Real text</article>", "<article><table><tr class=ad><td>Buy<td>x<tr><td>Real text</table></article>",
