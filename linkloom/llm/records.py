@@ -19,7 +19,9 @@ characters that are not white space.  A byte-level pre-tokenizer lets a token
 take one space in front of it and leaves a line end on its own, so no token
 reaches across such a place: new units are encoded by one run of the tokenizer
 over all of them and looked up from then on, and the ids are those of the whole
-text.  Texts with any other white space are encoded whole.
+text.  Texts with any other white space, and those that hold the name of a
+token added to the vocabulary (the library makes it that token, as in
+``<|endoftext|>``), are encoded whole.
 
 Cases: a null or empty text is its end id alone; repeated rows give records of
 their own; an empty table gives no files and no rows; extra columns are not
@@ -75,12 +77,16 @@ def frame(doc_id: int | None, body: bytes, width: int) -> bytes:
 class Encoder:
     """Ids of whole texts, as bytes of little-endian numbers."""
 
-    def __init__(self, tokenizer_path: str):
+    def __init__(self, tokenizer_path: str, names_are_text: bool = True):
+        """``names_are_text``: a special token's name in a text is ordinary text; False is the library's own way."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True  # a special token's name in a text is ordinary text
+        self.tokenizer.encode_special_tokens = names_are_text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (names_are_text and t.special)]
+        # units that are learnt together could make a name with white space in it
+        self.by_units = not any(c.isspace() for name in self.added for c in name)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         # a byte-level token's name has one character for each of its bytes
         self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
@@ -133,7 +139,7 @@ class Encoder:
         return self.tails[marks]
 
     def __call__(self, texts: list[str], end_id: int) -> list[bytes]:
-        cut: list[list[list[str]] | None] = [lines_of(t) for t in texts]
+        cut: list[list[list[str]] | None] = [lines_of(t) if self.by_units and not any(name in t for name in self.added) else None for t in texts]
         heads = self._lookup("\n", [[line[0] for line in lines] for lines in cut if lines])
         rest = self._lookup(" ", [line[1:] for lines in cut if lines for line in lines])
         whole = iter(self._encode([t for t, lines in zip(texts, cut, strict=True) if lines is None]))
@@ -166,7 +172,7 @@ def lines_of(text: str) -> list[list[str]] | None:
 @lru_cache(1)
 def encoder_of(tokenizer_path: str) -> Encoder:
     """The worker process's encoder; what it has learnt serves its next tasks too."""
-    return Encoder(tokenizer_path)
+    return Encoder(tokenizer_path, names_are_text=False)
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:

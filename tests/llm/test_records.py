@@ -65,3 +65,24 @@ def test_damage_is_noticed(spark, tmp_path):
     open(path + ".rec", "wb").write(good[:-1])
     with pytest.raises(R.BadRecord):
         list(R.scan_file(path))
+
+
+def test_names_of_added_tokens_are_encoded_as_the_library_does(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y\nword <|endoftext|>. <|endoftext", "a b", *ODD]
+    want = [plain.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert want[0] == [64, 220, 50256, 275, 2]
+    encoder = R.Encoder(tokenizer_path(), names_are_text=False)
+    assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder(texts, 2)] == want
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+    rows = sorted(R.encode_and_read(df, tokenizer_path(), str(tmp_path / "out")).collect())
+    assert [(r.n_tokens, r.ids_crc32) for r in rows] == [(len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for ids in want]
+    # a name with a space in it, which units could make when they are learnt together
+    plain.add_tokens(["b c"])
+    path = str(tmp_path / "spaced.json")
+    plain.save(path)
+    encoder = R.Encoder(path, names_are_text=False)
+    texts = ["b x", "c b", "a b c", "b", "c"]
+    assert [np.frombuffer(x, encoder.dtype).tolist()[:-1] for x in encoder(texts, 2)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
