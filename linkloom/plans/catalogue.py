@@ -29,6 +29,7 @@ from linkloom.operators import profiles as pr
 from linkloom.operators import spatial as sp
 from linkloom.operators import vectors as vc
 from linkloom.operators.common import tolerant_int
+from linkloom.plans.cluster_map import cluster_space, full_epochs
 from linkloom.session import materialize, scratch_dir
 from linkloom.sources import tables as tb
 from linkloom.streaming import ingest as st
@@ -234,13 +235,15 @@ def layout_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, _ = _pca(spark, sf_dir)
     p = materialize(p, "pca")
     g = lo.fuzzy_graph(p, lo.VIEW_NEIGHBORS, "vec_id", "pca", metric="cosine")
-    out = lo.layout(p, g, "pca", lo.VIEW_DIMS, lo.VIEW_MIN_DIST, n_epochs=LAYOUT_EPOCHS, id_col="vec_id")
+    out = lo.layout(p, g, "pca", lo.VIEW_DIMS, lo.VIEW_MIN_DIST, n_epochs=full_epochs(p.count()), id_col="vec_id")
     return out.select("vec_id", _r(F.col("x0")).alias("x"), _r(F.col("x1")).alias("y"))
 
 
 def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, _ = _pca(spark, sf_dir, lo.CLUSTER_DIMS)
-    return dn.density_clusters(p, dn.MIN_CLUSTER_SIZE, dn.MIN_SAMPLES, id_col="vec_id", vec_col="pca")
+    p, _ = _pca(spark, sf_dir)
+    p = materialize(p, "pca")
+    space = materialize(cluster_space(p, full_epochs(p.count()), "vec_id"), "cluster-space")
+    return dn.density_clusters(space, dn.MIN_CLUSTER_SIZE, dn.MIN_SAMPLES, id_col="vec_id")
 
 
 def mutual_reachability_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,9 +264,6 @@ def spanning_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.select("a", "b", _r(F.col("w")).alias("w"))
 
 
-LAYOUT_EPOCHS = 30
-
-
 # -- spatial --------------------------------------------------------------------
 
 CANVAS = (160, 120)          # canvas of the fixture view queries, pixels

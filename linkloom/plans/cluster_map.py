@@ -20,6 +20,18 @@ from linkloom.operators import spatial as sp
 from linkloom.session import materialize
 
 
+def full_epochs(n: int) -> int:
+    """Layout epochs of the whole job on ``n`` posts."""
+    return 500 if n <= 10_000 else 200
+
+
+def cluster_space(p: DataFrame, n_epochs: int, id_col: str = "id") -> DataFrame:
+    """(id_col, v): the layout of the k = 30 cosine graph of the PCA dimensions, in which clusters are found."""
+    g10 = materialize(lo.fuzzy_graph(p, lo.CLUSTER_NEIGHBORS, id_col, "pca", "cosine"), "map-graph10")
+    y10 = lo.layout(p, g10, "pca", lo.CLUSTER_DIMS, lo.CLUSTER_MIN_DIST, n_epochs=n_epochs, id_col=id_col)
+    return y10.select(id_col, F.array(*[F.col(f"x{k}") for k in range(lo.CLUSTER_DIMS)]).alias("v"))
+
+
 def build_cluster_map(posts: DataFrame, out_dir: str, namer: Callable[[str, list[str]], str] | None = None,
                       id_col: str = "id", title_col: str = "title", emb_col: str = "embedding",
                       n_epochs: int | None = None) -> dict | None:
@@ -32,11 +44,8 @@ def build_cluster_map(posts: DataFrame, out_dir: str, namer: Callable[[str, list
     p, _ = lo.pca(base, lo.PCA_COMPONENTS, "emb", "pca")
     p = materialize(p.select("id", "title", "pca"), "map-pca")
     if n_epochs is None:
-        n_epochs = 500 if p.count() <= 10_000 else 200
-    g10 = materialize(lo.fuzzy_graph(p, lo.CLUSTER_NEIGHBORS, "id", "pca", "cosine"), "map-graph10")
-    y10 = lo.layout(p, g10, "pca", lo.CLUSTER_DIMS, lo.CLUSTER_MIN_DIST, n_epochs=n_epochs)
-    y10 = y10.select("id", F.array(*[F.col(f"x{k}") for k in range(lo.CLUSTER_DIMS)]).alias("v"))
-    labels = materialize(dn.density_clusters(y10, dn.MIN_CLUSTER_SIZE, dn.MIN_SAMPLES), "map-labels")
+        n_epochs = full_epochs(p.count())
+    labels = materialize(dn.density_clusters(cluster_space(p, n_epochs), dn.MIN_CLUSTER_SIZE, dn.MIN_SAMPLES), "map-labels")
     g2 = materialize(lo.fuzzy_graph(p, lo.VIEW_NEIGHBORS, "id", "pca", "cosine"), "map-graph2")
     y2 = lo.layout(p, g2, "pca", lo.VIEW_DIMS, lo.VIEW_MIN_DIST, n_epochs=n_epochs)
     pts = materialize(p.select("id", "title").join(labels, "id").join(y2, "id")

@@ -79,3 +79,32 @@ def test_flag_stream(spark):
     run_flags(s, bl, sink, scratch_dir(spark, "flags-ckpt"))
     got = {r["id"]: (r["host"], r["blacklisted"]) for r in spark.read.parquet(sink).collect()}
     assert got == {1: ("a.evil.com", True), 2: ("good.org", False)}
+
+
+def test_registered_layout_and_clusters_run_the_whole_job(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from linkloom.operators import density, layout
+    from linkloom.plans import catalogue
+
+    graphs, epochs, clustered = [], [], []
+
+    def graph(points, k, *args, **kwargs):
+        graphs.append(k)
+        return points.sparkSession.createDataFrame([], "a long, b long, w double")
+
+    def laid(points, edges, init, dims, min_dist, n_epochs, id_col="id", **kwargs):
+        epochs.append((dims, n_epochs))
+        return points.select(id_col, *[F.element_at(init, k + 1).alias(f"x{k}") for k in range(dims)])
+
+    def clusters(points, *args, vec_col="v", **kwargs):
+        clustered.append(vec_col)
+        return points
+
+    monkeypatch.setattr(layout, "fuzzy_graph", graph)
+    monkeypatch.setattr(layout, "layout", laid)
+    monkeypatch.setattr(density, "density_clusters", clusters)
+    catalogue.layout_2d(spark, "/root/testdata/sf0.001")
+    out = catalogue.density_clusters(spark, "/root/testdata/sf0.001")
+    assert graphs == [layout.VIEW_NEIGHBORS, layout.CLUSTER_NEIGHBORS] and epochs == [(2, 500), (10, 500)]
+    assert clustered == ["v"] and out.first()["v"] is not None and out.count() == 500
