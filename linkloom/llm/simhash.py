@@ -6,8 +6,9 @@ or fewer differing bits agree on one of them but for at most one bit.  Each
 fingerprint is therefore indexed under one key per bit -- its segment with
 that bit deleted -- and fingerprints that are equal under any key are compared.
 
-Only distinct fingerprints are indexed, so a group of copies is one entry.
-The fingerprints under a key meet in one partition, where they are compared in
+Only distinct fingerprints are indexed, so a group of copies is one entry.  A
+key of more than ``BLOCK_ROWS`` fingerprints is cut into blocks by their hash,
+and every two of its blocks meet under a key of their own.  The fingerprints under a key meet in one partition, where they are compared in
 numpy on sorted runs; what leaves the task is a spanning forest of the verified
 links of its runs, never all pairs of a group.  Connected components then join
 the forests, each round written to the shared checkpoint folder.
@@ -28,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.operators.common import sized_broadcast
 from linkloom.operators.graph import connected_components
 from linkloom.session import materialize
 
@@ -37,6 +39,8 @@ SEED = 42
 BITS = 64
 #: Index rows compared at once; a run of equal keys is never cut.
 RUN_ROWS = 1 << 20
+#: Fingerprints under one key that are compared in one task.
+BLOCK_ROWS = 1 << 15
 
 
 def fingerprint(text: bytes, n: int = SHINGLE_WORDS) -> int:
@@ -124,7 +128,24 @@ def _links(keys: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray
     return forest(np.concatenate(a), np.concatenate(b)) if a else (fps[:0], fps[:0])
 
 
-def links(distinct: DataFrame, max_bits: int = MAX_BITS, run_rows: int = RUN_ROWS) -> DataFrame:
+def variant_index(distinct: DataFrame, max_bits: int = MAX_BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(key, fp): fingerprints to compare stand under one key, about 2 * block_rows of them at most."""
+    index = distinct.select(F.explode(variant_keys("fp", max_bits)).alias("key"), "fp")
+    if distinct.count() <= block_rows:
+        return index
+    hot = index.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block_rows)
+    hot = materialize(hot.select("key", F.ceil(F.col("n") / block_rows).cast("int").alias("parts")), "simhash-hot")
+    if not hot.limit(1).count():
+        return index
+    both = index.join(sized_broadcast(hot), "key", "left").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    others = F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(
+        F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: o != F.col("block")))
+    # keys that clash bring more to compare, and every link is verified
+    return both.select("key", "fp", "block", F.explode(others).alias("other")).select(
+        F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).alias("key"), "fp")
+
+
+def links(distinct: DataFrame, max_bits: int = MAX_BITS, run_rows: int = RUN_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(src, dst) links whose components are those of all pairs at max_bits or fewer differing bits."""
 
     def run(batches):
@@ -146,8 +167,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, run_rows: int = RUN_ROW
         if keys:
             yield flush(None)
 
-    index = distinct.select(F.explode(variant_keys("fp", max_bits)).alias("key"), F.col("fp"))
-    return index.repartition("key").sortWithinPartitions("key").mapInArrow(run, "src bigint, dst bigint")
+    return variant_index(distinct, max_bits, block_rows).repartition("key").sortWithinPartitions("key").mapInArrow(run, "src bigint, dst bigint")
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:

@@ -84,3 +84,32 @@ def test_common_prose_stays_apart(spark):
     rng = random.Random(9)
     df = spark.createDataFrame([(i, prose(rng, 80)) for i in range(50)], "doc_id bigint, text string")
     assert S.keep_one(df).count() == 50
+
+
+def test_a_key_of_many_fingerprints_is_cut_into_blocks(spark):
+    from linkloom.operators.graph import connected_components
+
+    rng, fps = random.Random(8), set()
+    base = rng.getrandbits(64)
+    while len(fps) < 300:  # a family that shares most of its keys
+        fps.add(base ^ sum(1 << b for b in rng.sample(range(22), 3)))
+    fps |= {rng.getrandbits(64) for _ in range(100)}
+    signed = [x - (1 << 64) if x >> 63 else x for x in sorted(fps)]
+    df = spark.createDataFrame([(x,) for x in signed], "fp bigint")
+    most = S.variant_index(df, 4, 20).groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert most <= 80 < S.variant_index(df, 4, 1 << 20).groupBy("key").count().agg({"count": "max"}).first()[0]
+    parent = {x: x for x in signed}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(signed):
+        for b in signed[:i]:
+            if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4:
+                parent[find(a)] = find(b)
+    want = {frozenset(y for y in signed if find(y) == r) for r in {find(x) for x in signed}}
+    for block in (20, 1 << 20):
+        comp = {r["v"]: r["comp"] for r in connected_components(S.links(df, 4, block_rows=block)).collect()}
+        assert {frozenset(y for y in signed if comp.get(y, y) == r) for r in {comp.get(x, x) for x in signed}} == want
