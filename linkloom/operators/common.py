@@ -13,14 +13,14 @@ _FIXED_BYTES = 16
 def sized_broadcast(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Broadcast ``df`` only after checking that its values take at most ``max_bytes``.
 
-    Strings and arrays count by their length, other columns 16 bytes each.
+    Strings, bytes and arrays count by their length, other columns 16 bytes each.
     Above the bound the plain DataFrame is returned and Spark plans a shuffle
     join (AQE may still switch to broadcast from runtime sizes).
     """
     row = F.lit(_FIXED_BYTES)
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
-        row = row + (F.octet_length(c) if kind == "string" else F.size(c) * 16 if kind.startswith("array") else F.lit(_FIXED_BYTES))
+        row = row + (F.octet_length(c) if kind in ("string", "binary") else F.size(c) * 16 if kind.startswith("array") else F.lit(_FIXED_BYTES))
     size = df.agg(F.coalesce(F.sum(F.coalesce(row, F.lit(_FIXED_BYTES)).cast("bigint")), F.lit(0))).first()[0]
     return F.broadcast(df) if size <= max_bytes else df
 
