@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import byte_cnn, decontaminate, html_text, licenses, mixing, pseudo_likelihood, quality_rules, records, simhash, suffix_dedup
+from linkloom.llm import byte_cnn, decontaminate, html_text, licenses, merkle, mixing, pseudo_likelihood, quality_rules, records, simhash, suffix_dedup
 from linkloom.sources.tables import read_table
 
 
@@ -63,6 +63,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents")).drop("lang", "tampered")
+
+
 QUERIES = {
     "op1_pseudo_likelihood": op1_pseudo_likelihood,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -74,11 +78,17 @@ QUERIES = {
     "op8_byte_cnn": op8_byte_cnn,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
+    "op13_merkle": op13_merkle,
 }
 
 _NONSPACE = r"[^\x20\x09-\x0D]+"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_MERKLE_FIELD = "coalesce(octet_length(encode(CAST({x} AS VARCHAR))) || ':' || CAST({x} AS VARCHAR), '-')"
+_MERKLE_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FIELDS = " || ".join(_MERKLE_FIELD.format(x=c) for c in merkle.LEAF_COLUMNS[:-1])
+#: One level up: the digest in its slot among the run's others, and those others behind the siblings so far.
+_MERKLE_UP = """sha256(array_to_string(kids[1:pos % 8] || [digest] || kids[pos % 8 + 2:], '')), beside || array_to_string(kids[1:pos % 8] || kids[pos % 8 + 2:], '')"""
 
 ORACLE = {
     "op2_suffix_dedup": """
@@ -195,5 +205,47 @@ WITH doc AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (gone IS NOT NULL AND (n_words - gone < {quality_rules.MIN_WORDS} OR n_words - gone < {quality_rules.MIN_LEFT} * n_words)) AS kept
 FROM judged
+""",
+    "op13_merkle": rf"""
+WITH RECURSIVE doc AS (
+  SELECT row_number() OVER () AS k, doc_id, lang, source, n_chars, text, CAST(doc_id AS VARCHAR) AS id,
+         dense_rank() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS tree FROM documents
+), field AS (
+  SELECT k, doc_id, tree, id, {_FIELDS} AS before, {_MERKLE_FIELD.format(x="text")} AS plain, {_MERKLE_FIELD.format(x=_MERKLE_LOWER)} AS lowered FROM doc
+), crc AS (
+  SELECT k, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(id) + 1), lambda i: CAST(ascii(substr(id, i, 1)) AS BIGINT))),
+    lambda c, byte: list_reduce(list_prepend(xor(c, byte), CAST(range(0, 8) AS BIGINT[])), lambda r, i: xor(r >> 1, CASE WHEN r & 1 = 1 THEN 3988292384 ELSE 0 END)))) AS crc
+  FROM doc WHERE id IS NOT NULL
+), leaf AS (
+  SELECT k, doc_id, tree, sha256(before || plain) AS leaf, CASE WHEN crc % 3 = 0 THEN sha256(before || lowered) ELSE sha256(before || plain) END AS changed
+  FROM field LEFT JOIN crc USING (k)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, k) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaf
+), node AS (
+  SELECT tree, 0 AS level, pos, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT tree, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM node WHERE n > 1 GROUP BY tree, level, pos // 8, n
+), subroot AS (
+  SELECT tree, digest FROM node WHERE n = 1
+), top AS (
+  SELECT 0 AS level, tree AS pos, (SELECT count(*) FROM subroot) AS n, digest FROM subroot
+  UNION ALL
+  SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY level, pos // 8, n
+), run AS (
+  SELECT tree, level, pos // 8 AS up, list(digest ORDER BY pos) AS kids FROM node WHERE n > 1 GROUP BY ALL
+  UNION ALL SELECT -1, level, pos // 8, list(digest ORDER BY pos) FROM top WHERE n > 1 GROUP BY ALL
+), fold AS (
+  SELECT k, tree, 0 AS level, pos, n, changed AS digest, '' AS beside FROM placed
+  UNION ALL
+  SELECT k, tree, level + 1, pos // 8, (n + 7) // 8, {_MERKLE_UP}
+  FROM fold JOIN run USING (tree, level) WHERE n > 1 AND up = pos // 8
+), fold_top AS (
+  SELECT k, -1 AS tree, 0 AS level, tree AS pos, (SELECT count(*) FROM subroot) AS n, digest, beside FROM fold WHERE n = 1
+  UNION ALL
+  SELECT k, tree, level + 1, pos // 8, (n + 7) // 8, {_MERKLE_UP}
+  FROM fold_top JOIN run USING (tree, level) WHERE n > 1 AND up = pos // 8
+)
+SELECT doc_id, leaf, subroot.digest AS subroot, root.digest AS root, sha256(beside) AS proof_sha256, fold_top.digest AS folded_root, fold_top.digest = root.digest AS verified
+FROM placed JOIN subroot USING (tree) JOIN fold_top USING (k), (SELECT digest FROM top WHERE n = 1) AS root WHERE fold_top.n = 1
 """,
 }
