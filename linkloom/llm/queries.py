@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import byte_cnn, decontaminate, html_text, licenses, merkle, mixing, pseudo_likelihood, quality_rules, records, simhash, suffix_dedup
+from linkloom.llm import byte_cnn, cross_polytope, decontaminate, html_text, licenses, merkle, mixing, phrases, pseudo_likelihood, quality_rules, records, simhash, suffix_dedup
 from linkloom.sources.tables import read_table
 
 
@@ -63,6 +63,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents")).drop("lang", "tampered")
 
@@ -78,6 +86,8 @@ QUERIES = {
     "op8_byte_cnn": op8_byte_cnn,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
+    "op11_phrases": op11_phrases,
+    "op12_cross_polytope": op12_cross_polytope,
     "op13_merkle": op13_merkle,
 }
 
@@ -205,6 +215,35 @@ WITH doc AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (gone IS NOT NULL AND (n_words - gone < {quality_rules.MIN_WORDS} OR n_words - gone < {quality_rules.MIN_LEFT} * n_words)) AS kept
 FROM judged
+""",
+    "op11_phrases": rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '{phrases.NO_LANG}') AS lang, string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]') AS pieces FROM documents
+), piece AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS p FROM doc)
+), gram AS (
+  SELECT lang, len AS size, w[i:i + len - 1] AS g, CAST(count(*) AS BIGINT) AS f
+  FROM piece, unnest(range(1, {phrases.MAX_WORDS + 1})) AS s(len), unnest(range(1, len(w) - len + 2)) AS t(i) GROUP BY ALL
+), total AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM gram WHERE size = 1 GROUP BY lang
+), often AS (
+  SELECT * FROM gram WHERE f >= {phrases.MIN_COUNT}
+), around AS (
+  SELECT lang, g[i:i + len - 1] AS g, max(f) AS around
+  FROM often, unnest(range(2, size)) AS s(len), unnest(range(1, size - len + 2)) AS t(i) WHERE size > 2 GROUP BY ALL
+), own AS (
+  SELECT often.* FROM often LEFT JOIN around USING (lang, g)
+  WHERE size > 1 AND (around IS NULL OR 100::HUGEINT * around < {phrases.INSIDE_PERCENT}::HUGEINT * f)
+), cut AS (
+  SELECT own.lang, own.g, own.f AS a, k, first.f AS l, rest.f AS r, CAST(({phrases.SCALE}::HUGEINT * own.f) // (first.f + rest.f) AS BIGINT) AS score
+  FROM own, unnest(range(1, own.size)) AS s(k), often AS first, often AS rest
+  WHERE first.lang = own.lang AND first.g = own.g[1:k] AND rest.lang = own.lang AND rest.g = own.g[k + 1:]
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS place, array_to_string(g, ' ') AS phrase FROM cut
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, score FROM best WHERE place = 1
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= {phrases.KEEP}
 """,
     "op13_merkle": rf"""
 WITH RECURSIVE doc AS (
