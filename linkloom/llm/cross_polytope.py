@@ -26,7 +26,8 @@ queries in a task of its own; no row is left out.
 Cases: a vector that is null, empty, zero, or holds a null or non-finite component
 takes no part; vectors of other lengths than the query's are no candidates; ties go to the smaller
 vec_id, and a null vec_id, which is never a query, comes last; rows equal in
-id and vector count once and a query never returns its own id; with fewer
+id and vector count once, an id with several vectors asks with each of them and
+has the nearest to any, and a query never returns its own id; with fewer
 candidates than asked for, all found are returned; an empty table gives an empty result;
 extra columns are not read.
 """
@@ -277,9 +278,10 @@ def _nearest(found: DataFrame, keep: int, *more: str) -> DataFrame:
 
 def tune(rows: DataFrame, classes: DataFrame, dim: int, kind: str, n: int, k: int, sample: int = SAMPLE, target: float = TARGET) -> tuple[Keys, int, float]:
     """(keys, probes, the sample's recall): the finest keys that reach the target with MAX_PROBES probes, else the coarsest with as many as it takes."""
-    asked = [(r["id"], bytes(r["vec"])) for r in classes.orderBy(F.xxhash64("vec"), "id").limit(sample).collect()]
+    first = classes.orderBy(F.xxhash64("vec"), "own").limit(sample).collect()
+    asked, own = [(r["id"], bytes(r["vec"])) for r in first], {r["id"]: r["own"] for r in first}
     found = rows.mapInArrow(lambda b: _compare(b, asked, dim, kind, k + 1), "query bigint, id bigint, score double, vec binary")
-    near = [r for r in _nearest(found, k + 1, "vec").collect() if r["id"] != r["query"]]
+    near = [r for r in _nearest(found, k + 1, "vec").collect() if r["id"] != own[r["query"]]]
     place = {q: i for i, (q, _) in enumerate(asked)}
     of = np.array([place[r["query"]] for r in near], dtype=np.int64)
     matrix = lambda parts: unit(np.frombuffer(b"".join(parts), dtype=kind).reshape(-1, dim).astype(np.float64))
@@ -287,12 +289,12 @@ def tune(rows: DataFrame, classes: DataFrame, dim: int, kind: str, n: int, k: in
     for axes in ladder(dim, n):
         keys = Keys(dim, axes)
         most = MAX_PROBES if len(axes) > 1 else keys.per_table
-        first = np.full(len(near), most, dtype=np.int64)  # probes before a neighbour's key, in the table where it is nearest
+        reach = np.full(len(near), most, dtype=np.int64)  # probes before a neighbour's key, in the table where it is nearest
         for t in range(keys.tables):
             tried, key = keys.probes(q, t, most), keys.of(x, t)
             hit = tried[of] == key[:, None]
-            first = np.minimum(first, np.where(hit.any(axis=1), hit.argmax(axis=1), most))
-        recall = np.cumsum(np.bincount(first, minlength=most + 1)[:most]) / max(1, len(near))
+            reach = np.minimum(reach, np.where(hit.any(axis=1), hit.argmax(axis=1), most))
+        recall = np.cumsum(np.bincount(reach, minlength=most + 1)[:most]) / max(1, len(near))
         enough = np.flatnonzero(recall >= target) if len(near) else np.array([0])
         if len(enough):
             return keys, int(enough[0]) + 1, float(recall[enough[0]]) if len(near) else 1.0
@@ -318,7 +320,8 @@ def _of_length(rows: DataFrame, dim: int, kind: str, k: int, every: int, block_r
     """(query, id, score, rank) of the vectors of one length."""
     asked = rows.filter((F.col("id") % every == 0) & (F.col("id") != _NO_ID)).select("id", "vec").distinct()
     asked = materialize(asked, "ann-queries")
-    classes = materialize(asked.groupBy("vec").agg(F.min("id").alias("id")), "ann-classes")
+    classes = asked.groupBy("vec").agg(F.min("id").alias("own")).withColumn("id", F.monotonically_increasing_id())
+    classes = materialize(classes, "ann-classes")  # their numbers are read back from the written table
     n = rows.count()
     keys, probes, _ = tune(rows, classes, dim, kind, n, k)
     schema = "key bigint, id bigint, vec binary"
