@@ -170,8 +170,8 @@ def numbered_blocks(tokens: DataFrame, frequent: DataFrame) -> DataFrame:
     return tokens.select("block", "lang", "seq").join(dicts, "block").select("lang", "seq", "dict")
 
 
-def suffixes(seq: bytes, entries: pa.StructArray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(group of the first word, the words' numbers) of every suffix of two words or more; 0 is behind its end."""
+def suffixes(seq: bytes, entries: pa.StructArray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(group of the first word, of the second, the words' numbers) of every suffix of two words or more; 0 is behind its end."""
     place, number, grp = (entries.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
     (codes,) = unpack(seq, "<i4")
     size = max(int(codes.max(initial=0)), int(place.max(initial=-1)) + 1) + 1
@@ -182,7 +182,7 @@ def suffixes(seq: bytes, entries: pa.StructArray) -> tuple[np.ndarray, list[np.n
     words = [w[at], w[at + 1]]
     for i in range(2, MAX_WORDS):
         words.append(np.where(words[-1] > 0, w[at + i], np.uint64(0)))
-    return group_of[codes[at]], words
+    return group_of[codes[at]], group_of[codes[at + 1]], words
 
 
 class Hot:
@@ -206,20 +206,24 @@ class Hot:
 
 
 def _each_block(batches):
+    """(lang, *suffixes) of each block."""
     for batch in batches:
         for i in range(batch.num_rows):
-            grp, words = suffixes(batch.column("seq")[i].as_py(), batch.column("dict")[i].values)
-            yield batch.column("lang")[i].as_py(), grp, words
+            yield batch.column("lang")[i].as_py(), *suffixes(batch.column("seq")[i].as_py(), batch.column("dict")[i].values)
 
 
 def _extensions(batches, hot: Hot, level: int):
-    """(lang, key, n): prefixes one word longer than those that must be extended, counted block by block."""
-    for lang, grp, words in _each_block(batches):
+    """(lang, key, n): prefixes one word longer than those that must be extended, counted block by block.
+
+    A phrase is no more frequent than its parts, so only those are counted of
+    which both words, or both pairs, must be extended themselves.
+    """
+    for lang, grp, following, words in _each_block(batches):
         if level == 2:
-            keys = (words[0] << _BOTH | words[1])[grp < 0]
+            keys = (words[0] << _BOTH | words[1])[(grp < 0) & (following < 0)]
         else:
             keys, below = hot.triple_keys(words)
-            keys = keys[below]
+            keys = keys[below & hot.find(hot.pairs, words[1] << _BOTH | words[2])[1]]
         key, n = np.unique(keys, return_counts=True)
         yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(key), pa.string()), "key": key.view(np.int64), "n": n})
 
@@ -241,7 +245,7 @@ def _mixed(*words: np.ndarray) -> np.ndarray:
 
 def _route(batches, hot: Hot, groups: int):
     """(grp, depth, lang, suffixes): each block's suffixes sorted and counted, group by group of their prefix."""
-    for lang, grp, words in _each_block(batches):
+    for lang, grp, _, words in _each_block(batches):
         depth = np.ones(len(grp), dtype=np.int64)
         spread = grp < 0
         depth[spread] = 2
