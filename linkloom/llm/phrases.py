@@ -12,11 +12,11 @@ each group's subtrees are built on their own.
 2. Words below ``min_count`` can't stand in a candidate: every phrase that holds
    one is rarer still.  They end suffixes.  The others get numbers and, in order
    of their running counts, groups of at most ``budget`` suffixes.
-3. A word whose suffixes would take over an eighth of the budget is no prefix by itself:
+3. A word whose suffixes would take over a quarter of the budget is no prefix by itself:
    it is extended by the next word, such a pair by a third one, and a triple
    by the fourth.  Each extension counts the prefixes once more and only those
    below words (pairs, triples) that need it; their own counts are then known,
-   as the part of the tree above its subtrees.  At most eight such prefixes per
+   as the part of the tree above its subtrees.  At most four such prefixes per
    group exist, and groups number at most ``MAX_GROUPS``.
 4. A block sends each group its suffixes sorted and counted, so what travels is
    bounded by distinct suffixes.  The group's task merges them, and the runs of
@@ -58,12 +58,12 @@ SCALE = 2_000_000
 INSIDE_PERCENT = 80
 NO_LANG = "und"
 #: Suffixes of one group of prefixes; its task holds some hundred bytes for each.
-BUDGET = 1 << 21
-#: Above this many groups the budget grows, so that the list of extended prefixes stays below 16 MB.
+BUDGET = 1 << 20
+#: Above this many groups the budget grows, so that the list of extended prefixes stays below 8 MB.
 MAX_GROUPS = 1 << 18
-_HOT_PART = 8
+_HOT_PART = 4
 #: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 _CUTS = frozenset(b".,;:!?\n\v\f\r")
 _CUT = bytes(b in _CUTS for b in range(256))
