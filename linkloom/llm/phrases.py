@@ -63,7 +63,7 @@ BUDGET = 1 << 20
 MAX_GROUPS = 1 << 18
 _HOT_PART = 4
 #: Bytes of text in a block.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 _CUTS = frozenset(b".,;:!?\n\v\f\r")
 _CUT = bytes(b in _CUTS for b in range(256))
@@ -127,6 +127,7 @@ def _tokenize(batches, block_bytes):
                 if len(words):
                     yield pa.RecordBatch.from_pydict({"lang": [lang], "words": pa.array([words.to_pylist()], pa.list_(pa.string())),
                                                       "counts": pa.array([counts], pa.list_(pa.int64())), "seq": [pack(seq)]})
+        pa.default_memory_pool().release_unused()  # a worker keeps what its pool holds
 
 
 def token_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
