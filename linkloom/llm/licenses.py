@@ -18,6 +18,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -77,6 +78,12 @@ class Finder:
             self.seeds.add_word(piece, (len(piece), uses))
         self.seeds.make_automaton()
 
+    @lru_cache(1 << 14)  # noqa: B019 - a finder lives as long as its process
+    def verified(self, k: int, window: str) -> tuple[int, int, int] | None:
+        """(start, end, edits) of the notice in a window; a notice that stands again and again is verified once."""
+        m = next((m for p in self.patterns[k] if (m := p.search(window))), None)
+        return (m.start(), m.end(), sum(m.fuzzy_counts)) if m else None
+
     def search(self, text: str) -> list[tuple[int, int, int, int]]:
         """(start, end, edits, notice) of the reported places, in order; text is normalised."""
         found: dict[tuple[int, int, int], int] = {}
@@ -89,9 +96,9 @@ class Finder:
                     continue
                 tried.add((k, at))
                 lo, hi = max(0, at - e), min(len(text), at + len(notice) + e)
-                m = next((m for p in self.patterns[k] if (m := p.search(text, lo, hi))), None)
-                if m:
-                    found[m.start(), m.end(), k] = sum(m.fuzzy_counts)
+                span = self.verified(k, text[lo:hi])
+                if span:
+                    found[lo + span[0], lo + span[1], k] = span[2]
         taken: list[tuple[int, int, int, int]] = []
         best = sorted((edits, a - b, a, b, k) for (a, b, k), edits in found.items())
         free = _Free()
@@ -137,13 +144,15 @@ def scan_text(text: str, base: tuple[tuple[str, str], ...], notices: tuple[tuple
             places.append(at)
             base_labels.add(label)
             at = padded.find(f" {phrase} ", at + 1)
-    words_before = lambda i: text.count(" ", 0, i)
+    found = finder(notices).search(text)
+    blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 0x20) if places or found else None
+    words_before = lambda i: int(np.searchsorted(blanks, i))
     spans, score = [], 1.0 if places else 0.0
-    for a, b, edits, k in finder(notices).search(text):
+    for a, b, edits, k in found:
         first = words_before(a + (text[a] == " "))
         spans.append({"label": notices[k][1], "first_word": first, "n_words": words_before(b - (text[b - 1] == " ")) - first + 1, "edits": edits})
         score = max(score, 1 - edits / len(notices[k][0]))
-    starts = [padded.count(" ", 0, p + 1) - 1 for p in (min(places), max(places))] if places else [None, None]
+    starts = [words_before(p) for p in (min(places), max(places))] if places else [None, None]
     return {"n_words": text.count(" ") + 1 if text else 0, "n_base": len(places), "first_word": starts[0], "last_word": starts[1],
             "base_labels": ",".join(sorted(base_labels)), "labels": ",".join(sorted(base_labels | {s["label"] for s in spans})), "score": score, "spans": spans}
 

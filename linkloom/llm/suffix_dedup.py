@@ -11,7 +11,10 @@ sorted classes.  Strings of other documents in a class are removed.
 
 What would pile up is thinned without loss before it travels or is sorted:
 equal pieces of one block of documents are sent once, for the smallest doc_id
-(the others are removed on the spot); pieces whose minimizer, with the bytes on
+(the others are removed on the spot); equal pieces of one document -- a text of
+one byte is nothing else -- are sent once, with the places where the others
+stand as evenly spaced rows of places; a text longer than a block is cut piece by
+piece of the block's size, strings across a cut belonging to the piece in which they start; pieces whose minimizer, with the bytes on
 either side that a shared string would need, no other document of the bucket
 has cannot match and are not sorted.  Runs of bytes that very
 many documents hold (counted on a sample of documents, which decides only where
@@ -43,11 +46,15 @@ from linkloom.llm.textblocks import BYTE_CODE, BYTE_POWERS, Block, blocks, kgram
 LENGTH, RUN = 50, 10
 #: Text worked on at once when pieces are cut, text of a bucket, and text of a shard.
 CUT_BYTES, BUCKET_BYTES, SHARD_BYTES = 3 << 20, 1 << 20, 2 << 20
+#: Text of one long document worked on at once.
+LONG_BYTES = 1 << 20
 #: One document of so many is looked at for common runs of bytes; common is what so many documents would then hold.
 SAMPLE_OF, COMMON_DOCS = 512, 100_000
 #: Sampled text that pieces are compressed against, from so many documents at most.
 DICTIONARY_BYTES, DICTIONARY_DOCS = 256 << 10, 256
 
+#: Bytes of one interval on its way; longer ones are cut.
+MAX_SPAN = 1 << 15
 _WHOLE = 255  # in place of a minimizer's offset: the piece is one string, dealt out by its own hash
 _U = np.uint64
 
@@ -123,24 +130,27 @@ class Packer:
         else:
             self.text, self.undo_text = self.plain, self.undo_plain
 
-    def pack(self, doc_id, tag, start, count, offset, text) -> bytes:
+    def pack(self, doc_id, tag, start, count, offset, text, rows: np.ndarray) -> bytes:
         delta = lambda x: np.diff(x, prepend=x.dtype.type(0))
         parts = [delta(doc_id.astype("<i8")), delta(tag.astype("<i8")), delta(start.astype("<i4")), count.astype("u1"), offset.astype("u1")]
         # byte by byte: the high bytes of small differences stand together
         planes = [np.ascontiguousarray(p.view(np.uint8).reshape(len(p), -1).T).tobytes() for p in parts]
         numbers = self.plain.compress(b"".join(planes))
-        return np.array([len(start), len(numbers)], "<u4").tobytes() + numbers + self.text.compress(text.tobytes())
+        more = self.plain.compress(np.ascontiguousarray(rows.astype("<i8").T).tobytes()) if len(rows) else b""
+        return np.array([len(start), len(numbers), len(rows), len(more)], "<u4").tobytes() + numbers + more + self.text.compress(text.tobytes())
 
     def unpack(self, blob: bytes) -> tuple[np.ndarray, ...]:
-        n, cut = np.frombuffer(blob, "<u4", 2).tolist()
-        raw, out, at = self.undo_plain.decompress(blob[8:8 + cut]), [], 0
+        """(doc_id, tag, start, count, offset, text, rows of further places: piece, first start, step, number)."""
+        n, cut, n_rows, more = np.frombuffer(blob, "<u4", 4).tolist()
+        raw, out, at = self.undo_plain.decompress(blob[16:16 + cut]), [], 0
         for kind in ("<i8", "<i8", "<i4", "u1", "u1"):
             width = np.dtype(kind).itemsize
             planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
             values = np.ascontiguousarray(planes.T).view(kind).reshape(-1)
             out.append(values.astype(np.int64) if width == 1 else np.cumsum(values, dtype=np.int64))
             at += n * width
-        return *out, np.frombuffer(self.undo_text.decompress(blob[8 + cut:]), np.uint8)
+        rows = np.frombuffer(self.undo_plain.decompress(blob[16 + cut:16 + cut + more]), "<i8").reshape(4, n_rows).T if n_rows else np.empty((0, 4), np.int64)
+        return *out, np.frombuffer(self.undo_text.decompress(blob[16 + cut + more:]), np.uint8), rows
 
 
 @lru_cache(2)
@@ -148,9 +158,25 @@ def packer(sample: bytes) -> Packer:
     return Packer(sample)
 
 
+def spaced_rows(piece: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """(piece, first start, step, number): sorted places as evenly spaced rows, each place in one."""
+    n = len(piece)
+    if not n:
+        return np.empty((0, 4), np.int64)
+    opens = np.ones(n, dtype=bool)
+    opens[1:] = piece[1:] != piece[:-1]
+    step = np.zeros(n, dtype=np.int64)
+    step[1:] = np.where(opens[1:], 0, start[1:] - start[:-1])
+    opens[1:] |= (step[1:] != step[:-1]) & ~opens[:-1]  # a row's second place sets its step
+    first = np.flatnonzero(opens)
+    number = np.diff(np.append(first, n))
+    return np.stack([piece[first], start[first], np.where(number > 1, step[np.minimum(first + 1, n - 1)], 0), number], axis=1)
+
+
 def block_pieces(b: Block, doc_id: np.ndarray, tag: np.ndarray, known: np.ndarray, common: np.ndarray, n_buckets: int,
-                 length: int = LENGTH, run: int = RUN, sample: bytes = b"") -> tuple[list[tuple[int, bytes]], tuple[np.ndarray, ...]]:
-    """(bucket, packed pieces) of a block, and the intervals removed on the spot: doc_id, tag, start, end."""
+                 length: int = LENGTH, run: int = RUN, sample: bytes = b"", shift: int = 0) -> tuple[list[tuple[int, bytes]], tuple[np.ndarray, ...]]:
+    """(bucket, packed pieces) of a block, and the intervals removed on the spot: doc_id, tag, start, end.
+    ``shift``: where the block's text stands in its one document."""
     at, count, place, key = cut_pieces(b, length, run, common)
     doc = np.searchsorted(b.offsets, at, side="right") - 1
     use = known[doc]
@@ -170,17 +196,26 @@ def block_pieces(b: Block, doc_id: np.ndarray, tag: np.ndarray, known: np.ndarra
     # equal pieces: keep those of the smallest doc_id
     content = span_hashes(prefix, at, at + size, BYTE_POWERS)
     ids = doc_id[doc]
-    order = np.lexsort((ids, content))
+    order = np.lexsort((doc, ids, content))
     opens = np.ones(len(order), dtype=bool)
     opens[1:] = content[order][1:] != content[order][:-1]
-    owner = np.empty(len(order), dtype=np.int64)
-    owner[order] = order[np.maximum.accumulate(np.where(opens, np.arange(len(order)), 0))] if len(order) else order
+    first_of = lambda opens: order[np.maximum.accumulate(np.where(opens, np.arange(len(order)), 0))] if len(order) else order
+    owner, twin_of = np.empty(len(order), dtype=np.int64), np.empty(len(order), dtype=np.int64)
+    owner[order] = first_of(opens)
     copy = np.flatnonzero((ids > ids[owner]) & (size == size[owner]))
     copy = copy[_equal_spans(b.data, at[copy], at[owner[copy]], size[copy])]
-    start = at - b.offsets[doc]
-    gone = ids[copy], tag[doc[copy]], start[copy], start[copy] + size[copy]
+    start = at - b.offsets[doc] + shift
+    gone = merged_intervals(ids[copy], tag[doc[copy]], start[copy], start[copy] + size[copy])
     send = np.ones(len(at), dtype=bool)
     send[copy] = False
+    # equal pieces of one document: the first is sent, with the places of the others
+    opens[1:] |= doc[order][1:] != doc[order][:-1]
+    twin_of[order] = first_of(opens)
+    twin = np.flatnonzero(send & (twin_of != np.arange(len(at))) & send[twin_of] & (size == size[twin_of]))
+    twin = twin[_equal_spans(b.data, at[twin], at[twin_of[twin]], size[twin])]
+    send[twin] = False
+    twin = twin[np.argsort(twin_of[twin], kind="stable")]
+    rows = spaced_rows(twin_of[twin], start[twin])
     bucket = (mix64(key) % _U(n_buckets)).astype(np.int64)
     kept = np.flatnonzero(send)
     kept = kept[np.argsort(bucket[kept], kind="stable")]
@@ -188,10 +223,52 @@ def block_pieces(b: Block, doc_id: np.ndarray, tag: np.ndarray, known: np.ndarra
     out = []
     for part in np.split(kept, cuts[1:]) if len(kept) else []:
         text = _gather(b.data, at[part], size[part])
-        out.append((int(bucket[part[0]]), packer(sample).pack(ids[part], tag[doc[part]], start[part], count[part], offset[part], text)))
+        mine = rows[np.isin(rows[:, 0], part)] if len(rows) else rows
+        mine = np.column_stack([np.searchsorted(part, mine[:, 0]), mine[:, 1:]]) if len(mine) else mine
+        out.append((int(bucket[part[0]]), packer(sample).pack(ids[part], tag[doc[part]], start[part], count[part], offset[part], text, mine)))
     return out, gone
 
 
+def merged_intervals(ids: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same bytes of the same documents in as few intervals as there are, none longer than MAX_SPAN."""
+    if not len(ids):
+        return ids, tag, start, end
+    order = np.lexsort((start, tag, ids))
+    ids, tag, start, end = ids[order], tag[order], start[order], end[order]
+    opens = np.ones(len(ids), dtype=bool)
+    opens[1:] = (ids[1:] != ids[:-1]) | (tag[1:] != tag[:-1])
+    # ends only grow within a document once each document is lifted above the one before
+    lift = np.cumsum(opens) * (int(end.max()) + 1)
+    reach = np.maximum.accumulate(end + lift)
+    opens[1:] |= start[1:] + lift[1:] > reach[:-1]
+    first = np.flatnonzero(opens)
+    last = np.append(first[1:], len(ids)) - 1
+    ids, tag, start, end = ids[first], tag[first], start[first], reach[last] - lift[last]
+    parts = -(-(end - start) // MAX_SPAN)
+    if parts.max() > 1:
+        ids, tag, end = (np.repeat(x, parts) for x in (ids, tag, end))
+        start = np.repeat(start, parts) + MAX_SPAN * (np.arange(len(ids)) - np.repeat(np.cumsum(parts) - parts, parts))
+        end = np.minimum(end, start + MAX_SPAN)
+    return ids, tag, start, end
+
+
+def _at_all_places(piece: np.ndarray, start: np.ndarray, a: np.ndarray, b: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, start, end) of the parts [a, b) of pieces, at their own start and in each row of further places."""
+    out = [(piece, start[piece] + a, start[piece] + b)]
+    if len(rows):
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        lo, hi = np.searchsorted(rows[:, 0], piece), np.searchsorted(rows[:, 0], piece, side="right")
+        of = np.repeat(np.arange(len(piece)), hi - lo)
+        p, first, step, number = rows[_gather_starts(lo, hi - lo)].T
+        a, b = a[of], b[of]
+        dense = step <= b - a  # neighbouring places leave nothing between them
+        out.append((p[dense], first[dense] + a[dense], (first + (number - 1) * step + b)[dense]))
+        p, first, step, number, a, b = (x[~dense] for x in (p, first, step, number, a, b))
+        at = np.repeat(first, number) + np.repeat(step, number) * _gather_starts(np.zeros(len(number), np.int64), number)
+        out.append((np.repeat(p, number), at + np.repeat(a, number), at + np.repeat(b, number)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def _gather_starts(at: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(at - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
 
@@ -211,13 +288,17 @@ def _may_match(ids: np.ndarray, key: np.ndarray) -> np.ndarray:
 def bucket_repeats(blobs: list[bytes], length: int = LENGTH, run: int = RUN, shard_bytes: int = SHARD_BYTES, sample: bytes = b"") -> tuple[np.ndarray, ...]:
     """Removed intervals of a bucket: doc_id, tag, start, end."""
     parts = [packer(sample).unpack(x) for x in blobs]
-    ids, tag, start, count, offset, text = (np.concatenate(p) for p in zip(*parts, strict=True))
+    lead = np.cumsum([0, *(len(p[0]) for p in parts)])
+    rows = np.concatenate([p[6] + np.array([n, 0, 0, 0]) for p, n in zip(parts, lead, strict=False)])
+    ids, tag, start, count, offset, text = (np.concatenate(p) for p in list(zip(*parts, strict=True))[:6])
     size = count + length - 1
     at = np.cumsum(size) - size
     good = np.flatnonzero(_candidates(text, ids, at, size, offset.astype(np.int64), length, run))
     if not len(good):
         return (np.empty(0, np.int64),) * 4
     text, ids, tag, start, count, size = _gather(text, at[good], size[good]), ids[good], tag[good], start[good], count[good], size[good]
+    rows = rows[np.isin(rows[:, 0], good)]
+    rows = np.column_stack([np.searchsorted(good, rows[:, 0]), rows[:, 1:]])
     at = np.cumsum(size) - size
     shards = []
     cuts = np.flatnonzero(np.diff((at + size - 1) // shard_bytes)) + 1
@@ -246,8 +327,9 @@ def bucket_repeats(blobs: list[bytes], length: int = LENGTH, run: int = RUN, sha
         nxt[:-1] = gone[1:] & (of[1:] == of[:-1])
         first, last = np.flatnonzero(gone & ~prev), np.flatnonzero(gone & ~nxt)
         where = np.arange(len(of)) - np.searchsorted(of, of)  # the string's number in its piece
-        out.append((ids[of[first]], tag[of[first]], start[of[first]] + where[first], start[of[last]] + where[last] + length))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        piece, lo, hi = _at_all_places(of[first], start, where[first], where[last] + length, rows)
+        out.append((ids[piece], tag[piece], lo, hi))
+    return merged_intervals(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
 
 def _candidates(text: np.ndarray, ids: np.ndarray, at: np.ndarray, size: np.ndarray, offset: np.ndarray, length: int, run: int) -> np.ndarray:
@@ -283,7 +365,7 @@ def _keys(text: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 
 
 def _interval_rows(part: tuple[np.ndarray, ...], names: list[str]) -> pa.RecordBatch:
-    """Removed intervals as rows; start and length share a number (an interval is at most a piece long)."""
+    """Removed intervals as rows; start and length share a number (an interval is at most MAX_SPAN long)."""
     ids, tag, start, end = (x.astype(np.int64) for x in part)
     columns = {"doc_id": pa.array(ids), "tag": pa.array(tag), "span": pa.array(start << 16 | end - start),
                "bucket": pa.nulls(len(ids), pa.int32()), "body": pa.nulls(len(ids), pa.binary())}
@@ -296,6 +378,16 @@ GONE_TYPE = "doc_id bigint, tag bigint, span bigint"
 ROWS_TYPE = GONE_TYPE + ", bucket int, body binary"
 
 
+def _cut_long(b: Block, length: int, limit: int = LONG_BYTES):
+    """(place in its document, block): one long document as blocks of bounded bytes, each string in the one it starts in."""
+    if len(b) > 1 or len(b.data) <= 2 * limit:
+        yield 0, b
+        return
+    for at in range(0, len(b.data) - length + 1, limit):
+        data = b.data[at:at + limit + length - 1]
+        yield at, Block(b.first, data, np.array([0, len(data)]))
+
+
 def _cutter(given, n_buckets: int, length: int, run: int):
     def cut(batches):
         common, sample = given.value
@@ -305,11 +397,12 @@ def _cutter(given, n_buckets: int, length: int, run: int):
             doc_id, tag = ids.fill_null(0).to_numpy(), batch.column(2).to_numpy()
             for b in blocks(batch.column(1), CUT_BYTES):
                 part = slice(b.first, b.first + len(b))
-                rows, now = block_pieces(b, doc_id[part], tag[part], known[part], common, n_buckets, length, run, sample)
-                yield _interval_rows(now, ROWS)
-                n = len(rows)
-                yield pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 3, pa.array([r[0] for r in rows], pa.int32()),
-                                                  pa.array([r[1] for r in rows], pa.binary())], ROWS)
+                for shift, c in _cut_long(b, length):
+                    rows, now = block_pieces(c, doc_id[part], tag[part], known[part], common, n_buckets, length, run, sample, shift)
+                    yield _interval_rows(now, ROWS)
+                    n = len(rows)
+                    yield pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 3, pa.array([r[0] for r in rows], pa.int32()),
+                                                      pa.array([r[1] for r in rows], pa.binary())], ROWS)
 
     return cut
 
@@ -379,7 +472,8 @@ def _runs(run: int):
     def count(batches):
         for batch in batches:
             for b in blocks(batch.column(0)):
-                keys = [np.unique(kgram_hashes(b.data[lo:hi], run)) for lo, hi in zip(b.offsets[:-1], b.offsets[1:], strict=True)]
+                keys = [np.unique(np.concatenate([np.unique(kgram_hashes(b.data[at:min(hi, at + CUT_BYTES + run - 1)], run)) for at in range(lo, max(hi, lo + 1), CUT_BYTES)]))
+                        for lo, hi in zip(b.offsets[:-1].tolist(), b.offsets[1:].tolist(), strict=True)]
                 keys, n = np.unique(np.concatenate(keys), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
 

@@ -99,3 +99,43 @@ def test_query_on_the_small_table_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     assert by_id(QUERIES["op2_suffix_dedup"](spark, sf), *COLS) == expected(rows)
+
+
+@pytest.mark.parametrize("unit", ["a", "=-", "All rights reserved. Licensed under the terms of this notice, which repeats. "])
+def test_long_repetitive_texts(spark, unit):
+    n = 30_000
+    long = unit * (n // len(unit))
+    texts = [(1, long), (2, long + "a tail of its own that no other document has, at the end"), (3, "x" * 60 + long[: n // 3]), (4, unit * 3)]
+    got = {r.doc_id: r for r in D.removed_spans(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    seen = set()
+    for doc_id, text in texts:
+        data = text.encode()
+        starts = [i for i in range(len(data) - 49) if data[i:i + 50] in seen]
+        seen.update(data[i:i + 50] for i in range(len(data) - 49))
+        gone = np.zeros(len(data) + 1, dtype=int)
+        np.add.at(gone, starts, 1)
+        np.add.at(gone, np.array(starts, dtype=int) + 50, -1)
+        gone = np.cumsum(gone[:-1]) > 0
+        assert got[doc_id].n_removed == gone.sum() and got[doc_id].n_spans == (np.diff(gone.astype(int), prepend=0) == 1).sum()
+
+
+def test_a_repetitive_text_travels_as_few_pieces_and_long_ones_are_cut():
+    data = np.frombuffer(b"a" * 200_000, np.uint8)
+    block = T.Block(0, data, np.array([0, len(data)]))
+    rows, _ = D.block_pieces(block, np.array([7]), np.array([0]), np.array([True]), np.empty(0, np.uint64), 64)
+    assert len(rows) == 1 and len(rows[0][1]) < 1000
+    cut = list(D._cut_long(T.Block(0, data, np.array([0, len(data)])), 50, 30_000))
+    assert [at for at, _ in cut] == list(range(0, 199_951, 30_000)) and all(len(c.data) <= 30_049 for _, c in cut)
+
+
+def test_evenly_spaced_rows_and_merged_intervals():
+    rng = np.random.default_rng(5)
+    for _ in range(100):
+        piece = np.sort(rng.integers(0, 4, 40))
+        start = np.concatenate([np.sort(rng.choice(60, (piece == p).sum(), replace=False)) for p in range(4)])
+        rows = D.spaced_rows(piece, start)
+        assert sorted((p, a + i * step) for p, a, step, n in rows.tolist() for i in range(n)) == sorted(zip(piece.tolist(), start.tolist()))
+        end = start + rng.integers(1, 9, 40)
+        got = D.merged_intervals(piece, piece * 0, start, end)
+        cover = lambda p, a, b: {(x, i) for x, lo, hi in zip(p.tolist(), a.tolist(), b.tolist()) for i in range(lo, hi)}
+        assert cover(got[0], got[2], got[3]) == cover(piece, start, end) and len(got[0]) <= 40
