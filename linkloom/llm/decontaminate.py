@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linkloom.llm.columns import spare
 from linkloom.llm.textblocks import ALNUM, Block, Words, blocks
 
 N_WORDS = 13
@@ -125,7 +126,7 @@ def _report(doc_id, n_words: int, spans: list, ids: set) -> dict:
             "spans": [{"first_word": a, "n_words": b} for a, b in spans]}
 
 
-def _scanner(group, so_far: bool, last: bool, keep: bool):
+def _scanner(group, so_far: bool, last: bool, keep: bool, beside: str):
     """A mapInArrow function: look one group's windows up; the last one reports or filters."""
 
     def run(batches):
@@ -146,7 +147,7 @@ def _scanner(group, so_far: bool, last: bool, keep: bool):
                                    pa.struct([("spans", pa.list_(pa.struct([("a", pa.int32()), ("n", pa.int32())]))), ("ids", pa.list_(pa.int64()))]))
                 columns = batch.columns[:batch.num_columns - so_far]
                 names = batch.schema.names[:len(columns)]
-                yield pa.RecordBatch.from_arrays([*columns, carried], [*names, "__found"])
+                yield pa.RecordBatch.from_arrays([*columns, carried], [*names, beside])
                 continue
             if keep:
                 good = [not _report(None, n, s, i)["contaminated"] for n, (s, i) in zip(n_words, found, strict=True)]
@@ -166,10 +167,11 @@ def _through(docs: DataFrame, benchmark: DataFrame, keep: bool, n: int, group_by
     schema = docs.schema
     span = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("n", T.IntegerType())])
     found = T.StructType([T.StructField("spans", T.ArrayType(span)), T.StructField("ids", T.ArrayType(T.LongType()))])
-    carried = T.StructType([*schema.fields, T.StructField("__found", found)])
+    (beside,) = spare(docs, "__found")
+    carried = T.StructType([*schema.fields, T.StructField(beside, found)])
     for k, g in enumerate(groups):
         last = k == len(groups) - 1
-        docs = docs.mapInArrow(_scanner(g, k > 0, last, keep), (schema if keep else REPORT) if last else carried)
+        docs = docs.mapInArrow(_scanner(g, k > 0, last, keep, beside), (schema if keep else REPORT) if last else carried)
     return docs
 
 

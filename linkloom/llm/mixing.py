@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.llm.columns import spare
 from linkloom.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -129,11 +130,12 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS,
 
 def take(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents with all their columns, each as many times as the mix takes it."""
-    sent = (mix(docs, **options).groupBy("doc_id", "source", "text_key").agg(F.sum("times").alias("__times"), F.count("*").alias("__rows"))
-            .filter("__times > 0").alias("m"))
-    d = docs.withColumn("__key", F.xxhash64("text")).alias("d")
-    same = (F.col("d.__key") == F.col("m.text_key")) & F.col("d.source").eqNullSafe(F.col("m.source")) \
+    n_times, n_rows, key, copy = spare(docs, "__times", "__rows", "__key", "__copy")
+    sent = (mix(docs, **options).groupBy("doc_id", "source", "text_key").agg(F.sum("times").alias(n_times), F.count("*").alias(n_rows))
+            .filter(F.col(n_times) > 0).alias("m"))
+    d = docs.withColumn(key, F.xxhash64("text")).alias("d")
+    same = (F.col(f"d.{key}") == F.col("m.text_key")) & F.col("d.source").eqNullSafe(F.col("m.source")) \
         & F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("m.doc_id"))
-    mine = d.join(sent, same).select("d.*", "__times", "__rows")
-    mine = mine.filter("__rows = 1").unionByName(mine.filter("__rows > 1").dropDuplicates(["doc_id", "source", "__key"]))
-    return mine.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__key", "__times", "__rows", "__copy")
+    mine = d.join(sent, same).select("d.*", n_times, n_rows)
+    mine = mine.filter(F.col(n_rows) == 1).unionByName(mine.filter(F.col(n_rows) > 1).dropDuplicates(["doc_id", "source", key]))
+    return mine.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n_times)))).drop(key, n_times, n_rows, copy)

@@ -1,7 +1,8 @@
 """Quality rules: base counts of a text, and cross-document line frequency.
 
 Lines are normalised (A-Z lower-cased, white space trimmed and collapsed) and
-hashed.  For every host -- the documents' ``source`` -- the distinct documents
+travel as their XXH64; within a document lines and windows of words are
+compared by their bytes.  For every host -- the documents' ``source`` -- the distinct documents
 that hold a line are counted, exact copies of a text counting once.  A line
 that stands in at least ``min_docs`` documents and in at least ``share`` of
 all documents of its host is boilerplate; a document is depleted, and
@@ -24,10 +25,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.textblocks import BYTE_CODE, BYTE_POWERS, WORD_POWERS, NONSPACE, Block, blocks, prefix_hashes, span_hashes, spans_of
+from linkloom.llm.columns import spare
+from linkloom.llm.textblocks import NONSPACE, Block, Words, blocks, mix64, span_codes, spans_index, spans_of
 from linkloom.session import materialize
 
 MIN_WORDS = 20
@@ -49,25 +52,55 @@ def _per_doc(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key stands more than once, key has stood earlier) for each position."""
+def _stood_earlier(keys: np.ndarray) -> np.ndarray:
+    """Whether the same key has stood at an earlier position."""
     order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
     later = np.zeros(len(keys), dtype=bool)
-    later[order[1:][same]] = True
-    twice = later.copy()
+    later[order[1:][keys[order][1:] == keys[order][:-1]]] = True
+    return later
+
+
+def repeated_windows(codes: np.ndarray, doc: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Whether the n words from each place in ``at`` stand in the same document once more.  Hashes only order the windows;
+    neighbours are compared word by word, and where different windows share a hash all are ordered by their words."""
+    def same_as_before(order):
+        a, b = at[order[1:]], at[order[:-1]]
+        same = doc[a] == doc[b]
+        for i in range(n):
+            same &= codes[a + i] == codes[b + i]
+        return same
+
+    h = doc[at].astype(np.uint64)
+    for i in range(n):
+        h = mix64(h + codes[at + i].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(h, kind="stable")
+    same = same_as_before(order)
+    if (same != (h[order][1:] == h[order][:-1])).any():
+        order = np.lexsort((*(codes[at + i] for i in range(n)), doc[at]))
+        same = same_as_before(order)
+    twice = np.zeros(len(at), dtype=bool)
+    twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
-    return twice, later
+    return twice
+
+
+def line_hashes(lower: np.ndarray, words: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """XXH64 of each line's words in lower case with one space between them."""
+    size = words.ends - words.starts
+    to = np.concatenate([[0], np.cumsum(size + 1)])
+    joined = np.full(int(to[-1]), 0x20, dtype=np.uint8)
+    joined[np.repeat(to[:-1] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))] = lower[spans_index(words.starts, size)]
+    text = joined.tobytes()
+    return np.array([xxhash.xxh64_intdigest(text[a:b]) for a, b in zip(to[first].tolist(), (to[last] - 1).tolist(), strict=True)], dtype=np.uint64).view(np.int64)
 
 
 def block_stats(b: Block) -> tuple[dict[str, np.ndarray], list[np.ndarray], list[np.ndarray]]:
     """Base counts of each document, and the hashes and word counts of its normalised lines."""
-    raw, docs = b.data.tobytes(), np.arange(len(b), dtype=np.uint64)
+    raw = b.data.tobytes()
     flags = lambda table: np.frombuffer(raw.translate(table), dtype=bool)
     words = b.words(b.data, NONSPACE)
-    salt = (docs + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    at, h = words.windows(REPEAT_WINDOW)
-    twice, _ = _repeated(h ^ salt[words.doc[at]])
+    at = words.window_starts(REPEAT_WINDOW)
+    twice = repeated_windows(span_codes(b.data, words.starts, words.ends), words.doc, at, REPEAT_WINDOW)
     cover = np.zeros(len(words.starts) + 1, dtype=np.int64)
     np.add.at(cover, at[twice], 1)
     np.add.at(cover, at[twice] + REPEAT_WINDOW, -1)
@@ -78,10 +111,9 @@ def block_stats(b: Block) -> tuple[dict[str, np.ndarray], list[np.ndarray], list
     filled = last > first
     starts, ends, first, last = starts[filled], ends[filled], first[filled], last[filled]
     line_doc = np.searchsorted(b.offsets, starts, side="right") - 1
-    exact = span_hashes(prefix_hashes(BYTE_CODE[b.data], BYTE_POWERS), starts, ends, BYTE_POWERS)
-    _, earlier = _repeated(exact ^ salt[line_doc])
-    folded = span_hashes(prefix_hashes(BYTE_CODE[b.lower], BYTE_POWERS), words.starts, words.ends, BYTE_POWERS)
-    lines = span_hashes(prefix_hashes(folded, WORD_POWERS), first, last, WORD_POWERS).view(np.int64)
+    exact = span_codes(b.data, starts, ends)
+    earlier = _stood_earlier(line_doc * (len(exact) + 1) + exact)
+    lines = line_hashes(b.lower, words, first, last)
     cuts = np.searchsorted(line_doc, np.arange(1, len(b)))
     stats = {"n_words": words.counts, "word_chars": _per_doc(flags(NONSPACE) & flags(_STARTS_CHAR), b.offsets),
              "n_symbols": _per_doc(flags(_SYMBOL), b.offsets),
@@ -137,7 +169,8 @@ def quality_rules(docs: DataFrame, min_docs: int = LINE_MIN_DOCS, share: float =
 def filter_documents(docs: DataFrame, **limits) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
     bad = quality_rules(docs, **limits).filter("NOT kept").select("doc_id", "source", "text_key").distinct().alias("b")
-    d = docs.withColumn("__key", F.xxhash64("text")).alias("d")
-    same = (F.col("d.__key") == F.col("b.text_key")) & F.col("d.source").eqNullSafe(F.col("b.source")) \
+    (key,) = spare(docs, "__key")
+    d = docs.withColumn(key, F.xxhash64("text")).alias("d")
+    same = (F.col(f"d.{key}") == F.col("b.text_key")) & F.col("d.source").eqNullSafe(F.col("b.source")) \
         & F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("b.doc_id"))
-    return d.join(bad, same, "left_anti").drop("__key")
+    return d.join(bad, same, "left_anti").drop(key)

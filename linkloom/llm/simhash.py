@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.columns import spare
 from linkloom.operators.common import sized_broadcast
 from linkloom.operators.graph import connected_components
 from linkloom.session import materialize
@@ -186,11 +187,12 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, max_bits: int = MAX
 def keep_one(docs: DataFrame, n: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """One document of each component, that of the smallest doc_id, with all its columns."""
     rows = near_duplicates(docs, n, max_bits)
+    of_id, of_text, n_rows, key = spare(docs, "__id", "__text", "__rows", "__key")
     member = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     copies = rows.groupBy("comp", "doc_id", "text_key").agg(F.count("*").alias("c"))
     kept = materialize(copies.groupBy("comp").agg(F.min_by(F.struct("doc_id", "text_key", "c"), member).alias("m"))
-                       .select(F.col("m.doc_id").alias("__id"), F.col("m.text_key").alias("__text"), F.col("m.c").alias("__rows")), "simhash-kept")
-    d = docs.withColumn("__key", F.xxhash64("text"))
-    mine = d.join(kept, d["doc_id"].cast("bigint").eqNullSafe(kept["__id"]) & (d["__key"] == kept["__text"]))
-    mine = mine.filter("__rows = 1").unionByName(mine.filter("__rows > 1").dropDuplicates(["__id", "__text"]))
-    return mine.drop("__id", "__text", "__rows", "__key")
+                       .select(F.col("m.doc_id").alias(of_id), F.col("m.text_key").alias(of_text), F.col("m.c").alias(n_rows)), "simhash-kept")
+    d = docs.withColumn(key, F.xxhash64("text"))
+    mine = d.join(kept, d["doc_id"].cast("bigint").eqNullSafe(kept[of_id]) & (d[key] == kept[of_text]))
+    mine = mine.filter(F.col(n_rows) == 1).unionByName(mine.filter(F.col(n_rows) > 1).dropDuplicates([of_id, of_text]))
+    return mine.drop(of_id, of_text, n_rows, key)

@@ -133,6 +133,20 @@ def spans_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(inside & edge) + 1
 
 
+def spans_index(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of the bytes of many spans, one span after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+
+
+def span_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each span, the same for those of equal bytes only."""
+    sizes = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    text = data[spans_index(starts, sizes)].tobytes()
+    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(text)])
+    return spans.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 @dataclass
 class Words:
     """Words of a block: byte spans, the first word of each document, and hashes."""
@@ -165,10 +179,14 @@ class Words:
         """Words i .. i+n-1 with one space between them."""
         return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.starts[i:i + n], self.ends[i:i + n], strict=True))
 
+    def window_starts(self, n: int) -> np.ndarray:
+        """First words of the windows of n consecutive words of one document."""
+        at = np.arange(max(0, len(self.starts) - n + 1))
+        return at[at + n <= self.first[1:][self.doc[at]]] if len(at) else at
+
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """First words of the windows of n consecutive words of one document, and the windows' hashes."""
-        at = np.arange(max(0, len(self.starts) - n + 1))
-        at = at[at + n <= self.first[1:][self.doc[at]]] if len(at) else at
+        at = self.window_starts(n)
         return at, span_hashes(self._prefix, at, at + n, WORD_POWERS)
 
     @cached_property

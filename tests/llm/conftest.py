@@ -5,7 +5,8 @@ from llm_helpers import prose
 
 #: Columns beside those of documents, named like columns that operators make.
 EXTRA = {"size": "bigint", "kept": "string", "n_words": "int", "c": "int", "comp": "bigint", "fp": "string", "tag": "string", "bucket": "int", "row": "string",
-         "times": "int", "target": "string", "rank": "int", "line": "string", "w": "string", "text_key": "string", "spans": "string"}
+         "times": "int", "target": "string", "rank": "int", "line": "string", "w": "string", "text_key": "string", "spans": "string",
+         "__key": "string", "__rows": "int", "__times": "string", "__id": "string", "__text": "int", "__copy": "int", "__found": "string"}
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 

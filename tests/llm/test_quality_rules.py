@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 from llm_helpers import by_id
 from linkloom.llm import quality_rules as Q
 
@@ -52,3 +53,30 @@ def test_filter_keeps_columns_and_repeated_rows(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert by_id(kept, "doc_id", "source") == by_id(rules.filter("kept"), "doc_id", "source")
     assert Q.quality_rules(no_docs).count() == 0 and Q.filter_documents(no_docs).count() == 0
+
+
+def thue_morse(order):
+    word = "a"
+    for _ in range(order):
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})
+
+
+def test_different_lines_that_sums_of_powers_hash_alike(spark):
+    for order in (10, 11, 12):
+        a, b = thue_morse(order)
+        seven = " x y z u v w s"
+        rows = [(1, f"{a}\n{b}\n"), (2, f"{a}\n{a}\n"), (3, a + seven + " " + b + seven), (4, a + seven + " " + a + seven)]
+        got = {r.doc_id: (r.n_dup_lines, r.n_repeat_words) for r in Q.quality_rules(spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id bigint, text string, source string")).collect()}
+        assert got == {1: (0, 0), 2: (1, 0), 3: (0, 0), 4: (0, 16)}
+
+
+def test_windows_with_one_hash_are_told_apart(monkeypatch):
+    rng = np.random.default_rng(2)
+    codes, doc = rng.integers(0, 3, 300), np.repeat(np.arange(3), 100)
+    at = np.array([i for i in range(293) if doc[i] == doc[i + 7]])
+    key = lambda i: (doc[i], *codes[i:i + 8])
+    want = [sum(key(i) == key(j) for j in at) > 1 for i in at]
+    assert Q.repeated_windows(codes, doc, at, 8).tolist() == want
+    monkeypatch.setattr(Q, "mix64", lambda h: h & np.uint64(1))
+    assert Q.repeated_windows(codes, doc, at, 8).tolist() == want
