@@ -8,13 +8,20 @@ Steps
    component takes its lightest outgoing edge.  Neighbour lists give it unless
    some member's list is too short to tell (its k-th neighbour is no farther
    than the best edge known, or all its neighbours are inside, as when the
-   neighbour graph falls apart); only those members are compared with all
-   points outside, in blocks.  So components of the neighbour graph are linked
-   by their nearest members, and the tree is that of the full graph.
-3. The hierarchy, by sorted merges: the tree's edges go through union-find in
-   order of weight, in bands of at most ``band_edges`` edges.  A band's state --
-   one row per component that its edges touch -- comes from a table and goes
-   back to one.  Every weight counts; edges of equal weight merge at once.
+   neighbour graph falls apart); only those members are compared with points
+   outside.  Points stand in cells around sampled points; a cell's distance, radius and least core
+   distance bound from below what any edge into it weighs, and its farthest
+   point bounds the lightest edge from above, so an asking point visits only
+   the cells that may hold a lighter edge than its component knows.  So components of the neighbour graph are linked
+   by their nearest members, and the tree is that of the full graph.  Copies of
+   one point beyond those that lists can show hang on its smallest id by edges of weight 0.
+3. The hierarchy, by sorted merges: the tree's edges are merged in order of weight, in bands of at most
+   ``band_edges`` edges.  Within a band the components of its own edges are independent of each
+   other and are dealt to tasks of about ``band_edges / 16`` edges, where they go through union-find; the state --
+   one row per component that the band's edges touch -- comes from a table and goes
+   back to one.  Every weight counts; edges of equal weight merge at once.  A
+   weight that more edges share than a band holds is contracted by connected
+   components and grouped sums, so no task sees all of them.
 4. Each component carries its size and the excess of mass of its current
    cluster, so clusters are born, end and are compared with their children
    (the child sum wins only if larger) while merging; the root is never
@@ -28,10 +35,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.operators.graph import connected_components, dense_index
+from linkloom.operators.common import sized_broadcast
+from linkloom.operators.graph import components, dense_index
 from linkloom.operators.knn import knn_exact
 from linkloom.session import discard, ensure_checkpoint_dir, materialize
 
@@ -41,6 +49,9 @@ NEIGHBORS = 15
 #: Edges merged by one task; its state is a few hundred bytes for each.
 BAND_EDGES = 1_000_000
 BLOCK_ROWS = 4096
+#: Cells at most; their centres and bounds are handed to every task.
+MAX_CELLS = 1 << 16
+_BAND_TASKS = 16
 _LEAST_WEIGHT = 1e-30
 
 
@@ -95,19 +106,116 @@ def _lightest_out(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return out.sort_values(["comp", "w", "a", "b"]).drop_duplicates("comp") if len(out) else none
 
 
+def without_copies(pts: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
+    """((id, v) with the ``keep`` smallest ids of equal points, weight-0 edges (a, b, w) from the smallest id to all others)."""
+    many = pts.groupBy("v").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > keep).select("v", "first")
+    many = materialize(many, "density-copies")
+    if not many.limit(1).count():
+        return pts, pts.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("w")).limit(0)
+    copies = pts.join(sized_broadcast(many), "v")
+    rank = F.row_number().over(Window.partitionBy("first").orderBy("id"))  # tasks send on only the first few of each
+    shown = materialize(copies.select("id", "first", rank.alias("r")).filter(F.col("r") <= keep).select("id"), "density-shown")
+    hidden = copies.select("id", "first").join(shown, "id", "left_anti")
+    hidden = materialize(hidden.select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("w")), "density-hidden")
+    return materialize(pts.join(hidden.select(F.col("b").alias("id")), "id", "left_anti"), "density-distinct"), hidden
+
+
+class Cells:
+    """Blocks of near points: centre, radius, least and greatest core distance, and the components they hold."""
+
+    def __init__(self, rows: list):
+        self.block = np.array([r["block"] for r in rows], dtype=np.int64)
+        self.centre = np.array([r["centre"] for r in rows], dtype=np.float64)
+        self.radius, self.least, self.most = (np.array([r[c] for r in rows], dtype=np.float64) for c in ("radius", "least", "most"))
+        self.low, self.high = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("low", "high"))
+
+    def bounds(self, x: np.ndarray, core: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(least weight of any edge into each cell, greatest weight of the lightest one) of each point; inf where all is its own component."""
+        d2 = (x * x).sum(1)[:, None] + (self.centre * self.centre).sum(1)[None, :] - 2 * x @ self.centre.T
+        # the product errs by some 1e-16 of the squared norms, which counts where distances are small
+        slip = 1e-14 * ((x * x).sum(1)[:, None] + (self.centre * self.centre).sum(1)[None, :])
+        near, far = np.sqrt(np.maximum(d2 - slip, 0)), np.sqrt(np.maximum(d2 + slip, 0))
+        low = np.maximum(np.maximum((near - self.radius) * (1 - 1e-12), core[:, None]), self.least)
+        high = np.maximum(np.maximum((far + self.radius) * (1 + 1e-12), core[:, None]), self.most)
+        own = (self.low == comp[:, None]) & (self.high == comp[:, None])
+        low[own] = high[own] = np.inf
+        return low, high
+
+
+_ROWS_AT_ONCE = 1024
+
+
+def _slices(df: pd.DataFrame):
+    for at in range(0, len(df), _ROWS_AT_ONCE):
+        part = df.iloc[at:at + _ROWS_AT_ONCE]
+        yield part, np.stack(part["v"].to_numpy()).astype(np.float64), part["core"].to_numpy(), part["comp"].to_numpy()
+
+
+def _reachable(cells: Cells):
+    """(comp, ub): a weight that the component's lightest outgoing edge can't exceed."""
+
+    def run(batches):
+        for df in batches:
+            for part, x, core, comp in _slices(df):
+                yield pd.DataFrame({"comp": comp, "ub": cells.bounds(x, core, comp)[1].min(axis=1)}).groupby("comp", as_index=False).min()
+
+    return run
+
+
+def _visits(cells: Cells):
+    """The asking points under each block that may hold an edge no heavier than the one their component knows of."""
+
+    def run(batches):
+        for df in batches:
+            for part, x, core, comp in _slices(df):
+                low = cells.bounds(x, core, comp)[0]
+                i, j = np.nonzero(np.isfinite(low) & (low <= part["bw"].to_numpy()[:, None]))
+                out = part[["id", "v", "core", "comp"]].iloc[i]
+                yield out.assign(block=cells.block[j])
+
+    return run
+
+
+def cells_of(pts: DataFrame, n: int, block_rows: int) -> DataFrame:
+    """(id, v, cell, block, centre): every point in the cell of its nearest sampled point; a cell above ``block_rows`` is cut into blocks."""
+    n_cells = min(MAX_CELLS, max(1, -(-2 * n // block_rows)))
+    centres = np.array([r["v"] for r in pts.orderBy(F.xxhash64("id"), "id").limit(n_cells).collect()], dtype=np.float64)
+    half = (centres * centres).sum(1) / 2
+
+    @F.pandas_udf("int")
+    def nearest(v: pd.Series) -> pd.Series:
+        parts = [(half - np.stack(v.iloc[at:at + _ROWS_AT_ONCE].to_numpy()).astype(np.float64) @ centres.T).argmin(1) for at in range(0, len(v), _ROWS_AT_ONCE)]
+        return pd.Series(np.concatenate(parts) if parts else [], dtype="int32")
+
+    rows = materialize(pts.withColumn("cell", nearest("v")), "density-cells")
+    parts = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
+    block = F.col("cell").cast("bigint") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("parts"))
+    return rows.join(sized_broadcast(parts), "cell").withColumn("block", block).drop("parts", "cell")
+
+
 def spanning_tree(points: DataFrame, min_samples: int = MIN_SAMPLES, k: int | None = None, id_col: str = "id",
-                  vec_col: str = "v", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b, w): the minimum spanning tree of all pairs under mutual reachability; ties go by (a, b)."""
-    pts = points.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    pairs, core = neighbor_lists(points, min_samples, k, id_col, vec_col)
+                  vec_col: str = "v", block_rows: int = BLOCK_ROWS, report: list[dict] | None = None) -> DataFrame:
+    """(a, b, w): the minimum spanning tree of all pairs under mutual reachability; ties go by (a, b).
+
+    ``report`` receives per round the asking points, the (point, block) pairs
+    they visited and the pairs there are.
+    """
+    every = points.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    pts, hidden = without_copies(every, max(min_samples, k or NEIGHBORS) + 1)
+    pairs, core = neighbor_lists(pts, min_samples, k)
     edges = materialize(_weighted(pairs, core), "density-edges")
     n = pts.count()
-    blocks = max(1, -(-n // block_rows))
-    pts = materialize(pts.join(core, "id").withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), "density-points")
+    pts = materialize(cells_of(pts, n, block_rows).join(core, "id"), "density-points")
+    places = pts.groupBy("block").agg(F.first("id").alias("id"))
+    middle = pts.groupBy("block").agg(*[F.avg(F.element_at("v", i + 1)).alias(f"c{i}") for i in range(len(pts.select("v").first()[0]) if n else 0)])
+    middle = middle.select("block", F.array(*[F.col(c) for c in middle.columns[1:]]).alias("centre")) if n else places.select("block", F.array().cast("array<double>").alias("centre"))
+    off = F.sqrt(F.aggregate(F.zip_with("v", "centre", lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda a, x: a + x))
+    shape = pts.join(sized_broadcast(middle), "block").groupBy("block", "centre").agg(F.max(off).alias("radius"), F.min("core").alias("least"), F.max("core").alias("most"))
+    shape = materialize(shape, "density-shapes")
     comp = materialize(pts.select("id", F.col("id").alias("comp")), "density-comp")
-    tree = edges.limit(0)
+    tree, found = edges.limit(0), 0
     key = F.struct("w", "a", "b")
-    while True:
+    while found < n - 1:
         ca, cb = (comp.select(F.col("id").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
         out = edges.join(ca, "a").join(cb, "b").filter("ca <> cb")
         edges_out = out.select(F.col("ca").alias("comp"), key.alias("k")).unionByName(out.select(F.col("cb").alias("comp"), key.alias("k")))
@@ -115,26 +223,34 @@ def spanning_tree(points: DataFrame, min_samples: int = MIN_SAMPLES, k: int | No
         now = pts.join(comp, "id").join(best.select("comp", F.col("k.w").alias("bw")), "comp", "left")
         # an edge that no list has weighs at least as much as its ends' core distances and list ends
         unsure = now.filter(F.col("bw").isNull() | (F.greatest("core", "reach") <= F.col("bw")))
-        asking = materialize(unsure.select("id", "v", "core", "comp", "blk"), "density-asking")
+        asking = materialize(unsure.select("id", "v", "core", "comp", "bw"), "density-asking")
+        both = best
         if asking.limit(1).count():
-            left = asking.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
-            right = pts.join(comp, "id").select("id", "v", "core", "comp", F.col("blk").alias("other"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"))
-            more = left.groupBy("blk", "other").cogroup(right.groupBy("blk", "other")).applyInPandas(_lightest_out, _PAIR)
+            held = pts.join(comp, "id").groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+            cells = Cells(shape.join(held, "block").collect())  # at most about 2 * MAX_CELLS rows
+            known = asking.select("comp", F.col("bw").alias("ub")).unionByName(asking.select("v", "core", "comp").mapInPandas(_reachable(cells), "comp bigint, ub double"))
+            known = known.groupBy("comp").agg(F.min("ub").alias("bw"))
+            visit = asking.drop("bw").join(known, "comp").select("id", "v", "core", "comp", "bw")
+            visit = materialize(visit.mapInPandas(_visits(cells), "id bigint, v array<double>, core double, comp bigint, block bigint"), "density-visits")
+            if report is not None:
+                report.append({"asking": asking.count(), "visits": visit.count(), "all": asking.count() * len(cells.block)})
+            lots = materialize(visit.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("lots")), "density-lots")
+            left = visit.join(lots, "block").withColumn("lot", F.pmod(F.xxhash64("id"), F.col("lots")).cast("int")).drop("lots")
+            right = pts.join(comp, "id").join(lots, "block").select("id", "v", "core", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
+            more = left.groupBy("block", "lot").cogroup(right.groupBy("block", "lot")).applyInPandas(_lightest_out, _PAIR)
             both = best.unionByName(more.select("comp", key.alias("k")))
-        else:
-            both = best
         picked = materialize(both.groupBy("comp").agg(F.min("k").alias("k")).select("k.a", "k.b", "k.w").distinct(), "density-picked")
-        discard(best)
-        discard(asking)
-        if not picked.limit(1).count():
-            return tree
+        for done in (best, asking, *((visit, lots) if both is not best else ())):
+            discard(done)
+        found += picked.count()
         grown = materialize(tree.unionByName(picked), "density-tree")
         joined = picked.join(ca, "a").join(cb, "b").select(F.col("ca").alias("src"), F.col("cb").alias("dst"))
-        merged = connected_components(joined).select(F.col("v").alias("comp"), F.col("comp").alias("new"))
+        merged = components(joined).select(F.col("v").alias("comp"), F.col("comp").alias("new"))
         later = materialize(comp.join(merged, "comp", "left").select("id", F.coalesce("new", "comp").alias("comp")), "density-comp")
         discard(tree)
         discard(comp)
         tree, comp = grown, later
+    return tree.unionByName(hidden)
 
 
 # -- hierarchy ----------------------------------------------------------------------
@@ -144,11 +260,12 @@ class Merger:
 
     A component below ``least`` points lists its members; a larger one has a
     current cluster with the mass ``m`` (sum of 1/w at which points leave it)
-    and the value of the best selection below it (None for a leaf).
+    and the value of the best selection below it (None for a leaf).  A cluster has
+    the number of one of the edges that made it, which no other cluster has.
     """
 
-    def __init__(self, least: int, first_cluster: int = 0):
-        self.least, self.next = least, first_cluster
+    def __init__(self, least: int):
+        self.least = least
         self.parent: dict[int, int] = {}
         self.size: dict[int, int] = {}
         self.members: dict[int, list[int]] = {}
@@ -168,12 +285,12 @@ class Merger:
             self.parent[x], x = root, self.parent[x]
         return root
 
-    def merge(self, edges: list[tuple[int, int]], weight: float) -> None:
-        """Join along all edges of one weight at once."""
-        roots = {self.find(x) for e in edges for x in e}
+    def merge(self, edges: list[tuple[int, int, int]], weight: float) -> None:
+        """Join along all edges (a, b, number) of one weight at once."""
+        roots = {self.find(x) for e in edges for x in e[:2]}
         kin = {r: {r} for r in roots}
         group = {r: r for r in roots}
-        for a, b in edges:
+        for a, b, _ in edges:
             x, y = group[self.find(a)], group[self.find(b)]
             if x != y:
                 if len(kin[x]) < len(kin[y]):
@@ -181,11 +298,15 @@ class Merger:
                 for r in kin.pop(y):
                     group[r] = x
                     kin[x].add(r)
-        for parts in kin.values():
+        number: dict[int, int] = {}
+        for a, _, e in edges:
+            x = group[self.find(a)]
+            number[x] = min(e, number.get(x, e))
+        for x, parts in kin.items():
             if len(parts) > 1:
-                self._join(sorted(parts), 1.0 / max(weight, _LEAST_WEIGHT))
+                self._join(sorted(parts), 1.0 / max(weight, _LEAST_WEIGHT), number[x])
 
-    def _join(self, parts: list[int], level: float) -> None:
+    def _join(self, parts: list[int], level: float, number: int) -> None:
         big = [r for r in parts if self.size[r] >= self.least]
         total = sum(self.size[r] for r in parts)
         keep = min(parts)
@@ -197,8 +318,7 @@ class Merger:
             self.cluster[keep], self.mass[keep], self.below[keep] = c, mass + len(loose) * level, below
             self.joined += [(p, c) for p in loose]
         else:
-            c, value = self.next, 0.0
-            self.next += 1
+            c, value = number, 0.0
             for r in big:
                 own = self.mass.pop(r) - self.size[r] * level
                 below = self.below.pop(r)
@@ -211,12 +331,12 @@ class Merger:
             self.parent[r] = keep
         self.size[keep] = total
 
-    def run(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
+    def run(self, a: np.ndarray, b: np.ndarray, w: np.ndarray, number: np.ndarray | None = None) -> None:
         order = np.lexsort((b, a, w))
-        a, b, w = a[order], b[order], w[order]
+        a, b, w, number = a[order], b[order], w[order], (np.arange(len(w)) if number is None else number)[order]
         cuts = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else []
         for lo, hi in zip(cuts, np.append(cuts[1:], len(w)) if len(w) else [], strict=True):
-            self.merge(list(zip(a[lo:hi].tolist(), b[lo:hi].tolist(), strict=True)), float(w[lo]))
+            self.merge(list(zip(a[lo:hi].tolist(), b[lo:hi].tolist(), number[lo:hi].tolist(), strict=True)), float(w[lo]))
 
     def roots(self) -> list[int]:
         return [x for x, p in self.parent.items() if x == p]
@@ -226,18 +346,18 @@ _STATE = "comp bigint, size bigint, members array<bigint>, cluster bigint, mass
 _OUT = _STATE + ", kind string, old bigint"
 
 
-def _merge_band(least: int, first_cluster: int):
-    """All edges of a band with the state of the components they touch -> the new state, and what happened."""
+def _merge_band(least: int):
+    """Edges of some of a band's components with the state of what they touch -> the new state, and what happened."""
 
     def run(edges: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        m = Merger(least, first_cluster)
+        m = Merger(least)
         for r in state.itertuples(index=False):
             m.parent[r.comp], m.size[r.comp] = r.comp, int(r.size)
             if r.size < least:
                 m.members[r.comp] = [int(x) for x in r.members]
             else:
                 m.cluster[r.comp], m.mass[r.comp], m.below[r.comp] = int(r.cluster), r.mass, None if pd.isna(r.below) else r.below
-        m.run(edges["a"].to_numpy(), edges["b"].to_numpy(), edges["w"].to_numpy())
+        m.run(*(edges[c].to_numpy() for c in ("a", "b", "w", "number")))
         rows = [(r, m.size[r], m.members.get(r), m.cluster.get(r), m.mass.get(r), m.below.get(r), "state", None) for r in m.roots()]
         rows += [(m.find(x), None, None, None, None, None, "moved", x) for x in list(m.parent) if m.find(x) != x]
         rows += [(p, None, None, c, None, None, "joined", None) for p, c in m.joined]
@@ -248,42 +368,91 @@ def _merge_band(least: int, first_cluster: int):
     return run
 
 
+def _merged_side_by_side(band: DataFrame, n: int, state: DataFrame, least: int, band_edges: int) -> DataFrame:
+    """What happens along a band's edges: its independent components are dealt to tasks."""
+    tasks = -(-n * _BAND_TASKS // band_edges)
+    if tasks > 1:
+        of = components(band, "a", "b")
+        task = lambda end: of.select(F.col("v").alias(end), F.pmod(F.xxhash64("comp"), F.lit(tasks)).alias("g"))
+        edges, state = band.join(task("a"), "a"), state.join(task("end"), F.col("comp") == F.col("end")).drop("end")
+    else:
+        touched = band.select(F.col("a").alias("comp")).union(band.select(F.col("b").alias("comp"))).distinct()
+        one = F.lit(0).cast("bigint").alias("g")
+        edges, state = band.select("*", one), state.join(touched, "comp", "left_semi").select("*", one)
+    run = _merge_band(least)
+    return edges.groupBy("g").cogroup(state.groupBy("g")).applyInPandas(lambda e, s: run(e.drop(columns="g"), s.drop(columns="g")), _OUT)
+
+
+def _contracted(band: DataFrame, weight: float, state: DataFrame, least: int, band_edges: int) -> DataFrame:
+    """What happens along edges of one weight, however many: sums over their components in place of union-find."""
+    level = 1.0 / max(weight, _LEAST_WEIGHT)
+    of = materialize(components(band, "a", "b").select("v", F.col("comp").alias("new")), "band-groups")
+    number = band.join(of.withColumnRenamed("v", "a"), "a").groupBy("new").agg(F.min("number").alias("number"))
+    parts = of.join(state.withColumnRenamed("comp", "v"), "v", "left").withColumn("members", F.when(F.col("size").isNull(), F.array("v")).otherwise(F.col("members")))
+    parts = parts.withColumn("size", F.coalesce("size", F.lit(1).cast("bigint"))).withColumn("big", F.col("size") >= least)
+    own = F.col("mass") - F.col("size") * F.lit(level)
+    wins = F.col("below").isNull() | (own >= F.col("below"))
+    parts = materialize(parts.withColumn("own", own).withColumn("wins", F.col("big") & wins), "band-parts")
+    of_big = lambda c: F.max(F.when(F.col("big"), F.col(c)))
+    total = parts.groupBy("new").agg(
+        F.sum("size").alias("total"), F.count_if("big").alias("n_big"), F.count(F.lit(1)).alias("n_parts"), F.sum(F.when(~F.col("big"), F.col("size")).otherwise(0)).alias("loose"),
+        *[of_big(c).alias(f"big_{c}") for c in ("cluster", "mass", "below")], F.sum(F.when(F.col("big"), F.when(F.col("wins"), F.col("own")).otherwise(F.col("below")))).alias("value"))
+    total = total.join(number, "new").withColumn("one", F.col("n_big") == 1).withColumn("none", (F.col("n_big") == 0) & (F.col("total") < least))
+    total = materialize(total.withColumn("to", F.when(F.col("one"), F.col("big_cluster")).otherwise(F.col("number"))), "band-totals")
+    what = total.select("new", "none", "one", "to", "n_parts")
+    hot = what.filter(F.col("n_parts") > band_edges)  # one row for more than a band's parts each
+    each = parts.join(F.broadcast(hot), "new").unionByName(parts.join(hot.select("new"), "new", "left_anti").join(what, "new"))
+    each = materialize(each, "band-each")
+    kept = each.filter("none").groupBy("new").agg(F.flatten(F.collect_list("members")).alias("members"))  # fewer than ``least`` each
+    null = lambda kind: F.lit(None).cast(kind)
+    mass = F.when(F.col("one"), F.col("big_mass") + F.col("loose") * F.lit(level)).otherwise(F.col("total") * F.lit(level))
+    below = F.when(F.col("one"), F.col("big_below")).when(F.col("n_big") > 0, F.col("value"))
+    now = total.join(kept, "new", "left").select(
+        F.col("new").alias("comp"), F.col("total").alias("size"), F.when(F.col("none"), F.col("members")).alias("members"), F.when(~F.col("none"), F.col("to")).alias("cluster"),
+        F.when(~F.col("none"), mass).alias("mass"), F.when(~F.col("none"), below).alias("below"), F.lit("state").alias("kind"), null("bigint").alias("old"))
+    row = lambda df, comp, size, cluster, kind, old: df.select(
+        comp.alias("comp"), size.alias("size"), null("array<bigint>").alias("members"), cluster.alias("cluster"), null("double").alias("mass"), null("double").alias("below"),
+        F.lit(kind).alias("kind"), old.alias("old"))
+    moved = row(each.filter("v <> new"), F.col("new"), null("bigint"), null("bigint"), "moved", F.col("v"))
+    loose = each.filter("NOT none AND NOT big").select(F.explode("members").alias("p"), "to")
+    joined = row(loose, F.col("p"), null("bigint"), F.col("to"), "joined", null("bigint"))
+    ended = row(each.filter("big AND NOT one"), F.col("to"), F.col("wins").cast("bigint"), F.col("cluster"), "ended", null("bigint"))
+    return now.unionByName(moved).unionByName(joined).unionByName(ended)
+
+
 def hierarchy(tree: DataFrame, min_cluster_size: int = MIN_CLUSTER_SIZE, band_edges: int = BAND_EDGES) -> tuple[DataFrame, DataFrame]:
     """(point -> first cluster, cluster -> parent and wins) of a spanning tree's edges; the root has no row of its own."""
     spark = tree.sparkSession
-    rest = materialize(tree.select("a", "b", F.col("w").cast("double").alias("w")), "band-edges")
+    # an edge keeps its number, read back from the written table, while its ends become components
+    rest = materialize(tree.select("a", "b", F.col("w").cast("double").alias("w")).withColumn("number", F.monotonically_increasing_id()), "band-edges")
     state = spark.createDataFrame([], _STATE)
     joined = spark.createDataFrame([], "id bigint, cluster bigint")
     ended = spark.createDataFrame([], "cluster bigint, parent bigint, wins boolean")
-    first_cluster = 0
     while True:
         left = rest.count()
         if not left:
             return joined, ended
-        top = None
+        band, n, last = rest, left, True
         if left > band_edges:  # a band never cuts edges of equal weight
             top = rest.orderBy("w").limit(band_edges).agg(F.max("w")).first()[0]
-        band = rest if top is None else rest.filter(F.col("w") <= F.lit(top))
-        touched = band.select(F.col("a").alias("comp")).union(band.select(F.col("b").alias("comp"))).distinct()
-        one = F.lit(0).alias("g")
-        done = materialize(band.select("a", "b", "w", one).groupBy("g").cogroup(state.join(touched, "comp", "left_semi").select("*", one).groupBy("g"))
-                           .applyInPandas(_drop_group(_merge_band(min_cluster_size, first_cluster)), _OUT), "band-merged")
-        moved = done.filter("kind = 'moved'").select("old", F.col("comp").alias("new"))
+            counts = rest.agg(F.count_if(F.col("w") < F.lit(top)).alias("below"), F.count_if(F.col("w") <= F.lit(top)).alias("upto")).first()
+            whole = counts["upto"] <= band_edges or not counts["below"]
+            n = counts["upto"] if whole else counts["below"]
+            taken = F.col("w") <= F.lit(top) if whole else F.col("w") < F.lit(top)
+            band, last = rest.filter(taken), n == left
+        what = _merged_side_by_side(band, n, state, min_cluster_size, band_edges) if n <= band_edges else _contracted(band, top, state, min_cluster_size, band_edges)
+        done = materialize(what, "band-merged")
         joined = materialize(joined.unionByName(done.filter("kind = 'joined'").select(F.col("comp").alias("id"), "cluster")), "band-joined")
         ended = materialize(ended.unionByName(done.filter("kind = 'ended'").select("cluster", F.col("comp").alias("parent"), (F.col("size") == 1).alias("wins"))), "band-ended")
-        if top is None:
+        if last:
             return joined, ended
+        touched = band.select(F.col("a").alias("comp")).union(band.select(F.col("b").alias("comp"))).distinct()
         state = materialize(state.join(touched, "comp", "left_anti").unionByName(done.filter("kind = 'state'").drop("kind", "old")), "band-state")
-        top_cluster = done.agg(F.max(F.when(F.col("kind").isin("state", "joined"), F.col("cluster"))), F.max(F.when(F.col("kind") == "ended", F.col("comp")))).first()
-        first_cluster = max([first_cluster, *(int(x) + 1 for x in top_cluster if x is not None)])
-        rest = rest.filter(F.col("w") > F.lit(top))
+        moved = done.filter("kind = 'moved'").select("old", F.col("comp").alias("new"))
+        rest = rest.filter(~taken)
         for end in ("a", "b"):
             rest = rest.join(moved.withColumnRenamed("old", end), end, "left").withColumn(end, F.coalesce("new", end)).drop("new")
-        rest = materialize(rest.select("a", "b", "w"), "band-edges")
-
-
-def _drop_group(run):
-    return lambda edges, state: run(edges.drop(columns="g"), state.drop(columns="g"))
+        rest = materialize(rest.select("a", "b", "w", "number"), "band-edges")
 
 
 def _topmost_winner(ended: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ Parquet tables written to the shared checkpoint folder (never local storage).
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,10 @@ from linkloom.operators.common import sized_broadcast
 from linkloom.session import discard, ensure_checkpoint_dir, materialize
 
 
+#: Edges whose components one task may find.
+SMALL_EDGES = 1 << 17
+
+
 def dense_index(df: DataFrame, order_col: str | None = None, out_col: str = "idx") -> DataFrame:
     """Add a dense 0..n-1 index without a single-partition sort.
 
@@ -73,37 +78,27 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
     raise RuntimeError(f"components still changed after {max_iter} rounds")
 
 
-def minimum_spanning_forest(edges: DataFrame, src: str = "a", dst: str = "b", weight: str = "w",
-                            max_rounds: int = 64) -> DataFrame:
-    """Borůvka minimum spanning forest (ML8): (a, b, w) edges of the forest.
+def components(edges: DataFrame, src: str = "src", dst: str = "dst", small: int = SMALL_EDGES) -> DataFrame:
+    """(v, comp) like ``connected_components``; up to ``small`` edges, as in the late rounds of a contraction, are joined in one task."""
+    e = materialize(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")), "components")
+    if e.count() > small:
+        return connected_components(e, "a", "b")
 
-    Each round every component picks its lightest outgoing edge under the
-    total order (w, min end, max end) -- so ties cannot form cycles -- the
-    picked edges join the forest, and components are merged with
-    ``connected_components`` on the component graph.  At most log2(n) rounds;
-    each round's state is written to the shared checkpoint folder.
-    """
-    e = edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b"),
-                     F.col(weight).cast("double").alias("w")).filter(F.col("a") != F.col("b"))
-    e = materialize(e.groupBy("a", "b").agg(F.min("w").alias("w")), "msf-edges")
-    comp = materialize(e.select(F.col("a").alias("v")).union(e.select(F.col("b").alias("v"))).distinct()
-                       .withColumn("comp", F.col("v")), "msf-comp")
-    forest = None
-    for _ in range(max_rounds):
-        ca = comp.select(F.col("v").alias("a"), F.col("comp").alias("ca"))
-        cb = comp.select(F.col("v").alias("b"), F.col("comp").alias("cb"))
-        x = e.join(ca, "a").join(cb, "b").filter(F.col("ca") != F.col("cb"))
-        key = F.struct("w", "a", "b")
-        both = x.select(F.col("ca").alias("c"), key.alias("k")).unionByName(
-            x.select(F.col("cb").alias("c"), key.alias("k")))
-        picked = materialize(both.groupBy("c").agg(F.min("k").alias("k"))
-                             .select("k.a", "k.b", "k.w").distinct(), "msf-picked")
-        if picked.limit(1).count() == 0:
-            return forest if forest is not None else e.limit(0)
-        forest = picked if forest is None else materialize(forest.unionByName(picked), "msf-forest")
-        # merge components along the picked edges (on component ids)
-        pc = (picked.join(ca, "a").join(cb, "b").select(F.col("ca").alias("src"), F.col("cb").alias("dst")))
-        merged = connected_components(pc).select(F.col("v").alias("comp"), F.col("comp").alias("new"))
-        comp = materialize(comp.join(merged, "comp", "left")
-                           .select("v", F.coalesce("new", "comp").alias("comp")), "msf-comp")
-    raise RuntimeError(f"components left to join after {max_rounds} rounds")
+    def run(batches):
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            root = parent.setdefault(x, x)
+            while parent[root] != root:
+                root = parent[root]
+            while parent[x] != root:
+                parent[x], x = root, parent[x]
+            return root
+
+        for df in batches:
+            for a, b in zip(df["a"].tolist(), df["b"].tolist(), strict=True):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)  # the smallest vertex stays the root
+        yield pd.DataFrame({"v": list(parent), "comp": [find(v) for v in list(parent)]}, dtype="int64")
+
+    return materialize(e.coalesce(1).mapInPandas(run, "v bigint, comp bigint"), "components")

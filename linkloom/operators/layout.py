@@ -9,12 +9,19 @@
   The bisection is a fixed-step ``aggregate`` over the k neighbour distances
   of each row (bounded by k), so it runs in the JVM.
 * ``layout`` -- full-batch epochs: attractive gradients along graph edges,
-  repulsive gradients against hash-chosen negative samples, clipped to +-4,
-  learning rate decaying 1 -> 0.  Positions are one column per dimension;
-  each epoch is joins + one grouped sum, and lineage is cut by writing the
-  positions to the shared checkpoint folder after every epoch (positions are
-  referenced several times per epoch, so an uncut plan grows geometrically).  Deterministic
-  for a seed; coordinates differ from sequential SGD by design.
+  repulsive gradients against random negative samples, clipped to +-4,
+  learning rate decaying 1 -> 0.  Points are dealt to blocks of at most
+  ``BLOCK_POINTS`` rows (at least ``LEAST_BLOCKS`` blocks, whatever the size), near
+  starts to the same block, and the edges once to the block of their first end.  A
+  block's task runs ``EXCHANGE_EPOCHS`` epochs on its rows and then sends other
+  blocks the positions of just those rows that their edges end in, so an
+  exchange is one cogroup, one shuffle of positions, and one written table (the
+  table before is deleted; a lost executor repeats one exchange).  **Staleness:**
+  between exchanges ends in other blocks stand where the last exchange left
+  them, at most ``EXCHANGE_EPOCHS`` - 1 epochs behind; ends in the own block
+  move on.  Negatives are drawn from ``NEGATIVE_ROWS`` rows of the own block and of
+  each of ``NEGATIVE_BLOCKS`` others, which change with every exchange.
+  Deterministic for a seed; coordinates differ from sequential SGD by design.
 """
 
 from __future__ import annotations
@@ -22,6 +29,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -37,6 +45,10 @@ CLUSTER_DIMS, CLUSTER_NEIGHBORS, CLUSTER_MIN_DIST = 10, 30, 0.0
 VIEW_DIMS, VIEW_NEIGHBORS, VIEW_MIN_DIST = 2, 15, 0.1
 NEGATIVE_SAMPLES = 5
 SEED = 42
+#: Points of a block, blocks at least, and epochs between two exchanges of positions.
+BLOCK_POINTS, LEAST_BLOCKS, EXCHANGE_EPOCHS = 4096, 8, 10
+#: Other blocks that negatives come from in one exchange, and rows of each.
+NEGATIVE_BLOCKS, NEGATIVE_ROWS = 16, 256
 
 
 # -- PCA ---------------------------------------------------------------------------
@@ -145,13 +157,99 @@ def curve_params(min_dist: float, spread: float = 1.0) -> tuple[float, float]:
     return float(a0), float(b0)
 
 
-def _clip(c: Column) -> Column:
-    return F.greatest(F.lit(-4.0), F.least(F.lit(4.0), c))
+def _payload(*columns: np.ndarray) -> bytes:
+    return b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+
+
+class BlockEdges:
+    """A block's edges: own rows, and the ends as own rows or as rows received from other blocks."""
+
+    def __init__(self, table: pa.Table, block: int, rows: int):
+        li, bj, lj, w = (table.column(c).to_numpy() for c in ("li", "bj", "lj", "w"))
+        order = np.lexsort((lj, bj, li))
+        self.li, bj, lj, self.w = li[order], bj[order], lj[order], w[order]
+        away = bj != block
+        keys, place = np.unique(bj[away] << 32 | lj[away], return_inverse=True)
+        self.source = keys >> 32  # of the received rows, in the order in which they are expected
+        self.end = lj.copy()
+        self.end[away] = rows + place
+        self.starts = np.flatnonzero(np.append(True, self.li[1:] != self.li[:-1])) if len(li) else np.empty(0, np.int64)
+        # the graph is undirected, so a block's rows with an edge into t are those that t expects, and in its order
+        pairs = np.unique(bj[away] << 32 | self.li[away])
+        self.sends = {int(t): pairs[pairs >> 32 == t] & 0xFFFFFFFF for t in np.unique(pairs >> 32)}
+
+    def received(self, halo: dict[int, np.ndarray], dims: int) -> np.ndarray:
+        return np.concatenate([halo[int(t)] for t in np.unique(self.source)]) if len(self.source) else np.empty((0, dims))
+
+
+def run_epochs(x: np.ndarray, e: BlockEdges, halo: np.ndarray, own: np.ndarray, pool: np.ndarray, pool_rows: np.ndarray,
+               alphas: np.ndarray, curve: tuple[float, float], negatives: np.ndarray) -> np.ndarray:
+    """A block's rows after these epochs; rows of other blocks stay as they were received."""
+    a, b = curve
+    x, clip = x.copy(), lambda g: np.clip(g, -4.0, 4.0)
+    for alpha, drawn in zip(alphas, negatives, strict=True):
+        grad = np.zeros_like(x)
+        if len(e.li):
+            diff = x[e.li] - np.concatenate([x, halo])[e.end]
+            d2 = (diff * diff).sum(axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                pull = np.where(d2 > 0, -2.0 * a * b * d2 ** (b - 1.0) / (a * d2**b + 1.0), 0.0)
+            grad[e.li[e.starts]] = np.add.reduceat(e.w[:, None] * clip(pull[:, None] * diff), e.starts)
+        for lot in drawn.T:
+            diff = x - pool[lot]
+            d2 = (diff * diff).sum(axis=1)
+            push = 2.0 * b / ((0.001 + d2) * (a * d2**b + 1.0))
+            grad += np.where(pool_rows[lot] == own, 0.0, 1.0)[:, None] * clip(push[:, None] * diff) / drawn.shape[1]
+        x += alpha * clip(grad)
+    return x
+
+
+_MESSAGE = "block bigint, source bigint, kind int, payload binary"
+_OWN, _HALO, _POOL = 0, 1, 2
+
+
+def _exchange(dims: int, rows: int, blocks: int, first: int, alphas: np.ndarray, curve: tuple[float, float], negative_samples: int, seed: int):
+    """One task of an exchange: a block's messages and edges -> its epochs -> its messages."""
+
+    def decode(payload: bytes) -> np.ndarray:
+        return np.frombuffer(payload).reshape(-1, dims)
+
+    def run(key: tuple[pa.Scalar, ...], messages: pa.Table, edges: pa.Table) -> pa.Table:
+        block = key[0].as_py()
+        got = {k: [] for k in (_OWN, _HALO, _POOL)}
+        for m in messages.to_pylist():
+            got[m["kind"]].append((m["source"], m["payload"]))
+        x = decode(got[_OWN][0][1])
+        own = block * rows + np.arange(len(x))
+        e = BlockEdges(edges, block, len(x))
+        if len(alphas):
+            halo = e.received({t: decode(p) for t, p in got[_HALO]}, dims)
+            parts = [np.frombuffer(p).reshape(-1, dims + 1) for _, p in sorted(got[_POOL])]
+            pool = np.concatenate(parts)
+            drawn = np.random.default_rng((seed, first, block)).integers(0, len(pool), (len(alphas), len(x), negative_samples))
+            x = run_epochs(x, e, halo, own, pool[:, 1:], pool[:, 0].astype(np.int64), alphas, curve, drawn)
+        out = [(block, block, _OWN, _payload(x))]
+        out += [(t, block, _HALO, _payload(x[at])) for t, at in e.sends.items()]
+        some = np.sort(np.random.default_rng((seed, first, block, 1)).permutation(len(x))[:NEGATIVE_ROWS])
+        sample = _payload(np.concatenate([own[some, None].astype(np.float64), x[some]], axis=1))
+        steps = np.random.default_rng((seed, first)).permutation(blocks - 1)[:NEGATIVE_BLOCKS] + 1 if blocks > 1 else np.empty(0, np.int64)
+        out += [((block + int(step)) % blocks, block, _POOL, sample) for step in (0, *steps)]
+        b, s, k, p = zip(*out, strict=True)
+        return pa.table({"block": pa.array(b, pa.int64()), "source": pa.array(s, pa.int64()), "kind": pa.array(k, pa.int32()), "payload": pa.array(p, pa.binary())})
+
+    return run
+
+
+def _morton(columns: list[str]) -> Column:
+    """Bits of the first three start coordinates (0 to 10), interleaved: near starts get near places."""
+    cells = [F.least(F.lit(1023), F.floor(F.col(c) * 102.4)).cast("bigint") for c in columns[:3]]
+    bit = lambda c, i: F.shiftright(c, i).bitwiseAND(F.lit(1))
+    return sum((F.shiftleft(bit(c, i), len(cells) * i + d) for i in range(10) for d, c in enumerate(cells)), F.lit(0).cast("bigint"))
 
 
 def layout(points: DataFrame, edges: DataFrame, init_col: str, n_components: int = VIEW_DIMS,
            min_dist: float = VIEW_MIN_DIST, n_epochs: int = 50, negative_samples: int = NEGATIVE_SAMPLES,
-           seed: int = SEED, id_col: str = "id") -> DataFrame:
+           seed: int = SEED, id_col: str = "id", exchange_epochs: int = EXCHANGE_EPOCHS) -> DataFrame:
     """ML6: (id, x0..x{D-1}) after ``n_epochs`` full-batch epochs.
 
     ``init_col`` holds an array whose first ``n_components`` entries start the
@@ -160,41 +258,50 @@ def layout(points: DataFrame, edges: DataFrame, init_col: str, n_components: int
     spark = points.sparkSession
     ensure_checkpoint_dir(spark)
     D = n_components
-    a, b = curve_params(min_dist)
     ys = [f"y{k}" for k in range(D)]
     p = points.select(F.col(id_col).alias("id"), *[F.element_at(init_col, k + 1).cast("double").alias(ys[k])
                                                     for k in range(D)])
-    st = p.agg(*[F.min(c).alias(f"mn{c}") for c in ys], *[F.max(c).alias(f"mx{c}") for c in ys]).first()
+    st = p.agg(*[F.min(c).alias(f"mn{c}") for c in ys], *[F.max(c).alias(f"mx{c}") for c in ys], F.count(F.lit(1)).alias("n")).first()
+    n = st["n"]
+    if not n:
+        return p.select(F.col("id").alias(id_col), *[F.col(ys[k]).alias(f"x{k}") for k in range(D)])
     p = p.select("id", *[(F.lit(10.0) * (F.col(c) - st[f"mn{c}"]) /
                           F.lit(max(st[f"mx{c}"] - st[f"mn{c}"], 1e-12))).alias(c) for c in ys])
-    p = materialize(dense_index(p, "id"), "layout-init")
-    last, n = p, p.count()
+    blocks = max(-(-n // BLOCK_POINTS), min(n, LEAST_BLOCKS))
+    rows = -(-n // blocks)
+    blocks = -(-n // rows)
+    p = dense_index(p.withColumn("place", F.struct(_morton(ys), F.col("id"))), "place").drop("place")
+    p = materialize(p.withColumn("block", F.expr(f"idx div {rows}")).withColumn("row", F.expr(f"idx % {rows}")), "layout-init")
     e = edges.select(F.col("a").alias("i"), F.col("b").alias("j"), "w")
     e = e.unionByName(e.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
-    deg = e.groupBy("i").agg(F.sum("w").alias("degree"))
-    e = materialize(e.join(deg, "i").select("i", "j", (F.col("w") / F.col("degree")).alias("w")), "layout-edges")
-    for ep in range(n_epochs):
-        alpha = 1.0 - ep / n_epochs
-        pi = p.select(F.col("id").alias("i"), *[F.col(c).alias(f"a_{c}") for c in ys])
-        pj = p.select(F.col("id").alias("j"), *[F.col(c).alias(f"b_{c}") for c in ys])
-        att = e.join(pi, "i").join(pj, "j")
-        d2 = sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) ** 2 for c in ys), F.lit(0.0))
-        ga = F.when(d2 > 0, (-2.0 * a * b * F.pow(d2, b - 1.0)) / (a * F.pow(d2, b) + 1.0)).otherwise(0.0)
-        att = att.select("i", *[(F.col("w") * _clip(ga * (F.col(f"a_{c}") - F.col(f"b_{c}")))).alias(f"g_{c}")
-                                for c in ys])
-        neg = p.select(F.col("id").alias("i"), *[F.col(c).alias(f"a_{c}") for c in ys],
-                       F.explode(F.sequence(F.lit(1), F.lit(negative_samples))).alias("s"))
-        neg = neg.withColumn("idx", F.pmod(F.xxhash64("i", F.lit(ep), "s", F.lit(seed)), F.lit(n)))
-        pk = p.select("idx", F.col("id").alias("k"), *[F.col(c).alias(f"b_{c}") for c in ys])
-        rep = neg.join(pk, "idx").filter(F.col("k") != F.col("i"))
-        gr = 2.0 * b / ((0.001 + d2) * (a * F.pow(d2, b) + 1.0))
-        rep = rep.select("i", *[(_clip(gr * (F.col(f"a_{c}") - F.col(f"b_{c}"))) / negative_samples)
-                                .alias(f"g_{c}") for c in ys])
-        grads = (att.unionByName(rep).groupBy("i").agg(*[F.sum(f"g_{c}").alias(f"g_{c}") for c in ys]))
-        p = (p.join(grads.withColumnRenamed("i", "id"), "id", "left")
-             .select("id", "idx", *[(F.col(c) + F.lit(alpha) * _clip(F.coalesce(F.col(f"g_{c}"), F.lit(0.0))))
-                                    .alias(c) for c in ys]))
-        now = materialize(p, "layout-epoch")
-        discard(last)
-        p = last = now
-    return p.select(F.col("id").alias(id_col), *[F.col(ys[k]).alias(f"x{k}") for k in range(D)])
+    degree = e.groupBy("i").agg(F.sum("w").alias("degree"))
+    mine, other = (p.select(F.col("id").alias(end), F.col("block").alias(b), F.col("row").alias(r)) for end, b, r in (("i", "block", "li"), ("j", "bj", "lj")))
+    e = e.join(degree, "i").join(mine, "i").join(other, "j")
+    e = materialize(e.select("block", "li", "bj", "lj", (F.col("w") / F.col("degree")).alias("w")), "layout-edges")
+
+    def first_rows(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        t = t.sort_by("row")
+        x = np.stack([t.column(c).to_numpy() for c in ys], axis=1)
+        return pa.table({"block": [key[0].as_py()], "source": [key[0].as_py()], "kind": pa.array([_OWN], pa.int32()), "payload": pa.array([_payload(x)], pa.binary())},
+                        schema=pa.schema([("block", pa.int64()), ("source", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())]))
+
+    now = p.select("block", "row", *ys).groupBy("block").applyInArrow(first_rows, _MESSAGE)
+    curve = curve_params(min_dist)
+    alphas = 1.0 - np.arange(n_epochs) / max(1, n_epochs)
+    rounds = [alphas[:0], *(alphas[at:at + exchange_epochs] for at in range(0, n_epochs, exchange_epochs))]
+    last = None
+    for i, part in enumerate(rounds):  # the first one only sends the start
+        step = _exchange(D, rows, blocks, i, part, curve, negative_samples, seed)
+        now = materialize(now.groupBy("block").cogroup(e.groupBy("block")).applyInArrow(step, _MESSAGE), "layout-exchange")
+        if last is not None:
+            discard(last)
+        last = now
+
+    def spread(batches):
+        for batch in batches:
+            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(payload).reshape(-1, D)
+                yield pa.RecordBatch.from_arrays([pa.array(block * rows + np.arange(len(x))), *(pa.array(x[:, k]) for k in range(D))], ["idx", *ys])
+
+    end = now.filter(F.col("kind") == _OWN).select("block", "payload").mapInArrow(spread, "idx bigint, " + ", ".join(f"{c} double" for c in ys))
+    return p.select("id", "idx").join(end, "idx").select(F.col("id").alias(id_col), *[F.col(ys[k]).alias(f"x{k}") for k in range(D)])

@@ -1,6 +1,7 @@
 """Cluster map end to end, embedding, pooling, fetch, resume, streaming flags."""
 
 import numpy as np
+import pyarrow as pa
 
 from linkloom.operators import ingest as ig
 from linkloom.operators import spatial as sp
@@ -81,30 +82,61 @@ def test_flag_stream(spark):
     assert got == {1: ("a.evil.com", True), 2: ("good.org", False)}
 
 
-def test_registered_layout_and_clusters_run_the_whole_job(spark, monkeypatch):
-    from pyspark.sql import functions as F
+def trust(high, low, k=15):
+    """Trustworthiness of a layout: neighbours in it that aren't near in the cosine of the high dimensions cost their rank."""
+    n = len(high)
+    unit = high / np.linalg.norm(high, axis=1, keepdims=True)
+    far = 1 - unit @ unit.T
+    np.fill_diagonal(far, -9)
+    rank = np.argsort(np.argsort(far, axis=1), axis=1)
+    d2 = ((low[:, None] - low[None]) ** 2).sum(-1)
+    np.fill_diagonal(d2, -1)
+    near = np.argsort(d2, axis=1)[:, 1:k + 1]
+    return 1 - 2 / (n * k * (2 * n - 3 * k - 1)) * np.maximum(0, np.take_along_axis(rank, near, 1) - k).sum()
 
-    from linkloom.operators import density, layout
-    from linkloom.plans import catalogue
 
-    graphs, epochs, clustered = [], [], []
+def test_registered_layout_runs_all_epochs_and_keeps_neighbours(spark):
+    from linkloom.plans import catalogue
 
-    def graph(points, k, *args, **kwargs):
-        graphs.append(k)
-        return points.sparkSession.createDataFrame([], "a long, b long, w double")
+    sf = "/root/testdata/sf0.001"
+    rows = catalogue.layout_2d(spark, sf).orderBy("vec_id").collect()
+    reduced, _ = catalogue._pca(spark, sf)
+    high = np.array([r["pca"] for r in reduced.orderBy("vec_id").collect()])
+    low = np.array([(r["x"], r["y"]) for r in rows])
+    assert len(rows) == len(high) == 500 and catalogue.full_epochs(500) == 500
+    assert trust(high, low) > trust(high, high[:, :2]) + 0.03
 
-    def laid(points, edges, init, dims, min_dist, n_epochs, id_col="id", **kwargs):
-        epochs.append((dims, n_epochs))
-        return points.select(id_col, *[F.element_at(init, k + 1).alias(f"x{k}") for k in range(dims)])
 
-    def clusters(points, *args, vec_col="v", **kwargs):
-        clustered.append(vec_col)
-        return points
+def test_registered_clusters_run_the_whole_job(spark):
+    from linkloom.plans import catalogue
 
-    monkeypatch.setattr(layout, "fuzzy_graph", graph)
-    monkeypatch.setattr(layout, "layout", laid)
-    monkeypatch.setattr(density, "density_clusters", clusters)
-    catalogue.layout_2d(spark, "/root/testdata/sf0.001")
-    out = catalogue.density_clusters(spark, "/root/testdata/sf0.001")
-    assert graphs == [layout.VIEW_NEIGHBORS, layout.CLUSTER_NEIGHBORS] and epochs == [(2, 500), (10, 500)]
-    assert clustered == ["v"] and out.first()["v"] is not None and out.count() == 500
+    got = {r["vec_id"]: r["cluster"] for r in catalogue.density_clusters(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == 500 and set(got.values()) <= set(range(-1, 26))
+
+
+def test_layout_blocks_exchange_what_edges_need(spark):
+    """Exchanges after every epoch and one block give the same attraction; negatives come from all rows then."""
+    from linkloom.operators import layout as lo
+
+    rng = np.random.default_rng(3)
+    table = pa.table({"li": [0, 0, 1, 2], "bj": [0, 1, 0, 1], "lj": [1, 5, 0, 2], "w": [0.5, 0.5, 1.0, 1.0]})
+    e = lo.BlockEdges(table, 0, 3)
+    assert e.sends.keys() == {1} and e.sends[1].tolist() == [0, 2] and e.end.tolist() == [1, 4, 0, 3] and e.source.tolist() == [1, 1]
+    x, halo = rng.normal(size=(3, 2)), rng.normal(size=(2, 2))
+    pool = rng.normal(size=(4, 2))
+    got = lo.run_epochs(x, e, halo, np.arange(3), pool, np.array([0, 9, 9, 9]), np.array([0.5]), (1.5, 0.9), np.array([[[0, 1], [2, 3], [1, 1]]]))
+    want = x.copy()
+    for i in range(3):
+        g = np.zeros(2)
+        for li, end, w in zip(e.li, e.end, e.w):
+            if li == i:
+                diff = x[i] - np.concatenate([x, halo])[end]
+                d2 = (diff ** 2).sum()
+                g += w * np.clip(-2 * 1.5 * 0.9 * d2 ** -0.1 / (1.5 * d2 ** 0.9 + 1) * diff, -4, 4)
+        for k in [[0, 1], [2, 3], [1, 1]][i]:
+            diff = x[i] - pool[k]
+            d2 = (diff ** 2).sum()
+            if not (i == 0 and k == 0):
+                g += np.clip(1.8 / ((0.001 + d2) * (1.5 * d2 ** 0.9 + 1)) * diff, -4, 4) / 2
+        want[i] += 0.5 * np.clip(g, -4, 4)
+    assert np.allclose(got, want)

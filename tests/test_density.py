@@ -146,3 +146,36 @@ def test_spark_job_equals_the_full_hierarchy(spark, seed):
     assert {tuple(sorted(v)) for v in got.values()} == brute(x, 5, 3)
     assert len(noise) + sum(map(len, got.values())) == len(x)
     assert [min(got[c]) for c in sorted(got)] == sorted(min(v) for v in got.values())
+
+
+def job_clusters(spark, x, least, min_samples, k, **kwargs):
+    df = spark.createDataFrame([(i, [float(a) for a in p]) for i, p in enumerate(x)], "id bigint, v array<double>")
+    got = {}
+    for r in D.density_clusters(df, least, min_samples, k, **kwargs).collect():
+        got.setdefault(r.cluster, []).append(r.id)
+    got.pop(-1, [])
+    return {tuple(sorted(v)) for v in got.values()}
+
+
+def test_a_third_of_all_points_as_copies(spark):
+    r = np.random.default_rng(3)
+    x = np.concatenate([np.repeat([[1.0, 1.0]], 40, axis=0), r.normal((5, 5), 0.3, (40, 2)), r.normal((1, 1), 0.2, (40, 2))])
+    x = x[r.permutation(len(x))]
+    # bands of 20 edges: the copies' 39 edges of weight 0 are more than a band
+    assert job_clusters(spark, x, 6, 3, 4, band_edges=20) == brute(x, 6, 3)
+
+
+def test_grid_points_of_equal_weights_in_small_bands(spark):
+    x = np.array([(i % 6, i // 6) for i in range(36)] + [(30 + i % 4, i // 4) for i in range(16)] + [(60, 60), (60, 61)], dtype=float)
+    assert job_clusters(spark, x, 5, 3, 4, band_edges=8) == brute(x, 5, 3)
+
+
+def test_visits_are_pruned_and_the_tree_is_the_same(spark):
+    r = np.random.default_rng(9)
+    x = np.concatenate([r.normal(c, 0.2, (60, 3)) for c in r.uniform(-30, 30, (6, 3))])
+    df = spark.createDataFrame([(i, [float(a) for a in p]) for i, p in enumerate(x)], "id bigint, v array<double>")
+    report = []
+    tree = D.spanning_tree(df, 3, 4, block_rows=16, report=report).collect()
+    want = full_tree(x, 3)
+    assert len(tree) == len(x) - 1 and np.allclose(sorted(e.w for e in tree), sorted(e[2] for e in want))
+    assert report and sum(p["visits"] for p in report) < 0.25 * sum(p["all"] for p in report)

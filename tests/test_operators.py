@@ -239,36 +239,12 @@ def test_naming_fallback_and_model(spark):
     assert sorted(Counter(r["cluster"] for r in s.collect()).values()) == [50, 50, 50]
 
 
-def test_minimum_spanning_forest_matches_kruskal(spark):
-    from linkloom.operators.graph import minimum_spanning_forest
+def test_components_in_one_task_equal_the_rounds(spark):
+    from linkloom.operators.graph import components, connected_components
     rng = np.random.default_rng(9)
-    n = 40
-    edges = set()
-    for i in range(n):
-        for j in rng.choice(n, 4, replace=False):
-            if i != j:
-                edges.add((min(i, int(j)), max(i, int(j))))
-    rows = [(a, b, float(rng.integers(1, 6))) for a, b in sorted(edges)]  # many ties
-    rows += [(100, 101, 1.0), (101, 102, 2.0), (100, 102, 2.0)]           # a second tree
-    parent = {}
-
-    def find(x):
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-    total, count = 0.0, 0
-    for a, b, w in sorted(rows, key=lambda r: (r[2], r[0], r[1])):
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            parent[ra] = rb
-            total += w
-            count += 1
-    df = spark.createDataFrame(rows, "a long, b long, w double")
-    f = minimum_spanning_forest(df).collect()
-    assert len(f) == count
-    assert abs(sum(r["w"] for r in f) - total) < 1e-9
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 60, (40, 2))] + [(7, 7)], "a long, b long")
+    want = {tuple(r) for r in connected_components(df, "a", "b").collect()}
+    assert {tuple(r) for r in components(df, "a", "b").collect()} == want == {tuple(r) for r in components(df, "a", "b", small=0).collect()}
 
 
 def test_density_clusters_via_spanning_forest(spark, blobs):
