@@ -1,4 +1,4 @@
-"""Batch ingest of items into posts (SRC1-SRC8, SRC16, FLT1, FLT2, FLT6, WIN6, WIN10, STR2 batch form).
+"""Batch ingest of items into posts (SRC1, SRC3-SRC8, FLT1, FLT2, FLT6, WIN6, WIN10, STR2 batch form).
 
 Scale notes
 -----------
@@ -15,12 +15,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from linkloom.functions.vectors import vec_from_json
 from linkloom.schemas import ITEM_SCHEMA, POST_COLUMNS, POST_SCHEMA, POST_TEXT_SCHEMA
+from linkloom.session import scratch_dir
 from linkloom.sources.tables import post_from_item
 
 BATCH_SIZE = 200           # ids per harvest batch
@@ -68,19 +69,6 @@ def partition_fetch(ids: DataFrame, fetch: Callable[[list[int]], list[dict | Non
     return src.select("id").mapInPandas(run, ITEM_SCHEMA)
 
 
-def read_items(spark: SparkSession, path: str, quarantine: bool = False) -> DataFrame:
-    """SRC2: NDJSON items with an explicit schema; lines that do not parse are
-    kept in ``_corrupt_record`` when ``quarantine`` else dropped; items without
-    ``time`` are dropped."""
-    schema = (T.StructType(ITEM_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())])
-              if quarantine else ITEM_SCHEMA)
-    df = (spark.read.schema(schema).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    if quarantine:
-        return df
-    return df.filter(F.col("time").isNotNull() & F.col("id").isNotNull())
-
-
 def cutoff_bound(items: DataFrame, cutoff_epoch: int) -> int:
     """FLT1 scalar: the largest id whose item is older than the cut-off (-1 if none)."""
     v = items.filter(F.col("time") < cutoff_epoch).agg(F.max("id")).first()[0]
@@ -120,10 +108,20 @@ def read_posts_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_posts_csv_tolerant(spark: SparkSession, path: str) -> DataFrame:
-    """SRC7: all-string, permissive read (bad bytes become replacement chars);
-    typed columns are derived afterwards with tolerant casts."""
+    """SRC7: all-string, permissive read; typed columns are derived afterwards
+    with tolerant casts.  Bytes that are not UTF-8 are left out, so a replacement
+    character in the result stood in the file.  Files are read as bytes, and a
+    cleaned copy of each goes to the shared scratch folder for the CSV reader;
+    like any CSV with line breaks in fields, a file is one task's work."""
+    def clean(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.decode("utf-8", "ignore") for b in batch.column(0).to_pylist()], pa.string())], ["value"])
+
+    copy = scratch_dir(spark, "utf8-csv")
+    files = spark.read.format("binaryFile").load(path).select("content")
+    files.mapInArrow(clean, "value string").write.option("maxRecordsPerFile", 1).text(copy)  # one file for each, header and all
     return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-            .option("mode", "PERMISSIVE").schema(POST_TEXT_SCHEMA).csv(path))
+            .option("mode", "PERMISSIVE").schema(POST_TEXT_SCHEMA).csv(copy))
 
 
 def read_embedded_posts(df: DataFrame, dim: int | None = None, id_col: str = "id",
@@ -140,14 +138,6 @@ def read_embedded_posts(df: DataFrame, dim: int | None = None, id_col: str = "id
     return out.filter(F.col("id").isNotNull() & F.col("title").isNotNull() & F.col("embedding").isNotNull())
 
 
-def ingest_meter(df: DataFrame, name: str = "ingest"):
-    """SRC16: attach an observed row counter; read it from the returned
-    Observation after an action (``obs.get``)."""
-    from pyspark.sql import Observation
-    obs = Observation(name)
-    return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
-
-
 def resume_bound(spark: SparkSession, sink: str) -> int | None:
     """SRC5 batch form: the smallest id already in the post sink (harvest
     continues strictly below it); None when the sink is empty or absent."""

@@ -21,12 +21,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.session import materialize
 from linkloom.operators.common import sized_broadcast
+from linkloom.session import discard, materialize
 
 KNN_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
@@ -298,3 +299,95 @@ def knn_ivf(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "v", metri
     out = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     out = out.select("id", F.col("rank").cast("int").alias("rank"), "nbr", "score")
     return out.withColumn("score", F.lit(1.0) - F.col("score") * F.col("score") / 2.0) if metric == "cosine" else out
+
+
+# -- approximate: neighbour descent -----------------------------------------------------
+
+#: Rows above which the layout's graph uses neighbour descent.
+EXACT_ROWS = 20_000
+#: Rounds at most, and the share of changed entries below which the descent ends.
+DESCENT_ROUNDS, DESCENT_CHANGE = 8, 0.005
+_RUN_ROWS = 1 << 14
+
+
+def _near_each_other(keep: int):
+    """(id, nbr, score): within each group of rows, every row's ``keep`` nearest others."""
+    def groups(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < _RUN_ROWS:
+                continue
+            t = pa.Table.from_batches(held)
+            of = t.column(0).to_numpy()
+            cut = int(np.searchsorted(of, of[-1]))
+            if cut:
+                yield t.slice(0, cut)
+                held = t.slice(cut).to_batches()
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def run(batches):
+        for t in groups(batches):
+            of, ids = t.column(0).to_numpy(), t.column(1).to_numpy()
+            if not len(of):
+                continue
+            x = t.column(2).combine_chunks().flatten().to_numpy().reshape(len(of), -1)
+            cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            out = []
+            for a, b in zip(cuts, np.append(cuts[1:], len(of)), strict=True):
+                if b - a < 2:
+                    continue
+                y, n = x[a:b], min(keep, b - a - 1)
+                d2 = np.maximum((y * y).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * y @ y.T, 0)
+                np.fill_diagonal(d2, np.inf)
+                near = np.argpartition(d2, n - 1, axis=1)[:, :n] if n < b - a - 1 else np.argsort(d2, axis=1)[:, :n]
+                i = np.repeat(np.arange(b - a), n)
+                diff = y[i] - y[near.reshape(-1)]
+                out.append((ids[a:b][i], ids[a:b][near.reshape(-1)], -np.sqrt((diff * diff).sum(1))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["id", "nbr", "score"])
+
+    return run
+
+
+def knn_descent(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "v", metric: str = "cosine", rounds: int = DESCENT_ROUNDS) -> DataFrame:
+    """Approximate kNN: (id, rank, nbr, score) like ``knn_exact``.
+
+    Lists start from the probed cells of ``knn_ivf``.  In each round every
+    row's neighbours, and as many of those that list it (in hash order), meet at that row, and each
+    learns of the nearest of the others: neighbours of neighbours are likely
+    neighbours.  A round is two joins and one grouped merge of about n * 2k
+    rows with their vectors; rounds end when hardly any list changes.  Scores are exact.
+    """
+    pts = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    if metric == "cosine":
+        norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+        pts = pts.withColumn("v", F.transform("v", lambda x: x / F.greatest(norm, F.lit(1e-12))))
+    pts = materialize(pts, "descent-points")
+    best = Window.partitionBy("id").orderBy(F.col("score").desc(), F.col("nbr").asc())
+    lists = materialize(knn_ivf(pts, k, "id", "v", "euclidean").select("id", "nbr", "score"), "descent-lists")
+    wanted = pts.count() * k
+    for _ in range(rounds):
+        back = Window.partitionBy("nbr").orderBy(F.xxhash64("id", "nbr"), "id")
+        listed = lists.withColumn("r", F.row_number().over(back)).filter(F.col("r") <= k)
+        met = lists.select(F.col("id").alias("at"), F.col("nbr").alias("id")).unionByName(listed.select(F.col("nbr").alias("at"), "id")).distinct()
+        met = met.unionByName(pts.select(F.col("id").alias("at"), "id"))
+        met = met.join(pts, "id").select("at", "id", "v").repartition("at").sortWithinPartitions("at")
+        found = met.mapInArrow(_near_each_other(max(4, k // 2)), KNN_SCHEMA)
+        both = lists.unionByName(found).groupBy("id", "nbr").agg(F.max("score").alias("score"))
+        later = both.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r")
+        later = materialize(later, "descent-lists")
+        changed = later.join(lists.select("id", "nbr"), ["id", "nbr"], "left_anti").count()
+        discard(lists)
+        lists = later
+        if changed <= DESCENT_CHANGE * wanted:
+            break
+    out = lists.withColumn("rank", F.row_number().over(best).cast("int")).select("id", "rank", "nbr", "score")
+    return out.withColumn("score", F.lit(1.0) - F.col("score") * F.col("score") / 2.0) if metric == "cosine" else out
+
+
+def neighbors(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "v", metric: str = "cosine", exact_rows: int = EXACT_ROWS) -> DataFrame:
+    """JN7: exact lists up to ``exact_rows`` rows, neighbour descent above."""
+    method = knn_exact if df.limit(exact_rows + 1).count() <= exact_rows else knn_descent
+    return method(df, k, id_col, vec_col, metric=metric)

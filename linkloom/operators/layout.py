@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.operators.graph import dense_index
-from linkloom.operators.knn import knn_exact
+from linkloom.operators.knn import EXACT_ROWS, neighbors
 from linkloom.operators.vectors import zscore
 from linkloom.session import discard, ensure_checkpoint_dir, materialize
 
@@ -104,16 +104,16 @@ def smooth_knn(neigh: DataFrame, k: int, n_iter: int = 64, tol: float = 1e-5) ->
 
 
 def fuzzy_graph(points: DataFrame, n_neighbors: int = VIEW_NEIGHBORS, id_col: str = "id",
-                vec_col: str = "v", metric: str = "cosine") -> DataFrame:
-    """ML5: undirected fuzzy edges (a, b, w) with a < b and 0 < w <= 1."""
+                vec_col: str = "v", metric: str = "cosine", exact_rows: int = EXACT_ROWS) -> DataFrame:
+    """ML5: undirected fuzzy edges (a, b, w) with a < b and 0 < w <= 1.  Above ``exact_rows`` points the neighbours come from neighbour descent."""
     src = points.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     if metric == "cosine":
         norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
         src = src.withColumn("v", F.transform("v", lambda x: x / F.greatest(norm, F.lit(1e-12))))
-        nn = knn_exact(src, n_neighbors - 1, "id", "v", metric="cosine").withColumn(
+        nn = neighbors(src, n_neighbors - 1, "id", "v", "cosine", exact_rows).withColumn(
             "d", F.greatest(F.lit(0.0), 1.0 - F.col("score")))
     else:
-        nn = knn_exact(src, n_neighbors - 1, "id", "v", metric="euclidean").withColumn("d", -F.col("score"))
+        nn = neighbors(src, n_neighbors - 1, "id", "v", "euclidean", exact_rows).withColumn("d", -F.col("score"))
     rows = nn.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "nbr", "d"))).alias("nb"))
     rows = rows.withColumn("ds", F.transform("nb", lambda e: e["d"]))
     sm = smooth_knn(rows, n_neighbors)

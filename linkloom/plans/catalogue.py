@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +31,10 @@ from linkloom.operators import spatial as sp
 from linkloom.operators import vectors as vc
 from linkloom.operators.common import tolerant_int
 from linkloom.plans.cluster_map import cluster_space, full_epochs
+from linkloom.schemas import POST_COLUMNS
 from linkloom.session import materialize, scratch_dir
 from linkloom.sources import tables as tb
+from linkloom.streaming import commits as co
 from linkloom.streaming import ingest as st
 
 ROUND = 6
@@ -225,6 +228,20 @@ def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          _r(F.col("ratio")).alias("explained_variance_ratio"), "n_rows")
 
 
+def knn_descent_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN7: of every vector's 15 exact neighbours (PCA, cosine), those that neighbour descent lists; both paths over the whole table."""
+    p, _ = _pca(spark, sf_dir)
+    p = materialize(p.select(F.col("vec_id").alias("id"), F.col("pca").alias("v")), "pca")
+    k = lo.VIEW_NEIGHBORS
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    unit = p.withColumn("v", F.transform("v", lambda x: x / F.greatest(norm, F.lit(1e-12))))
+    exact = knn.knn_exact(unit, k).select("id", "nbr", F.lit(1).alias("e"))
+    near = knn.knn_descent(unit, k).select("id", "nbr", F.lit(1).alias("d"))
+    both = exact.join(near, ["id", "nbr"], "full")
+    counts = both.agg(F.count("e").alias("n_exact"), F.count("d").alias("n_descent"), F.count_if(F.col("e").isNotNull() & F.col("d").isNotNull()).alias("hits"))
+    return counts.select("n_exact", "n_descent", (F.col("hits") >= 0.9 * F.col("n_exact")).alias("recall_reached"))
+
+
 def fuzzy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, _ = _pca(spark, sf_dir)
     g = lo.fuzzy_graph(p, lo.VIEW_NEIGHBORS, "vec_id", "pca", metric="cosine")
@@ -266,6 +283,9 @@ def spanning_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- spatial --------------------------------------------------------------------
 
+#: Views as (left, bottom, share of the grid's sides), and the cap of the fixture's thinning query.
+VIEWS = {"corner": (0.0, 0.0, 0.15), "middle": (0.43, 0.41, 0.2), "all": (0.0, 0.0, 1.0)}
+CAP = 700
 CANVAS = (160, 120)          # canvas of the fixture view queries, pixels
 ZOOMS = (1.0, 50.0, 400.0)   # probe zoom levels of the nearest-point query
 
@@ -294,6 +314,28 @@ def chunk_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .alias("clustered_points"))
 
 
+def viewport_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC13-SRC15 + FLT10: the points of three views read back from chunk folders, of which the manifest's bounds choose
+    those that are opened."""
+    pts, g = _grid(spark, sf_dir)
+    out = scratch_dir(spark, "view-chunks")
+    sp.write_chunks(pts, out)
+    found = None
+    for name, (x, y, share) in VIEWS.items():
+        w, h = g["x_max"] - g["x_min"], g["y_max"] - g["y_min"]
+        view = {"x_min": g["x_min"] + x * w, "x_max": g["x_min"] + (x + share) * w, "y_min": g["y_min"] + y * h, "y_max": g["y_min"] + (y + share) * h}
+        rows, chunks = sp.chunks_in_view(spark, out, view)
+        part = rows.select(F.lit(name).alias("view"), "id", "cluster", *[F.lit(chunks[c]).cast("long").alias(f"chunks_{c}") for c in ("read", "within", "listed")])
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def visible_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN8: the points that stay visible under a cap, over all events."""
+    e = tb.read_table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id")
+    return sp.visible_cap(e, CAP)
+
+
 def viewport_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts, g = _grid(spark, sf_dir)
     cells = sp.assign_cells(pts, g).select("id", "x", "y", "cluster")
@@ -419,8 +461,69 @@ def ingest_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = F.pmod(F.xxhash64("id"), F.lit(3))
     for step in (third == 0, third <= 1, third <= 2):
         items.filter(step).repartition(2, "id").write.mode("append").json(landing)
-        st.run_ingest(spark, landing, sink, ckpt, max_files_per_trigger=2)
-    return spark.read.parquet(sink)
+        co.run_landing(spark, landing, sink, ckpt, max_files_per_trigger=2)
+    return co.read_posts(spark, sink)
+
+
+def _broken_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as lines, of which every 17th is cut short, every 19th has no id and every 23rd no time."""
+    i = tb.events_as_items(spark, sf_dir).select("id", "type", "by", "time", F.col("score_value").cast("long").alias("score"))
+    fault = F.when(F.col("id") % 17 == 0, "not json").when(F.col("id") % 19 == 0, "no id").when(F.col("id") % 23 == 0, "no time").otherwise("")
+    keep = lambda c, name: F.when(fault != name, F.col(c)).alias(c)
+    line = F.to_json(F.struct(keep("id", "no id"), "type", "by", keep("time", "no time"), "score"))
+    return i.withColumn("line", line).select(F.when(fault == "not json", F.expr("left(line, length(line) - 2)")).otherwise(F.col("line")).alias("value"))
+
+
+def ingest_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC2 + SRC5: broken lines land among good ones, a batch fails between its folder and its commit and runs again;
+    accepted and rejected lines of each kind add up."""
+    landing, sink, ckpt = (scratch_dir(spark, n) for n in ("landing", "posts", "ingest-ckpt"))
+    _broken_landing(spark, sf_dir).repartition(4).write.text(landing)
+
+    def fail(number: int) -> None:
+        if number == 1:
+            raise OSError("lost between folder and commit")
+
+    try:
+        co.run_landing(spark, landing, sink, ckpt, before_commit=fail)
+    except StreamingQueryException:
+        pass
+    co.run_landing(spark, landing, sink, ckpt)
+    rows = co.read_landed(spark, sink)
+    return rows.groupBy("kind", F.coalesce("reason", F.lit("")).alias("reason")).agg(
+        F.count(F.lit(1)).alias("lines"), F.count_distinct("id").alias("ids"), F.coalesce(F.sum("score"), F.lit(0)).alias("score"),
+        F.count_if(F.col("type") == "story").alias("stories"))
+
+
+def ingest_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC16: what a listener observed in all micro-batches, beside what the sink holds."""
+    landing, sink, ckpt = (scratch_dir(spark, n) for n in ("landing", "posts", "ingest-ckpt"))
+    _broken_landing(spark, sf_dir).repartition(5).write.text(landing)
+    meter = co.Meter()
+    co.run_landing(spark, landing, sink, ckpt, max_files_per_trigger=2, meter=meter)
+    seen = meter.totals()
+    landed = co.read_landed(spark, sink).agg(F.count(F.lit(1)).alias("landed"))
+    return landed.select(*[F.lit(seen[c]).cast("long").alias(c) for c in ("batches", "lines", "items", "rejected")], "landed")
+
+
+def post_csv_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC7: documents as CSV files with bytes that are not UTF-8 in front of, within and behind every text; the texts come back as they were."""
+    d = tb.read_table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
+    raw = lambda c: F.regexp_replace(c, '"', '""').cast("binary")
+    bad = lambda h: F.unhex(F.lit(h))
+    half = F.floor(F.length("text") / 2).cast("int")
+    field = F.concat(bad("FF"), raw(F.substring("text", F.lit(1), half)), bad("C0AF"), raw(F.expr("substring(text, int(floor(length(text) / 2)) + 1)")), bad("E282"))
+    text = lambda s: F.lit(s).cast("binary")
+    rest = [text(f',"{x}"') for x in ("story", "by")]
+    line = F.concat(F.col("doc_id").cast("string").cast("binary"), *rest, text(',,,"'), field, text('",'), F.col("n_chars").cast("string").cast("binary"), text(',0,"",""'))
+    path = scratch_dir(spark, "dirty-csv")
+    header = spark.createDataFrame([(",".join(POST_COLUMNS),)], "value string")
+    for part in range(2):  # every file has its header
+        rows = d.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == part).select(F.lit(1).alias("o"), line.cast("string").alias("value"))
+        one = header.select(F.lit(0).alias("o"), "value").unionByName(rows).coalesce(1).sortWithinPartitions("o")
+        one.select("value").write.mode("append").text(path)
+    back = ig.read_posts_csv_tolerant(spark, path)
+    return back.select(F.col("id").try_cast("bigint").alias("id"), F.coalesce("title", F.lit("")).alias("title"), F.col("score").try_cast("bigint").alias("score"))
 
 
 def stream_time_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -529,11 +632,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "embed_titles": embed_titles,
     "pca_variance": pca_variance,
     "fuzzy_edges": fuzzy_edges,
+    "knn_descent_recall": knn_descent_recall,
     "layout_2d": layout_2d,
     "density_clusters": density_clusters,
     "grid_chunks": grid_chunks,
     "chunk_manifest": chunk_manifest,
     "viewport_filter": viewport_filter,
+    "visible_cap": visible_cap,
+    "viewport_chunks": viewport_chunks,
     "nearest_point": nearest_point,
     "density_raster": density_raster,
     "fit_view": fit_view,
@@ -546,7 +652,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "id_batches": id_batches,
     "dedupe_replayed": dedupe_replayed,
     "post_csv_roundtrip": post_csv_roundtrip,
+    "post_csv_dirty": post_csv_dirty,
     "ingest_resume": ingest_resume,
+    "ingest_meter": ingest_meter,
+    "ingest_quarantine": ingest_quarantine,
     "stream_time_cells": stream_time_cells,
     "stream_post_flags": stream_post_flags,
     "embedding_json_roundtrip": embedding_json_roundtrip,

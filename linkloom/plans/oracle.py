@@ -523,3 +523,49 @@ p AS MATERIALIZED (SELECT d.id AS a, d.nbr AS b, greatest(d.dist, x.core, y.core
 {_boruvka(BORUVKA_ROUNDS, BORUVKA_JUMPS)}
 SELECT DISTINCT k.a AS a, k.b AS b, round(k.w, 6) AS w FROM ({" UNION ALL ".join(f"SELECT k FROM m{k}" for k in range(BORUVKA_ROUNDS))})
 """
+
+FAULTS = """CASE WHEN id % 17 = 0 THEN 'not json' WHEN id % 19 = 0 THEN 'no id' WHEN id % 23 = 0 THEN 'no time' ELSE '' END"""
+
+ORACLE["ingest_quarantine"] = f"""
+WITH {ITEMS},
+f AS (SELECT *, {FAULTS} AS reason FROM it)
+SELECT CASE WHEN reason = '' THEN 'item' ELSE 'rejected' END AS kind, reason, CAST(count(*) AS BIGINT) AS lines,
+       CAST(count(DISTINCT CASE WHEN reason = '' THEN id END) AS BIGINT) AS ids,
+       CAST(coalesce(sum(CASE WHEN reason = '' THEN CAST(trunc(value) AS BIGINT) END), 0) AS BIGINT) AS score,
+       CAST(count(*) FILTER (WHERE reason = '' AND type = 'story') AS BIGINT) AS stories
+FROM f GROUP BY reason
+"""
+
+ORACLE["ingest_meter"] = f"""
+WITH {ITEMS},
+f AS (SELECT {FAULTS} AS reason FROM it)
+SELECT CAST(3 AS BIGINT) AS batches, CAST(count(*) AS BIGINT) AS lines, CAST(count(*) FILTER (WHERE reason = '') AS BIGINT) AS items,
+       CAST(count(*) FILTER (WHERE reason <> '') AS BIGINT) AS rejected, CAST(count(*) AS BIGINT) AS landed
+FROM f
+"""
+
+ORACLE["post_csv_dirty"] = """
+SELECT doc_id AS id, text AS title, n_chars AS score FROM documents WHERE text IS NOT NULL
+"""
+
+ORACLE["visible_cap"] = """
+SELECT event_id AS id, user_id FROM events
+ORDER BY CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 15) AS BIGINT), event_id LIMIT 700
+"""
+
+ORACLE["viewport_chunks"] = f"""
+WITH {GRID},
+v0(view, vx, vy, share) AS (VALUES ('corner', 0.0, 0.0, 0.15), ('middle', 0.43, 0.41, 0.2), ('all', 0.0, 0.0, 1.0)),
+v AS (SELECT view, x_min + (vx - share * 0.5) * (x_max - x_min) AS fx_min, x_min + (vx + share * 1.5) * (x_max - x_min) AS fx_max,
+             y_min + (vy - share * 0.5) * (y_max - y_min) AS fy_min, y_min + (vy + share * 1.5) * (y_max - y_min) AS fy_max FROM v0, g),
+n AS (SELECT view,
+             count(*) FILTER (WHERE cx_min <= fx_max AND cx_max >= fx_min AND cy_min <= fy_max AND cy_max >= fy_min) AS chunks_read,
+             count(*) FILTER (WHERE cx_min >= fx_min AND cx_max <= fx_max AND cy_min >= fy_min AND cy_max <= fy_max) AS chunks_within,
+             count(*) AS chunks_listed FROM v, cb GROUP BY view)
+SELECT v.view, c.id, c.cluster, CAST(chunks_read AS BIGINT) AS chunks_read, CAST(chunks_within AS BIGINT) AS chunks_within, CAST(chunks_listed AS BIGINT) AS chunks_listed
+FROM v JOIN n USING (view) JOIN cells c ON c.x BETWEEN v.fx_min AND v.fx_max AND c.y BETWEEN v.fy_min AND v.fy_max
+"""
+
+ORACLE["knn_descent_recall"] = """
+SELECT CAST(15 * count(*) AS BIGINT) AS n_exact, CAST(15 * count(*) AS BIGINT) AS n_descent, true AS recall_reached FROM embeddings
+"""

@@ -257,8 +257,9 @@ def test_density_clusters_via_spanning_forest(spark, blobs):
 def test_viewer_helpers(spark):
     df = spark.range(1000).withColumn("x", F.col("id") * 1.0)
     capped = sp.visible_cap(df, 100)
-    ids = [r["id"] for r in capped.collect()]
-    assert len(ids) == 100 and ids == [r["id"] for r in sp.visible_cap(df.repartition(5), 100).collect()]
+    ids = {r["id"] for r in capped.collect()}
+    assert len(ids) == 100 and ids == {r["id"] for r in sp.visible_cap(df.repartition(5), 100).collect()}
+    assert sp.visible_cap(df, 1000).count() == sp.visible_cap(df, 5000).count() == 1000 and sp.visible_cap(df, 0).count() == 0
     rect = spark.createDataFrame([(1.0, 2.0, 1.0, 2.0), (0.0, 5.0, 1.0, 2.0)], "a double, b double, c double, d double")
     got = [r[0] for r in rect.select(sp.rect_contains({"x_min": 0.5, "x_max": 2.0, "y_min": 1.0, "y_max": 3.0},
                                                       [F.col("a"), F.col("b"), F.col("c"), F.col("d")])).collect()]
