@@ -49,10 +49,14 @@ LEAST_KNOWN, RARE = VOCABULARY - SHARED - 1, 8
 SMOOTH = 0.5
 BATCH, SCORE_BATCH, RATE, SEED = 4096, 16384, 0.01, 11
 WARM_DOCS, WARM_BYTES, WARM_PASSES = 512, 1 << 16, 2
+#: Exponents up to this size need no care in 32 bits.
+MAX_EXPONENT = 80.0
 #: Distinct words a task holds before it passes their counts on.
 HELD_WORDS = 1 << 20
 #: Parameters are averaged as multiples of 2**-FRACTION.
 FRACTION = 20
+#: Parts of the table that are trained on side by side, at least (as far as it has so many partitions).
+LEAST_SHARDS = 32
 #: Parameters of one row of the shuffle, and words a task trains on for each parameter it sends.
 BLOCK_VALUES, WORDS_PER_VALUE = 1 << 14, 4
 
@@ -178,43 +182,51 @@ class Network:
             x += table[o][context[:, o]]
         return np.tanh(x, out=x)
 
+    def _small(self) -> bool:
+        """Whether no exponent of any context can overflow, so softmaxes needn't look for their greatest one."""
+        reach = lambda w, b: float(np.abs(self.p[w]).max()) * VECTOR + float(np.abs(self.p[b]).max())
+        return max(reach("word", "word_bias"), reach("class", "class_bias")) < MAX_EXPONENT
+
     def log_probs(self, number: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Log-probability of each number given its context."""
-        p, h = self.p, self._hidden(context)
+        p, h, small = self.p, self._hidden(context), self._small()
         kind, place = np.divmod(number, p["word"].shape[2])
-        out = _log_softmax(h @ p["class"] + p["class_bias"], kind)
+        out = _log_softmax(h @ p["class"] + p["class_bias"], kind, small)
         order, cuts = _by_class(kind, len(p["word"]))
         h, place, within = h[order], place[order], np.empty(len(order))
         for c, lo, hi in cuts:
             z = h[lo:hi] @ p["word"][c]
             z += p["word_bias"][c]
-            within[lo:hi] = _log_softmax(z, place[lo:hi])
+            within[lo:hi] = _log_softmax(z, place[lo:hi], small)
         out[order] += within
         return out
 
     def steps(self, number: np.ndarray, context: np.ndarray) -> Iterator[tuple[str, object, np.ndarray]]:
         """Gradients of the mean negative log-probability: (parameter, rows of it, their gradient); all others are zero."""
-        p, h, n = self.p, self._hidden(context), np.float32(len(number))
+        p, h, n, small = self.p, self._hidden(context), np.float32(len(number)), self._small()
         kind, place = np.divmod(number, p["word"].shape[2])
         order, cuts = _by_class(kind, len(p["word"]))
         h, kind, place, context = h[order], kind[order], place[order], context[order]
         z = h @ p["class"]
         z += p["class_bias"]
-        d = _softmax_error(z, kind)
+        d = _softmax_error(z, kind, small)
         dh, class_step, class_bias = d @ p["class"].T, h.T @ d, d.sum(axis=0)
         seen = np.array([c for c, _, _ in cuts])
         word, word_bias = (np.empty((len(seen), *p[k].shape[1:]), p[k].dtype) for k in ("word", "word_bias"))
         for i, (c, lo, hi) in enumerate(cuts):
             z = h[lo:hi] @ p["word"][c]
             z += p["word_bias"][c]
-            d = _softmax_error(z, place[lo:hi])
+            d = _softmax_error(z, place[lo:hi], small)
             np.matmul(h[lo:hi].T, d, out=word[i])
             d.sum(axis=0, out=word_bias[i])
             dh[lo:hi] += d @ p["word"][c].T
         yield "class", ..., class_step / n
         yield "class_bias", ..., class_bias / n
-        yield "word", seen, word / n
-        yield "word_bias", seen, word_bias / n
+        word /= n
+        word_bias /= n
+        at = ... if len(seen) == len(p["word"]) else seen
+        yield "word", at, word
+        yield "word_bias", at, word_bias
         dx = dh * (1 - h * h) / n
         yield "bias", ..., dx.sum(axis=0)
         for o in range(context.shape[1]):
@@ -238,14 +250,16 @@ def _by_class(kind: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[in
     return order, [(c, lo, hi) for c, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
 
 
-def _log_softmax(z: np.ndarray, pick: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+def _log_softmax(z: np.ndarray, pick: np.ndarray, small: bool) -> np.ndarray:
+    if not small:
+        z -= z.max(axis=1, keepdims=True)
     chosen = z[np.arange(len(z)), pick]
     return chosen.astype(np.float64) - np.log(np.exp(z, out=z).sum(axis=1))
 
 
-def _softmax_error(z: np.ndarray, pick: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+def _softmax_error(z: np.ndarray, pick: np.ndarray, small: bool) -> np.ndarray:
+    if not small:
+        z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
     z[np.arange(len(z)), pick] -= 1
@@ -267,10 +281,19 @@ class Trainer:
             fix = np.float32((1 - 0.999**self.t) ** 0.5 / (1 - 0.9**self.t) * RATE / (1 + self.t / 500) ** 0.5)
             for k, at, g in self.net.steps(number[lo:lo + BATCH], context[lo:lo + BATCH]):
                 m, v = self.m[k][at], self.v[k][at]
-                m += np.float32(0.1) * (g - m)
-                v += np.float32(0.001) * (g * g - v)
-                self.m[k][at], self.v[k][at] = m, v
-                self.net.p[k][at] -= fix * m / (np.sqrt(v) + np.float32(1e-7))
+                m *= np.float32(0.9)
+                m += np.float32(0.1) * g
+                v *= np.float32(0.999)
+                g *= g
+                g *= np.float32(0.001)
+                v += g
+                if at is not ...:  # what is picked by number is a copy
+                    self.m[k][at], self.v[k][at] = m, v
+                np.sqrt(v, out=g)
+                g += np.float32(1e-7)
+                np.divide(m, g, out=g)
+                g *= fix
+                self.net.p[k][at] -= g
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -338,13 +361,14 @@ def train(docs: DataFrame, words: Vocabulary, start: Network, total: int = 0) ->
     """Train on every word of every partition and average the partitions' parameters by their words.
 
     ``total``, the count of all words if known, bounds what is shuffled to a share of the input: partitions are
-    joined so that a task trains on ``WORDS_PER_VALUE`` words for each parameter, as long as all cores have a task.
+    joined so that a task trains on ``WORDS_PER_VALUE`` words for each parameter, but not to fewer than LEAST_SHARDS,
+    however many cores there are.
     """
     sc = docs.sparkSession.sparkContext
     given = sc.broadcast((words, start.flat()))  # grows like the vocabulary, with the square root of the words
     texts = docs.select("text")
     if total:
-        texts = texts.coalesce(max(sc.defaultParallelism, total // (WORDS_PER_VALUE * len(start.flat()))))
+        texts = texts.coalesce(max(LEAST_SHARDS, total // (WORDS_PER_VALUE * len(start.flat()))))
     schema = pa.schema([("block", pa.int32()), ("weight", pa.int64()), ("data", pa.binary())])
 
     def learn(batches):
