@@ -161,7 +161,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", ma
     ids = few_rows(known, max_rows, "doc_id")
     # limit bounds the broadcast: max_rows ids and labels
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.octet_length("text") <= max_bytes)
-    rows = texts.join(F.broadcast(ids), "doc_id").collect()
+    # one text of each id, however often it stands in the table
+    rows = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).collect()
     return [(r["text"].encode(), r["y"]) for r in sorted(rows, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"]))]
 
 
