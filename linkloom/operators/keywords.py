@@ -14,7 +14,7 @@ they were exploded (one shuffle of per-document rows), then a final partially-ag
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import clean_title, title_tokens
@@ -126,13 +126,11 @@ def keyword_scores(posts: DataFrame, max_features: int = MAX_FEATURES,
     stats = materialize(term_stats(dt), "term-stats")
     vocab = cap_vocabulary(stats, max_features)
     idf = idf_table(vocab, n_docs)
-    # a document's terms come from one row: deal the rows out by id once, before they are exploded, and
-    # the norm's window needs no shuffle of (document, term) rows
-    dealt = explode_terms(per_doc.repartition("id"))
-    w = dealt.join(sized_broadcast(idf), "term", "inner").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-    return (w.select("term", (F.col("w") / norm).alias("wn"))
-            .groupBy("term").agg(F.sum("wn").alias("tfidf")))
+    # a document's weights meet once more, as one row: its norm scales them there, and what is summed are terms
+    w = dt.join(sized_broadcast(idf), "term", "inner").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    rows = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("term", "w")).alias("ws"))
+    return (rows.select("norm", F.explode("ws").alias("e")).groupBy(F.col("e.term").alias("term"))
+            .agg(F.sum(F.col("e.w") / F.col("norm")).alias("tfidf")))
 
 
 def keyword_ranking(posts: DataFrame, k: int = TOP_K, max_features: int = MAX_FEATURES,

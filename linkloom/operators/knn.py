@@ -193,7 +193,8 @@ def knn_cells(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "v", met
         sides = [(a, a)] if b.empty else [(a, b), (b, a)]
         for x, y in sides:
             xc, yc = np.stack(x["c"].to_numpy()), np.stack(y["c"].to_numpy())
-            d = np.sqrt(np.maximum(((xc[:, None, :] - yc[None, :, :]) ** 2).sum(-1), 0.0))
+            norms = (xc * xc).sum(1)[:, None] + (yc * yc).sum(1)[None, :]
+            d = np.sqrt(np.maximum(norms * (1 - 1e-13) - 2.0 * (xc @ yc.T), 0.0))  # no larger than the distance: the product rounds
             lb = d - x["R"].to_numpy()[:, None] - y["R"].to_numpy()[None, :]
             qi, cj = np.nonzero(lb <= x["UB"].to_numpy()[:, None])
             xi, yi = x["cell"].to_numpy()[qi], y["cell"].to_numpy()[cj]

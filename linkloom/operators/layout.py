@@ -304,4 +304,5 @@ def layout(points: DataFrame, edges: DataFrame, init_col: str, n_components: int
                 yield pa.RecordBatch.from_arrays([pa.array(block * rows + np.arange(len(x))), *(pa.array(x[:, k]) for k in range(D))], ["idx", *ys])
 
     end = now.filter(F.col("kind") == _OWN).select("block", "payload").mapInArrow(spread, "idx bigint, " + ", ".join(f"{c} double" for c in ys))
-    return p.select("id", "idx").join(end, "idx").select(F.col("id").alias(id_col), *[F.col(ys[k]).alias(f"x{k}") for k in range(D)])
+    out = p.select("id", "idx").join(end, "idx").select(F.col("id").alias(id_col), *[F.col(ys[k]).alias(f"x{k}") for k in range(D)])
+    return materialize(out, "layout")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from linkloom.functions.text import na_to_null
 from linkloom.functions.timefn import hour_of, weekday_of
 from linkloom.functions.urls import registrable_labels, suffix_host, url_host
+from linkloom.operators.common import sized_broadcast
 from linkloom.session import materialize
 
 HIGH_SCORE_BAR = 200  # fixed value: a post with >= 200 points is "high score"
@@ -121,23 +122,21 @@ def five_number_summary(df: DataFrame, value_col: str, by: list[str] | None = No
         aggs = [F.count(v).alias("n"), F.min(v).alias("min"), F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy).alias("_q"), F.max(v).alias("max")]
         g = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
         return g.select(*by, "n", "min", *[F.col("_q")[i].cast("double").alias(q) for i, q in enumerate(("q1", "median", "q3"))], "max")
-    keys = [F.col(c) for c in by]
-    basic = df.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"))
-    counts = df.filter(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    # a null value is a row of weight 0: it holds no rank but keeps its group
+    counts = df.groupBy(*[F.col(c) for c in by], v.alias("_v")).agg(F.count(v).alias("_c"))
     counts = materialize(counts.repartitionByRange("_v").withColumn("_p", F.spark_partition_id()), "value-counts")
     parts = counts.groupBy(*by, "_p").agg(F.sum("_c").alias("_s"))
     before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(*by, "_p", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"), F.sum("_s").over(Window.partitionBy(*by)).alias("_n"))
     within = Window.partitionBy(*by, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    same = lambda a, b, names: [a[c].eqNullSafe(b[c]) for c in names]
     x = counts.withColumn("_run", F.sum("_c").over(within))
-    x = x.join(parts, same(x, parts, [*by, "_p"])).select(*[x[c] for c in by], "_v", "_c", (F.col("_base") + F.col("_run")).alias("_to"), "_n")
+    same = [x[c].eqNullSafe(parts[c]) for c in [*by, "_p"]]
+    x = x.join(sized_broadcast(parts), same).select(*[x[c] for c in by], "_v", "_c", (F.col("_base") + F.col("_run")).alias("_to"), "_n")
     picks = []
     for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
         rank = F.lit(q) * (F.col("_n") - 1)
         holds = lambda r: (r >= F.col("_to") - F.col("_c")) & (r < F.col("_to"))
         low, high = (F.max(F.when(holds(r), F.col("_v"))).cast("double") for r in (F.floor(rank), F.ceil(rank)))
         picks.append((low + (high - low) * F.max(rank - F.floor(rank))).alias(name))
-    quartiles = x.groupBy(*by).agg(*picks)
-    out = basic.join(quartiles, same(basic, quartiles, by), "left") if by else basic.join(quartiles, F.lit(True), "left")
-    return out.select(*[basic[c] for c in by], "n", "min", "q1", "median", "q3", "max")
+    out = x.groupBy(*by).agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"), *picks)
+    return out.select(*by, "n", "min", "q1", "median", "q3", "max")

@@ -128,14 +128,14 @@ def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocab_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = kw.term_stats(kw.doc_term_counts(kw.keyword_docs(_doc_posts(spark, sf_dir))))
+    stats = materialize(kw.term_stats(kw.doc_term_counts(kw.keyword_docs(_doc_posts(spark, sf_dir)))), "term-stats")
     return kw.cap_vocabulary(stats, kw.MAX_FEATURES)
 
 
 def idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = kw.keyword_docs(_doc_posts(spark, sf_dir))
-    vocab = kw.cap_vocabulary(kw.term_stats(kw.doc_term_counts(docs)), kw.MAX_FEATURES)
-    return kw.idf_table(vocab, docs.count()).select("term", _r(F.col("idf")).alias("idf"))
+    per_doc = materialize(kw.doc_term_arrays(kw.keyword_docs(_doc_posts(spark, sf_dir))), "term-counts")
+    stats = materialize(kw.term_stats(kw.explode_terms(per_doc)), "term-stats")
+    return kw.idf_table(kw.cap_vocabulary(stats, kw.MAX_FEATURES), per_doc.count()).select("term", _r(F.col("idf")).alias("idf"))
 
 
 def keyword_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
