@@ -207,10 +207,11 @@ def spanning_tree(points: DataFrame, min_samples: int = MIN_SAMPLES, k: int | No
     pairs, core = neighbor_lists(pts, min_samples, k)
     edges = materialize(_weighted(pairs, core), "density-edges")
     n = pts.count()
+    if n < 2:
+        return edges.unionByName(hidden)
     pts = materialize(cells_of(pts, n, block_rows).join(core, "id"), "density-points")
-    places = pts.groupBy("block").agg(F.first("id").alias("id"))
-    middle = pts.groupBy("block").agg(*[F.avg(F.element_at("v", i + 1)).alias(f"c{i}") for i in range(len(pts.select("v").first()[0]) if n else 0)])
-    middle = middle.select("block", F.array(*[F.col(c) for c in middle.columns[1:]]).alias("centre")) if n else places.select("block", F.array().cast("array<double>").alias("centre"))
+    middle = pts.groupBy("block").agg(*[F.avg(F.element_at("v", i + 1)).alias(f"c{i}") for i in range(len(pts.select("v").first()[0]))])
+    middle = middle.select("block", F.array(*[F.col(c) for c in middle.columns[1:]]).alias("centre"))
     off = F.sqrt(F.aggregate(F.zip_with("v", "centre", lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda a, x: a + x))
     shape = pts.join(sized_broadcast(middle), "block").groupBy("block", "centre").agg(F.max(off).alias("radius"), F.min("core").alias("least"), F.max("core").alias("most"))
     shape = materialize(shape, "density-shapes")

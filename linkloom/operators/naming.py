@@ -67,7 +67,7 @@ def name_clusters(df: DataFrame, namer: Callable[[str, list[str]], str] | None =
 
         def call(pdf: pd.DataFrame) -> pd.DataFrame:
             titles = [t for t in pdf[title_col].tolist() if isinstance(t, str)]
-            prompt = PROMPT_HEAD + "\n".join(titles) + PROMPT_TAIL
+            prompt = PROMPT_HEAD + "\n".join(sorted(titles)) + PROMPT_TAIL  # as prompt_text
             try:
                 name = namer(prompt, titles) or None
             except Exception:  # noqa: BLE001 - any model failure falls back

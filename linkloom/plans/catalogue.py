@@ -413,6 +413,12 @@ def title_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nm.title_sample(d, "lang", "id").select("lang", "id", "title")
 
 
+def cluster_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL29: the prompt of every language's title sample, as its MD5 and length."""
+    p = nm.prompt_text(title_sample(spark, sf_dir), "lang", "title")
+    return p.select("lang", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("n_chars"))
+
+
 def longest_title_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = tb.documents_as_posts(spark, sf_dir)
     return nm.longest_title_names(d, "lang", "title", "id")
@@ -564,6 +570,26 @@ def embedding_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vc.long_form(ig.read_embedded_posts(back), ["id"], "embedding").select("id", "dim", _r(F.col("x")).alias("x"))
 
 
+def embedded_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC10/SRC11: embedded posts written as Parquet and as CSV with JSON text, and read back from both."""
+    e = _emb(spark, sf_dir).select(F.col("vec_id").alias("id"), F.concat(F.lit("item "), F.col("vec_id").cast("string")).alias("title"), "embedding")
+    table, text = scratch_dir(spark, "embedded"), scratch_dir(spark, "embedded-csv")
+    ig.write_embedded(e, table)
+    ig.write_embedded(e, text, csv=True)
+    csv = spark.read.option("header", True).option("escape", '"').option("multiLine", True).schema("id string, title string, embedding string").csv(text)
+    a = ig.read_embedded_posts(spark.read.parquet(table)).select("id", "title", F.col("embedding").alias("v"))
+    b = ig.read_embedded_posts(csv).select("id", F.col("embedding").alias("w"))
+    off = F.aggregate(F.zip_with("v", "w", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda m, d: F.greatest(m, d.cast("double")))
+    return a.join(b, "id", "full").select("id", "title", F.size("v").alias("n_dims"), (off <= 1e-6).alias("same"))
+
+
+def keyword_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC12: the keyword ranking as one CSV file, read back."""
+    path = scratch_dir(spark, "keywords-csv")
+    ig.export_keywords(keyword_top50(spark, sf_dir), path)
+    return spark.read.option("header", True).option("escape", '"').schema("term string, tfidf double").csv(path)
+
+
 def masked_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG17: the vectors of a label as the tokens of one text; every third token is masked out."""
     tokens = _emb(spark, sf_dir).select("label", F.col("vec_id").alias("token_pos"), F.col("embedding").alias("vec"), (F.col("vec_id") % 3 != 0).cast("int").alias("mask"))
@@ -620,6 +646,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vocab_cap": vocab_cap,
     "idf_table": idf_table,
     "keyword_top50": keyword_top50,
+    "keyword_export": keyword_export,
     "unit_vectors": unit_vectors,
     "tag_assign": tag_assign,
     "tag_ranking": tag_ranking,
@@ -647,6 +674,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "palette": palette,
     "cluster_sizes": cluster_sizes,
     "title_sample": title_sample,
+    "cluster_prompts": cluster_prompts,
     "longest_title_label": longest_title_label,
     "stories_until_cutoff": stories_until_cutoff,
     "id_batches": id_batches,
@@ -660,6 +688,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_post_flags": stream_post_flags,
     "embedding_json_roundtrip": embedding_json_roundtrip,
     "masked_pool": masked_pool,
+    "embedded_sinks": embedded_sinks,
     "chunk_roundtrip": chunk_roundtrip,
     "manifest_clusters": manifest_clusters,
     "tolerant_scores": tolerant_scores,

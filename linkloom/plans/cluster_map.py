@@ -17,7 +17,7 @@ from linkloom.operators import density as dn
 from linkloom.operators import layout as lo
 from linkloom.operators import naming as nm
 from linkloom.operators import spatial as sp
-from linkloom.session import materialize
+from linkloom.session import materialize, scratch_scope
 
 
 def full_epochs(n: int) -> int:
@@ -37,8 +37,13 @@ def build_cluster_map(posts: DataFrame, out_dir: str, namer: Callable[[str, list
                       n_epochs: int | None = None) -> dict | None:
     """Write a run's chunk folder and ``out_dir/manifest``; returns the grid parameters.
 
-    ``n_epochs`` None: 500 up to 10 000 posts and 200 above.
+    ``n_epochs`` None: 500 up to 10 000 posts and 200 above.  Its scratch tables are gone when it returns.
     """
+    with scratch_scope():
+        return _build(posts, out_dir, namer, id_col, title_col, emb_col, n_epochs)
+
+
+def _build(posts: DataFrame, out_dir: str, namer: Callable[[str, list[str]], str] | None, id_col: str, title_col: str, emb_col: str, n_epochs: int | None) -> dict | None:
     base = posts.select(F.col(id_col).alias("id"), F.col(title_col).alias("title"), F.col(emb_col).alias("emb"))
     base = base.filter(F.col("title").isNotNull() & F.col("emb").isNotNull())  # FLT6, Q10
     p, _ = lo.pca(base, lo.PCA_COMPONENTS, "emb", "pca")

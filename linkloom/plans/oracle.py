@@ -569,3 +569,16 @@ FROM v JOIN n USING (view) JOIN cells c ON c.x BETWEEN v.fx_min AND v.fx_max AND
 ORACLE["knn_descent_recall"] = """
 SELECT CAST(15 * count(*) AS BIGINT) AS n_exact, CAST(15 * count(*) AS BIGINT) AS n_descent, true AS recall_reached FROM embeddings
 """
+
+ORACLE["keyword_export"] = ORACLE["keyword_top50"]
+
+ORACLE["embedded_sinks"] = """
+SELECT vec_id AS id, 'item ' || CAST(vec_id AS VARCHAR) AS title, CAST(len(embedding) AS INTEGER) AS n_dims, true AS same FROM embeddings
+"""
+
+ORACLE["cluster_prompts"] = """
+WITH d AS (SELECT text AS title, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42-' || CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM documents),
+p AS (SELECT lang, 'Below are headlines that belong together. Answer with a topic label of two to five plain words.' || chr(10) || chr(10)
+             || coalesce(string_agg(title, chr(10) ORDER BY encode(title)), '') || chr(10) || chr(10) || 'Topic label:' AS prompt FROM d WHERE rn <= 50 GROUP BY lang)
+SELECT lang, md5(prompt) AS prompt_md5, CAST(length(prompt) AS INTEGER) AS n_chars FROM p
+"""

@@ -12,6 +12,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,9 +81,32 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     out = spark.read.parquet(path)
     out.scratch_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+#: Tables written within the open scopes, innermost last.
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch_scope() -> Iterator[list[DataFrame]]:
+    """Delete the tables that ``materialize`` writes within the block when it ends, also by an error.
+
+    For jobs whose result stands elsewhere by then; a table that is still to be
+    read is taken off the list that the block is given.
+    """
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.pop()
+        for df in made:
+            discard(df)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table of a ``materialize``d frame that nothing reads any more."""
     path = getattr(df, "scratch_path", None)

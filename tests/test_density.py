@@ -179,3 +179,9 @@ def test_visits_are_pruned_and_the_tree_is_the_same(spark):
     want = full_tree(x, 3)
     assert len(tree) == len(x) - 1 and np.allclose(sorted(e.w for e in tree), sorted(e[2] for e in want))
     assert report and sum(p["visits"] for p in report) < 0.25 * sum(p["all"] for p in report)
+
+
+def test_no_point_and_one_point(spark):
+    schema = "id bigint, v array<double>"
+    assert D.density_clusters(spark.createDataFrame([], schema)).count() == 0
+    assert [tuple(r) for r in D.density_clusters(spark.createDataFrame([(7, [1.0, 2.0])], schema)).collect()] == [(7, -1)]

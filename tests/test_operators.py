@@ -341,3 +341,34 @@ def test_range_join_clamps_wide_rectangles(spark):
     assert sorted((r["view"], r["id"]) for r in got.collect()) == [(1, i) for i in range(100)] + [(2, i) for i in (22, 23, 32, 33)]
     empty = sp.range_join(pts.limit(0), rects, (0.0, 0.0), 1.0)
     assert "view" in empty.columns and empty.count() == 0
+
+
+def test_graph_of_many_points_uses_neighbour_descent(spark, blobs):
+    df, _ = blobs
+    exact = {(r["a"], r["b"]) for r in fuzzy_graph(df, 10, "id", "v", "euclidean").collect()}
+    near = {(r["a"], r["b"]) for r in fuzzy_graph(df, 10, "id", "v", "euclidean", exact_rows=50).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_chunks_outside_a_view_are_not_opened(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, f"t{i}", int(i % 4) - 1, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-5, 5, (400, 2)))]
+    rows += [(1000, "corner", 0, -5.0, -5.0), (1001, "edge", 0, 0.0, 5.0)]
+    df = spark.createDataFrame(rows, "id long, title string, cluster int, x double, y double")
+    out = scratch_dir(spark, "view")
+    sp.write_chunks(df, out)
+    for view in ({"x_min": -1.0, "x_max": 0.5, "y_min": 1.0, "y_max": 2.0}, {"x_min": 20.0, "x_max": 21.0, "y_min": 0.0, "y_max": 1.0}, {"x_min": -50.0, "x_max": 50.0, "y_min": -50.0, "y_max": 50.0}):
+        w, h = (view["x_max"] - view["x_min"]) / 2, (view["y_max"] - view["y_min"]) / 2
+        want = {r[0] for r in rows if r[2] != -1 and view["x_min"] - w <= r[3] <= view["x_max"] + w and view["y_min"] - h <= r[4] <= view["y_max"] + h}
+        got, chunks = sp.chunks_in_view(spark, out, view)
+        assert {r["id"] for r in got.collect()} == want
+        assert chunks["within"] <= chunks["read"] <= chunks["listed"] and (chunks["read"] < chunks["listed"]) == (len(want) < 300)
+
+
+def test_bytes_that_are_not_utf8_are_left_out(spark, tmp_path):
+    from linkloom.operators.ingest import read_posts_csv_tolerant
+    head = b"id,type,by,time_unix,time_iso,title,score,descendants,url,text\n"
+    (tmp_path / "a.csv").write_bytes(head + b'1,story,x,,,"a\xffb\xc3\nline two",5,0,,"\xe2\x82"\n2,story,y,,,"kept \xef\xbf\xbd",6,0,,z\n')
+    (tmp_path / "b.csv").write_bytes(head + '3,story,z,,,"é ""quoted""",7,0,,t\n'.encode())
+    got = {r["id"]: (r["title"], r["score"]) for r in read_posts_csv_tolerant(spark, str(tmp_path)).collect()}
+    assert got == {"1": ("ab\nline two", "5"), "2": ("kept �", "6"), "3": ('é "quoted"', "7")}
