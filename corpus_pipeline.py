@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from linkloom.llm import decontaminate, mixing, quality_rules, records, simhash
 from linkloom.llm.queries import tokenizer_path
-from linkloom.session import materialize
+from linkloom.session import discard, materialize, scratch_scope
 from linkloom.sources.tables import read_table
 
 
@@ -55,8 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result is written and read again, and deleted once the next one is there."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        with scratch_scope() as made:  # what a stage wrote on its way goes with it
+            docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+            made[:] = [df for df in made if df is not docs]
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
