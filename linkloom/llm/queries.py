@@ -218,30 +218,39 @@ FROM judged
 """,
     "op11_phrases": rf"""
 WITH doc AS (
-  SELECT row_number() OVER () AS k, coalesce(lang, '{phrases.NO_LANG}') AS lang, string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]') AS pieces FROM documents
+  SELECT coalesce(lang, '{phrases.NO_LANG}') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents
 ), piece AS (
-  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS p FROM doc)
-), gram AS (
-  SELECT lang, len AS size, w[i:i + len - 1] AS g, CAST(count(*) AS BIGINT) AS f
-  FROM piece, unnest(range(1, {phrases.MAX_WORDS + 1})) AS s(len), unnest(range(1, len(w) - len + 2)) AS t(i) GROUP BY ALL
-), total AS (
-  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM gram WHERE size = 1 GROUP BY lang
+  SELECT row_number() OVER () AS k, lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM doc
+), token AS (
+  SELECT k, lang, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM piece
+), suffix AS (
+  SELECT lang, x AS a1, lead(x, 1) OVER place AS a2, lead(x, 2) OVER place AS a3, lead(x, 3) OVER place AS a4 FROM token WINDOW place AS (PARTITION BY k ORDER BY i)
 ), often AS (
-  SELECT * FROM gram WHERE f >= {phrases.MIN_COUNT}
+  SELECT lang, 1 AS size, a1, NULL AS a2, NULL AS a3, NULL AS a4, count(*) AS f, a1 AS g FROM suffix GROUP BY lang, a1
+  UNION ALL SELECT lang, 2, a1, a2, NULL, NULL, count(*), a1 || ' ' || a2 FROM suffix WHERE a2 IS NOT NULL GROUP BY lang, a1, a2 HAVING count(*) >= {phrases.MIN_COUNT}
+  UNION ALL SELECT lang, 3, a1, a2, a3, NULL, count(*), a1 || ' ' || a2 || ' ' || a3 FROM suffix WHERE a3 IS NOT NULL GROUP BY lang, a1, a2, a3 HAVING count(*) >= {phrases.MIN_COUNT}
+  UNION ALL SELECT lang, 4, a1, a2, a3, a4, count(*), a1 || ' ' || a2 || ' ' || a3 || ' ' || a4 FROM suffix WHERE a4 IS NOT NULL GROUP BY lang, a1, a2, a3, a4 HAVING count(*) >= {phrases.MIN_COUNT}
+), total AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM often WHERE size = 1 GROUP BY lang
 ), around AS (
-  SELECT lang, g[i:i + len - 1] AS g, max(f) AS around
-  FROM often, unnest(range(2, size)) AS s(len), unnest(range(1, size - len + 2)) AS t(i) WHERE size > 2 GROUP BY ALL
+  SELECT lang, g, max(f) AS around FROM (
+    SELECT lang, f, unnest([a1 || ' ' || a2, a2 || ' ' || a3]) AS g FROM often WHERE size = 3
+    UNION ALL SELECT lang, f, unnest([a1 || ' ' || a2, a2 || ' ' || a3, a3 || ' ' || a4, a1 || ' ' || a2 || ' ' || a3, a2 || ' ' || a3 || ' ' || a4]) FROM often WHERE size = 4
+  ) GROUP BY lang, g
 ), own AS (
   SELECT often.* FROM often LEFT JOIN around USING (lang, g)
   WHERE size > 1 AND (around IS NULL OR 100::HUGEINT * around < {phrases.INSIDE_PERCENT}::HUGEINT * f)
 ), cut AS (
-  SELECT own.lang, own.g, own.f AS a, k, first.f AS l, rest.f AS r, CAST(({phrases.SCALE}::HUGEINT * own.f) // (first.f + rest.f) AS BIGINT) AS score
-  FROM own, unnest(range(1, own.size)) AS s(k), often AS first, often AS rest
-  WHERE first.lang = own.lang AND first.g = own.g[1:k] AND rest.lang = own.lang AND rest.g = own.g[k + 1:]
+  SELECT lang, g, f, 1 AS k, a1 AS head, concat_ws(' ', a2, a3, a4) AS rest FROM own
+  UNION ALL SELECT lang, g, f, 2, a1 || ' ' || a2, concat_ws(' ', a3, a4) FROM own WHERE size > 2
+  UNION ALL SELECT lang, g, f, 3, a1 || ' ' || a2 || ' ' || a3, a4 FROM own WHERE size = 4
+), scored AS (
+  SELECT cut.lang, cut.g, cut.f AS a, k, x.f AS l, y.f AS r, CAST(({phrases.SCALE}::HUGEINT * cut.f) // (x.f + y.f) AS BIGINT) AS score
+  FROM cut JOIN often AS x ON x.lang = cut.lang AND x.g = cut.head JOIN often AS y ON y.lang = cut.lang AND y.g = cut.rest
 ), best AS (
-  SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS place, array_to_string(g, ' ') AS phrase FROM cut
+  SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS place FROM scored
 ), ranked AS (
-  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, score FROM best WHERE place = 1
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(g)) AS rank, g AS phrase, a, l, r, score FROM best WHERE place = 1
 )
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= {phrases.KEEP}
 """,
