@@ -110,7 +110,7 @@ def test_registered_layout_runs_all_epochs_and_keeps_neighbours(spark):
 def test_registered_clusters_run_the_whole_job(spark):
     from linkloom.plans import catalogue
 
-    got = {r["vec_id"]: r["cluster"] for r in catalogue.density_clusters(spark, "/root/testdata/sf0.001").collect()}
+    got = {r["id"]: r["cluster"] for r in catalogue.density_clusters(spark, "/root/testdata/sf0.001").collect()}
     assert len(got) == 500 and set(got.values()) <= set(range(-1, 26))
 
 
