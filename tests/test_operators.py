@@ -372,3 +372,49 @@ def test_bytes_that_are_not_utf8_are_left_out(spark, tmp_path):
     (tmp_path / "b.csv").write_bytes(head + '3,story,z,,,"é ""quoted""",7,0,,t\n'.encode())
     got = {r["id"]: (r["title"], r["score"]) for r in read_posts_csv_tolerant(spark, str(tmp_path)).collect()}
     assert got == {"1": ("ab\nline two", "5"), "2": ("kept �", "6"), "3": ('é "quoted"', "7")}
+
+
+def _shuffled_rows(spark, df):
+    """Rows that the operator's largest exchange writes."""
+    seen = df.agg(F.count(F.lit(1)))
+    seen.collect()
+    node, most, todo = None, 0, [seen._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStage"):
+            todo.append(node.plan())
+            continue
+        if name == "Exchange":
+            rows = node.metrics().get("shuffleRecordsWritten")
+            most = max(most, rows.get().value() if rows.isDefined() else 0)
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return most
+
+
+def test_shuffle_of_exact_neighbours_grows_with_the_rows(spark):
+    from linkloom.operators.knn import PARTS, knn_cells
+    n = 3000
+    x = np.random.default_rng(3).normal(size=(n, 24))  # no cell can be left out
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, v array<double>")
+    d = (x * x).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * x @ x.T
+    np.fill_diagonal(d, np.inf)
+    want = np.argsort(d, axis=1)[:, :3]
+    for nn in (knn_cells(df, 3, cell_rows=40, block_rows=20), knn_exact(df, 3, metric="euclidean", block_rows=20)):
+        assert _shuffled_rows(spark, nn) <= (2 * PARTS + 4) * n  # 75 cells and 150 blocks before
+        got = nn.toPandas().sort_values(["id", "rank"])["nbr"].to_numpy().reshape(n, 3)
+        assert (got == want).all()
+
+
+def test_a_hot_cell_and_equal_ids_find_the_same_neighbours(spark):
+    from linkloom.operators.knn import knn_cells
+    x = np.random.default_rng(5).normal(size=(60, 4))
+    rows = [(i, v) for i, v in enumerate(x.tolist())] + [(100 + i, x[7].tolist()) for i in range(300)] + [(3, x[3].tolist()), (3, x[4].tolist())]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    a, b = ([tuple(r) for r in nn.orderBy("id", "rank").select("id", "rank", "nbr", F.round("score", 9)).collect()]
+            for nn in (knn_cells(df, 4, cell_rows=30, block_rows=10), knn_exact(df, 4, metric="euclidean", block_rows=400)))
+    assert a == b and len(a) == 4 * 360
