@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from linkloom.operators.common import sized_broadcast
 from linkloom.operators.graph import components, dense_index
-from linkloom.operators.knn import EXACT_ROWS, knn_cells, knn_exact
+from linkloom.operators.knn import EXACT_ROWS, kept_type, knn_cells, knn_exact
 from linkloom.session import discard, ensure_checkpoint_dir, materialize
 
 MIN_CLUSTER_SIZE = 20
@@ -202,7 +202,8 @@ def spanning_tree(points: DataFrame, min_samples: int = MIN_SAMPLES, k: int | No
     ``report`` receives per round the asking points, the (point, block) pairs
     they visited and the pairs there are.
     """
-    every = points.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    kind = kept_type(points, vec_col)
+    every = points.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("v"))
     pts, hidden = without_copies(every, max(min_samples, k or NEIGHBORS) + 1)
     pairs, core = neighbor_lists(pts, min_samples, k)
     edges = materialize(_weighted(pairs, core), "density-edges")
@@ -234,7 +235,7 @@ def spanning_tree(points: DataFrame, min_samples: int = MIN_SAMPLES, k: int | No
             known = asking.select("comp", F.col("bw").alias("ub")).unionByName(asking.select("v", "core", "comp").mapInPandas(_reachable(cells), "comp bigint, ub double"))
             known = known.groupBy("comp").agg(F.min("ub").alias("bw"))
             visit = asking.drop("bw").join(known, "comp").select("id", "v", "core", "comp", "bw")
-            visit = materialize(visit.mapInPandas(_visits(cells), "id bigint, v array<double>, core double, comp bigint, block bigint"), "density-visits")
+            visit = materialize(visit.mapInPandas(_visits(cells), f"id bigint, v {kind}, core double, comp bigint, block bigint"), "density-visits")
             if report is not None:
                 report.append({"asking": asking.count(), "visits": visit.count(), "all": asking.count() * len(cells.block)})
             lots = materialize(visit.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("lots")), "density-lots")

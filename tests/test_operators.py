@@ -418,3 +418,26 @@ def test_a_hot_cell_and_equal_ids_find_the_same_neighbours(spark):
     a, b = ([tuple(r) for r in nn.orderBy("id", "rank").select("id", "rank", "nbr", F.round("score", 9)).collect()]
             for nn in (knn_cells(df, 4, cell_rows=30, block_rows=10), knn_exact(df, 4, metric="euclidean", block_rows=400)))
     assert a == b and len(a) == 4 * 360
+
+
+def test_hashed_vectors_of_odd_rows(spark):
+    import hashlib
+    import re
+
+    from linkloom.operators.embed import hashed_vectors
+    rows = [(1, "Alpha beta, alpha!"), (1, "gamma"), (2, None), (3, ""), (4, " .,; "), (5, "été 42 " * 3000), (None, "lost"), (None, None), (6, "a")]
+    df = spark.createDataFrame(rows, "id long, title string").repartition(3)
+    got = {}
+    for r in hashed_vectors(df, dim=8).collect():
+        got.setdefault(r["id"], []).append((r["dim"], r["x"]))
+    want = {}
+    for i in {i for i, _ in rows}:
+        v = np.zeros(8)
+        for w in re.findall(r"\w+", " ".join(t or "" for j, t in rows if j == i).lower()) if i is not None else ():
+            h = hashlib.md5(w.encode()).hexdigest()
+            v[int(h[:8], 16) % 8] += 1 if int(h[8], 16) % 2 == 0 else -1
+        v = v / max(np.sqrt((v * v).sum()), 1e-12)
+        want[i] = sorted([(k + 1, x) for k, x in enumerate(v.tolist())] * sum(j == i for j, _ in rows))
+    assert {i: sorted(v) for i, v in got.items()} == want
+    plan = hashed_vectors(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan  # 64 x 64 x 64 steps a row in lambdas before
