@@ -25,6 +25,7 @@ from linkloom.session import scratch_dir
 from linkloom.sources.tables import post_from_item
 
 BATCH_SIZE = 200           # ids per harvest batch
+_LINES_AT_ONCE = 512
 
 
 def id_batches(spark: SparkSession, start_id: int, batch_size: int = BATCH_SIZE) -> DataFrame:
@@ -110,18 +111,27 @@ def read_posts_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_posts_csv_tolerant(spark: SparkSession, path: str) -> DataFrame:
     """SRC7: all-string, permissive read; typed columns are derived afterwards
     with tolerant casts.  Bytes that are not UTF-8 are left out, so a replacement
-    character in the result stood in the file.  Files are read as bytes, and a
-    cleaned copy of each goes to the shared scratch folder for the CSV reader;
-    like any CSV with line breaks in fields, a file is one task's work."""
+    character in the result stood in the file.  Files are read as lines of bytes, any number of
+    tasks to a file, and a cleaned copy of each, its lines in their order, goes to the shared scratch
+    folder for the CSV reader; like any CSV with line breaks in fields, a copy is one
+    task's work, record by record."""
     def clean(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([b.decode("utf-8", "ignore") for b in batch.column(0).to_pylist()], pa.string())], ["value"])
+            for at in range(0, batch.num_rows, _LINES_AT_ONCE):
+                part = batch.slice(at, _LINES_AT_ONCE)
+                text = pa.array([b.decode("utf-8", "ignore") for b in part.column(3).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], text], part.schema.names)
 
     copy = scratch_dir(spark, "utf8-csv")
-    files = spark.read.format("binaryFile").load(path).select("content")
-    files.mapInArrow(clean, "value string").write.option("maxRecordsPerFile", 1).text(copy)  # one file for each, header and all
-    return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    lines = spark.read.option("lineSep", "\n").text(path)  # a line's bytes stay as they are
+    lines = lines.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                         F.monotonically_increasing_id().alias("line"), F.col("value").cast("binary"))
+    lines = lines.mapInArrow(clean, "file long, start long, line long, value string")
+    lines = lines.repartition("file").sortWithinPartitions("file", "start", "line").select("file", "value")
+    lines.write.partitionBy("file").text(copy)  # one file for each, header and all
+    back = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
             .option("mode", "PERMISSIVE").schema(POST_TEXT_SCHEMA).csv(copy))
+    return back.select(*POST_TEXT_SCHEMA.names)
 
 
 def read_embedded_posts(df: DataFrame, dim: int | None = None, id_col: str = "id",

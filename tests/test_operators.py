@@ -441,3 +441,31 @@ def test_hashed_vectors_of_odd_rows(spark):
     assert {i: sorted(v) for i, v in got.items()} == want
     plan = hashed_vectors(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan  # 64 x 64 x 64 steps a row in lambdas before
+
+
+def test_dirty_csv_file_is_cleaned_by_many_tasks_in_small_pieces(spark, tmp_path):
+    from linkloom.operators.ingest import read_posts_csv_tolerant
+    head = b"id,type,by,time_unix,time_iso,title,score,descendants,url,text\n"
+    for name, first in (("a.csv", 0), ("b c=1.csv", 5000)):
+        rows = [b'%d,story,x,,,"l\xffine %d\n\n""second\xe2\x82"" \r\n,third",%d,0,,"\xc0\xaf"\n' % (i, i, i) for i in range(first, first + 5000)]
+        (tmp_path / name).write_bytes(head + b"".join(rows)[:-1])
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        df = read_posts_csv_tolerant(spark, str(tmp_path))
+        copies = len(df.inputFiles())
+        got = [(r["id"], r["title"], r["score"], r["text"]) for r in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert copies == 2 and len(got) == 10_000
+    assert {(i, t.replace("\r\n", "\n"), s, x) for i, t, s, x in got} == {(str(i), f'line {i}\n\n"second" \n,third', str(i), None) for i in range(10_000)}
+
+
+def test_dirty_csv_query_writes_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    from linkloom.plans import catalogue
+    rows = [(i, "x" * 50 + f' "{i}"\n é', "en", "s", i) for i in range(900)] + [(901, None, "en", "s", 2)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(catalogue, "DIRTY_FILE_ROWS", 100, raising=False)
+    df = catalogue.post_csv_dirty(spark, str(tmp_path))
+    assert len(df.inputFiles()) == 9  # two files, whatever their size, before
+    assert sorted((r["id"], r["title"], r["score"]) for r in df.collect()) == [(i, t, n) for i, t, _, _, n in rows if t is not None]
