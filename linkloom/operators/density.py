@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from linkloom.operators.common import sized_broadcast
 from linkloom.operators.graph import components, dense_index
-from linkloom.operators.knn import EXACT_ROWS, kept_type, knn_cells, knn_exact
+from linkloom.operators.knn import kept_type, knn_cells, knn_exact
 from linkloom.session import discard, ensure_checkpoint_dir, materialize
 
 MIN_CLUSTER_SIZE = 20
@@ -49,6 +49,8 @@ NEIGHBORS = 15
 #: Edges merged by one task; its state is a few hundred bytes for each.
 BAND_EDGES = 1_000_000
 BLOCK_ROWS = 4096
+#: Rows above which cells are pruned.
+ALL_PAIRS_ROWS = 20_000
 #: Cells at most; their centres and bounds are handed to every task.
 MAX_CELLS = 1 << 16
 _BAND_TASKS = 16
@@ -61,8 +63,8 @@ def neighbor_lists(points: DataFrame, min_samples: int = MIN_SAMPLES, k: int | N
                    id_col: str = "id", vec_col: str = "v") -> tuple[DataFrame, DataFrame]:
     """((id, nbr, d), (id, core, reach)): neighbours, and per point the core distance and the distance
     beyond which its list says nothing.  Fewer than ``min_samples`` others: the farthest counts.
-    The tree needs exact lists: above EXACT_ROWS points cells are pruned by their distance."""
-    method = knn_exact if points.limit(EXACT_ROWS + 1).count() <= EXACT_ROWS else knn_cells
+    The tree needs exact lists: above ALL_PAIRS_ROWS points cells are pruned by their distance."""
+    method = knn_exact if points.limit(ALL_PAIRS_ROWS + 1).count() <= ALL_PAIRS_ROWS else knn_cells
     nn = method(points, max(min_samples, k or NEIGHBORS), id_col, vec_col, metric="euclidean").withColumn("d", -F.col("score"))
     nn = materialize(nn.select("id", "nbr", "rank", "d"), "density-nn")
     core = nn.filter(F.col("rank") <= min_samples).groupBy("id").agg(F.max("d").alias("core"))
