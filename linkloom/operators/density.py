@@ -12,7 +12,8 @@ Steps
    outside.  Points stand in cells around sampled points; a cell's distance, radius and least core
    distance bound from below what any edge into it weighs, and its farthest
    point bounds the lightest edge from above, so an asking point visits only
-   the cells that may hold a lighter edge than its component knows.  So components of the neighbour graph are linked
+   the cells that may hold a lighter edge than its component knows.  Asking points are dealt to parts, near ones to the
+   same, and a cell's points go once to each part that has a visitor.  So components of the neighbour graph are linked
    by their nearest members, and the tree is that of the full graph.  Copies of
    one point beyond those that lists can show hang on its smallest id by edges of weight 0.
 3. The hierarchy, by sorted merges: the tree's edges are merged in order of weight, in bands of at most
@@ -35,12 +36,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.operators.common import sized_broadcast
 from linkloom.operators.graph import components, dense_index
-from linkloom.operators.knn import kept_type, knn_cells, knn_exact
+from linkloom.operators.knn import PARTS, _near_order, _part_count, _places, kept_type, knn_cells, knn_exact
 from linkloom.session import discard, ensure_checkpoint_dir, materialize
 
 MIN_CLUSTER_SIZE = 20
@@ -90,24 +92,18 @@ def mutual_reachability_edges(points: DataFrame, min_samples: int = MIN_SAMPLES,
 _PAIR = "comp bigint, a bigint, b bigint, w double"
 
 
-def _lightest_out(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """For each component of the asking block its lightest edge to a point of another component in the other block."""
-    none = pd.DataFrame({"comp": np.empty(0, np.int64), "a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "w": np.empty(0)})
-    if left.empty or right.empty:
-        return none
-    x, y = (np.stack(df["v"].to_numpy()).astype(np.float64) for df in (left, right))
+def _lightest_out(ids, x, core, comp, other_ids, y, other_core, other_comp) -> pd.DataFrame:
+    """For each component of the asking points its lightest edge to a point of another component among the others."""
     d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0))
-    w = np.maximum(np.maximum(d, left["core"].to_numpy()[:, None]), right["core"].to_numpy()[None, :])
-    w[left["comp"].to_numpy()[:, None] == right["comp"].to_numpy()[None, :]] = np.inf
+    w = np.maximum(np.maximum(d, core[:, None]), other_core[None, :])
+    w[comp[:, None] == other_comp[None, :]] = np.inf
     # the matrix product is good to a few digits less than a subtraction: weigh the close ones again
     i, j = np.nonzero(w <= w.min(axis=1, keepdims=True) * (1 + 1e-9) + 1e-7)
     keep = np.isfinite(w[i, j])
     i, j = i[keep], j[keep]
     exact = np.sqrt(((x[i] - y[j]) ** 2).sum(1))
-    li, rj = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-    out = pd.DataFrame({"comp": left["comp"].to_numpy()[i], "a": np.minimum(li, rj), "b": np.maximum(li, rj),
-                        "w": np.maximum(np.maximum(exact, left["core"].to_numpy()[i]), right["core"].to_numpy()[j])})
-    return out.sort_values(["comp", "w", "a", "b"]).drop_duplicates("comp") if len(out) else none
+    out = pd.DataFrame({"comp": comp[i], "a": np.minimum(ids[i], other_ids[j]), "b": np.maximum(ids[i], other_ids[j]), "w": np.maximum(np.maximum(exact, core[i]), other_core[j])})
+    return out.sort_values(["comp", "w", "a", "b"]).drop_duplicates("comp")
 
 
 def without_copies(pts: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
@@ -132,6 +128,14 @@ class Cells:
         self.centre = np.array([r["centre"] for r in rows], dtype=np.float64)
         self.radius, self.least, self.most = (np.array([r[c] for r in rows], dtype=np.float64) for c in ("radius", "least", "most"))
         self.low, self.high = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("low", "high"))
+        self.place = {b: i for i, b in enumerate(self.block.tolist())}
+
+    def only(self, block: int) -> Cells:
+        """The one cell of this block."""
+        one, at = Cells([]), self.place[block]
+        for name in ("block", "centre", "radius", "least", "most", "low", "high"):
+            setattr(one, name, getattr(self, name)[at:at + 1])
+        return one
 
     def bounds(self, x: np.ndarray, core: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(least weight of any edge into each cell, greatest weight of the lightest one) of each point; inf where all is its own component."""
@@ -146,7 +150,7 @@ class Cells:
         return low, high
 
 
-_ROWS_AT_ONCE = 1024
+_ROWS_AT_ONCE, _WEIGHTS_AT_ONCE = 1024, 1 << 22
 
 
 def _slices(df: pd.DataFrame):
@@ -167,19 +171,82 @@ def _reachable(cells: Cells):
 
 
 def _visits(cells: Cells):
-    """The asking points under each block that may hold an edge no heavier than the one their component knows of."""
+    """(part, block, n): how many asking points of a part a block may hold an edge for that is no heavier than the one their component knows of."""
 
     def run(batches):
         for df in batches:
-            for part, x, core, comp in _slices(df):
+            for some, x, core, comp in _slices(df):
                 low = cells.bounds(x, core, comp)[0]
-                i, j = np.nonzero(np.isfinite(low) & (low <= part["bw"].to_numpy()[:, None]))
-                out = part[["id", "v", "core", "comp"]].iloc[i]
-                yield out.assign(block=cells.block[j])
+                i, j = np.nonzero(np.isfinite(low) & (low <= some["bw"].to_numpy()[:, None]))
+                visits = pd.DataFrame({"part": some["part"].to_numpy()[i], "block": cells.block[j]})
+                yield visits.groupby(["part", "block"]).size().reset_index(name="n")
 
     return run
 
 
+class _Asking:
+    """A part's asking points and the least weight known of each of their components; candidates come block by block."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, core: np.ndarray, comp: np.ndarray, known: np.ndarray):
+        self.ids, self.x, self.core, self.comp = ids, x, core, comp
+        self.names, self.of = np.unique(comp, return_inverse=True)
+        self.least = np.full(len(self.names), np.inf)
+        np.minimum.at(self.least, self.of, known)
+
+    def offer(self, cell: Cells, ids: np.ndarray, y: np.ndarray, core: np.ndarray, comp: np.ndarray):
+        """Edges to the candidates, all of one cell, that are no heavier than those known."""
+        low = cell.bounds(self.x, self.core, self.comp)[0][:, 0]
+        rows = np.flatnonzero(np.isfinite(low) & (low <= self.least[self.of]))
+        step = max(16, _WEIGHTS_AT_ONCE // len(ids))
+        for at in range(0, len(rows), step):
+            i = rows[at:at + step]
+            out = _lightest_out(self.ids[i], self.x[i], self.core[i], self.comp[i], ids, y, core, comp)
+            of = np.searchsorted(self.names, out["comp"].to_numpy())
+            out, of = out[out["w"].to_numpy() <= self.least[of]], of[out["w"].to_numpy() <= self.least[of]]
+            self.least[of] = out["w"].to_numpy()
+            if len(out):
+                yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+
+
+def _lightest_of_parts(asking: DataFrame, candidates: DataFrame, parts: int, cells: Cells) -> DataFrame:
+    """(comp, a, b, w): edges of which the lightest of a component is that of its asking points to the candidates of their parts.
+
+    ``asking`` (part, block, id, core, comp, bw, v), ``candidates`` (the same
+    without bw).  A task holds the asking points of one part and streams
+    candidates past them, so a vector travels once for each part that needs it.
+    Few parts are held by several tasks each, which share the candidates.
+    """
+    lots = -(-PARTS // parts)
+    lot = F.pmod(F.xxhash64("id"), F.lit(lots))
+    asking = asking.withColumn("part", F.explode(F.sequence(F.col("part") * lots, F.col("part") * lots + (lots - 1))))
+    candidates = candidates.withColumn("part", (F.col("part") * lots + lot).cast("int"))
+    side = lambda df, k, bw: df.select("part", F.lit(k).alias("side"), "block", "id", "core", "comp", bw.alias("bw"), "v")
+    sent = side(asking, 0, F.col("bw")).unionByName(side(candidates, 1, F.lit(0.0)))
+    sent = sent.repartition(2 * parts * lots, "part").sortWithinPartitions("part", "side", "block")
+    given = asking.sparkSession.sparkContext.broadcast(cells)
+
+    def run(batches):
+        part, held, now = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            p, side, block, ids, core, comp, bw = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(7))
+            x = batch.column(7).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(np.float64)
+            cuts = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (side[1:] != side[:-1]) | (block[1:] != block[:-1])])
+            for a, b in zip(cuts, np.r_[cuts[1:], len(ids)], strict=True):
+                if p[a] != part:
+                    part, held, now = p[a], [], None
+                if side[a] == 0:
+                    held.append((ids[a:b], x[a:b], core[a:b], comp[a:b], bw[a:b]))
+                    continue
+                if held:
+                    now, held = _Asking(*(np.concatenate(c) for c in zip(*held, strict=True))), []
+                if now is not None:
+                    yield from now.offer(given.value.only(int(block[a])), ids[a:b], x[a:b], core[a:b], comp[a:b])
+
+    return sent.mapInArrow(run, _PAIR)
+
+
 def cells_of(pts: DataFrame, n: int, block_rows: int) -> DataFrame:
     """(id, v, cell, block, centre): every point in the cell of its nearest sampled point; a cell above ``block_rows`` is cut into blocks."""
     n_cells = min(MAX_CELLS, max(1, -(-2 * n // block_rows)))
@@ -221,41 +288,50 @@ def spanning_tree(points: DataFrame, min_samples: int = MIN_SAMPLES, k: int | No
     comp = materialize(pts.select("id", F.col("id").alias("comp")), "density-comp")
     tree, found = edges.limit(0), 0
     key = F.struct("w", "a", "b")
+    # edges between components only, so each round has fewer of them
+    live = materialize(edges.select("a", "b", "w", F.col("a").alias("ca"), F.col("b").alias("cb")), "density-live")
     while found < n - 1:
-        ca, cb = (comp.select(F.col("id").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
-        out = edges.join(ca, "a").join(cb, "b").filter("ca <> cb")
-        edges_out = out.select(F.col("ca").alias("comp"), key.alias("k")).unionByName(out.select(F.col("cb").alias("comp"), key.alias("k")))
+        edges_out = live.select(F.col("ca").alias("comp"), key.alias("k")).unionByName(live.select(F.col("cb").alias("comp"), key.alias("k")))
         best = materialize(edges_out.groupBy("comp").agg(F.min("k").alias("k")), "density-best")
-        now = pts.join(comp, "id").join(best.select("comp", F.col("k.w").alias("bw")), "comp", "left")
+        now = pts.select("id", "core", "reach").join(comp, "id").join(best.select("comp", F.col("k.w").alias("bw")), "comp", "left")
         # an edge that no list has weighs at least as much as its ends' core distances and list ends
         unsure = now.filter(F.col("bw").isNull() | (F.greatest("core", "reach") <= F.col("bw")))
-        asking = materialize(unsure.select("id", "v", "core", "comp", "bw"), "density-asking")
-        both = best
-        if asking.limit(1).count():
-            held = pts.join(comp, "id").groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+        unsure = materialize(unsure.select("id", "comp", "bw"), "density-unsure")
+        both, used = best, [best, unsure]
+        n_asking = unsure.count()
+        if n_asking:  # vectors travel only now
+            asking = materialize(pts.select("id", "v", "core", "block").join(sized_broadcast(unsure), "id"), "density-asking")
+            held = pts.select("id", "block").join(comp, "id").groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
             cells = Cells(shape.join(held, "block").collect())  # at most about 2 * MAX_CELLS rows
             known = asking.select("comp", F.col("bw").alias("ub")).unionByName(asking.select("v", "core", "comp").mapInPandas(_reachable(cells), "comp bigint, ub double"))
             known = known.groupBy("comp").agg(F.min("ub").alias("bw"))
-            visit = asking.drop("bw").join(known, "comp").select("id", "v", "core", "comp", "bw")
-            visit = materialize(visit.mapInPandas(_visits(cells), f"id bigint, v {kind}, core double, comp bigint, block bigint"), "density-visits")
+            sizes = {cells.place[r["block"]]: r["count"] for r in asking.groupBy("block").count().collect()}  # one row a cell
+            places, parts = _places(_near_order(cells.centre), sizes, -(-n_asking // _part_count(pts, n_asking, block_rows)))
+            place = sized_broadcast(points.sparkSession.createDataFrame([(int(cells.block[c]), first, many) for c, first, many in places], "block bigint, first int, many int"))
+            part = (F.col("first") + F.pmod(F.xxhash64("id"), F.col("many"))).cast("int").alias("part")
+            dealt = materialize(asking.drop("bw").join(known, "comp").join(place, "block").select(part, "block", "id", "core", "comp", "bw", "v"), "density-dealt")
+            need = dealt.select("part", "v", "core", "comp", "bw").mapInPandas(_visits(cells), "part int, block bigint, n bigint")
+            need = materialize(need.groupBy("part", "block").agg(F.sum("n").alias("n")), "density-visits")
             if report is not None:
-                report.append({"asking": asking.count(), "visits": visit.count(), "all": asking.count() * len(cells.block)})
-            lots = materialize(visit.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("lots")), "density-lots")
-            left = visit.join(lots, "block").withColumn("lot", F.pmod(F.xxhash64("id"), F.col("lots")).cast("int")).drop("lots")
-            right = pts.join(comp, "id").join(lots, "block").select("id", "v", "core", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
-            more = left.groupBy("block", "lot").cogroup(right.groupBy("block", "lot")).applyInPandas(_lightest_out, _PAIR)
+                report.append({"asking": n_asking, "visits": need.agg(F.sum("n")).first()[0], "all": n_asking * len(cells.block)})
+            open_ = pts.select("id", "v", "core", "block").join(sized_broadcast(need.select("block").distinct()), "block").join(comp, "id")
+            more = _lightest_of_parts(dealt, open_.join(sized_broadcast(need.select("part", "block")), "block"), parts, cells)
             both = best.unionByName(more.select("comp", key.alias("k")))
+            used += [asking, dealt, need]
         picked = materialize(both.groupBy("comp").agg(F.min("k").alias("k")).select("k.a", "k.b", "k.w").distinct(), "density-picked")
-        for done in (best, asking, *((visit, lots) if both is not best else ())):
-            discard(done)
         found += picked.count()
         grown = materialize(tree.unionByName(picked), "density-tree")
+        ca, cb = (comp.select(F.col("id").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
         joined = picked.join(ca, "a").join(cb, "b").select(F.col("ca").alias("src"), F.col("cb").alias("dst"))
-        merged = components(joined).select(F.col("v").alias("comp"), F.col("comp").alias("new"))
+        merged = materialize(components(joined).select(F.col("v").alias("comp"), F.col("comp").alias("new")), "density-merged")
         later = materialize(comp.join(merged, "comp", "left").select("id", F.coalesce("new", "comp").alias("comp")), "density-comp")
-        discard(tree)
-        discard(comp)
-        tree, comp = grown, later
+        fewer = live
+        for end in ("ca", "cb"):
+            fewer = fewer.join(merged.select(F.col("comp").alias(end), "new"), end, "left").withColumn(end, F.coalesce("new", end)).drop("new")
+        fewer = materialize(fewer.filter("ca <> cb"), "density-live")
+        for done in (*used, live, merged, tree, comp):
+            discard(done)
+        tree, comp, live = grown, later, fewer
     return tree.unionByName(hidden)
 
 
