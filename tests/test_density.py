@@ -185,3 +185,23 @@ def test_no_point_and_one_point(spark):
     schema = "id bigint, v array<double>"
     assert D.density_clusters(spark.createDataFrame([], schema)).count() == 0
     assert [tuple(r) for r in D.density_clusters(spark.createDataFrame([(7, [1.0, 2.0])], schema)).collect()] == [(7, -1)]
+
+
+def test_streamed_cells_give_every_components_lightest_edge():
+    r = np.random.default_rng(4)
+    x, y = r.normal(0, 1, (40, 3)), r.normal(0.5, 1, (30, 3))
+    core, other_core = r.uniform(0, 1, 40), r.uniform(0, 1, 30)
+    comp, other_comp = r.integers(0, 6, 40), r.integers(0, 6, 30)
+    centre = y.mean(0)
+    shape = {"block": 9, "centre": centre, "radius": np.sqrt(((y - centre) ** 2).sum(1)).max(), "least": other_core.min(), "most": other_core.max(),
+             "low": other_comp.min(), "high": other_comp.max()}
+    asking = D._Asking(np.arange(40), x, core, comp, np.full(40, np.inf))
+    cell, got = D.Cells([shape]).only(9), {}
+    for at in range(0, 30, 7):  # batches in any number
+        for b in asking.offer(cell, 100 + np.arange(30)[at:at + 7], y[at:at + 7], other_core[at:at + 7], other_comp[at:at + 7]):
+            for e in b.to_pylist():
+                got[e["comp"]] = min(got.get(e["comp"], (np.inf,)), (e["w"], e["a"], e["b"]))
+    w = np.maximum(np.maximum(np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1)), core[:, None]), other_core[None])
+    want = {c: min((w[i, j], i, 100 + j) for i in np.flatnonzero(comp == c) for j in range(30) if other_comp[j] != c) for c in np.unique(comp)}
+    assert {c: e[1:] for c, e in got.items()} == {c: e[1:] for c, e in want.items()}
+    assert np.allclose([got[c][0] for c in sorted(got)], [want[c][0] for c in sorted(want)])
