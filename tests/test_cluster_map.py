@@ -140,3 +140,20 @@ def test_layout_blocks_exchange_what_edges_need(spark):
                 g += np.clip(1.8 / ((0.001 + d2) * (1.5 * d2 ** 0.9 + 1)) * diff, -4, 4) / 2
         want[i] += 0.5 * np.clip(g, -4, 4)
     assert np.allclose(got, want)
+
+
+def test_exchanges_of_the_layout_shuffle_positions_only(spark, monkeypatch):
+    from linkloom.operators import layout as lo
+
+    plans, write = [], lo.materialize
+
+    def seen(df, name="step"):
+        if name == "layout-exchange":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(lo, "materialize", seen)
+    p = spark.createDataFrame([(i, [float(i % 7), float(i // 7)]) for i in range(49)], "id bigint, v array<double>")
+    e = spark.createDataFrame([(i, i + 1, 1.0) for i in range(48)], "a bigint, b bigint, w double")
+    assert lo.layout(p, e, "v", 2, 0.1, n_epochs=2, exchange_epochs=1).count() == 49
+    assert len(plans) == 3 and all(plan.count("ENSURE_REQUIREMENTS") == 1 for plan in plans[1:])
