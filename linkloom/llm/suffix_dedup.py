@@ -16,7 +16,8 @@ one byte is nothing else -- are sent once, with the places where the others
 stand as evenly spaced rows of places; a text longer than a block is cut piece by
 piece of the block's size, strings across a cut belonging to the piece in which they start; pieces whose minimizer, with the bytes on
 either side that a shared string would need, no other document of the bucket
-has cannot match and are not sorted.  Runs of bytes that very
+has cannot match and are not sorted; of a bucket's equal pieces only those of the smallest
+doc_id are sorted, the others are removed as they are.  Runs of bytes that very
 many documents hold (counted on a sample of documents, which decides only where
 strings go) don't become minimizers, so no bucket gathers them; strings that
 have no other runs are dealt out one by one by their own hash.
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm import suffix_array as sa
 from linkloom.llm.sampling import few_rows
-from linkloom.llm.textblocks import BYTE_CODE, BYTE_POWERS, Block, blocks, kgram_hashes, mix64, prefix_hashes, span_hashes
+from linkloom.llm.textblocks import BYTE_CODE, BYTE_POWERS, Block, blocks, equal_codes, kgram_hashes, mix64, prefix_hashes, span_hashes
 
 LENGTH, RUN = 50, 10
 #: Text worked on at once when pieces are cut, text of a bucket, and text of a shard.
@@ -291,14 +292,24 @@ def bucket_repeats(blobs: list[bytes], length: int = LENGTH, run: int = RUN, sha
     lead = np.cumsum([0, *(len(p[0]) for p in parts)])
     rows = np.concatenate([p[6] + np.array([n, 0, 0, 0]) for p, n in zip(parts, lead, strict=False)])
     ids, tag, start, count, offset, text = (np.concatenate(p) for p in list(zip(*parts, strict=True))[:6])
-    size = count + length - 1
+    size, offset = count + length - 1, offset.astype(np.int64)
     at = np.cumsum(size) - size
-    good = np.flatnonzero(_candidates(text, ids, at, size, offset.astype(np.int64), length, run))
+    good = np.flatnonzero(_candidates(text, ids, at, size, offset, length, run))
     if not len(good):
         return (np.empty(0, np.int64),) * 4
-    text, ids, tag, start, count, size = _gather(text, at[good], size[good]), ids[good], tag[good], start[good], count[good], size[good]
-    rows = rows[np.isin(rows[:, 0], good)]
-    rows = np.column_stack([np.searchsorted(good, rows[:, 0]), rows[:, 1:]])
+    text, ids, tag, start, count, size, offset, rows = _only(good, text, ids, tag, start, count, size, offset, rows)
+    # equal pieces: those of the smallest doc_id are sorted, the others are removed as they are
+    copy = np.flatnonzero(_copies(text, ids, size))
+    piece, lo, hi = _at_all_places(copy, start, np.zeros(len(copy), np.int64), size[copy], rows)
+    out = [(ids[piece], tag[piece], lo, hi)]
+    good = np.ones(len(ids), dtype=bool)
+    good[copy] = False
+    good = np.flatnonzero(good)
+    at = np.cumsum(size) - size
+    good = good[_candidates(text, ids[good], at[good], size[good], offset[good], length, run)]
+    if not len(good):
+        return merged_intervals(*out[0])
+    text, ids, tag, start, count, size, offset, rows = _only(good, text, ids, tag, start, count, size, offset, rows)
     at = np.cumsum(size) - size
     shards = []
     cuts = np.flatnonzero(np.diff((at + size - 1) // shard_bytes)) + 1
@@ -316,7 +327,6 @@ def bucket_repeats(blobs: list[bytes], length: int = LENGTH, run: int = RUN, sha
             all_strings, all_least = sa.merge_smallest(all_strings, all_least, s, x[-1])
         for s, x in zip(strings, shards, strict=True):
             x[-1] = all_least[np.searchsorted(all_strings, s)]
-    out = []
     for _, _, begins, of, order, opens, least in shards:
         gone = np.empty(len(order), dtype=bool)
         gone[order] = ids[of[order]] > np.repeat(least, np.diff(np.append(opens, len(order))))
@@ -332,6 +342,21 @@ def bucket_repeats(blobs: list[bytes], length: int = LENGTH, run: int = RUN, sha
     return merged_intervals(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
 
+def _only(good: np.ndarray, text, ids, tag, start, count, size, offset, rows) -> tuple[np.ndarray, ...]:
+    """Some of a bucket's pieces, with their text and their further places."""
+    rows = rows[np.isin(rows[:, 0], good)]
+    rows = np.column_stack([np.searchsorted(good, rows[:, 0]), rows[:, 1:]])
+    return _gather(text, (np.cumsum(size) - size)[good], size[good]), ids[good], tag[good], start[good], count[good], size[good], offset[good], rows
+
+
+def _copies(text: np.ndarray, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a piece of a smaller doc_id holds the same bytes; the pieces' texts stand one after the other."""
+    code = equal_codes(text, size)
+    least = np.full(int(code.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, code, ids)
+    return ids > least[code]
+
+
 def _candidates(text: np.ndarray, ids: np.ndarray, at: np.ndarray, size: np.ndarray, offset: np.ndarray, length: int, run: int) -> np.ndarray:
     """Pieces that may share a string with another doc_id.
 

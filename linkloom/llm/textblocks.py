@@ -141,9 +141,13 @@ def spans_index(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def span_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A number for each span, the same for those of equal bytes only."""
     sizes = ends - starts
+    return equal_codes(data[spans_index(starts, sizes)], sizes)
+
+
+def equal_codes(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A number for each of the spans that stand one after the other, the same for those of equal bytes only."""
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    text = data[spans_index(starts, sizes)].tobytes()
-    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(text)])
+    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
     return spans.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 

@@ -73,6 +73,28 @@ def test_buckets_shards_and_blocks_find_every_repeat(common):
         assert all((a == b).all() for a, b in zip(got, covered(docs, length), strict=True))
 
 
+def test_copies_of_a_piece_are_not_sorted(monkeypatch):
+    """Equal pieces of many blocks: all but those of the smallest doc_id go as they are; rows of one doc_id keep theirs."""
+    rng = np.random.default_rng(8)
+    shared = rng.integers(97, 123, 3000).astype(np.uint8).tobytes()
+    docs = [(i, bytes([48 + i]) * 9 + shared) for i in (4, 2, 2, 7, 5, 9)] + [(8, shared[40:100] + b"0123456789" * 6)]
+    buckets, out, sorted_bytes, classes = {}, [], [], A.classes
+    for tag, (i, t) in enumerate(docs):
+        block = T.Block(0, np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+        rows, now = D.block_pieces(block, np.array([i]), np.array([tag]), np.array([True]), np.empty(0, np.uint64), 3)
+        out.append(now)
+        for k, x in rows:
+            buckets.setdefault(k, []).append(x)
+    monkeypatch.setattr(A, "classes", lambda text, *rest: sorted_bytes.append(len(text)) or classes(text, *rest))
+    out += [D.bucket_repeats(x) for x in buckets.values()]
+    got = [np.zeros(len(t), bool) for _, t in docs]
+    for part in out:
+        for _, tag, start, end in zip(*part, strict=True):
+            got[tag][start:end] = True
+    assert all((a == b).all() for a, b in zip(got, covered(docs, 50), strict=True)) and got[0].sum() == 3000 and not got[1].any()
+    assert 0 < sum(sorted_bytes) < 3000  # the pieces at the ends of what is shared
+
+
 COLS = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
