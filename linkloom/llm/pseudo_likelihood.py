@@ -48,6 +48,10 @@ LEAST_KNOWN, RARE = VOCABULARY - SHARED - 1, 8
 #: Added to the count of each pair of bytes.
 SMOOTH = 0.5
 BATCH, SCORE_BATCH, RATE, SEED = 4096, 16384, 0.01, 11
+#: Words of neighbouring classes whose softmaxes are taken at once; they fit a core's cache.
+TOGETHER = 512
+#: Parameters of a large array that are moved at once, for the same reason.
+VALUES_AT_ONCE = 1 << 14
 WARM_DOCS, WARM_BYTES, WARM_PASSES = 512, 1 << 16, 2
 #: Exponents up to this size need no care in 32 bits.
 MAX_EXPONENT = 80.0
@@ -177,11 +181,22 @@ class Network:
 
     def _hidden(self, context: np.ndarray) -> np.ndarray:
         table = self.p["context"]
-        x = self.p["bias"] + table[0][context[:, 0]]
+        x = table[0].take(context[:, 0], axis=0)
+        x += self.p["bias"]
         for o in range(1, context.shape[1]):
-            x += table[o][context[:, o]]
+            x += table[o].take(context[:, o], axis=0)
         return np.tanh(x, out=x)
 
+    def _within(self, h: np.ndarray, cuts: list[tuple[int, int, int]]) -> np.ndarray:
+        """Exponents of the words of each row's class, for the rows of some neighbouring cuts."""
+        first, weights, bias = cuts[0][1], self.p["word"], self.p["word_bias"]
+        z = np.empty((cuts[-1][2] - first, weights.shape[2]), h.dtype)
+        for c, lo, hi in cuts:
+            rows = z[lo - first:hi - first]
+            np.matmul(h[lo:hi], weights[c], out=rows)
+            rows += bias[c]
+        return z
+
     def _small(self) -> bool:
         """Whether no exponent of any context can overflow, so softmaxes needn't look for their greatest one."""
         reach = lambda w, b: float(np.abs(self.p[w]).max()) * VECTOR + float(np.abs(self.p[b]).max())
@@ -191,13 +206,16 @@ class Network:
         """Log-probability of each number given its context."""
         p, h, small = self.p, self._hidden(context), self._small()
         kind, place = np.divmod(number, p["word"].shape[2])
-        out = _log_softmax(h @ p["class"] + p["class_bias"], kind, small)
+        out = np.empty(len(number))
+        for lo in range(0, len(number), TOGETHER):
+            z = h[lo:lo + TOGETHER] @ p["class"]
+            z += p["class_bias"]
+            out[lo:lo + TOGETHER] = _log_softmax(z, kind[lo:lo + TOGETHER], small)
         order, cuts = _by_class(kind, len(p["word"]))
-        h, place, within = h[order], place[order], np.empty(len(order))
-        for c, lo, hi in cuts:
-            z = h[lo:hi] @ p["word"][c]
-            z += p["word_bias"][c]
-            within[lo:hi] = _log_softmax(z, place[lo:hi], small)
+        h, place, within = h.take(order, axis=0), place[order], np.empty(len(order))
+        for some in _together(cuts):
+            lo, hi = some[0][1], some[-1][2]
+            within[lo:hi] = _log_softmax(self._within(h, some), place[lo:hi], small)
         out[order] += within
         return out
 
@@ -206,20 +224,27 @@ class Network:
         p, h, n, small = self.p, self._hidden(context), np.float32(len(number)), self._small()
         kind, place = np.divmod(number, p["word"].shape[2])
         order, cuts = _by_class(kind, len(p["word"]))
-        h, kind, place, context = h[order], kind[order], place[order], context[order]
-        z = h @ p["class"]
-        z += p["class_bias"]
-        d = _softmax_error(z, kind, small)
+        h, kind, place, context = h.take(order, axis=0), kind[order], place[order], context.take(order, axis=0)
+        d = h @ p["class"]
+        for lo in range(0, len(d), TOGETHER):
+            z = d[lo:lo + TOGETHER]
+            z += p["class_bias"]
+            _softmax_error(z, kind[lo:lo + TOGETHER], small)
         dh, class_step, class_bias = d @ p["class"].T, h.T @ d, d.sum(axis=0)
         seen = np.array([c for c, _, _ in cuts])
         word, word_bias = (np.empty((len(seen), *p[k].shape[1:]), p[k].dtype) for k in ("word", "word_bias"))
-        for i, (c, lo, hi) in enumerate(cuts):
-            z = h[lo:hi] @ p["word"][c]
-            z += p["word_bias"][c]
-            d = _softmax_error(z, place[lo:hi], small)
-            np.matmul(h[lo:hi].T, d, out=word[i])
-            d.sum(axis=0, out=word_bias[i])
-            dh[lo:hi] += d @ p["word"][c].T
+        back = np.empty_like(dh)
+        i = 0
+        for some in _together(cuts):
+            first, end = some[0][1], some[-1][2]
+            error = _softmax_error(self._within(h, some), place[first:end], small)
+            for c, lo, hi in some:
+                d = error[lo - first:hi - first]
+                np.matmul(h[lo:hi].T, d, out=word[i])
+                np.add.reduce(d, axis=0, out=word_bias[i])
+                np.matmul(d, p["word"][c].T, out=back[lo:hi])
+                i += 1
+        dh += back
         yield "class", ..., class_step / n
         yield "class_bias", ..., class_bias / n
         word /= n
@@ -233,7 +258,7 @@ class Network:
             order = np.argsort(context[:, o], kind="stable")
             ids = context[order, o]
             opens = np.flatnonzero(np.diff(ids, prepend=-1))
-            yield "context", (o, ids[opens]), np.add.reduceat(dx[order], opens, axis=0)
+            yield "context", (o, ids[opens]), np.add.reduceat(dx.take(order, axis=0), opens, axis=0)
 
     def gradients(self, number: np.ndarray, context: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the mean negative log-probability."""
@@ -250,19 +275,36 @@ def _by_class(kind: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[in
     return order, [(c, lo, hi) for c, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
 
 
+def _together(cuts: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
+    """Neighbouring cuts of about TOGETHER rows, whose softmaxes are taken at once."""
+    some: list[tuple[int, int, int]] = []
+    for cut in cuts:
+        if some and cut[2] - some[0][1] > TOGETHER:
+            yield some
+            some = []
+        some.append(cut)
+    if some:
+        yield some
+
+
+def _picked(z: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """Places of one value of each row in the flat values."""
+    return np.arange(0, z.size, z.shape[1]) + pick
+
+
 def _log_softmax(z: np.ndarray, pick: np.ndarray, small: bool) -> np.ndarray:
     if not small:
         z -= z.max(axis=1, keepdims=True)
-    chosen = z[np.arange(len(z)), pick]
-    return chosen.astype(np.float64) - np.log(np.exp(z, out=z).sum(axis=1))
+    chosen = z.reshape(-1).take(_picked(z, pick))
+    return chosen.astype(np.float64) - np.log(np.add.reduce(np.exp(z, out=z), axis=1))
 
 
 def _softmax_error(z: np.ndarray, pick: np.ndarray, small: bool) -> np.ndarray:
     if not small:
         z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    z[np.arange(len(z)), pick] -= 1
+    z /= np.add.reduce(z, axis=1, keepdims=True)
+    z.reshape(-1)[_picked(z, pick)] -= 1
     return z
 
 
@@ -280,20 +322,31 @@ class Trainer:
             self.words += len(number[lo:lo + BATCH])
             fix = np.float32((1 - 0.999**self.t) ** 0.5 / (1 - 0.9**self.t) * RATE / (1 + self.t / 500) ** 0.5)
             for k, at, g in self.net.steps(number[lo:lo + BATCH], context[lo:lo + BATCH]):
-                m, v = self.m[k][at], self.v[k][at]
-                m *= np.float32(0.9)
-                m += np.float32(0.1) * g
-                v *= np.float32(0.999)
-                g *= g
-                g *= np.float32(0.001)
-                v += g
-                if at is not ...:  # what is picked by number is a copy
-                    self.m[k][at], self.v[k][at] = m, v
-                np.sqrt(v, out=g)
-                g += np.float32(1e-7)
-                np.divide(m, g, out=g)
-                g *= fix
-                self.net.p[k][at] -= g
+                if at is ...:
+                    rows = max(1, VALUES_AT_ONCE * len(g) // g.size)
+                    for first in range(0, len(g), rows):
+                        part = slice(first, first + rows)
+                        self.net.p[k][part] -= self._moved(self.m[k][part], self.v[k][part], g[part], fix)
+                else:
+                    m, v = self.m[k][at], self.v[k][at]
+                    step = self._moved(m, v, g, fix)
+                    self.m[k][at], self.v[k][at] = m, v  # what is picked by number is a copy
+                    self.net.p[k][at] -= step
+
+    @staticmethod
+    def _moved(m: np.ndarray, v: np.ndarray, g: np.ndarray, fix: np.float32) -> np.ndarray:
+        """Both moments take in the gradient, in place, and it becomes the step."""
+        m *= np.float32(0.9)
+        m += np.float32(0.1) * g
+        v *= np.float32(0.999)
+        g *= g
+        g *= np.float32(0.001)
+        v += g
+        np.sqrt(v, out=g)
+        g += np.float32(1e-7)
+        np.divide(m, g, out=g)
+        g *= fix
+        return g
 
 
 def word_counts(docs: DataFrame) -> DataFrame:

@@ -173,3 +173,26 @@ def test_rare_words_are_spelt(spark):
     letters = np.exp(net.spelling.log_probs(found, np.arange(len(found.starts))))
     outside = (net.spelling.counts[:256] + P.SMOOTH) / (net.spelling.counts[:256] + P.SMOOTH).sum()
     assert abs(letters.sum() + outside.sum() - outside[[*range(48, 58), *range(97, 123)]].sum() - 1) < 1e-9
+
+
+def test_softmaxes_are_taken_on_rows_that_fit_a_cache(monkeypatch):
+    """No softmax sees more than TOGETHER words of several classes, and how many are taken at once changes nothing."""
+    rng = np.random.default_rng(6)
+    number, context = rng.permutation(np.arange(4000) % 512), rng.integers(0, 512, (4000, 2 * P.SIDE))
+    net, seen = P.Network.fresh(), []
+    for name in ("_log_softmax", "_softmax_error"):
+        monkeypatch.setattr(P, name, lambda z, *rest, f=getattr(P, name): seen.append(z.shape) or f(z, *rest))
+    scores, steps = net.log_probs(number, context), net.gradients(number, context)
+    assert len(seen) < 40 and max(rows for rows, _ in seen) <= P.TOGETHER
+    for rows in (1, 10_000):
+        monkeypatch.setattr(P, "TOGETHER", rows)
+        assert np.allclose(net.log_probs(number, context), scores, rtol=1e-6)
+        again = net.gradients(number, context)
+        assert all(np.allclose(again[k], steps[k], atol=1e-7) for k in steps)
+    trained = []
+    for values in (8, 1 << 20):
+        monkeypatch.setattr(P, "VALUES_AT_ONCE", values)
+        trainer = P.Trainer(P.Network.fresh())
+        trainer.see(number, context)
+        trained.append(trainer.net.flat())
+    assert (trained[0] == trained[1]).all()
