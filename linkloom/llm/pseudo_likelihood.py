@@ -206,9 +206,9 @@ class Network:
         """Log-probability of each number given its context."""
         p, h, small = self.p, self._hidden(context), self._small()
         kind, place = np.divmod(number, p["word"].shape[2])
-        out = np.empty(len(number))
+        out, every = np.empty(len(number)), h @ p["class"]
         for lo in range(0, len(number), TOGETHER):
-            z = h[lo:lo + TOGETHER] @ p["class"]
+            z = every[lo:lo + TOGETHER]
             z += p["class_bias"]
             out[lo:lo + TOGETHER] = _log_softmax(z, kind[lo:lo + TOGETHER], small)
         order, cuts = _by_class(kind, len(p["word"]))
