@@ -1,10 +1,14 @@
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 
 from llm_helpers import by_id, prose
 from linkloom.llm import mixing as M
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -87,3 +91,25 @@ def test_odd_rows_and_taken_documents(odd_docs, odd_rows, no_docs):
     assert sum(size(r.text) for r in taken.collect()) == sum(r.taken for r in mixed)
     assert by_id(M.mix(odd_docs), "doc_id", "size", "taken") == by_id(M.mix(odd_docs.repartition(7)), "doc_id", "size", "taken")
     assert M.mix(no_docs).count() == 0 and M.take(no_docs).count() == 0
+
+
+def test_words_are_counted_between_any_blanks(spark):
+    rng = random.Random(8)
+    odd = [None, "", " ", "\t\n\v\f\r ", "one", " one", "one ", "a  b", "a\t\tb", "a \t b\n\n\nc", "\x00 \x00", "a\u00a0b\u2028c\x85d\x1ce", "é 日本 😀😀 \n😀", " " * 999 + "x" + "\n " * 999]
+    odd += ["".join(rng.choice(" \t\n\v\f\rab\x00\x08\x0eé😀") for _ in range(rng.randrange(60))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(odd)), "doc_id bigint, text string").select("doc_id", M.n_words(F.col("text")).alias("n")).collect()
+    assert {r.doc_id: r.n for r in rows} == {i: None if t is None else size(t) for i, t in enumerate(odd)}
+
+
+LONG_TEXT = """
+from linkloom.llm.mixing import sized
+from linkloom.session import build_session
+spark = build_session("local[1]", 2)
+print("words", sized(spark.sql("SELECT 1L doc_id, 'a' source, repeat('a ', 10000000) text")).first().size)
+"""
+
+
+def test_a_long_text_is_counted_in_few_times_its_memory():
+    env = os.environ | {"LINKLOOM_DRIVER_MEMORY": "600m", "PYTHONPATH": os.path.dirname(os.path.dirname(M.__file__)) + "/.."}
+    run = subprocess.run([sys.executable, "-c", LONG_TEXT], env=env, capture_output=True, text=True, timeout=150)
+    assert "words 10000000" in run.stdout, run.stderr[-2000:]
