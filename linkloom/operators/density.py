@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from linkloom.operators.common import sized_broadcast
 from linkloom.operators.graph import components, dense_index
-from linkloom.operators.knn import PARTS, _near_order, _part_count, _places, kept_type, knn_cells, knn_exact
+from linkloom.operators.knn import _PAIRS_AT_ONCE, _TILE_SHARE, PARTS, Products, Tiles, _near_order, _part_count, _places, kept_type, knn_cells, knn_exact
 from linkloom.session import discard, ensure_checkpoint_dir, materialize
 
 MIN_CLUSTER_SIZE = 20
@@ -92,20 +92,6 @@ def mutual_reachability_edges(points: DataFrame, min_samples: int = MIN_SAMPLES,
 _PAIR = "comp bigint, a bigint, b bigint, w double"
 
 
-def _lightest_out(ids, x, core, comp, other_ids, y, other_core, other_comp) -> pd.DataFrame:
-    """For each component of the asking points its lightest edge to a point of another component among the others."""
-    d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0))
-    w = np.maximum(np.maximum(d, core[:, None]), other_core[None, :])
-    w[comp[:, None] == other_comp[None, :]] = np.inf
-    # the matrix product is good to a few digits less than a subtraction: weigh the close ones again
-    i, j = np.nonzero(w <= w.min(axis=1, keepdims=True) * (1 + 1e-9) + 1e-7)
-    keep = np.isfinite(w[i, j])
-    i, j = i[keep], j[keep]
-    exact = np.sqrt(((x[i] - y[j]) ** 2).sum(1))
-    out = pd.DataFrame({"comp": comp[i], "a": np.minimum(ids[i], other_ids[j]), "b": np.maximum(ids[i], other_ids[j]), "w": np.maximum(np.maximum(exact, core[i]), other_core[j])})
-    return out.sort_values(["comp", "w", "a", "b"]).drop_duplicates("comp")
-
-
 def without_copies(pts: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
     """((id, v) with the ``keep`` smallest ids of equal points, weight-0 edges (a, b, w) from the smallest id to all others)."""
     many = pts.groupBy("v").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > keep).select("v", "first")
@@ -150,7 +136,7 @@ class Cells:
         return low, high
 
 
-_ROWS_AT_ONCE, _WEIGHTS_AT_ONCE = 1024, 1 << 22
+_ROWS_AT_ONCE = 1024
 
 
 def _slices(df: pd.DataFrame):
@@ -185,27 +171,74 @@ def _visits(cells: Cells):
 
 
 class _Asking:
-    """A part's asking points and the least weight known of each of their components; candidates come block by block."""
+    """A part's asking points and the least weight known of each of their components; candidates come block by block.
+
+    Products in single precision leave out what is too far for a lighter edge,
+    by more than they can err; the other pairs are weighed exactly.
+    """
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, core: np.ndarray, comp: np.ndarray, known: np.ndarray):
         self.ids, self.x, self.core, self.comp = ids, x, core, comp
         self.names, self.of = np.unique(comp, return_inverse=True)
         self.least = np.full(len(self.names), np.inf)
         np.minimum.at(self.least, self.of, known)
+        self.products, self.tiles = Products(x, True), Tiles()
 
     def offer(self, cell: Cells, ids: np.ndarray, y: np.ndarray, core: np.ndarray, comp: np.ndarray):
         """Edges to the candidates, all of one cell, that are no heavier than those known."""
         low = cell.bounds(self.x, self.core, self.comp)[0][:, 0]
         rows = np.flatnonzero(np.isfinite(low) & (low <= self.least[self.of]))
-        step = max(16, _WEIGHTS_AT_ONCE // len(ids))
-        for at in range(0, len(rows), step):
-            i = rows[at:at + step]
-            out = _lightest_out(self.ids[i], self.x[i], self.core[i], self.comp[i], ids, y, core, comp)
-            of = np.searchsorted(self.names, out["comp"].to_numpy())
-            out, of = out[out["w"].to_numpy() <= self.least[of]], of[out["w"].to_numpy() <= self.least[of]]
-            self.least[of] = out["w"].to_numpy()
-            if len(out):
-                yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+        if not len(rows):
+            return
+        light = core <= self.least[self.of[rows]].max()
+        if not light.all():
+            ids, y, core, comp = ids[light], y[light], core[light], comp[light]
+        right, y2 = self.products.right(y)
+        found = []
+        for at in range(0, len(ids), self.tiles.candidates):
+            some = slice(at, at + self.tiles.candidates)
+            here = {t: r[some] for t, r in right.items()}
+            for lo in range(0, len(rows), self.tiles.rows):
+                i, j = self._near(rows[lo:lo + self.tiles.rows], here, y2[some].max())
+                other = self.comp[i] != comp[some][j]
+                i, j = i[other], j[other] + at
+                w = np.maximum(self.core[i], core[j])
+                near = w <= self.least[self.of[i]]
+                i, j, w = i[near], j[near], w[near]
+                for part in range(0, len(i), _PAIRS_AT_ONCE):
+                    of = slice(part, part + _PAIRS_AT_ONCE)
+                    w[of] = np.maximum(np.sqrt(((self.x[i[of]] - y[j[of]]) ** 2).sum(1)), w[of])
+                light = w <= self.least[self.of[i]]
+                if light.any():
+                    i, j, w = i[light], j[light], w[light]
+                    found.append(self._lightest(self.of[i], np.minimum(self.ids[i], ids[j]), np.maximum(self.ids[i], ids[j]), w))
+                    np.minimum.at(self.least, found[-1][0], found[-1][3])
+        if found:
+            of, a, b, w = self._lightest(*(np.concatenate(c) for c in zip(*found, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(self.names[of]), pa.array(a), pa.array(b), pa.array(w)], ["comp", "a", "b", "w"])
+
+    def _near(self, rows: np.ndarray, right: dict, most: float) -> tuple[np.ndarray, np.ndarray]:
+        """(asking points, candidates) of the pairs that may be no farther than their component's least weight."""
+        x2, far = self.products.x2[rows], self.least[self.of[rows]]
+
+        def passing(kind: type) -> np.ndarray:
+            s = self.tiles.product(self.products.left[kind][rows], right[kind])
+            with np.errstate(over="ignore"):
+                return self.tiles.below(s, self.products.limit(far, x2, most, kind)[0].astype(kind))
+
+        kind, n = self.products.kind(x2, most), len(right[np.float64])
+        hits = passing(kind)
+        if kind is np.float32 and len(hits) > _TILE_SHARE * len(rows) * n:
+            hits = passing(np.float64)
+        i, j = np.divmod(hits, n)
+        return rows[i], j
+
+    @staticmethod
+    def _lightest(of: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Each component's lightest edge; ties go by (a, b)."""
+        order = np.lexsort((b, a, w, of))
+        order = order[np.append(True, of[order][1:] != of[order][:-1])]
+        return of[order], a[order], b[order], w[order]
 
 
 def _lightest_of_parts(asking: DataFrame, candidates: DataFrame, parts: int, cells: Cells) -> DataFrame:
@@ -450,9 +483,9 @@ def _merge_band(least: int):
     return run
 
 
-def _merged_side_by_side(band: DataFrame, n: int, state: DataFrame, least: int, band_edges: int) -> DataFrame:
-    """What happens along a band's edges: its independent components are dealt to tasks."""
-    tasks = -(-n * _BAND_TASKS // band_edges)
+def _merged_side_by_side(band: DataFrame, n: int, state: DataFrame, least: int, band_edges: int, last: bool) -> DataFrame:
+    """What happens along a band's edges: its independent components are dealt to tasks.  The last band's edges hang together, as a tree's do."""
+    tasks = 1 if last else -(-n * _BAND_TASKS // band_edges)
     if tasks > 1:
         of = components(band, "a", "b")
         task = lambda end: of.select(F.col("v").alias(end), F.pmod(F.xxhash64("comp"), F.lit(tasks)).alias("g"))
@@ -522,7 +555,7 @@ def hierarchy(tree: DataFrame, min_cluster_size: int = MIN_CLUSTER_SIZE, band_ed
             n = counts["upto"] if whole else counts["below"]
             taken = F.col("w") <= F.lit(top) if whole else F.col("w") < F.lit(top)
             band, last = rest.filter(taken), n == left
-        what = _merged_side_by_side(band, n, state, min_cluster_size, band_edges) if n <= band_edges else _contracted(band, top, state, min_cluster_size, band_edges)
+        what = _merged_side_by_side(band, n, state, min_cluster_size, band_edges, last) if n <= band_edges else _contracted(band, top, state, min_cluster_size, band_edges)
         done = materialize(what, "band-merged")
         joined = materialize(joined.unionByName(done.filter("kind = 'joined'").select(F.col("comp").alias("id"), "cluster")), "band-joined")
         ended = materialize(ended.unionByName(done.filter("kind = 'ended'").select("cluster", F.col("comp").alias("parent"), (F.col("size") == 1).alias("wins"))), "band-ended")

@@ -78,11 +78,67 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
     raise RuntimeError(f"components still changed after {max_iter} rounds")
 
 
+def _picked_forest(e: DataFrame, turn: int) -> DataFrame:
+    """(v, up): every vertex with the root of its tree in the forest of the edges that come first at one of their ends.
+
+    Edges have an order of their own in each turn, the same from both ends, so
+    picks close no cycles but pairs that picked the same edge, of which the
+    smaller vertex is the root.  Trees have two vertices at least and are
+    shallow, as the order is a hash's: a few hops reach the roots.
+    """
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    ends = e.select("a", "b", F.xxhash64(low, high, F.lit(turn)).alias("h"))
+    ends = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"), "h"))
+    # the edge's order, seen from one end: by its hash, then by its ends
+    pick = ends.groupBy(F.col("a").alias("v")).agg(F.min(F.struct("h", low.alias("low"), high.alias("high"))).alias("k"))
+    at = materialize(pick.select("v", F.when(F.col("k.low") == F.col("v"), F.col("k.high")).otherwise(F.col("k.low")).alias("up")), "cc-picked")
+    hop = lambda at: at.join(at.select(F.col("v").alias("up"), F.col("up").alias("again")), "up")
+    pair = (F.col("again") == F.col("v")) & (F.col("v") < F.col("up"))
+    now = materialize(hop(at).select("v", F.when(pair, F.col("v")).otherwise(F.col("up")).alias("up")), "cc-hop")
+    while True:
+        later = materialize(hop(now).select("v", F.col("again").alias("up"), (F.col("again") != F.col("up")).alias("moved")), "cc-hop")
+        moved = later.filter("moved").limit(1).count()
+        for done in (at, now):
+            discard(done)
+        at = now = later.drop("moved")
+        now.scratch_path = later.scratch_path
+        if not moved:
+            return now
+
+
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", small: int = SMALL_EDGES) -> DataFrame:
-    """(v, comp) like ``connected_components``; up to ``small`` edges, as in the late rounds of a contraction, are joined in one task."""
-    e = materialize(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")), "components")
-    if e.count() > small:
-        return connected_components(e, "a", "b")
+    """(v, comp) like ``connected_components``.
+
+    Edges are contracted along forests that leave half of the vertices at
+    most, whatever the paths' lengths; up to ``small`` edges are joined in one task.
+    """
+    spark = edges.sparkSession
+    given = materialize(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")), "components")
+    e, moves = given, []
+    while e.count() > small:
+        e = e.filter("a <> b")
+        if not e.limit(1).count():
+            break
+        to = _picked_forest(e, len(moves))
+        moves.append(to)
+        fewer = e
+        for end in ("a", "b"):
+            fewer = fewer.join(spark.read.parquet(to.scratch_path).select(F.col("v").alias(end), "up"), end).drop(end).withColumnRenamed("up", end)
+        e = materialize(fewer.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "components")
+    found = _joined_in_one_task(e)
+    if not moves:
+        return found
+    for to in reversed(moves):  # what a vertex became, and where it ended
+        last = spark.read.parquet(to.scratch_path).withColumnRenamed("up", "end")
+        found = last.join(found.select(F.col("v").alias("end"), "comp"), "end", "left").select("v", F.coalesce("comp", "end").alias("comp"))
+    found = materialize(found, "cc-ends")
+    first = found.groupBy("comp").agg(F.min("v").alias("first"))
+    vertices = given.select(F.col("a").alias("v")).union(given.select(F.col("b").alias("v"))).distinct()
+    out = vertices.join(found.join(first, "comp").select("v", "first"), "v", "left").select("v", F.coalesce("first", "v").alias("comp"))
+    return materialize(out, "components")
+
+
+def _joined_in_one_task(e: DataFrame) -> DataFrame:
 
     def run(batches):
         parent: dict[int, int] = {}

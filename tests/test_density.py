@@ -205,3 +205,83 @@ def test_streamed_cells_give_every_components_lightest_edge():
     want = {c: min((w[i, j], i, 100 + j) for i in np.flatnonzero(comp == c) for j in range(30) if other_comp[j] != c) for c in np.unique(comp)}
     assert {c: e[1:] for c, e in got.items()} == {c: e[1:] for c, e in want.items()}
     assert np.allclose([got[c][0] for c in sorted(got)], [want[c][0] for c in sorted(want)])
+
+
+def test_the_last_band_hangs_together_and_asks_for_no_components(spark, monkeypatch):
+    """A tree's components were looked for by passing labels on, in as many rounds as its paths are long."""
+    def asked(*_):
+        raise AssertionError("components of a tree")
+
+    monkeypatch.setattr(D, "components", asked)
+    tree = spark.createDataFrame([(i, i + 1, 1.0 + i % 7) for i in range(90)], "a bigint, b bigint, w double")
+    joined, _ = D.hierarchy(tree, 5, band_edges=100)
+    assert {r["id"] for r in joined.collect()} == set(range(91))
+
+
+def test_components_of_a_long_path_take_few_tables(spark, monkeypatch):
+    from linkloom.operators import graph
+
+    made, write = [], graph.materialize
+
+    def seen(df, name="step"):
+        made.append(name)
+        return write(df, name)
+
+    monkeypatch.setattr(graph, "materialize", seen)
+    ids = np.random.default_rng(2).permutation(300) * 5 - 200
+    rows = [(int(a), int(b)) for a, b in zip(ids[:200], ids[1:201])] + [(int(a), int(b)) for a, b in zip(ids[201:-1], ids[202:])] + [(9999, 9999)]
+    got = {r["v"]: r["comp"] for r in graph.components(spark.createDataFrame(rows, "src bigint, dst bigint"), small=100).collect()}
+    want = {int(v): int(part.min()) for part in (ids[:201], ids[201:]) for v in part}
+    assert got == want | {9999: 9999} and "cc-round" not in made and len(made) < 20
+
+
+def test_kernels_of_lists_and_tree_keep_to_small_products():
+    """Lists far from the origin are those of all pairs, and no product is larger than a tile."""
+    import tracemalloc
+
+    from linkloom.operators import knn
+
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.normal(0, 1, (1500, 4)), r.normal(1000, 1e-4, (1500, 4)), np.repeat(r.integers(0, 3, (100, 4)), 5, axis=0)])
+    ids = r.permutation(len(x)) * 3
+    rows = np.arange(0, len(x), 2)
+    asking = knn._Asking(ids[rows], np.zeros(len(rows), int), np.full(len(rows), np.inf), x[rows], 6, "euclidean", True)
+    tracemalloc.start()
+    asking.offer(np.arange(len(rows)), ids, x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64 << 20
+    found = asking.found()
+    got = sorted(zip(found["id"].to_pylist(), found["score"].to_pylist(), found["nbr"].to_pylist()), key=lambda e: (e[0], -e[1], e[2]))
+    want = []
+    for i in rows:
+        d = np.sqrt(((x[i] - x) ** 2).sum(1))
+        want += [(ids[i], -d[j], ids[j]) for j in sorted(np.flatnonzero(ids != ids[i]), key=lambda j: (d[j], ids[j]))[:6]]
+    assert [(a, c) for a, _, c in got] == [(a, c) for a, _, c in sorted(want, key=lambda e: (e[0], -e[1], e[2]))]
+
+
+def test_an_epoch_of_the_layout_works_on_few_edges_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from linkloom.operators import layout as lo
+
+    r = np.random.default_rng(8)
+    n, degree, dims = 2000, 40, 10
+    table = pa.table({"li": np.repeat(np.arange(n), degree), "bj": r.integers(0, 4, n * degree), "lj": r.integers(0, n, n * degree), "w": r.uniform(0, 1, n * degree)})
+    e = lo.BlockEdges(table, 0, n)
+    x, halo, pool = r.normal(size=(n, dims)), r.normal(size=(len(e.source), dims)), r.normal(size=(50, dims))
+    drawn = r.integers(0, 50, (1, n, 5))
+    tracemalloc.start()
+    got = lo.run_epochs(x, e, halo, np.arange(n), pool, np.arange(50), np.array([1.0]), (1.8, 0.8), drawn)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < (len(x) + len(halo)) * dims * 8 + (4 << 20)
+    whole, lots = got, lo._VALUES_AT_ONCE
+    try:
+        lo._VALUES_AT_ONCE = 1 << 30
+        whole = lo.run_epochs(x, e, halo, np.arange(n), pool, np.arange(50), np.array([1.0]), (1.8, 0.8), drawn)
+    finally:
+        lo._VALUES_AT_ONCE = lots
+    assert got.tobytes() == whole.tobytes()
